@@ -10,6 +10,46 @@ from pyspark.sql import functions as F
 from . import common
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer's file; the package that holds them is installed beside the library."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def packing_encoder():
+    import public_tokenizers
+
+    from .packing import encoder
+
+    return encoder(tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
+
+
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_column, media_features
+
+    return media_features(media_column(common.documents(spark, sf_dir))).withColumn("feature", F.lower(F.hex("hash"))).drop("hash")
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import bpe_decode, bpe_encode
+
+    path = tokenizer_file("word_bpe_49k.json")
+    decoded = bpe_decode(bpe_encode(common.documents(spark, sf_dir), path), path)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.encode(F.concat_ws(" ", F.col("ids").cast("array<string>")), "UTF-8"), 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(common.documents(spark, sf_dir), packing_encoder)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -29,9 +69,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_media_columns": op2_media_columns,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_bpe": op4_bpe,
     "op5_sharding": op5_sharding,
     "op7_line_dedup": op7_line_dedup,
+    "op8_packing": op8_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
