@@ -62,19 +62,35 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(common.documents(spark, sf_dir))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import learn, quality_scores
+
+    docs = common.documents(spark, sf_dir)
+    return quality_scores(docs, learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup
 
     return line_dedup(common.documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import learn, toxicity_scores
+
+    docs = common.documents(spark, sf_dir)
+    return toxicity_scores(docs, learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_columns": op2_media_columns,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_bpe": op4_bpe,
     "op5_sharding": op5_sharding,
+    "op6_quality": op6_quality,
     "op7_line_dedup": op7_line_dedup,
     "op8_packing": op8_packing,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
