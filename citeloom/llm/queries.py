@@ -25,6 +25,12 @@ def packing_encoder():
     return encoder(tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(common.documents(spark, sf_dir)).drop("class_id")
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import media_column, media_features
 
@@ -89,6 +95,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_media_columns": op2_media_columns,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_bpe": op4_bpe,
