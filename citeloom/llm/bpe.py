@@ -9,11 +9,13 @@ Cutting at the six ASCII white space characters is safe: no merge, normal form o
 
 from __future__ import annotations
 
+import array
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,7 @@ TABLE_WORDS = 2**18
 WORD_BYTES = 48
 #: A task forgets the rare words it has encoded when it holds so many.
 TASK_WORDS = 2**19
+LINE_WORDS = 128
 WHITE = r"[ \t\n\x0B\f\r]+"
 #: Steps of the logarithmic scale on which word counts are compared.
 STEPS = 64
@@ -38,9 +41,17 @@ def _tokenizer(path: str):
 
 
 def _encoded(own, words: list[bytes]) -> list[bytes]:
-    """Ids as little-endian 32-bit integers."""
-    found = own.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)
-    return [np.array(x.ids, np.int32).tobytes() for x in found]
+    """Ids of each word as 32-bit integers. Words are encoded a line at a time, which costs less than one by one; each id's place in the line tells its word."""
+    out: list[bytes] = []
+    lines = [words[i : i + LINE_WORDS] for i in range(0, len(words), LINE_WORDS)]
+    split = [[w.decode("utf-8") for w in line] for line in lines]
+    for line, found in zip(split, own.encode_batch([" ".join(line) for line in split], add_special_tokens=False), strict=True):
+        begin = np.cumsum([0, *(len(w) + 1 for w in line)])[:-1]
+        at = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
+        cut = [*np.searchsorted(at, begin).tolist(), len(found.ids)]
+        ids = array.array("i", found.ids).tobytes()
+        out += [ids[4 * a : 4 * z] for a, z in zip(cut, cut[1:], strict=False)]
+    return out
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -81,18 +92,18 @@ def bpe_encode(docs: DataFrame, path: str, most: int = TABLE_WORDS) -> DataFrame
     table = spark.sparkContext.broadcast({bytes(r["word"]): bytes(r["ids"]) for r in word_table(docs, path, most).toLocalIterator()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, frequent, rare = None, table.value, {}
+        own, known = None, dict(table.value)
         for b in batches:
             split = [x.split() for x in b.column("text").cast(pa.binary()).to_pylist()]
-            new = {w for words in split for w in words if w not in frequent and w not in rare}
-            if len(rare) + len(new) > TASK_WORDS:
-                rare = {}
-                new = {w for words in split for w in words if w not in frequent}
+            new = set().union(*split) - known.keys()
+            if len(known) - len(table.value) + len(new) > TASK_WORDS:
+                known = dict(table.value)
+                new = set().union(*split) - known.keys()
             if new:
                 own = own or _tokenizer(path)
                 new = list(new)
-                rare.update(zip(new, _encoded(own, new), strict=True))
-            data = [b"".join([frequent[w] if w in frequent else rare[w] for w in words]) for words in split]
+                known.update(zip(new, _encoded(own, new), strict=True))
+            data = [b"".join(map(known.__getitem__, words)) for words in split]
             ends = np.cumsum([0, *(len(x) // 4 for x in data)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(data), np.int32)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids], ["doc_id", "ids"])
@@ -111,9 +122,18 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
         own = _tokenizer(path)
         if own.decoder is not None:
             raise ValueError("the tokenizer has a decoder of its own")
-        pieces = {i: w for w, i in own.get_vocab(with_added_tokens=True).items()}
+        vocabulary = own.get_vocab(with_added_tokens=True)
+        pieces = [None] * (max(vocabulary.values(), default=-1) + 1)
+        for w, i in vocabulary.items():
+            pieces[i] = w
+        pieces = pa.array(pieces, pa.string())
         for b in batches:
-            out = [" ".join([pieces[i] for i in ids if i in pieces]) if ids else "" for ids in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(out, pa.string())], ["doc_id", "ids", "decoded"])
+            ids = b.column("ids").fill_null([]) if b.column("ids").null_count else b.column("ids")
+            flat = ids.flatten()
+            inside = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(pieces)))
+            found = pieces.take(pc.if_else(inside, flat, pa.scalar(None, pa.int32())))
+            at = pa.array(np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32))
+            out = pc.binary_join(pa.ListArray.from_arrays(at, found), " ") if not found.null_count else pa.array([" ".join(x for x in w if x is not None) for w in pa.ListArray.from_arrays(at, found).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), out], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
