@@ -1 +1,107 @@
-PLANS = {}
+"""Cards, reports and inference."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from citeloom.operators import cards as C
+from citeloom.operators import evidence as E
+from citeloom.operators import inference as L
+
+from .evidence_plans import SCORED, scored
+from .fixtures import Source
+
+c = F.col
+
+
+def _items(s: Source):
+    return s.fx_evidence.select("item_id").distinct().select("item_id", F.concat(F.lit("Citing "), "item_id").alias("citing_title"), F.concat(F.lit("Cited "), "item_id").alias("cited_title"))
+
+
+def cards(s: Source):
+    return C.cards(E.eligible(scored(s)), _items(s))
+
+
+TYPE = "case when stance in ('negative', 'mixed') and evidence_type not in ('detailed_comparison', 'baseline_or_benchmark') then 'limitation_or_negative' when evidence_type in ('detailed_comparison', 'baseline_or_benchmark', 'method_foundation') then evidence_type else 'positive_evaluation' end"
+CARDS = f"""{SCORED}, ca as (select session_id, evidence_id, item_id, {TYPE} as card_type, strength, review_status, citation_text, score, strength in ('strong', 'moderate') and self_citation_status <> 'self_citation' as include_in_report,
+      row_number() over (partition by session_id order by review_status = 'important' desc, review_status = 'accepted' desc, round(score, 9) desc, evidence_id) as sort_order from sc where trim(citation_text) <> '' and review_status not in ('rejected', 'false_positive'))"""
+SECTION = "case card_type when 'positive_evaluation' then 'evaluative' when 'detailed_comparison' then 'precision' when 'baseline_or_benchmark' then 'precision' when 'method_foundation' then 'method_summary' when 'limitation_or_negative' then 'limitation' else 'review' end"
+NUMBER = "case section when 'evaluative' then 1 when 'precision' then 2 when 'method_summary' then 3 when 'capability' then 4 when 'review' then 5 else 6 end"
+
+
+def _answers(s: Source):
+    k = c("conv_id") * 100 + c("turn")
+    body = F.concat(F.lit('{"evidence_type": "'), "role", F.lit('", "stance": "neutral", "keep": true, "confidence": 0.5}'))
+    text = F.when(k % 3 == 0, body).when(k % 3 == 1, F.concat(F.lit("<think>x {\"a\": 1}</think>\n```json\n"), body, F.lit("\n```"))).when(k % 6 == 2, F.concat(F.lit("Sure: "), body, F.lit(" done"))).otherwise("no answer")
+    return s.conversations.select(k.alias("item_id"), text.alias("response"))
+
+
+PLANS = {
+    "c1_card_types": (lambda s: s.fx_evidence.select("evidence_id", C.card_type(c("evidence_type"), c("stance")).alias("card_type")), f"select evidence_id, {TYPE} as card_type from fx_evidence"),
+    "c2_cards": (lambda s: cards(s).select("evidence_id", "card_type", "include_in_report", "sort_order"), f"with {CARDS} select evidence_id, card_type, include_in_report, sort_order from ca"),
+    "c3_card_type_override": (
+        lambda s: C.cards(E.eligible(scored(s)), _items(s), s.fx_evidence.where("evidence_id % 3 = 0").select("evidence_id", F.explode(F.array(F.struct(F.lit("custom").alias("template_type"), F.lit(10.0).alias("match_score"), F.lit(1).alias("template_id")), F.struct(F.when(c("evidence_id") % 2 == 0, "method_foundation").otherwise("custom").alias("template_type"), F.lit(20.0).alias("match_score"), F.lit(2).alias("template_id")))).alias("m")).select("evidence_id", "m.*")).select("evidence_id", "card_type"),
+        f"with {CARDS} select evidence_id, case when evidence_id % 6 = 0 then 'method_foundation' else card_type end as card_type from ca",
+    ),
+    "c5_anchor_invalid": (
+        lambda s: C.without_invalid(scored(s).withColumn("anchor_status", F.when(c("evidence_id") % 4 == 0, "invalid").otherwise("valid"))).groupBy("review_status", "strength").agg(F.count(F.lit(1)).alias("n")),
+        f"with {SCORED} select case when evidence_id % 4 = 0 then 'false_positive' else review_status end as review_status, case when evidence_id % 4 = 0 then 'none' else strength end as strength, count(*) as n from sc group by 1, 2",
+    ),
+    "c6_claims": (
+        lambda s: C.claims(cards(s)).select("evidence_id", "label", "recommendation", "confidence"),
+        f"with {CARDS} select evidence_id, case when card_type = 'limitation_or_negative' then 'reports a limitation' when card_type = 'detailed_comparison' and strength = 'strong' then 'compares in detail' when card_type in ('detailed_comparison', 'baseline_or_benchmark') then 'uses as a comparison' when card_type = 'method_foundation' then 'builds on the work' when strength = 'strong' then 'evaluates positively' when strength = 'moderate' then 'mentions with approval' else 'mentions' end as label, case when card_type = 'limitation_or_negative' then 'review' when card_type in ('detailed_comparison', 'baseline_or_benchmark', 'method_foundation') or strength = 'strong' then 'include' when strength = 'moderate' then 'review' else 'exclude' end as recommendation, case when card_type = 'limitation_or_negative' then 0.6 when card_type = 'detailed_comparison' and strength = 'strong' then 0.9 when card_type in ('detailed_comparison', 'baseline_or_benchmark') then 0.7 when card_type = 'method_foundation' then 0.75 when strength = 'strong' then 0.8 when strength = 'moderate' then 0.5 else 0.2 end as confidence from ca",
+    ),
+    "c7_report_sections": (
+        lambda s: C.report_sections(cards(s).where("include_in_report")).select("session_id", "evidence_id", "section", "number"),
+        f"with {CARDS}, x as (select *, {SECTION} as section from ca where include_in_report) select session_id, evidence_id, section, row_number() over (partition by session_id order by {NUMBER}, sort_order) as number from x",
+    ),
+    "c9_conclusions": (
+        lambda s: C.conclusions(C.report_sections(cards(s))),
+        f"with {CARDS}, x as (select *, {SECTION} as section from ca), n as (select session_id, count(*) filter (section = 'evaluative') as evaluative, count(*) filter (section = 'precision') as precision, count(*) filter (section = 'method_summary') as method_summary, count(*) filter (section = 'capability') as capability, count(*) filter (section = 'review') as review, count(*) filter (section = 'limitation') as limitation from x group by 1) select *, case when evaluative + precision >= 5 then 'strong impact' when evaluative + precision > 0 then 'visible impact' when method_summary + capability > 0 then 'use without evaluation' else 'background only' end as conclusion from n",
+    ),
+    "c11_review_overlay": (
+        lambda s: C.with_latest_review(s.fx_evidence.select("evidence_id", "review_status"), s.events.select((c("event_id") % 1500).alias("evidence_id"), c("event_type").alias("review_status"), "ts", c("event_id").alias("id")), "evidence_id", "review_status"),
+        "select evidence_id, coalesce(st, review_status) as review_status from fx_evidence left join (select event_id % 1500 as k, arg_max(event_type, {'a': ts, 'b': event_id}) as st from events group by 1) l on l.k = evidence_id",
+    ),
+    "c13_review_list": (
+        lambda s: scored(s).join(s.fx_asset.select(c("asset_id").alias("a"), "source_type"), c("evidence_id") == c("a"), "left").groupBy("session_id", "item_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("source_type")), ",").alias("sources"), F.round(F.max("score"), 4).alias("best")),
+        f"with {SCORED} select session_id, item_id, count(*) as n, array_to_string(list_sort(list_distinct(list(source_type))), ',') as sources, round(max(score), 4) as best from sc left join fx_asset on asset_id = evidence_id group by 1, 2",
+    ),
+    "p5_card_views": (
+        lambda s: cards(s).groupBy("session_id", "card_type").agg(F.count(F.lit(1)).alias("cards"), F.count_if("include_in_report").alias("included")),
+        f"with {CARDS} select session_id, card_type, count(*) as cards, count(*) filter (include_in_report) as included from ca group by 1, 2",
+    ),
+    "p9_reportable_cards": (lambda s: C.reportable(cards(s), s.fx_evidence).select("evidence_id", "card_type"), f"with {CARDS} select evidence_id, card_type from ca where include_in_report"),
+    "t6_manual_order": (
+        lambda s: C.reordered(cards(s), s.fx_evidence.where("evidence_id % 50 = 0").groupBy("session_id").agg(F.reverse(F.array_sort(F.collect_list("evidence_id"))).alias("ids"))).select("evidence_id", "sort_order"),
+        f"with {CARDS}, o as (select evidence_id as id, row_number() over (partition by session_id order by evidence_id desc) as p from fx_evidence where evidence_id % 50 = 0) select evidence_id, coalesce(p, sort_order) as sort_order from ca left join o on id = evidence_id",
+    ),
+    "u9_distinct_quotes": (
+        lambda s: C.distinct_quotes(cards(s).select("item_id", "card_type", "evidence_id", c("evidence_quote").alias("quote"), F.array((c("review_status") == "accepted").cast("double"), F.length("evidence_quote").cast("double")).alias("preference"))),
+        None,
+    ),
+    "u15_fallback_rows": (
+        lambda s: C.fallback_rows(s.fx_evidence.select("item_id").distinct(), cards(s).where("include_in_report"), E.latest_results(s.fx_result)),
+        f"with {CARDS} select item_id, result_id, case when result_id is null then 'no_result' else 'no_card' end as reason from (select distinct item_id from fx_evidence) left join (select item_id, arg_max(result_id, {{'a': created_at, 'b': result_id}}) as result_id from fx_result where status = 'success' group by 1) r using (item_id) where item_id not in (select item_id from ca where include_in_report)",
+    ),
+    "a13_workspace_stats": (
+        lambda s: C.workspace_stats(cards(s)),
+        f"with {CARDS} select session_id, count(*) as cards, count(*) filter (include_in_report) as included, count(*) filter (strength = 'strong') as strong, count(*) filter (strength <> 'strong') as ordinary, cast(0 as bigint) as important_author, count(*) filter (review_status = 'unreviewed') as needs_review from ca group by 1",
+    ),
+    "s11_structured_report": (
+        lambda s: C.structured_report(scored(s), cards(s)).select("session_id", "n_evidence", "n_strong", "n_cards", F.size(F.from_json(F.get_json_object("report", "$.cards"), "array<struct<evidence_id:long>>")).alias("in_json")),
+        f"with {CARDS}, k as (select session_id, count(*) as n from ca where include_in_report group by 1) select e.*, cast(coalesce(n, 0) as int) as n_cards, cast(n as int) as in_json from (select session_id, count(*) as n_evidence, count(*) filter (strength = 'strong') as n_strong from sc group by 1) e left join k using (session_id)",
+    ),
+    "l1_prompts": (
+        lambda s: L.prompts(_items(s), s.fx_evidence.select("item_id", c("evidence_id").alias("ordinal"), c("citation_text").alias("text"))).select("item_id", F.length("prompt").alias("chars")),
+        "select item_id, 13 + 8 + length('Citing ' || item_id) + 8 + length('Cited ' || item_id) + 11 + sum(length(citation_text)) + count(*) - 1 as chars from fx_evidence group by item_id",
+    ),
+    "l2_default_inference": (
+        lambda s: L.infer(L.prompts(_items(s), s.fx_evidence.select("item_id", c("evidence_id").alias("ordinal"), F.lit("we follow [3]").alias("text")))).select("item_id", F.get_json_object("response", "$.evidence_type").alias("kind")),
+        "select distinct item_id, 'method_foundation' as kind from fx_evidence",
+    ),
+    "l3_salvaged_answers": (
+        lambda s: L.salvaged(_answers(s)).groupBy("status", c("answer.evidence_type").alias("kind")).agg(F.count(F.lit(1)).alias("n")),
+        "select case when (conv_id * 100 + turn) % 3 < 2 then 'parsed' when (conv_id * 100 + turn) % 6 = 2 then 'salvaged' else 'quarantined' end as status, case when (conv_id * 100 + turn) % 3 < 2 or (conv_id * 100 + turn) % 6 = 2 then role end as kind, count(*) as n from conversations group by 1, 2",
+    ),
+}

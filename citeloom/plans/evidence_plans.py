@@ -1 +1,154 @@
-PLANS = {}
+"""Evidence and templates."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from citeloom.operators import evidence as E
+from citeloom.operators import templates as T
+
+from .fixtures import Source
+
+c = F.col
+STRONG = "evidence_type in ('detailed_comparison', 'baseline_or_benchmark', 'method_foundation', 'limitation_or_negative')"
+RAW = f"""(case when citation_text = '' then 0.0 when mention_type = 'grouped_citation' then 0.25 when mention_type = 'reference_only' then 0.0 when mention_type in ('weak_mention', 'background_mention') then 0.35
+      else 0.5 + case when {STRONG} then 0.25 else 0.0 end + case when stance in ('positive', 'mixed') then 0.1 else 0.0 end + case when length(citation_text) >= 80 then 0.05 else 0.0 end end)"""
+SCORED = f"""k0 as (select *, cast({RAW} as double) as raw from fx_evidence),
+    k1 as (select * exclude (raw), raw, case when self_citation_status = 'self_citation' then greatest(0.0, round(raw - 0.2, 4)) else raw end as score from k0),
+    sc as (select *, case when self_citation_status <> 'self_citation' and (citation_text = '' or mention_type = 'reference_only') then 'none' when score >= 0.8 - 1e-9 then 'strong' when score >= 0.6 - 1e-9 then 'moderate' else 'weak' end as strength from k1)"""
+
+
+def scored(s: Source):
+    return E.with_scores(s.fx_evidence)
+
+
+def direct(s: Source):
+    """Evidence as a model's direct answers: recommendation, claim, marker, anchors and template ids by id."""
+    k = c("evidence_id")
+    return s.fx_evidence.select(
+        "evidence_id", "item_id", "session_id", "citation_text", k.alias("ordinal"),
+        F.when(k % 4 == 0, "include").when(k % 4 == 1, "review").when(k % 4 == 2, "exclude").otherwise("include").alias("recommendation"),
+        F.when(k % 5 == 0, "ordinary_reference").when(k % 5 == 1, "limitation_feedback").when(k % 5 == 2, "detailed_comparison").otherwise("method_use").alias("claim_type"),
+        (k % 3).cast("string").alias("marker"), (k % 7 != 0).alias("has_target"), F.when(k % 9 == 0, "mismatch").when(k % 9 == 1, "unresolved").otherwise("matched").alias("reference_match_status"),
+        F.when(k % 6 == 0, "candidate").when(k % 6 == 1, "strong").otherwise("none").alias("template_match_level"), (k % 10 == 1).alias("negative_template"), F.when(k % 8 == 0, "exclude").otherwise("include").alias("original_recommendation"),
+        F.array((k % 2).cast("string"), F.lit("t")).alias("template_ids"),
+    ).withColumn("codes", E.reason_codes())
+
+
+DIRECT = """d0 as (select evidence_id, item_id, session_id, citation_text, evidence_id as ordinal, evidence_id as k, case evidence_id % 4 when 1 then 'review' when 2 then 'exclude' else 'include' end as recommendation,
+      case evidence_id % 5 when 0 then 'ordinary_reference' when 1 then 'limitation_feedback' when 2 then 'detailed_comparison' else 'method_use' end as claim_type, cast(evidence_id % 3 as varchar) as marker, evidence_id % 7 <> 0 as has_target,
+      case evidence_id % 9 when 0 then 'mismatch' when 1 then 'unresolved' else 'matched' end as status, case evidence_id % 6 when 0 then 'candidate' when 1 then 'strong' else 'none' end as level, cast(evidence_id % 2 as varchar) as tid from fx_evidence),
+    d1 as (select *, list_filter([case when k % 9 = 0 then 'reference_mismatch' end, case when k % 7 = 0 then 'target_marker_missing' end, case when k % 6 = 0 then 'template_candidate_requires_review' end, case when k % 5 = 0 then 'ordinary_reference' end,
+      case when k % 5 = 1 and k % 10 <> 1 then 'limitation_feedback_not_positive' end, case when k % 8 = 0 then 'llm_recommended_exclude' end], lambda x: x is not null) as cs from d0),
+    di as (select *, case when len(cs) = 0 and recommendation <> 'include' then ['template_goal_not_satisfied'] else cs end as codes from d1)"""
+
+
+def _templates(s: Source):
+    sessions = s.fx_evidence.select("session_id").distinct()
+    return T.builtin_templates(s.spark, sessions)
+
+
+def _judged(s: Source):
+    """Verdicts on documents' evidence with words that the cues know."""
+    k = c("evidence_id")
+    words = F.when(k % 3 == 0, " compared with a baseline in experiments, its results are higher").when(k % 3 == 1, " we build on this method and adopt its approach; however it fails only sometimes").otherwise(" is described")
+    e = s.fx_evidence.where("citation_text <> ''").select("evidence_id", "session_id", F.concat("citation_text", words).alias("citation_text"), F.lit("").alias("context"), F.when(k % 3 == 0, "performance_comparison").when(k % 3 == 1, "method_use").otherwise("background").alias("claim_type"), F.when(k % 9 == 0, "mismatch").otherwise("matched").alias("reference_match_status"), (k % 7 != 0).alias("anchored"), F.lit("A title").alias("title"), (k % 4 == 0).alias("grouped"))
+    return T.combined(T.verdicts(e, _templates(s)))
+
+
+TERMS = {"first": 1, "comparison": 2, "benchmark": 3, "baseline": 3, "positive": 4, "evaluation": 4, "limitation": 5, "theoretical": 6, "method": 7, "neutral": 9}
+
+
+def _promoted(s: Source):
+    k = c("evidence_id")
+    anchor = F.when(k % 13 == 0, "invalid").otherwise("valid")
+    return scored(s).select("evidence_id", E.promotion(k % 17 != 0, anchor).alias("p")).select("evidence_id", "p.*")
+
+
+PROMOTED = f"""with {SCORED} select evidence_id, case when evidence_id % 17 = 0 or citation_text = '' or mention_type = 'reference_only' or evidence_id % 13 = 0 then 'filtered'
+      when mention_type = 'grouped_citation' then case when {STRONG} then 'review' else 'filtered' end when mention_type = 'background_mention' and evidence_type in ('method_foundation', 'baseline_or_benchmark') then 'saved' when score < 0.6 then 'filtered' else 'saved' end as decision,
+      case when evidence_id % 17 = 0 then 'keep_false' when trim(citation_text) = '' then 'no_citation_text' when mention_type = 'reference_only' then 'reference_only' when evidence_id % 13 = 0 then 'anchor_invalid' when mention_type = 'grouped_citation' then 'grouped_citation'
+      when mention_type = 'background_mention' and evidence_type in ('method_foundation', 'baseline_or_benchmark') then 'background_upgrade' when score < 0.6 then 'low_strength' else 'saved' end as reason from sc"""
+
+PLANS = {
+    "r23_scored_evidence": (lambda s: scored(s).select("evidence_id", "score", "strength"), f"with {SCORED} select evidence_id, score, strength from sc"),
+    "r25_promotion": (_promoted, PROMOTED),
+    "r27_inferred": (
+        lambda s: s.fx_evidence.select("evidence_id", E.inferred(F.when(c("evidence_id") % 3 == 0, "However, this fails").when(c("evidence_id") % 3 == 1, F.concat(F.lit("we FOLLOW "), c("evidence_id").cast("string"))).otherwise("plain")).alias("i")).select("evidence_id", "i.*"),
+        "select evidence_id, case evidence_id % 3 when 0 then 'limitation_or_negative' when 1 then 'method_foundation' else 'background' end as evidence_type, case evidence_id % 3 when 0 then 'negative' when 1 then 'positive' else 'neutral' end as stance from fx_evidence",
+    ),
+    "r29_reason_codes": (lambda s: direct(s).select("evidence_id", F.array_join("codes", "|").alias("codes"), E.template_eligible().alias("eligible")), f"with {DIRECT} select evidence_id, array_to_string(codes, '|') as codes, has_target and not list_has_any(codes, ['reference_mismatch', 'target_marker_missing', 'reference_only']) as eligible from di"),
+    "r5_template_terms": (
+        lambda s: T.term_matches(s.fx_evidence.select("session_id", "evidence_id", F.concat("evidence_type", F.lit(" "), "stance").alias("text")), _templates(s), "evidence_id").select("evidence_id", "template_id", F.size("matched_terms").alias("n"), "match_score"),
+        "with t as (" + " union all ".join(f"select {i} as template_id, '{w}' as w" for w, i in [("first", 1), ("pioneering", 1), ("claim", 1), ("detailed", 2), ("comparison", 2), ("baseline", 3), ("benchmark", 3), ("positive", 4), ("evaluation", 4), ("limitation", 5), ("negative", 5), ("theoretical", 6), ("foundation", 6), ("method", 7), ("foundation", 7), ("method", 8), ("capability", 8), ("summary", 8), ("neutral", 9), ("attitude", 9)]) + ") select evidence_id, template_id, cast(count(*) as int) as n, least(30.0, 10.0 * count(*)) as match_score from fx_evidence join t on contains(evidence_type || ' ' || stance, w) group by 1, 2",
+    ),
+    "r3_template_reasons": (lambda s: T.template_reasons(T.term_matches(s.fx_evidence.select("session_id", "evidence_id", c("evidence_type").alias("text")), _templates(s), "evidence_id"), "evidence_id").select("evidence_id", F.size("extra").alias("n"), F.aggregate("extra", F.lit(0.0), lambda a, x: a + x["delta"]).alias("delta")),
+        "select evidence_id, n, delta from (select evidence_id, case evidence_type when 'detailed_comparison' then 1 when 'baseline_or_benchmark' then 1 when 'method_foundation' then 3 when 'limitation_or_negative' then 1 end as n, case evidence_type when 'detailed_comparison' then 20.0 when 'baseline_or_benchmark' then 20.0 when 'method_foundation' then 40.0 when 'limitation_or_negative' then 20.0 end as delta from fx_evidence) where n is not null"),
+    "r19_template_verdicts": (lambda s: _judged(s).select("evidence_id", "template_match_level", F.array_join(c("template_ids").cast("array<string>"), ",").alias("ids")), None),
+    "r22_template_overlay": (
+        lambda s: T.overlaid(_templates(s), s.fx_evidence.select("session_id").distinct().select("session_id", F.explode(F.array(F.struct(F.lit("neutral_attitude").alias("template_type"), F.lit(False).alias("enabled")), F.struct(F.lit("own").alias("template_type"), F.lit(True).alias("enabled")))).alias("x")).select("session_id", "x.*", F.array(F.lit("k")).alias("keywords"))).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("enabled").alias("enabled"), F.count_if("custom").alias("custom")),
+        "select distinct session_id, cast(10 as bigint) as n, cast(9 as bigint) as enabled, cast(1 as bigint) as custom from fx_evidence",
+    ),
+    "p3_evidence_views": (
+        lambda s: scored(s).select("session_id", F.explode(F.array(*(F.when(f(), F.lit(n)) for n, f in E.VIEWS.items()))).alias("view")).where("view is not null").groupBy("session_id", "view").agg(F.count(F.lit(1)).alias("n")),
+        f"with {SCORED}, v as (select session_id, 'all' as view from sc union all select session_id, review_status from sc where review_status in ('unreviewed', 'accepted', 'rejected', 'false_positive') union all select session_id, 'positive' from sc where stance = 'positive' union all select session_id, 'high_strength' from sc where strength = 'strong' union all select session_id, 'third_party_only' from sc where third_party_status = 'third_party' union all select session_id, 'exclude_self_citation' from sc where self_citation_status <> 'self_citation') select session_id, view, count(*) as n from v group by 1, 2",
+    ),
+    "p4_eligible": (lambda s: E.eligible(s.fx_evidence).select("evidence_id"), "select evidence_id from fx_evidence where trim(citation_text) <> '' and review_status not in ('rejected', 'false_positive')"),
+    "p10_reportable_direct": (
+        lambda s: direct(s).where((c("recommendation") == "include") & (c("template_match_level") == "strong") & (c("reference_match_status") == "matched") & c("has_target")).select("evidence_id"),
+        f"with {DIRECT} select evidence_id from di where recommendation = 'include' and level = 'strong' and status = 'matched' and has_target",
+    ),
+    "t3_card_order": (
+        lambda s: E.eligible(scored(s)).withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy(*E.card_order()))).select("session_id", "evidence_id", "place"),
+        f"with {SCORED} select session_id, evidence_id, row_number() over (partition by session_id order by review_status = 'important' desc, review_status = 'accepted' desc, round(score, 9) desc, evidence_id) as place from sc where trim(citation_text) <> '' and review_status not in ('rejected', 'false_positive')",
+    ),
+    "u3_evidence_upsert": (
+        lambda s: E.upserted(scored(s).where("evidence_id % 2 = 0"), scored(s).where("evidence_id % 3 = 0").withColumn("score", c("score") + 1)).groupBy("review_status").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 4).alias("score"), F.sum("evidence_id").alias("ids")),
+        f"with {SCORED}, o as (select item_id, evidence_type, stance, mention_type, citation_text, min(evidence_id) as id, arg_min(review_status, evidence_id) as st, arg_min(score, evidence_id) as score from sc where evidence_id % 2 = 0 group by 1, 2, 3, 4, 5), n as (select item_id, evidence_type, stance, mention_type, citation_text, min(evidence_id) as id, arg_max(score + 1, evidence_id) as score from sc where evidence_id % 3 = 0 group by 1, 2, 3, 4, 5) select coalesce(o.st, 'unreviewed') as review_status, count(*) as n, round(sum(coalesce(n.score, o.score)), 4) as score, cast(sum(coalesce(o.id, n.id)) as bigint) as ids from o full join n using (item_id, evidence_type, stance, mention_type, citation_text) group by 1",
+    ),
+    "u6_strongest": (
+        lambda s: E.strongest(direct(s)).select("evidence_id", "first_ordinal", "copies"),
+        f"with {DIRECT}, r as (select *, trim(regexp_replace(lower(citation_text), '[^a-z0-9]+', ' ', 'g')) as qk from di), n as (select evidence_id, row_number() over (partition by item_id, marker, qk order by case recommendation when 'include' then 2 when 'review' then 1 else 0 end desc, case claim_type when 'detailed_comparison' then 85 when 'method_use' then 50 when 'limitation_feedback' then 30 else 20 end desc, ordinal) as rn, min(ordinal) over (partition by item_id, marker, qk) as first_ordinal, count(*) over (partition by item_id, marker, qk) as copies from r) select evidence_id, first_ordinal, copies from n where rn = 1",
+    ),
+    "u7_strong_clusters": (
+        lambda s: E.strong_clusters(direct(s)).select("evidence_id", "cluster_size"),
+        f"with {DIRECT}, n as (select evidence_id, row_number() over w as rn, count(*) over (partition by item_id, marker, claim_type, tid) as cluster_size from di where recommendation = 'include' window w as (partition by item_id, marker, claim_type, tid order by ordinal)) select evidence_id, cluster_size from n where rn = 1 union all select evidence_id, 1 from di where recommendation <> 'include'",
+    ),
+    "u12_stale_evidence": (lambda s: E.stale_split(s.fx_evidence, s.fx_evidence.where("evidence_id % 3 <> 0").select("evidence_id")).groupBy("action").agg(F.count(F.lit(1)).alias("n")), "select case when evidence_id % 3 <> 0 then 'keep' when review_status <> 'unreviewed' then 'demote' else 'delete' end as action, count(*) as n from fx_evidence group by 1"),
+    "a2_quality_summary": (
+        lambda s: E.quality_summary(scored(s)),
+        f"with {SCORED} select session_id, count(*) as total, count(*) filter (review_status = 'unreviewed') as unreviewed, count(*) filter (review_status = 'accepted') as accepted, count(*) filter (review_status = 'rejected') as rejected, count(*) filter (review_status = 'false_positive') as false_positive, count(*) filter (third_party_status = 'third_party') as third_party, count(*) filter (self_citation_status = 'self_citation') as self_citation, count(*) filter (strength = 'strong') as strong, count(*) filter (strength = 'moderate') as moderate, count(*) filter (strength = 'weak') as weak from sc group by 1",
+    ),
+    "a8_filter_reasons": (lambda s: direct(s).where("recommendation <> 'include'").select(F.explode("codes").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n")), f"with {DIRECT} select code, count(*) as n from (select unnest(codes) as code from di where recommendation <> 'include') group by 1"),
+    "a9_failure_texts": (lambda s: direct(s).select(F.explode(F.split(F.array_join("codes", ";"), ";")).alias("reason")).where("reason <> ''").groupBy("reason").agg(F.count(F.lit(1)).alias("n")), f"with {DIRECT} select reason, count(*) as n from (select unnest(codes) as reason from di) group by 1"),
+    "a10_direct_counts": (
+        lambda s: E.direct_counts(direct(s)),
+        f"with {DIRECT} select session_id, count(*) as total, count(*) filter (recommendation = 'include') as include, count(*) filter (recommendation = 'review') as review, count(*) filter (recommendation = 'exclude') as exclude, count(*) filter (has_target) as aligned, count(*) filter (status = 'unresolved') as unresolved, count(*) filter (has_target and not list_has_any(codes, ['reference_mismatch', 'target_marker_missing', 'reference_only'])) as eligible, count(*) filter (level = 'strong') as matched, count(*) filter (recommendation = 'include' and has_target) as verified, count(*) filter (recommendation = 'include' and has_target and claim_type <> 'ordinary_reference') as verified_substantive from di group by 1",
+    ),
+    "a15_candidate_layers": (
+        lambda s: direct(s).join(E.latest_results(s.fx_result), "item_id").groupBy("recommendation", "claim_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("has_target").alias("verified")),
+        f"with {DIRECT} select recommendation, claim_type, count(*) as n, count(*) filter (has_target) as verified from di where item_id in (select item_id from fx_result where status = 'success') group by 1, 2",
+    ),
+    "w1_latest_results": (lambda s: E.latest_results(s.fx_result), "select item_id, arg_max(result_id, {'a': created_at, 'b': result_id}) as result_id, count(*) as n_results from fx_result where status = 'success' group by 1"),
+    "w2_result_counts": (
+        lambda s: s.fx_result.groupBy("item_id").agg(F.count(F.lit(1)).alias("results"), F.max_by("status", F.struct("created_at", "result_id")).alias("last_status")).join(s.fx_evidence.groupBy(c("item_id").alias("e")).agg(F.count(F.lit(1)).alias("evidence")), c("item_id") == c("e"), "left").select("item_id", "results", "last_status", F.coalesce("evidence", F.lit(0)).alias("evidence")),
+        "select r.*, coalesce(evidence, 0) as evidence from (select item_id, count(*) as results, arg_max(status, {'a': created_at, 'b': result_id}) as last_status from fx_result group by 1) r left join (select item_id, count(*) as evidence from fx_evidence group by 1) e using (item_id)",
+    ),
+    "w3_of_latest": (
+        lambda s: E.of_latest(s.fx_evidence.withColumn("result_id", c("result_no")), s.fx_evidence.where("item_id % 2 = 0").groupBy("item_id").agg(F.max("result_no").alias("result_id"))).select("evidence_id", "item_id"),
+        "select evidence_id, item_id from (select *, max(result_no) over (partition by item_id) as m from fx_evidence) where item_id % 2 = 1 or result_no = m",
+    ),
+    "w5_latest_of_twenty": (
+        lambda s: s.fx_result.withColumn("rank", F.row_number().over(Window.partitionBy("scope", c("item_id") % 10).orderBy(F.desc("created_at"), F.desc("result_id")))).where("rank <= 20").groupBy("scope", "item_id").agg(F.min_by("result_id", "rank").alias("result_id")),
+        "select scope, item_id, arg_min(result_id, rank) as result_id from (select *, row_number() over (partition by scope, item_id % 10 order by created_at desc, result_id desc) as rank from fx_result) where rank <= 20 group by 1, 2",
+    ),
+    "w6_latest_snapshot": (
+        lambda s: s.fx_result.join(s.fx_result.groupBy(c("scope").alias("x")).agg(F.max_by(F.to_date("created_at"), "created_at").alias("day")), (c("scope") == c("x")) & (F.to_date("created_at") == c("day")), "left_semi").select("result_id", "scope"),
+        "select result_id, scope from (select *, max(cast(created_at as date)) over (partition by scope) as day from fx_result) where cast(created_at as date) = day",
+    ),
+    "j18_evidence_listing": (
+        lambda s: scored(s).join(s.fx_asset.select(c("asset_id").alias("a"), "publication_id"), c("evidence_id") == c("a")).join(s.fx_citing.select(c("publication_id").alias("p"), "title"), c("publication_id") == c("p")).select("evidence_id", "title", "score"),
+        f"with {SCORED} select evidence_id, title, score from sc join fx_asset on evidence_id = asset_id join fx_citing c on c.publication_id = fx_asset.publication_id",
+    ),
+}

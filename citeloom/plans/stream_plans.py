@@ -1 +1,32 @@
-PLANS = {}
+"""Streams in their batch form (G1, G2, A12, A17); tests hold the streams against these."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from citeloom.streaming import streams as S
+
+from .fixtures import Source
+
+c = F.col
+SHA = F.sha2(F.encode("text", "UTF-8"), 256)
+
+PLANS = {
+    "g1_intake": (
+        lambda s: S.intake(s.documents.where("doc_id % 2 = 0").select(F.concat(F.lit("f"), "doc_id").alias("path"), SHA.alias("sha256")), s.documents.where("doc_id % 2 = 1").select(SHA.alias("sha256")).distinct()),
+        "with k as (select doc_id, sha256(text) as sha256 from documents) select sha256, min('f' || doc_id) as path, count(*) as copies from k where doc_id % 2 = 0 and sha256 not in (select sha256 from k where doc_id % 2 = 1) group by 1",
+    ),
+    "g2_progress": (
+        lambda s: S.progress(s.events).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 2).alias("total")),
+        "select strftime(time_bucket(interval 1 hour, ts), '%Y-%m-%d %H:%M') as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2",
+    ),
+    "g2_current_state": (lambda s: S.current_state(s.events, "user_id", "event_type"), "select user_id, arg_max(event_type, {'a': ts, 'b': event_id}) as event_type, count(*) as changes from events group by 1"),
+    "a12_task_outcomes": (
+        lambda s: s.events.groupBy("user_id").agg(F.count_if(c("value") <= 20).alias("bad"), F.count(F.lit(1)).alias("n")).select("user_id", F.when(c("bad") == c("n"), "failed").when(c("bad") * 2 > c("n"), "partial_success").when(c("bad") > 0, "completed_with_warnings").otherwise("completed").alias("outcome")),
+        "select user_id, case when b = n then 'failed' when b * 2 > n then 'partial_success' when b > 0 then 'completed_with_warnings' else 'completed' end as outcome from (select user_id, count(*) filter (value <= 20) as b, count(*) as n from events group by 1)",
+    ),
+    "a17_intake_summary": (
+        lambda s: s.documents.groupBy("source").agg(F.count(F.lit(1)).alias("scanned"), F.countDistinct(SHA).alias("new"), (F.count(F.lit(1)) - F.countDistinct(SHA)).alias("duplicate")),
+        "select source, count(*) as scanned, count(distinct text) as new, count(*) - count(distinct text) as duplicate from documents group by 1",
+    ),
+}
