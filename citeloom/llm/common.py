@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that one Arrow batch may hold: long texts then stay far below a worker's memory.
@@ -16,9 +16,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def texts(docs: DataFrame) -> DataFrame:
-    """doc_id as long and text, null as empty; other columns go."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def texts(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id as long and text, null as empty, with more columns on demand; others go. An id that is a long already keeps its attribute, so that equal exchanges of texts are recognised as equal and reused."""
+    own = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    return docs.select(own, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
+
+
+def rest_of(docs: DataFrame) -> Column:
+    """The columns other than doc_id and text in one struct, which keeps their names apart from an operator's own; null without any."""
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return (F.struct(*own) if own else F.lit(None).cast("struct<none:int>")).alias("rest")
+
+
+def restored(df: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """The columns of docs from doc_id, rest and the changed text; n_chars, where docs has it, counts the changed text."""
+    new = {"doc_id": F.col("doc_id"), "text": F.col(text), "n_chars": F.char_length(text).cast("long")}
+    return df.select(*(new.get(c, F.col("rest")[c]).alias(c) for c in docs.columns))
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -19,8 +19,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import partitions, small_batches, texts, written
+from .common import partitions, rest_of, small_batches, texts, written
 
 FILTER_BITS = 2**27
 SEGMENT_BITS = 2**20
@@ -121,7 +122,7 @@ def _rewritten(least: int):
                     text = "\n".join(own)
                 gone.append(lines[-1] - len(own))
                 kept.append(text)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], ["doc_id", "kept_text", "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array(gone, pa.int64()), b.column("rest")], ["doc_id", "kept_text", "n_lines", "n_dropped", "rest"])
 
     return run
 
@@ -140,16 +141,16 @@ def repeated_keys(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, f
 
 
 def line_dedup(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """One row for each row of docs: doc_id, kept_text, n_lines (before), n_dropped.
+    """One row for each row of docs: doc_id, kept_text, n_lines (before), n_dropped, rest (the other columns).
 
     A text is split at \\n; null and empty texts are one empty line. A line's key is the line stripped of ASCII
     white space, A-Z in lower case. Keys of least_chars code points or more in least_docs documents or more
     lose their lines everywhere but in the largest doc_id that holds them. Rows of one doc_id
-    count as one document. Rows with a null doc_id are neither counted nor changed. An empty table gives an empty result;
-    other columns are ignored.
+    count as one document. Rows with a null doc_id are neither counted nor changed. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     drops = repeated_keys(docs, least_chars, least_docs, filter_bits).groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_set("key").alias("drop"))
-    rows = texts(docs)
-    joined = rows.join(drops, F.col("doc_id") == F.col("drop_id"), "left").select("doc_id", "text", "drop")
-    return joined.mapInArrow(_rewritten(least_chars), "doc_id long, kept_text string, n_lines long, n_dropped long")
+    rows = texts(docs, rest_of(docs))
+    joined = rows.join(drops, F.col("doc_id") == F.col("drop_id"), "left").select("doc_id", "text", "drop", "rest")
+    kinds = T.StructType.fromDDL("doc_id long, kept_text string, n_lines long, n_dropped long")
+    return joined.mapInArrow(_rewritten(least_chars), T.StructType([*kinds, rows.schema["rest"]]))

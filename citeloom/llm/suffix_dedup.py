@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import partitions, small_batches, texts
+from .common import partitions, rest_of, small_batches, texts
 
 WINDOW, GRAM = 50, 20
 SHALLOW_WORDS = 3
@@ -181,7 +182,7 @@ def _shared_anchors(table: pa.Table) -> pa.Table:
     sig, doc = np.concatenate([sig, s]), np.concatenate([doc, d])
     by = np.argsort(doc, kind="stable")
     docs, at = np.unique(doc[by], return_index=True)
-    ends = np.append(at[1:], len(doc))
+    ends = np.append(at, len(doc))[1:]
     blobs = [np.unique(sig[by[a:z]]).tobytes() for a, z in zip(at, ends, strict=True)]
     return pa.table({"a_id": pa.array(docs, pa.int64()), "sigs": pa.array(blobs, pa.binary())})
 
@@ -385,28 +386,42 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(data))
             gone.append(sum(z - a for a, z in own))
             spans.append(len(own))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, gone, spans))], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, gone, spans)), b.column("rest")], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "rest"])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs: doc_id, kept (the remaining bytes), n_bytes, n_removed, n_spans.
+    """One row for each row of docs: doc_id, kept (the remaining bytes), n_bytes, n_removed, n_spans, rest (the other columns).
 
     A byte goes where a 50-byte string that covers it also starts in a document of smaller doc_id. Null texts count as
     empty. Rows that share a doc_id remove nothing from one another. Rows with a null doc_id stay whole and remove nothing.
-    An empty table gives an empty result; other columns are ignored.
+    An empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
     buckets = BUCKETS_PER_PARTITION * partitions(spark)
-    rows = texts(docs).withColumn("h", F.xxhash64("text"))
+    rows = texts(docs, rest_of(docs)).withColumn("h", F.xxhash64("text"))
     named = rows.where("doc_id is not null")
     dealt = named.select("doc_id", "text").mapInArrow(_anchor_rows(buckets), "bucket int, seen boolean, sig binary, doc binary, count binary")
     shared = dealt.groupBy("bucket").applyInArrow(_shared_anchors, "a_id long, sigs binary").groupBy("a_id").agg(F.collect_list("sigs").alias("sigs"))
-    # both joins deal the texts out by doc_id alone, so that Spark reuses one exchange of them
-    marked = named.join(shared, F.col("doc_id") == F.col("a_id")).select("doc_id", "h", "text", "sigs")
+    # both joins deal the texts out by doc_id alone, with the same columns, so that Spark reuses one exchange of them
+    marked = named.join(shared, F.col("doc_id") == F.col("a_id")).select("doc_id", "h", "text", "rest", "sigs")
     stretches = marked.mapInArrow(_stretches(buckets), "bucket int, lost binary, sig binary, size binary, text binary, places binary")
     spans = stretches.groupBy("bucket").applyInArrow(_removed(buckets), "bucket int, spans binary")
     runs = spans.groupBy("bucket").applyInArrow(_merged, "r_id long, r_h long, runs binary")
-    joined = named.join(runs, (F.col("doc_id") == F.col("r_id")) & (F.col("h").bitwiseXOR(F.col("r_h")) == 0), "left").select("doc_id", "text", "runs")
-    unnamed = rows.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("binary").alias("runs"))
-    return joined.unionByName(unnamed).mapInArrow(_kept, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    joined = named.join(runs, (F.col("doc_id") == F.col("r_id")) & (F.col("h").bitwiseXOR(F.col("r_h")) == 0), "left").select("doc_id", "text", "rest", "runs")
+    unnamed = rows.where("doc_id is null").select("doc_id", "text", "rest", F.lit(None).cast("binary").alias("runs"))
+    kinds = T.StructType.fromDDL("doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return joined.unionByName(unnamed).mapInArrow(_kept, T.StructType([*kinds, rows.schema["rest"]]))
+
+
+def readable(kept: DataFrame) -> DataFrame:
+    """kept as text in place of bytes. What a cut leaves of a character is no valid UTF-8 and goes; texts without a cut stay as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index("kept")
+            text = pa.array((x.decode("utf-8", "ignore") for x in b.column(at).to_pylist()), pa.string())
+            yield b.set_column(at, "kept", text)
+
+    kinds = T.StructType([T.StructField("kept", T.StringType()) if f.name == "kept" else f for f in kept.schema])
+    return kept.mapInArrow(run, kinds)
