@@ -17,7 +17,7 @@ def intake(fresh: DataFrame, stored: DataFrame) -> DataFrame:
 
 def start_intake(spark: SparkSession, folder: str, store: str, checkpoint: str, glob: str = "*.pdf") -> StreamingQuery:
     """Takes in new files of a folder: hashes are held against the stored table, so no streaming state grows without bound. Batches are numbered; one that is run again overwrites its own part."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", F.sha2("content", 256).alias("sha256"))
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", glob).load(folder).select("path", F.sha2("content", 256).alias("sha256"))
 
     def add(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
