@@ -9,11 +9,15 @@ from citeloom.streaming import streams as S
 from .fixtures import Source
 
 c = F.col
-SHA = F.sha2(F.encode("text", "UTF-8"), 256)
+
+
+def sha():
+    return F.sha2(F.encode("text", "UTF-8"), 256)
+
 
 PLANS = {
     "g1_intake": (
-        lambda s: S.intake(s.documents.where("doc_id % 2 = 0").select(F.concat(F.lit("f"), "doc_id").alias("path"), SHA.alias("sha256")), s.documents.where("doc_id % 2 = 1").select(SHA.alias("sha256")).distinct()),
+        lambda s: S.intake(s.documents.where("doc_id % 2 = 0").select(F.concat(F.lit("f"), "doc_id").alias("path"), sha().alias("sha256")), s.documents.where("doc_id % 2 = 1").select(sha().alias("sha256")).distinct()),
         "with k as (select doc_id, sha256(text) as sha256 from documents) select sha256, min('f' || doc_id) as path, count(*) as copies from k where doc_id % 2 = 0 and sha256 not in (select sha256 from k where doc_id % 2 = 1) group by 1",
     ),
     "g2_progress": (
@@ -26,7 +30,7 @@ PLANS = {
         "select user_id, case when b = n then 'failed' when b * 2 > n then 'partial_success' when b > 0 then 'completed_with_warnings' else 'completed' end as outcome from (select user_id, count(*) filter (value <= 20) as b, count(*) as n from events group by 1)",
     ),
     "a17_intake_summary": (
-        lambda s: s.documents.groupBy("source").agg(F.count(F.lit(1)).alias("scanned"), F.countDistinct(SHA).alias("new"), (F.count(F.lit(1)) - F.countDistinct(SHA)).alias("duplicate")),
+        lambda s: s.documents.groupBy("source").agg(F.count(F.lit(1)).alias("scanned"), F.countDistinct(sha()).alias("new"), (F.count(F.lit(1)) - F.countDistinct(sha())).alias("duplicate")),
         "select source, count(*) as scanned, count(distinct text) as new, count(*) - count(distinct text) as duplicate from documents group by 1",
     ),
 }

@@ -40,3 +40,11 @@ def test_plans_stay_native(spark, name):
 def test_scan_is_pruned(spark):
     plan = registry.QUERIES["a18_document_counts"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in plan and "p_retailprice" not in plan
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True)
+    assert said.returncode == 0, said.stderr
