@@ -8,8 +8,8 @@ needed similarity differ in fewer tokens than there are segments, so some segmen
    shares one of them. Cost decides: a frequent signature is passed over.
 2. Two unsettled sets are compared by richer signatures, segments and their one-deletion neighbourhoods. A segment whose neighbourhood is rare
    as well covers two differences, so fewer segments suffice.
-3. What is still unsettled lies in large groups of near copies. There pivots are compared with their groups, round after round, until each
-   group's sets are connected or compared.
+3. What is still unsettled lies in large groups of near copies. There all are compared with the first, and those that this leaves outside the
+   largest component with the rest; pairs inside the component are never listed.
 
 Candidates are verified by exact counting; links are closed into components. No group's pairs are listed beyond a small bound.
 """
@@ -34,10 +34,9 @@ SIMILARITY = 80
 #: Signatures of more sets than this are frequent.
 RARE = 12
 RARE_AGAIN = 32
-PIVOTS = 8
 CHUNK_BYTES = 1 << 20
 FLUSH_SIGNATURES = 1 << 21
-BUCKETS_PER_PARTITION = 8
+BUCKETS_PER_PARTITION = 2
 SPARE = 1.1
 
 
@@ -312,13 +311,18 @@ def _counted(pairs: pa.Table, docs: pa.Table) -> pa.Table:
     return pa.table({"a": pairs.column("a"), "b": pairs.column("b"), "shared": pa.array(both, pa.int64()), "total": pa.array(union, pa.int64())})
 
 
-def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """a, b, shared, total of distinct pairs (a, b), from held (rep, text). Pairs are dealt by b; a text goes once to each task group that needs it, so a pivot of many pairs is spread over all of them."""
+def _dealt(pairs: DataFrame, held: DataFrame, f, schema: str) -> DataFrame:
+    """f over pairs (a, b) and the texts in held (rep, text) that they need. Pairs are dealt by b; a text goes once to each task group that needs it, so a pivot of many pairs is spread over all of them."""
     groups = BUCKETS_PER_PARTITION * partitions(held.sparkSession)
     dealt = written(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(groups)).cast("int").alias("deal")), "pairs")
     wanted = dealt.select("deal", F.col("a").alias("want")).unionByName(dealt.select("deal", F.col("b").alias("want"))).distinct()
     sent = wanted.join(held, F.col("want") == F.col("rep")).select(F.col("deal").alias("to"), "rep", "text")
-    return dealt.groupBy("deal").cogroup(sent.groupBy("to")).applyInArrow(_counted, "a long, b long, shared long, total long")
+    return dealt.groupBy("deal").cogroup(sent.groupBy("to")).applyInArrow(f, schema)
+
+
+def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """a, b, shared, total of distinct pairs (a, b)."""
+    return _dealt(pairs, held, _counted, "a long, b long, shared long, total long")
 
 
 def _linked(similarity: int) -> Column:
@@ -331,32 +335,24 @@ def _labelled(rows: DataFrame, labels: DataFrame, node: str, into: str) -> DataF
 
 
 def _large_groups(rows: DataFrame, held: DataFrame, links: DataFrame, similarity: int) -> DataFrame:
-    """Links among sets that share frequent signatures. rows: sig, doc. In each round the first sets outside each group's largest component are compared with all of
-    the group that is not connected to them; a group is done when the rest is connected."""
-    done = None
-    while True:
-        labels = written(components(links), "labels")
-        marked = _labelled(rows, labels, "doc", "comp")
-        sizes = marked.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("n"))
-        open_ = sizes.groupBy("sig").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select(F.col("sig").alias("o_sig"), F.col("top.comp").alias("top"))
-        active = written(marked.join(open_, F.col("sig") == F.col("o_sig")).select("sig", "doc", "comp", "top"), "active")
-        if active.isEmpty():
-            return links
-        # the first round compares with the smallest set of each group; the later ones with sets outside the largest component that are not yet compared
-        if done is None:
-            chosen = active.groupBy("sig").agg(F.min("doc").alias("pivot")).select(F.col("sig").alias("p_sig"), "pivot")
-        else:
-            left = active.where("comp <> top").join(done, (F.col("sig") == F.col("d_sig")) & (F.col("doc") == F.col("d_doc")), "left_anti")
-            chosen = left.groupBy("sig").agg(F.slice(F.array_sort(F.collect_set("doc")), 1, PIVOTS).alias("few")).select(F.col("sig").alias("p_sig"), F.explode("few").alias("pivot"))
-        chosen = written(chosen, "pivots")
-        if chosen.isEmpty():
-            return links
-        pivots = _labelled(chosen, labels, "pivot", "p_comp")
-        pairs = active.join(pivots, (F.col("sig") == F.col("p_sig")) & (F.col("comp") != F.col("p_comp"))).select(F.col("pivot").alias("a"), F.col("doc").alias("b")).where("a <> b").distinct()
-        found = verified(pairs, held).where(_linked(similarity)).select("a", "b")
-        links = written(links.unionByName(found), "links")
-        spent = chosen.select(F.col("p_sig").alias("d_sig"), F.col("pivot").alias("d_doc"))
-        done = written(spent if done is None else done.unionByName(spent), "compared")
+    """Links among sets that share frequent signatures. rows: sig, doc, n.
+
+    Sets that frequent signatures connect make a neighbourhood. All of it are compared with its first set; that leaves one large component of near copies
+    and sets outside it. Each of these is then compared with every set of the neighbourhood that has a fitting size and another component. Pairs inside the large
+    component are not listed, so the work is that of the outsiders times the neighbourhood."""
+    fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * similarity) & (F.col(y) * 100 >= F.col(x) * similarity)
+    first = rows.groupBy(F.col("sig").alias("f_sig")).agg(F.min("doc").alias("pivot"))
+    near = components(rows.join(first, F.col("sig") == F.col("f_sig")).select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct())
+    members = written(rows.select("doc", "n").distinct().join(near, F.col("doc") == F.col("node")).select("doc", "n", F.col("label").alias("hood")), "members")
+    lead = members.where("doc = hood").select(F.col("hood").alias("l_hood"), F.col("n").alias("l_n"))
+    star = members.join(lead, F.col("hood") == F.col("l_hood")).where((F.col("doc") != F.col("hood")) & fits("n", "l_n")).select(F.col("hood").alias("a"), F.col("doc").alias("b")).distinct()
+    links = written(links.unionByName(verified(star, held).where(_linked(similarity)).select("a", "b")), "links")
+    marked = written(_labelled(members, components(links), "doc", "comp"), "marked")
+    largest = marked.groupBy("hood", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy(F.col("hood").alias("t_hood")).agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    outside = marked.join(largest, F.col("hood") == F.col("t_hood")).where("comp <> top").select(F.col("hood").alias("o_hood"), F.col("doc").alias("x"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp"))
+    pairs = outside.join(marked, F.col("o_hood") == F.col("hood")).where((F.col("x_comp") != F.col("comp")) & fits("x_n", "n"))
+    pairs = pairs.select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b")).distinct()
+    return written(links.unionByName(verified(pairs, held).where(_linked(similarity)).select("a", "b")), "links")
 
 
 def jaccard_components(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
@@ -409,7 +405,8 @@ def jaccard_components(docs: DataFrame, similarity: int = SIMILARITY) -> DataFra
     # sets of so few segments that even all of them would not do meet in one group of their own size
     poor = late.where("spare < 0").join(known.select(F.col("rep").alias("n_rep"), "n").distinct(), F.col("late") == F.col("n_rep")).select((F.floor(F.log2("n") * 3)).alias("size"), "late")
     poor = poor.select(F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("sig"), F.col("late").alias("doc"))
-    links = _large_groups(written(rows3.unionByName(poor), "large"), held, links, similarity)
+    sized = rows3.unionByName(poor).join(known.groupBy(F.col("rep").alias("n_rep")).agg(F.min("n").alias("n")), F.col("doc") == F.col("n_rep")).select("sig", "doc", "n")
+    links = _large_groups(written(sized, "large"), held, links, similarity)
     labels = components(links)
     done = _labelled(known, labels, "rep", "component_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("rep").alias("class_id"))
     unnamed = rows.where("doc_id is null").mapInArrow(_sizes, "doc_id long, n_shingles long, component_id long, class_id long")
