@@ -28,8 +28,10 @@ SHALLOW_WORDS = 3
 CHUNK_BYTES = 1 << 21
 FLUSH_ANCHORS = 1 << 21
 FLUSH_STRETCHES = 1 << 18
-BUCKETS_PER_PARTITION = 8
+BUCKETS_PER_PARTITION = 2
 
+#: What a document is told of its shared anchors: 32 bits of each hash. A chance agreement sends a stretch too many, no more.
+_SHORT = np.uint64((1 << 32) - 1)
 _PLACE = np.uint64((1 << 30) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTE = np.random.default_rng(10).integers(1, 2**63, 256, dtype=np.uint64)
@@ -113,6 +115,17 @@ def _unpacked(x: bytes, kind) -> np.ndarray:
     return np.frombuffer(zlib.decompress(x), kind)
 
 
+def _six_bytes(x: np.ndarray) -> bytes:
+    """Hashes cut to 48 bits: within a bucket that is enough to make chance agreements rare, and those cost only a comparison."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _from_six_bytes(x: bytes) -> np.ndarray:
+    out = np.zeros((len(x) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view(np.uint64)
+
+
 def _by_bucket(bucket: np.ndarray, *columns: np.ndarray):
     order, begin = _grouped(bucket)
     for a, z in zip(begin, np.append(begin[1:], len(order)), strict=True):
@@ -140,7 +153,7 @@ def _anchor_rows(buckets: int):
                     by = np.argsort(d, kind="stable")
                     docs, at = np.unique(d[by], return_index=True)
                     counts = np.diff(at, append=len(d)).astype(np.int32)
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([k], pa.int32()), "seen": [seen], "sig": [s[by].tobytes()], "doc": [_packed(np.diff(docs, prepend=0))], "count": [_packed(counts)]})
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([k], pa.int32()), "seen": [seen], "sig": [_six_bytes(s[by])], "doc": [_packed(np.diff(docs, prepend=0))], "count": [_packed(counts)]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -161,29 +174,46 @@ def _anchor_rows(buckets: int):
 
 
 def _rows_of(sigs: list[bytes], docs: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    sig = np.concatenate([np.frombuffer(x, np.uint64) for x in sigs]) if sigs else np.zeros(0, np.uint64)
+    sig = np.concatenate([_from_six_bytes(x) for x in sigs]) if sigs else np.zeros(0, np.uint64)
     doc = [np.repeat(np.cumsum(_unpacked(d, np.int64)), _unpacked(c, np.int32)) for d, c in zip(docs, counts, strict=True)]
     return sig, np.concatenate(doc) if doc else np.zeros(0, np.int64)
 
 
-def _shared_anchors(table: pa.Table) -> pa.Table:
-    """doc_id and the hashes of its anchors that other documents have."""
-    parts: dict[bool, tuple[list, list, list]] = {False: ([], [], []), True: ([], [], [])}
-    for seen, *row in zip(*(table.column(c).to_pylist() for c in ("seen", "sig", "doc", "count")), strict=True):
-        for into, x in zip(parts[seen], row, strict=True):
-            into.append(x)
-    sig, doc = _rows_of(*parts[False])
-    if len(sig):
-        order, begin = _grouped(sig)
-        low, high = np.minimum.reduceat(doc[order], begin), np.maximum.reduceat(doc[order], begin)
-        own = order[np.repeat(low != high, np.diff(begin, append=len(sig)))]
-        sig, doc = sig[own], doc[own]
-    s, d = _rows_of(*parts[True])
-    sig, doc = np.concatenate([sig, s]), np.concatenate([doc, d])
-    by = np.argsort(doc, kind="stable")
+def _shared_anchors(buckets: int):
+    """The hashes of anchors that other documents have too, dealt by document."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts: dict[bool, tuple[list, list, list]] = {False: ([], [], []), True: ([], [], [])}
+        for seen, *row in zip(*(table.column(c).to_pylist() for c in ("seen", "sig", "doc", "count")), strict=True):
+            for into, x in zip(parts[seen], row, strict=True):
+                into.append(x)
+        sig, doc = _rows_of(*parts[False])
+        if len(sig):
+            order, begin = _grouped(sig)
+            low, high = np.minimum.reduceat(doc[order], begin), np.maximum.reduceat(doc[order], begin)
+            own = order[np.repeat(low != high, np.diff(begin, append=len(sig)))]
+            sig, doc = sig[own], doc[own]
+        s, d = _rows_of(*parts[True])
+        sig, doc = (np.concatenate([sig, s]) & _SHORT).astype(np.uint32), np.concatenate([doc, d])
+        out: tuple[list, list, list] = ([], [], [])
+        if len(doc):
+            deal = (doc.astype(np.uint64) * np.uint64(_BASE) >> np.uint64(35)) % np.uint64(buckets)
+            for k, x, y in _by_bucket(deal.astype(np.int64), sig, doc):
+                by = np.argsort(y, kind="stable")
+                for into, v in zip(out, (k, x[by].tobytes(), _packed(np.diff(y[by], prepend=0))), strict=True):
+                    into.append(v)
+        return pa.table({"deal": pa.array(out[0], pa.int32()), "sig": pa.array(out[1], pa.binary()), "doc": pa.array(out[2], pa.binary())})
+
+    return run
+
+
+def _told(table: pa.Table) -> pa.Table:
+    """One row for each document: the hashes of its shared anchors."""
+    sig = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("sig").to_pylist()])
+    doc = np.concatenate([np.cumsum(_unpacked(x, np.int64)) for x in table.column("doc").to_pylist()])
+    by = np.lexsort((sig, doc))
     docs, at = np.unique(doc[by], return_index=True)
-    ends = np.append(at, len(doc))[1:]
-    blobs = [np.unique(sig[by[a:z]]).tobytes() for a, z in zip(at, ends, strict=True)]
+    blobs = [np.unique(sig[by[a:z]]).tobytes() for a, z in zip(at, np.append(at, len(doc))[1:], strict=True)]
     return pa.table({"a_id": pa.array(docs, pa.int64()), "sigs": pa.array(blobs, pa.binary())})
 
 
@@ -219,8 +249,8 @@ def _stretches(buckets: int):
             cut = np.searchsorted(text, np.arange(len(ids) + 1))
             for i, blobs in enumerate(sigs):
                 a, z = cut[i], cut[i + 1]
-                wanted = np.concatenate([np.frombuffer(x, np.uint64) for x in blobs])
-                own = a + np.flatnonzero(np.isin(sig[a:z], wanted))
+                wanted = np.frombuffer(blobs, np.uint32)
+                own = a + np.flatnonzero(np.isin((sig[a:z] & _SHORT).astype(np.uint32), wanted))
                 begin = int(begins[i])
                 for s, p, q in zip(sig[own].tolist(), first[own].tolist(), last[own].tolist(), strict=True):
                     found.setdefault((s, data[p : q + WINDOW]), []).append((ids[i], hs[i], p - begin))
@@ -402,7 +432,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = texts(docs, rest_of(docs)).withColumn("h", F.xxhash64("text"))
     named = rows.where("doc_id is not null")
     dealt = named.select("doc_id", "text").mapInArrow(_anchor_rows(buckets), "bucket int, seen boolean, sig binary, doc binary, count binary")
-    shared = dealt.groupBy("bucket").applyInArrow(_shared_anchors, "a_id long, sigs binary").groupBy("a_id").agg(F.collect_list("sigs").alias("sigs"))
+    shared = dealt.groupBy("bucket").applyInArrow(_shared_anchors(buckets), "deal int, sig binary, doc binary").groupBy("deal").applyInArrow(_told, "a_id long, sigs binary")
     # both joins deal the texts out by doc_id alone, with the same columns, so that Spark reuses one exchange of them
     marked = named.join(shared, F.col("doc_id") == F.col("a_id")).select("doc_id", "h", "text", "rest", "sigs")
     stretches = marked.mapInArrow(_stretches(buckets), "bucket int, lost binary, sig binary, size binary, text binary, places binary")
