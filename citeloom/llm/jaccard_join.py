@@ -33,7 +33,7 @@ from .shingles import mixed, shingle_sets
 SIMILARITY = 80
 #: Signatures of more sets than this are frequent.
 RARE = 12
-RARE_AGAIN = 32
+RARE_AGAIN = 12
 CHUNK_BYTES = 1 << 20
 FLUSH_SIGNATURES = 1 << 21
 BUCKETS_PER_PARTITION = 2
@@ -313,7 +313,7 @@ def _counted(pairs: pa.Table, docs: pa.Table) -> pa.Table:
 
 def _dealt(pairs: DataFrame, held: DataFrame, f, schema: str) -> DataFrame:
     """f over pairs (a, b) and the texts in held (rep, text) that they need. Pairs are dealt by b; a text goes once to each task group that needs it, so a pivot of many pairs is spread over all of them."""
-    groups = BUCKETS_PER_PARTITION * partitions(held.sparkSession)
+    groups = max(6, partitions(held.sparkSession) // 4)  # fewer groups than partitions: a text that many pairs need goes to fewer places
     dealt = written(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(groups)).cast("int").alias("deal")), "pairs")
     wanted = dealt.select("deal", F.col("a").alias("want")).unionByName(dealt.select("deal", F.col("b").alias("want"))).distinct()
     sent = wanted.join(held, F.col("want") == F.col("rep")).select(F.col("deal").alias("to"), "rep", "text")
@@ -392,7 +392,11 @@ def jaccard_components(docs: DataFrame, similarity: int = SIMILARITY) -> DataFra
     # second round
     again = held.join(unsettled.select(F.col("rep").alias("u_rep")), F.col("rep") == F.col("u_rep"), "left_semi").mapInArrow(_second_rows(buckets), "bucket int, sig binary, rows binary, about binary")
     second = written(again.groupBy("bucket").applyInArrow(_second_round(RARE_AGAIN), FOUND), "second")
-    pairs = pairs.unionByName(second.where("kind = 1").select("a", "b")).distinct()
+    sizes = known.where("n > 0").groupBy("rep").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    x, y = sizes.select(F.col("rep").alias("x"), F.col("lo").alias("xl"), F.col("hi").alias("xh")), sizes.select(F.col("rep").alias("y"), F.col("lo").alias("yl"), F.col("hi").alias("yh"))
+    more = second.where("kind = 1").select("a", "b").distinct().join(x, F.col("a") == F.col("x")).join(y, F.col("b") == F.col("y"))
+    more = more.where((F.col("xh") * 100 >= F.col("yl") * similarity) & (F.col("yh") * 100 >= F.col("xl") * similarity)).select("a", "b")
+    pairs = pairs.unionByName(more).distinct()
     links = written(_two_steps(written(pairs, "pairs"), held, similarity), "links")
     # third round
     tag = F.col("c")
