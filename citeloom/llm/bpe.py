@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, texts, written
 
-TABLE_WORDS = 2**18
+TABLE_WORDS = 2**17
 WORD_BYTES = 48
 #: A task forgets the rare words it has encoded when it holds so many.
-TASK_WORDS = 2**19
+TASK_WORDS = 2**17
 LINE_WORDS = 128
+#: Bytes of text or numbers of ids that a worker turns into objects at once.
+SLICE = 2**20
 WHITE = r"[ \t\n\x0B\f\r]+"
 #: Steps of the logarithmic scale on which word counts are compared.
 STEPS = 64
@@ -54,6 +56,17 @@ def _encoded(own, words: list[bytes]) -> list[bytes]:
     return out
 
 
+def _slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `most` bytes or list items in a column, one row at least: Python objects of a slice stay few, however long the texts are."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(column)) if pa.types.is_string(b.column(column).type) else pc.list_value_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        at = 0
+        while at < len(sizes):
+            n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), most, side="right")))
+            yield b.slice(at, n)
+            at += n
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """word and n, the number of its occurrences."""
     words = texts(docs).select(F.explode(F.split("text", WHITE)).alias("word"))
@@ -93,7 +106,7 @@ def bpe_encode(docs: DataFrame, path: str, most: int = TABLE_WORDS) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known = None, dict(table.value)
-        for b in batches:
+        for b in _slices(batches, "text", SLICE):
             split = [x.split() for x in b.column("text").cast(pa.binary()).to_pylist()]
             new = set().union(*split) - known.keys()
             if len(known) - len(table.value) + len(new) > TASK_WORDS:
@@ -127,12 +140,12 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
         for w, i in vocabulary.items():
             pieces[i] = w
         pieces = pa.array(pieces, pa.string())
-        for b in batches:
-            ids = b.column("ids").fill_null([]) if b.column("ids").null_count else b.column("ids")
+        for b in _slices(batches, "ids", SLICE):
+            ids = b.column("ids")
             flat = ids.flatten()
             inside = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(pieces)))
             found = pieces.take(pc.if_else(inside, flat, pa.scalar(None, pa.int32())))
-            at = pa.array(np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32))
+            at = pa.array(np.concatenate([[0], np.cumsum(pc.fill_null(ids.value_lengths(), 0).to_numpy(zero_copy_only=False))]).astype(np.int32))
             out = pc.binary_join(pa.ListArray.from_arrays(at, found), " ") if not found.null_count else pa.array([" ".join(x for x in w if x is not None) for w in pa.ListArray.from_arrays(at, found).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), out], ["doc_id", "ids", "decoded"])
 
