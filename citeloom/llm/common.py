@@ -34,8 +34,8 @@ def restored(df: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     return df.select(*(new.get(c, F.col("rest")[c]).alias(c) for c in docs.columns))
 
 
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def shared_folder(spark: SparkSession) -> str:
