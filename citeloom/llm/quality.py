@@ -38,7 +38,7 @@ def features(text: str) -> list[float]:
     words = WORD.findall(text)
     k, lines = max(1, len(words)), text.split("\n")
     marks = sum(map(text.count, "#$%&*@^~=+<>{}[]\\/_"))
-    upper = sum(1 for w in words[:4096] if len(w) > 1 and w.isupper()) / min(k, 4096) if len(words) > 4096 else sum(1 for w in words if len(w) > 1 and w.isupper()) / k
+    upper = sum(1 for w in words if len(w) > 1 and w.isupper()) / k
     letters = sum(map(len, words))
     return [
         upper,

@@ -289,6 +289,13 @@ def test_quality(spark, empty):
     assert 0 < first["host_posterior"] < 1 and 0 < first["path_posterior"] < 1
 
 
+def test_capitals_count_to_the_end_of_a_text():
+    upper = quality.FEATURES.index("upper")
+    text = "word " * 5000 + "LOUD " * 5000
+    assert quality.features(text)[upper] == 0.5
+    assert quality.features("LOUD " * 5000 + "word " * 15000)[upper] == 0.25
+
+
 def test_empty_tables(empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
     assert exact_dedup.exact_dedup(empty).count() == 0
