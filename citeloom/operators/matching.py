@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 from citeloom.functions.identifiers import doi_key
 from citeloom.functions.names import norm_title_alnum
 
-#: Tokens in more titles than this do not make candidates of the fuzzy join.
-COMMON_TITLES = 1000
+#: About so many distinct titles of one length meet as many others at a time in the fuzzy join; the result doesn't depend on it.
+BLOCK_TITLES = 256
 
 
 def first_by_keys(left: DataFrame, right: DataFrame, keys: list[tuple[Column, Column, float, str]], left_id: str, right_id: str) -> DataFrame:
@@ -87,33 +88,103 @@ def token_overlap_join(left: DataFrame, right: DataFrame, least: float = 0.75) -
     return pairs.select("left_id", "right_id", overlap.alias("overlap")).where(F.col("overlap") >= least)
 
 
-def _ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        yield b[["left_id", "right_id"]].assign(score=[SequenceMatcher(None, x, y).ratio() for x, y in zip(b["lt"], b["rt"], strict=True)])
-
-
-def title_similarity_join(left: DataFrame, right: DataFrame, least: float, common: int = COMMON_TITLES) -> DataFrame:
-    """(left_id, right_id, score) of titles whose matching-blocks ratio, left against right, is least or more. left, right: id, title.
-
-    Equal titles match at once. The others are candidates when they share a token that at most `common` titles have and their lengths and letters allow
-    the ratio; only then is the ratio computed, in Arrow batches. A pair without a shared rarer token is missed: recall is below one, and tests measure it."""
+#: The 36 letters and digits and the space of a normal form; what pads a title's ends.
+LETTERS, END = "abcdefghijklmnopqrstuvwxyz0123456789 ", 37
+CODES = np.zeros(128, np.int64)
+CODES[[ord(x) for x in LETTERS]] = range(len(LETTERS))
+
+
+class _Block:
+    """Titles of one length: codes, counts of letters, and counts of letter pairs in 256 buckets (a shared bucket only raises what two titles share)."""
+
+    def __init__(self, titles: list[str]):
+        self.titles, self.n = titles, len(titles[0])
+        self.codes = CODES[np.frombuffer("".join(titles).encode(), np.uint8)].reshape(len(titles), self.n)
+        ends = np.pad(self.codes, ((0, 0), (1, 1)), constant_values=END)
+        kind = np.uint8 if self.n < 255 else np.int32
+        count = lambda keys, size: np.stack([np.bincount(k, minlength=size) for k in keys]).astype(kind)
+        self.letters, self.grams = count(self.codes, 37), count((ends[:, :-1] * 38 + ends[:, 1:]) % 256, 256)
+
+
+def _common_subsequence(codes: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The length of the longest common subsequence of one title with each of others, by bits; never below what the ratio's blocks match."""
+    n = len(codes)
+    if n <= 64:
+        masks = np.zeros(37, np.uint64)
+        for i, ch in enumerate(codes.tolist()):
+            masks[ch] |= np.uint64(1 << i)
+        v = np.full(len(others), ~np.uint64(0))
+        for column in others.T:
+            u = v & masks[column]
+            v = (v + u) | (v - u)
+        return np.bitwise_count(~v & np.uint64((1 << n) - 1)).astype(np.int64)
+    held, full, out = [0] * 37, (1 << n) - 1, []
+    for i, ch in enumerate(codes.tolist()):
+        held[ch] |= 1 << i
+    for row in others.tolist():
+        w = full
+        for ch in row:
+            x = w & held[ch]
+            w = ((w + x) | (w - x)) & full
+        out.append(n - w.bit_count())
+    return np.array(out, np.int64)
+
+
+def _near(a: _Block, b: _Block, least: float) -> Iterator[tuple[str, str, float]]:
+    """Unequal titles of two blocks whose ratio is least or more. Bounds from above, each exact, come first: letters, letter pairs, common subsequence."""
+    need = int(np.ceil(least * (a.n + b.n) / 2 - 1e-9))
+    # a letter put in or taken out changes three letter pairs at most
+    pairs = a.n + b.n + 2 - 3 * (a.n + b.n - 2 * need)
+    near: list[list[int]] = [[] for _ in b.titles]
+    for i in range(len(a.titles)):
+        at = np.flatnonzero(np.minimum(b.letters, a.letters[i]).sum(axis=1, dtype=np.int64) >= need)
+        if pairs > 0 and len(at):
+            at = at[2 * np.minimum(b.grams[at], a.grams[i]).sum(axis=1, dtype=np.int64) >= pairs]
+        if len(at):
+            at = at[_common_subsequence(a.codes[i], b.codes[at]) >= need]
+        for j in at.tolist():
+            near[j].append(i)
+    matcher = SequenceMatcher()
+    for j, found in enumerate(near):
+        if found:
+            matcher.set_seq2(b.titles[j])  # kept for all of its partners
+        for i in found:
+            if a.titles[i] != b.titles[j]:
+                matcher.set_seq1(a.titles[i])
+                if (score := matcher.ratio()) >= least:
+                    yield a.titles[i], b.titles[j], score
+
+
+def title_similarity_join(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(left_id, right_id, score) of titles whose matching-blocks ratio, left against right, is least (above 0) or more. left, right: id, title.
+
+    Nothing is lost. Equal titles match at once. The others meet as distinct titles, in blocks of titles of one length, with the blocks of each length that the ratio
+    allows; bounds that no pair of that ratio can miss leave few pairs, and of these the ratio itself is computed. A length with many titles has many blocks, and pairs of
+    blocks are dealt out evenly; their number grows with the square of the distinct titles of like length."""
     k = lambda df, s: df.select(F.col("id").alias(f"{s}_id"), norm_title_alnum(F.col("title")).alias(f"{s[0]}t")).where(f"{s[0]}t <> ''")
     a, b = k(left, "left"), k(right, "right")
     equal = a.join(b, F.col("lt") == F.col("rt")).select("left_id", "right_id", F.lit(1.0).alias("score"))
-    # distinct titles meet once, whatever the number of rows that carry them
-    x, y = a.select("lt").distinct(), b.select("rt").distinct()
-    tx = x.select("lt", F.explode(F.array_distinct(F.split("lt", " "))).alias("t"))
-    ty = y.select("rt", F.explode(F.array_distinct(F.split("rt", " "))).alias("u"))
-    rare = tx.select("t").unionByName(ty.select(F.col("u").alias("t"))).groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= common).select(F.col("t").alias("r"))
-    pairs = tx.join(rare, F.col("t") == F.col("r")).join(ty, F.col("t") == F.col("u")).where("lt <> rt").select("lt", "rt").distinct()
-    la, lb = F.length("lt"), F.length("rt")
-    pairs = pairs.where(2 * F.least(la, lb) >= least * (la + lb))
-    letters = F.array(*(F.lit(ch) for ch in "abcdefghijklmnopqrstuvwxyz0123456789 "))
-    count = lambda c, ch: F.length(c) - F.length(F.replace(F.col(c), ch, F.lit("")))
-    shared = F.aggregate(letters, F.lit(0), lambda s, ch: s + F.least(count("lt", ch), count("rt", ch)))
-    pairs = pairs.where(2 * shared >= least * (la + lb))
-    scored = pairs.select(F.col("lt").alias("left_id"), F.col("rt").alias("right_id"), "lt", "rt").mapInPandas(_ratios, "left_id string, right_id string, score double").where(F.col("score") >= least)
-    fuzzy = scored.select(F.col("left_id").alias("sl"), F.col("right_id").alias("sr"), "score")
+
+    def blocks(df: DataFrame, s: str) -> DataFrame:
+        # distinct titles meet once, whatever the number of rows that carry them
+        x = df.select(F.col(f"{s}t").alias("t")).distinct().withColumn("n", F.length("t"))
+        many = x.groupBy(F.col("n").alias("m")).agg(F.ceil(F.count(F.lit(1)) / BLOCK_TITLES).alias("blocks"))
+        x = x.join(many, F.col("n") == F.col("m")).withColumn("block", F.pmod(F.xxhash64("t"), F.col("blocks")))
+        return x.groupBy(F.col("n").alias(f"{s}n"), F.col("block").alias(f"{s}b")).agg(F.collect_list("t").alias(f"{s}ts"))
+
+    x, y = blocks(a, "l"), blocks(b, "r")
+    lengths = F.sequence(F.ceil(F.col("ln") * least / (2 - least) - 1e-6).cast("int"), F.floor(F.col("ln") * (2 - least) / least + 1e-6).cast("int"))
+    meet = x.select("ln", "lb", F.explode(lengths).alias("rn")).join(y.select("rn", "rb"), "rn")
+    session = left.sparkSession
+    tasks = 4 * max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    meet = meet.join(x, ["ln", "lb"]).join(y, ["rn", "rb"]).repartition(tasks, "ln", "lb", "rn", "rb").select("lts", "rts")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for p, q in zip(rows["lts"], rows["rts"], strict=True):
+                yield pd.DataFrame(list(_near(_Block(list(p)), _Block(list(q)), least)), columns=["sl", "sr", "score"]).astype({"score": "float64"})
+
+    fuzzy = meet.mapInPandas(run, "sl string, sr string, score double")
     wide = fuzzy.join(a, F.col("sl") == F.col("lt")).join(b, F.col("sr") == F.col("rt")).select("left_id", "right_id", "score")
     return equal.unionByName(wide)
 

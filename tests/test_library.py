@@ -1,5 +1,6 @@
 """Operators on small tables: nulls, empty inputs, ties, precedence, streams against batches."""
 
+import itertools
 from difflib import SequenceMatcher
 
 import pytest
@@ -89,6 +90,30 @@ def test_title_join_finds_what_the_ratio_finds(spark):
     assert got <= want and len(got) >= 0.9 * len(want) and want
 
 
+def _ratio_pairs(left, right, least):
+    return {(i, j) for i, a in enumerate(left) for j, b in enumerate(right) if SequenceMatcher(None, a, b).ratio() >= least}
+
+
+@pytest.mark.parametrize("least", [0.65, 0.8, 0.9])
+def test_title_join_loses_nothing_where_every_word_is_common(spark, least):
+    words = "red green blue fast slow deep wide".split()
+    right = [" ".join(p) for p in itertools.islice(itertools.permutations(words), 0, None, 4)]  # 1,260 titles of the same seven words
+    left = [right[0], right[700], "red green blue fast slow deep wide thing", "blue", "x" * 70 + " red green blue"]
+    right += ["blue x", "x" * 71 + " red green blue", "x" * 260 + " red"]
+    df = lambda ts: spark.createDataFrame(list(enumerate(ts)), "id long, title string")
+    rows = matching.title_similarity_join(df(left), df(right), least).collect()
+    want = _ratio_pairs(left, right, least)
+    assert len(rows) == len(want) and {(r["left_id"], r["right_id"]) for r in rows} == want and len(want) >= 4
+    assert all(r["score"] == SequenceMatcher(None, left[r["left_id"]], right[r["right_id"]]).ratio() for r in rows)
+
+
+def test_title_join_finds_titles_without_a_shared_word(spark):
+    left, right = ["recognition", "ab", "deep learning"], ["recognision", "abc", "depe learnings", "other"]
+    df = lambda ts: spark.createDataFrame(list(enumerate(ts)), "id long, title string")
+    got = {(r["left_id"], r["right_id"]) for r in matching.title_similarity_join(df(left), df(right), 0.8).collect()}
+    assert got == _ratio_pairs(left, right, 0.8) == {(0, 0), (1, 1), (2, 2)}
+
+
 def test_token_overlap_is_lossless(spark):
     a = ["a b c d", "a b c x", "q", "", "a b c d e f g h"]
     df = spark.createDataFrame(list(enumerate(a)), "id long, title string")
