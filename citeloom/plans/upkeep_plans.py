@@ -47,7 +47,7 @@ PLANS = {
         f"with {DIRECT} select item_id, n, coalesce(codes, '') as codes from (select item_id, count(*) as n from di group by 1) a left join (select item_id, string_agg(distinct code, '|' order by code) as codes from (select item_id, unnest(codes) as code from di) group by 1) b using (item_id)",
     ),
     "j5_fuzzy_reuse": (
-        lambda s: M.title_similarity_join(s.fx_cited.where("publication_id % 8 = 0").groupBy("title").agg(F.min("publication_id").alias("id")), s.fx_cited.groupBy("title").agg(F.min("publication_id").alias("id")), 0.8).withColumn("auto_attach", c("score") >= 0.98),
+        lambda s: M.title_similarity_join(s.fx_cited.groupBy("title").agg(F.min("publication_id").alias("id")), s.fx_cited.groupBy("title").agg(F.min("publication_id").alias("id")), 0.8).withColumn("auto_attach", c("score") >= 0.98),
         None,
     ),
     "j10_inbox_status": (lambda s: _scores(s).groupBy("row_id").agg(F.max("score").alias("best")).select("row_id", K.inbox_status(c("best")).alias("status")), "select cited_id as row_id, case when b >= 0.95 then 'matched' when b >= 0.82 then 'candidate' else 'unmatched' end as status from (select cited_id, max(least(1.0, 0.85 * (1 - (citing_id % 20) / 80.0) + 0.15 + case when citing_id % 3 = 0 then 0.05 else 0 end)) as b from fx_edge group by 1)"),

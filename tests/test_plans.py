@@ -31,6 +31,16 @@ def test_query(spark, con, name):
         assert got or df.columns
 
 
+@pytest.mark.parametrize("name", ["j5_fuzzy_reuse", "j12_title_similarity", "j13_record_publications", "j20_preprint_matches"])
+def test_title_joins_search_every_title(spark, con, name):
+    df = registry.QUERIES[name](spark, SF)
+    ids = "publication_id" if name.startswith("j13") else "min(publication_id)"
+    every = {r[0] for r in con.sql(registry.oracle(f"select {ids} from fx_cited group by {'title' if ids[0] == 'm' else ids}")).fetchall()}
+    if name.startswith("j12"):  # "The " before fewer than 18 characters leaves a ratio below 0.9
+        every -= {r[0] for r in con.sql(registry.oracle("select min(publication_id) from fx_cited group by title having length(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'))) < 18")).fetchall()}
+    assert {r[0] for r in df.select("record_id" if name.startswith("j13") else "left_id").distinct().collect()} == every
+
+
 @pytest.mark.parametrize("name", ["ranked_queue", "j1_resolve_publications", "j4_reuse_candidates", "x14_anchor_validation", "u1_upsert_edges", "c7_report_sections"])
 def test_plans_stay_native(spark, name):
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
