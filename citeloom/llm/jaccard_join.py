@@ -3,15 +3,18 @@
 Tokens are hashed shingles. Sizes fall into bands; for each band the universe is cut into so many segments that two sets of the
 needed similarity differ in fewer tokens than there are segments, so some segments are equal.
 
-1. Every set sends a signature for each segment that it touches. Signatures shared by a few sets give candidate
-   pairs. A set whose rarer signatures alone outnumber the differences that it may have is settled: each of its partners
-   shares one of them. Cost decides: a frequent signature is passed over.
-2. Two unsettled sets are compared by richer signatures, segments and their one-deletion neighbourhoods. A segment whose neighbourhood is rare
-   as well covers two differences, so fewer segments suffice.
-3. What is still unsettled lies in large groups of near copies. There all are compared with the first, and those that this leaves outside the
-   largest component with the rest; pairs inside the component are never listed.
-
-Candidates are verified by exact counting; links are closed into components. No group's pairs are listed beyond a small bound.
+1. Equal sets are one class. Every class has a signature for each segment that it touches. Signatures of a few classes give candidate
+   pairs, which stay only where they share as many rare signatures as similar sets must. A class whose rare signatures alone outnumber the
+   differences that it may have is settled: each of its partners shares one of them.
+2. Unsettled classes are compared by richer signatures, segments and their one-deletion neighbourhoods. A segment whose neighbourhood is
+   rare as well covers two differences, so fewer segments suffice.
+3. What is still unsettled lies in large groups of near copies. Cost decides which of a class's frequent segments are looked up: it
+   passes over the largest, as many as it can do without, in one order for all classes, so that two similar ones keep a segment in common. Classes that
+   kept segments connect make a neighbourhood. It is cut into blocks, and its first class is compared with all blocks; then those
+   that this leaves outside the largest component are. Only links leave a task; pairs inside the component are never formed.
+
+Signatures are hashes and only nominate. Candidates are verified by counting shingles whose words are compared as they are. Links are
+closed into components.
 """
 
 from __future__ import annotations
@@ -23,21 +26,25 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, small_batches, texts, written
 from .components import components
-from .shingles import mixed, shingle_sets
+from .shingles import exact_sets, mixed, shingle_sets
 
 SIMILARITY = 80
-#: Signatures of more sets than this are frequent.
+#: Signatures of more classes than this are frequent.
 RARE = 12
 RARE_AGAIN = 12
 CHUNK_BYTES = 1 << 20
-FLUSH_SIGNATURES = 1 << 21
+FLUSH_SIGNATURES = 1 << 20
 BUCKETS_PER_PARTITION = 2
 SPARE = 1.1
+#: Bytes of text that one side of a comparison, or one group of pairs, brings together in a task.
+BLOCK_BYTES = 1 << 22
+
+_LOW = np.uint64((1 << 48) - 1)
 
 
 @lru_cache(maxsize=None)
@@ -68,20 +75,19 @@ def partner(n: int, similarity: int = SIMILARITY) -> int:
 
 
 @lru_cache(maxsize=None)
-def families(n: int) -> tuple[tuple[int, int, int], ...]:
-    """(band of the smaller set, segments, differences allowed) of the comparisons that a set of n tokens takes part in."""
+def families(n: int) -> tuple[tuple[int, int, int] | None, tuple[int, int, int] | None]:
+    """(band of the smaller set, segments, differences allowed) of the comparisons that a set of n tokens takes part in: with sets of its own band, and with
+    sets of the band below; None where no other set can be similar."""
     i, low = band(n)
     segments = lambda b: int(SPARE * (differences(_top(b) + partner(_top(b))) + 1)) + 3
-    out = [(i, segments(i), differences(n + partner(n)))]
-    if low and n <= partner(low):
-        out.append((i - 1, segments(i - 1), differences(n + low)))
-    return tuple(out)
+    own, below = differences(n + partner(n)), differences(n + low)
+    return (i, segments(i), own) if n and own else None, (i - 1, segments(i - 1), below) if low and n <= partner(low) else None
 
 
 def _segments(sets: np.ndarray, begins: np.ndarray, turn: int):
     """Signatures of the segments that each set touches, in its family number `turn`: signature, set, tokens, first token, and the family of each set."""
     sizes = np.diff(begins)
-    own = [families(int(n))[turn] if n and len(families(int(n))) > turn else None for n in sizes]
+    own = [families(int(n))[turn] for n in sizes]
     kinds = np.array([x[0] if x else -1 for x in own], np.int64)
     m = np.array([x[1] if x else 0 for x in own], np.uint64)
     at = np.repeat(np.arange(len(sizes)), sizes)
@@ -97,9 +103,12 @@ def _segments(sets: np.ndarray, begins: np.ndarray, turn: int):
     return np.add.reduceat(mixed(h), first) + place, at[first], count, token[first], own
 
 
-def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _groups(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each key with the places that have it."""
     order = np.argsort(keys, kind="stable")
-    return order, np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]) != 0)
+    begin = np.flatnonzero(np.diff(keys[order], prepend=-1)) if len(order) else order
+    for a, z in zip(begin, np.append(begin[1:], len(order)), strict=True) if len(begin) else ():
+        yield int(keys[order[a]]), order[a:z]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], column: str = "doc_id") -> Iterator[tuple[list, list[bytes]]]:
@@ -118,215 +127,265 @@ def _packed(x: np.ndarray) -> bytes:
     return zlib.compress(np.ascontiguousarray(x).tobytes(), 1)
 
 
-def _unpacked(x: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(x), kind)
+def _unpacked(blobs: list[bytes], width: int) -> np.ndarray:
+    found = [np.frombuffer(zlib.decompress(x), np.int64).reshape(-1, width) for x in blobs if x]
+    return np.concatenate(found) if found else np.zeros((0, width), np.int64)
 
 
 def _six_bytes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def _eight_bytes(x: bytes) -> np.ndarray:
+def _from_six_bytes(blobs: list[bytes]) -> np.ndarray:
+    x = b"".join(blobs)
     out = np.zeros((len(x) // 6, 8), np.uint8)
     out[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
     return out.reshape(-1).view(np.uint64)
 
 
+#: About a document: doc_id, n, two halves of its set's 128-bit digest, touched segments in each family (-1: no family), the largest size of the band below, the
+#: parity of the band. The low 48 bits of the second half name the set in signatures; two sets of one name cost a comparison, no more.
+ABOUT = 8
+
+
 def _signature_rows(buckets: int):
-    """Blobs of signatures and their documents for each task and bucket; and, in rows without signatures, a line about each document. Equal
-    sets of one task send their signatures once, for the smallest doc_id."""
-
-    def flush(sig: np.ndarray, doc: np.ndarray, about: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order, begin = _grouped(((sig >> np.uint64(48)) % np.uint64(buckets)).astype(np.int64))
-        for a, z in zip(begin, np.append(begin[1:], len(order)), strict=True):
-            own = order[a:z]
-            own = own[np.argsort(doc[own], kind="stable")]
-            k = int((int(sig[own[0]]) >> 48) % buckets)
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([k], pa.int32()), "sig": [_six_bytes(sig[own])], "doc": [_packed(np.diff(doc[own], prepend=0))], "about": [b""]})
-        deal = (mixed(about[:, 0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        order, begin = _grouped(deal)
-        for a, z in zip(begin, np.append(begin[1:], len(order)), strict=True):
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([deal[order[a]]], pa.int32()), "sig": [b""], "doc": [b""], "about": [_packed(about[order[a:z]])]})
+    """Blobs of signatures and set names for each task and bucket; and, in rows without signatures, a line about each document. Equal
+    sets of one task send their signatures once."""
+
+    def flush(sig: np.ndarray, name: np.ndarray, about: np.ndarray) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("bucket", pa.int32()), ("sig", pa.binary()), ("name", pa.binary()), ("about", pa.binary())])
+        for k, own in _groups(((sig >> np.uint64(48)) % np.uint64(buckets)).astype(np.int64)):
+            yield pa.RecordBatch.from_pylist([{"bucket": k, "sig": _six_bytes(sig[own]), "name": _six_bytes(name[own])}], kinds)
+        for k, own in _groups((mixed(about[:, 0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)):
+            yield pa.RecordBatch.from_pylist([{"bucket": k, "about": _packed(about[own])}], kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, docs, about, size, first_of = [], [], [], 0, {}
+        sigs, names, about, size, seen = [], [], [], 0, set()
         for ids, data in _chunks(batches):
             sets, begins = shingle_sets(data)
-            ids = np.array(ids, np.int64)
-            cids = np.array([xxhash.xxh3_64_intdigest(sets[a:z].tobytes()) >> 1 for a, z in zip(begins, begins[1:], strict=False)], np.int64)
-            lines = np.zeros((len(ids), 5), np.int64)
-            lines[:, 0], lines[:, 1], lines[:, 2] = ids, np.diff(begins), cids
-            lead = np.array([first_of.setdefault(int(c), int(i)) == int(i) for c, i in zip(cids, ids, strict=True)], bool)
+            digests = [xxhash.xxh3_128_intdigest(sets[a:z].tobytes()) for a, z in zip(begins, begins[1:], strict=False)]
+            halves = np.array([(d >> 64, d & (2**64 - 1)) for d in digests], np.uint64).reshape(-1, 2)
+            name = halves[:, 1] & _LOW
+            lead = np.array([not (d in seen or seen.add(d)) for d in digests], bool)
+            lines = np.zeros((len(ids), ABOUT), np.int64)
+            lines[:, 0], lines[:, 1], lines[:, 2:4] = ids, np.diff(begins), halves.view(np.int64)
+            bands = [band(int(n)) for n in np.diff(begins)]
+            lines[:, 6], lines[:, 7] = [x[1] for x in bands], [x[0] & 1 for x in bands]
             for turn in (0, 1):
                 sig, at, _, _, own = _segments(sets, begins, turn)
-                touched = np.bincount(at, minlength=len(ids))
-                lines[:, 3 + turn] = [t - x[2] - 1 if x else 1 << 30 for t, x in zip(touched.tolist(), own, strict=True)]
+                touched = np.bincount(at, minlength=len(ids)) if len(at) else np.zeros(len(ids), np.int64)
+                lines[:, 4 + turn] = np.where([x is None for x in own], -1, touched)
                 kind = np.array([x[0] & 1 if x else 0 for x in own], np.uint64)
-                sig = (sig & ~np.uint64(1)) | kind[at] if len(at) else sig
-                keep = lead[at] if len(at) else np.zeros(0, bool)
-                sigs.append(sig[keep])
-                docs.append(ids[at[keep]] if len(at) else np.zeros(0, np.int64))
-                size += int(keep.sum())
+                keep = lead[at]
+                sigs.append(((sig & ~np.uint64(1)) | kind[at])[keep])
+                names.append(name[at[keep]])
+                size += len(sigs[-1])
             about.append(lines)
             if size >= FLUSH_SIGNATURES:
-                yield from flush(np.concatenate(sigs), np.concatenate(docs), np.concatenate(about))
-                sigs, docs, about, size, first_of = [], [], [], 0, {}
+                yield from flush(np.concatenate(sigs), np.concatenate(names), np.concatenate(about))
+                sigs, names, about, size, seen = [], [], [], 0, set()
         if about:
-            yield from flush(np.concatenate(sigs), np.concatenate(docs), np.concatenate(about))
+            yield from flush(np.concatenate(sigs), np.concatenate(names), np.concatenate(about))
 
     return run
 
 
-def _pairs_of(doc: np.ndarray, begin: np.ndarray, sizes: np.ndarray, most: int) -> np.ndarray:
-    """Distinct pairs within groups of at most `most` members."""
-    out = []
+def _distinct_rows(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows, sorted by the first column, then the second and so on, and how often each occurs."""
+    if not len(columns[0]):
+        return list(columns), np.zeros(0, np.int64)
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    begin = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)]))
+    return [c[begin] for c in columns], np.diff(begin, append=len(order))
+
+
+def _rare_pairs(member: np.ndarray, begin: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (smaller, larger) within groups of at most `most` distinct members, and the number of each pair's group."""
+    low, high, group = [], [], []
     for n in range(2, most + 1):
-        at = begin[sizes == n]
-        if len(at):
+        of = np.flatnonzero(sizes == n)
+        if len(of):
             i, j = np.triu_indices(n, 1)
-            out.append(np.column_stack([doc[(at[:, None] + i).reshape(-1)], doc[(at[:, None] + j).reshape(-1)]]))
-    if not out:
-        return np.zeros((0, 2), np.int64)
-    pairs = np.concatenate(out)
-    pairs = np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1)
-    return np.unique(pairs, axis=0) if len(pairs) else pairs
+            x, y = member[(begin[of][:, None] + i).reshape(-1)], member[(begin[of][:, None] + j).reshape(-1)]
+            low.append(np.minimum(x, y))
+            high.append(np.maximum(x, y))
+            group.append(np.repeat(of, len(i)))
+    if not low:
+        return member[:0], member[:0], np.zeros(0, np.int64)
+    return np.concatenate(low), np.concatenate(high), np.concatenate(group)
 
 
-#: Rows of the first round: kind 0 tells of a document (a doc_id, b size, c set, d and e spare signatures), kind 1 is a
-#: candidate pair (a, b), kind 2 counts a document's frequent signatures (a doc_id, b parity of the family, c count).
-FOUND = "kind int, a long, b long, c long, d long, e long"
+#: Rows of a round: kind 0 tells of a document or set, kind 1 of a candidate pair, kind 2 counts frequent signatures, kind 3 is one.
+FOUND = "kind int, a long, b long, c long, d long, e long, f long, g long, h long"
 
 
-def _table(parts: list[tuple[int, np.ndarray]]) -> pa.Table:
-    kinds = np.concatenate([np.full(len(x), k, np.int32) for k, x in parts]) if parts else np.zeros(0, np.int32)
-    wide = [np.pad(x.astype(np.int64), ((0, 0), (0, 5 - x.shape[1]))) for _, x in parts]
-    rows = np.concatenate(wide) if wide else np.zeros((0, 5), np.int64)
-    return pa.table({"kind": kinds, **{c: rows[:, i] for i, c in enumerate("abcde")}})
+def _table(parts: dict[int, np.ndarray]) -> pa.Table:
+    kinds = np.concatenate([np.zeros(0, np.int32), *(np.full(len(x), k, np.int32) for k, x in parts.items())])
+    rows = np.concatenate([np.zeros((0, ABOUT), np.int64), *(np.pad(x.astype(np.int64), ((0, 0), (0, ABOUT - x.shape[1]))) for x in parts.values())])
+    return pa.table({"kind": kinds, **{c: rows[:, i] for i, c in enumerate("abcdefgh")}})
 
 
 def _first_round(rare: int):
+    """Kind 0: about a document; kind 1: names a, b, parity c of the family, d rare signatures that both have in this bucket; kind 2: name a, parity b, c frequent signatures in this bucket."""
+
     def run(table: pa.Table) -> pa.Table:
-        about = [_unpacked(x, np.int64).reshape(-1, 5) for x in table.column("about").to_pylist() if x]
-        parts = [(0, np.concatenate(about))] if about else []
-        both = [(s, d) for s, d in zip(table.column("sig").to_pylist(), table.column("doc").to_pylist(), strict=True) if s]
-        if both:
-            sig = np.concatenate([_eight_bytes(s) for s, _ in both])
-            doc = np.concatenate([np.cumsum(_unpacked(d, np.int64)) for _, d in both])
-            order, begin = _grouped(sig)
-            sizes = np.diff(begin, append=len(order))
-            doc, sig = doc[order], sig[order]
-            parts.append((1, _pairs_of(doc, begin, sizes, rare)))
+        parts = {0: _unpacked(table.column("about").to_pylist(), ABOUT)}
+        some = table.filter(table.column("sig").is_valid())
+        (sig, name), _ = _distinct_rows(_from_six_bytes(some.column("sig").to_pylist()), _from_six_bytes(some.column("name").to_pylist()).astype(np.int64))
+        if len(sig):
+            begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            sizes = np.diff(begin, append=len(sig))
+            parity = (sig[begin] & np.uint64(1)).astype(np.int64)
+            low, high, group = _rare_pairs(name, begin, sizes, rare)
+            pairs, shared = _distinct_rows(low, high, parity[group])
+            parts[1] = np.column_stack([*pairs, shared])
             often = np.repeat(sizes > rare, sizes)
-            if often.any():
-                rows, counts = np.unique(np.column_stack([doc[often], (sig[often] & np.uint64(1)).astype(np.int64)]), axis=0, return_counts=True)
-                parts.append((2, np.column_stack([rows, counts])))
+            counted, times = _distinct_rows(name[often], np.repeat(parity, sizes)[often])
+            parts[2] = np.column_stack([*counted, times])
         return _table(parts)
 
     return run
 
 
 def _neighbourhoods(sets: np.ndarray, begins: np.ndarray):
-    """(signature, set, tag, need) for segments and their one-deletion neighbourhoods. tag: 4 x segment number + 2 if it has several tokens + 1 for a deletion, apart for each family; need: of each set and family, the units it lacks if all were frequent."""
+    """(signature, set, tag) for segments and their one-deletion neighbourhoods, and needs. tag: 4 x segment number + 2 if it has several tokens + 1 for a deletion, apart for each
+    family; needs: of each family and set, the units it lacks if all were frequent."""
     out, needs = [], []
     for turn in (0, 1):
         sig, at, count, first, own = _segments(sets, begins, turn)
         units = np.bincount(at, np.where(count > 1, 2, 1), minlength=len(own)).astype(np.int64) if len(at) else np.zeros(len(own), np.int64)
         needs.append([u - x[2] - 1 if x else 1 << 30 for u, x in zip(units.tolist(), own, strict=True)])
-        if not len(at):
-            continue
         number = np.arange(len(at)) * 4 + np.where(count > 1, 2, 0) + (1 << 40) * turn
         out.append((sig, at, number))
         several = np.flatnonzero(count > 1)
         n = count[several]
         token = np.repeat(first[several], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         out.append((np.repeat(sig[several], n) - mixed(sets[token]), np.repeat(at[several], n), np.repeat(number[several], n) + 1))
-    if not out:
-        none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, needs
     return (*(np.concatenate(x) for x in zip(*out, strict=True)), needs)
 
 
 def _second_rows(buckets: int):
-    """Like the first round's rows, with tags; about: doc_id and what each family has to spare."""
+    """Like the first round's rows, with tags; about: the set and what each family has to spare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("bucket", pa.int32()), ("sig", pa.binary()), ("rows", pa.binary()), ("about", pa.binary())])
         for ids, data in _chunks(batches, "rep"):
             sets, begins = shingle_sets(data)
             ids = np.array(ids, np.int64)
             sig, at, tag, needs = _neighbourhoods(sets, begins)
             about = np.column_stack([ids, *(np.array(x, np.int64) for x in needs)])
-            deal = (mixed(ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            for k in np.unique(deal):
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([k], pa.int32()), "sig": [b""], "rows": [b""], "about": [_packed(about[deal == k])]})
-            if len(sig):
-                order, begin = _grouped(((sig >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64))
-                for a, z in zip(begin, np.append(begin[1:], len(order)), strict=True):
-                    own = order[a:z]
-                    k = int((int(sig[own[0]]) >> 40) % buckets)
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([k], pa.int32()), "sig": [sig[own].tobytes()], "rows": [_packed(np.column_stack([ids[at[own]], tag[own]]))], "about": [b""]})
+            for k, own in _groups((mixed(ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)):
+                yield pa.RecordBatch.from_pylist([{"bucket": k, "about": _packed(about[own])}], kinds)
+            for k, own in _groups(((sig >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)):
+                yield pa.RecordBatch.from_pylist([{"bucket": k, "sig": sig[own].tobytes(), "rows": _packed(np.column_stack([ids[at[own]], tag[own]]))}], kinds)
 
     return run
 
 
 def _second_round(rare: int):
-    """Kind 0: doc_id and spare units by family; kind 1: pairs; kind 3: frequent signatures (signature, doc_id, tag)."""
+    """Kind 0: set a, units b and c to spare by family; kind 1: pairs a, b; kind 3: frequent signature a of set b, tag c, d sets that have it."""
 
     def run(table: pa.Table) -> pa.Table:
-        about = [_unpacked(x, np.int64).reshape(-1, 3) for x in table.column("about").to_pylist() if x]
-        parts = [(0, np.concatenate(about))] if about else []
-        both = [(s, r) for s, r in zip(table.column("sig").to_pylist(), table.column("rows").to_pylist(), strict=True) if s]
-        if both:
-            sig = np.concatenate([np.frombuffer(s, np.uint64) for s, _ in both])
-            rows = np.concatenate([_unpacked(r, np.int64).reshape(-1, 2) for _, r in both])
-            order, begin = _grouped(sig)
-            sizes = np.diff(begin, append=len(order))
-            rows, sig = rows[order], sig[order]
-            parts.append((1, _pairs_of(rows[:, 0], begin, sizes, rare)))
-            often = np.repeat(sizes > rare, sizes)
-            parts.append((3, np.column_stack([sig[often].view(np.int64), rows[often]])))
+        parts = {0: _unpacked(table.column("about").to_pylist(), 3)}
+        rows = _unpacked(table.column("rows").to_pylist(), 2)
+        if len(rows):
+            sig = np.frombuffer(b"".join(x for x in table.column("sig").to_pylist() if x), np.uint64)
+            (sig, doc, tag), _ = _distinct_rows(sig, rows[:, 0], rows[:, 1])
+            # a set may have a signature by several deletions; it counts once
+            once = np.concatenate([[True], (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])])
+            number = np.cumsum(once) - 1
+            begin = np.flatnonzero(np.concatenate([[True], sig[once][1:] != sig[once][:-1]]))
+            sizes = np.diff(begin, append=once.sum())
+            low, high, _ = _rare_pairs(doc[once], begin, sizes, rare)
+            parts[1] = np.column_stack(_distinct_rows(low, high)[0])
+            size = np.repeat(sizes, sizes)[number]
+            often = size > rare
+            parts[3] = np.column_stack([sig[often].view(np.int64), doc[often], tag[often], size[often]])
         return _table(parts)
 
     return run
 
 
-def _counted(pairs: pa.Table, docs: pa.Table) -> pa.Table:
-    """The pairs with their intersections and unions. Texts that share a doc_id count as its versions; the most similar counts."""
-    ids, data = docs.column("rep").to_pylist(), docs.column("text").cast(pa.binary()).to_pylist()
-    sets: dict[int, list[np.ndarray]] = {}
-    for a in range(0, len(ids), 64):
-        own, begins = shingle_sets(data[a : a + 64])
-        for k, i in enumerate(ids[a : a + 64]):
-            sets.setdefault(i, []).append(own[begins[k] : begins[k + 1]])
-    both, union = [], []
-    for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
-        best = (0, 1)
-        for x in sets.get(a, []):
-            for y in sets.get(b, []):
-                n = len(np.intersect1d(x, y, assume_unique=True))
-                u = len(x) + len(y) - n
-                if u and n * best[1] > best[0] * u:
-                    best = (n, u)
-        both.append(best[0])
-        union.append(best[1])
-    return pa.table({"a": pairs.column("a"), "b": pairs.column("b"), "shared": pa.array(both, pa.int64()), "total": pa.array(union, pa.int64())})
-
-
-def _dealt(pairs: DataFrame, held: DataFrame, f, schema: str) -> DataFrame:
-    """f over pairs (a, b) and the texts in held (rep, text) that they need. Pairs are dealt by b; a text goes once to each task group that needs it, so a pivot of many pairs is spread over all of them."""
-    groups = max(6, partitions(held.sparkSession) // 4)  # fewer groups than partitions: a text that many pairs need goes to fewer places
-    dealt = written(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(groups)).cast("int").alias("deal")), "pairs")
-    wanted = dealt.select("deal", F.col("a").alias("want")).unionByName(dealt.select("deal", F.col("b").alias("want"))).distinct()
-    sent = wanted.join(held, F.col("want") == F.col("rep")).select(F.col("deal").alias("to"), "rep", "text")
-    return dealt.groupBy("deal").cogroup(sent.groupBy("to")).applyInArrow(f, schema)
+def _numbered_sets(*columns: pa.ChunkedArray) -> list[list[np.ndarray]]:
+    """For each column of texts its sets; shingles are numbered alike in all of them."""
+    whole = pa.concat_arrays([c for column in columns for c in column.cast(pa.large_string()).chunks]) if any(len(c) for c in columns) else pa.array([], pa.large_string())
+    ids, begins = exact_sets(whole)
+    sets, out = [ids[a:z] for a, z in zip(begins, begins[1:], strict=False)], []
+    for c in columns:
+        out.append(sets[: len(c)])
+        sets = sets[len(c) :]
+    return out
 
 
-def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """a, b, shared, total of distinct pairs (a, b)."""
-    return _dealt(pairs, held, _counted, "a long, b long, shared long, total long")
+def _linked_pairs(similarity: int):
+    """The pairs (a, b) that are similar. Texts that share a doc_id count as its versions; one similar version will do."""
 
+    def run(pairs: pa.Table, held: pa.Table) -> pa.Table:
+        sets: dict[int, list[np.ndarray]] = {}
+        for i, x in zip(held.column("rep").to_pylist(), _numbered_sets(held.column("text"))[0], strict=True):
+            sets.setdefault(i, []).append(x)
+        keep = []
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+            both = ((len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)) for x in sets.get(a, []) for y in sets.get(b, []))
+            keep.append(any(n and n * 100 >= (total - n) * similarity for n, total in both))
+        return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
-def _linked(similarity: int) -> Column:
-    return F.col("shared") * 100 >= F.col("total") * similarity
+
+def verified(pairs: DataFrame, held: DataFrame, similarity: int) -> DataFrame:
+    """The similar ones of distinct pairs (a, b). Pairs are dealt by the smallest candidate of a, which groups of copies have in common, into groups of bounded bytes; a text
+    goes once to each group that needs it."""
+    spark = held.sparkSession
+    mean = held.agg(F.avg(F.octet_length("text"))).first()[0] or 0
+    groups = max(partitions(spark), int(2 * pairs.count() * mean / BLOCK_BYTES) + 1)
+    least = pairs.groupBy(F.col("b").alias("of")).agg(F.min("a").alias("hub"))
+    dealt = pairs.join(least, F.col("a") == F.col("of"), "left").select("a", "b", F.pmod(F.xxhash64(F.coalesce("hub", "a")), F.lit(groups)).cast("int").alias("deal"))
+    wanted = dealt.select("deal", F.col("a").alias("want")).unionByName(dealt.select("deal", F.col("b").alias("want"))).distinct()
+    sent = held.join(wanted.hint("merge"), F.col("want") == F.col("rep")).select(F.col("deal").alias("to"), "rep", "text")
+    return dealt.groupBy("deal").cogroup(sent.groupBy("to")).applyInArrow(_linked_pairs(similarity), "a long, b long")
+
+
+def _linked_blocks(similarity: int):
+    """(a, b) for each queried set and one similar member of each other component in the block."""
+
+    def run(members: pa.Table, asked: pa.Table) -> pa.Table:
+        sets, queries = _numbered_sets(members.column("text"), asked.column("text"))
+        doc, comp = members.column("doc").to_numpy(), members.column("comp").to_numpy()
+        sizes = np.array([len(x) for x in sets], np.int64)
+        kinds = 1 + max((int(x.max(initial=0)) for x in (*sets, *queries)), default=0)
+        shingle = np.concatenate([np.zeros(0, np.int64), *sets])
+        order = np.argsort(shingle, kind="stable")
+        owner = np.repeat(np.arange(len(sets)), sizes)[order]
+        edge = np.concatenate([[0], np.cumsum(np.bincount(shingle, minlength=kinds))])
+        a, b = [], []
+        for i, c, x in zip(asked.column("doc").to_pylist(), asked.column("comp").to_pylist(), queries, strict=True):
+            n = edge[x + 1] - edge[x]
+            place = np.repeat(edge[x], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            shared = np.bincount(owner[place], minlength=len(sets))
+            fits = np.flatnonzero((shared > 0) & (shared * 100 >= (len(x) + sizes - shared) * similarity) & (comp != c))
+            if len(fits):
+                _, first = np.unique(comp[fits], return_index=True)
+                a += [i] * len(first)
+                b += doc[fits[first]].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _compared(members: DataFrame, asked: DataFrame, held: DataFrame, similarity: int) -> DataFrame:
+    """Links between asked (hood, doc, comp) and members (hood, doc, comp, n) of the same neighbourhood and other components. Both are cut into blocks of bounded
+    bytes by hash; every pair of blocks is one group."""
+    size = lambda x, name: x.groupBy(F.col("hood").alias(f"{name}_hood")).agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias(name))
+    texts_of = lambda x: held.select("rep", "text", F.octet_length("text").alias("bytes")).join(x.hint("merge"), F.col("rep") == F.col("doc")).select("hood", "doc", "comp", "bytes", "text")
+    members, asked = written(texts_of(members), "members"), written(texts_of(asked), "asked")
+    grid = written(size(members, "rows").join(size(asked, "columns"), F.col("rows_hood") == F.col("columns_hood")).select("rows_hood", F.greatest("rows", F.lit(1)).alias("rows"), F.greatest("columns", F.lit(1)).alias("columns")), "grid")
+    deal = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = members.join(grid, F.col("hood") == F.col("rows_hood")).select("hood", deal("rows").alias("row"), every("columns").alias("column"), "doc", "comp", "text")
+    right = asked.join(grid, F.col("hood") == F.col("rows_hood")).select("hood", every("rows").alias("row"), deal("columns").alias("column"), "doc", "comp", "text")
+    return left.groupBy("hood", "row", "column").cogroup(right.groupBy("hood", "row", "column")).applyInArrow(_linked_blocks(similarity), "a long, b long")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, node: str, into: str) -> DataFrame:
@@ -335,32 +394,88 @@ def _labelled(rows: DataFrame, labels: DataFrame, node: str, into: str) -> DataF
 
 
 def _large_groups(rows: DataFrame, held: DataFrame, links: DataFrame, similarity: int) -> DataFrame:
-    """Links among sets that share frequent signatures. rows: sig, doc, n.
-
-    Sets that frequent signatures connect make a neighbourhood. All of it are compared with its first set; that leaves one large component of near copies
-    and sets outside it. Each of these is then compared with every set of the neighbourhood that has a fitting size and another component. Pairs inside the large
-    component are not listed, so the work is that of the outsiders times the neighbourhood."""
-    fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * similarity) & (F.col(y) * 100 >= F.col(x) * similarity)
+    """links and those among sets that share frequent signatures. rows: sig, doc."""
     first = rows.groupBy(F.col("sig").alias("f_sig")).agg(F.min("doc").alias("pivot"))
-    near = components(rows.join(first, F.col("sig") == F.col("f_sig")).select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct())
-    members = written(rows.select("doc", "n").distinct().join(near, F.col("doc") == F.col("node")).select("doc", "n", F.col("label").alias("hood")), "members")
-    lead = members.where("doc = hood").select(F.col("hood").alias("l_hood"), F.col("n").alias("l_n"))
-    star = members.join(lead, F.col("hood") == F.col("l_hood")).where((F.col("doc") != F.col("hood")) & fits("n", "l_n")).select(F.col("hood").alias("a"), F.col("doc").alias("b")).distinct()
-    links = written(links.unionByName(verified(star, held).where(_linked(similarity)).select("a", "b")), "links")
-    marked = written(_labelled(members, components(links), "doc", "comp"), "marked")
-    largest = marked.groupBy("hood", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy(F.col("hood").alias("t_hood")).agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    outside = marked.join(largest, F.col("hood") == F.col("t_hood")).where("comp <> top").select(F.col("hood").alias("o_hood"), F.col("doc").alias("x"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp"))
-    pairs = outside.join(marked, F.col("o_hood") == F.col("hood")).where((F.col("x_comp") != F.col("comp")) & fits("x_n", "n"))
-    pairs = pairs.select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b")).distinct()
-    return written(links.unionByName(verified(pairs, held).where(_linked(similarity)).select("a", "b")), "links")
+    hoods = components(rows.join(first, F.col("sig") == F.col("f_sig")).select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct())
+    members = _labelled(hoods.select(F.col("node").alias("doc"), F.col("label").alias("hood")), components(links), "doc", "comp")
+    members = written(members, "hoods")
+    star = _compared(members, members.where("doc = hood"), held, similarity)
+    links = written(links.unionByName(star), "links")
+    marked = written(_labelled(members.drop("comp"), components(links), "doc", "comp"), "marked")
+    parts = marked.groupBy("hood", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy(F.col("hood").alias("t_hood")).agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("parts"))
+    parts = written(parts.where("parts > 1"), "parts")
+    open_ = marked.join(parts, F.col("hood") == F.col("t_hood")).select("hood", "doc", "comp", "top")
+    open_ = written(open_, "open")
+    return written(links.unionByName(_compared(open_.drop("top"), open_.where("comp <> top").drop("top"), held, similarity)), "links")
+
+
+def _allowed(n: Column, other: Column, similarity: int) -> Column:
+    """differences() as a column."""
+    return F.floor((n + other) * (100 - similarity) / (100 + similarity)).cast("long")
+
+
+def _classes(found: DataFrame, similarity: int) -> DataFrame:
+    """One row for each distinct set: hi, lo, n, rep (its smallest doc_id), name, parity, and for both families (own, below) the touched and the rare segments and the differences allowed; unsettled."""
+    about = found.where("kind = 0 and b > 0")
+    sets = about.groupBy(F.col("c").alias("hi"), F.col("d").alias("lo"), F.col("b").alias("n")).agg(F.min("a").alias("rep"), *(F.max(x).alias(y) for x, y in zip("efgh", ("touched", "touched_below", "low", "parity"), strict=True)))
+    often = found.where("kind = 2").groupBy(F.col("a").alias("o_name")).agg(*(F.sum(F.when(F.col("b") == k, F.col("c")).otherwise(0)).alias(f"often_{k}") for k in (0, 1)))
+    named = sets.withColumn("name", F.col("lo").bitwiseAND(F.lit((1 << 48) - 1))).join(often, F.col("name") == F.col("o_name"), "left").fillna(0, ["often_0", "often_1"])
+    even = F.col("parity") == 0
+    n = F.col("n")
+    return named.select(
+        "hi", "lo", "n", "rep", "name", "parity", "touched", "touched_below",
+        (F.col("touched") - F.when(even, F.col("often_0")).otherwise(F.col("often_1"))).alias("own"),
+        (F.col("touched_below") - F.when(even, F.col("often_1")).otherwise(F.col("often_0"))).alias("below"),
+        F.when(F.col("touched") >= 0, _allowed(n, F.floor(n * 100 / similarity), similarity)).otherwise(-(1 << 30)).alias("own_allowed"),
+        F.when(F.col("touched_below") >= 0, _allowed(n, F.col("low"), similarity)).otherwise(-(1 << 30)).alias("below_allowed"),
+    ).withColumn("unsettled", (F.col("own") <= F.col("own_allowed")) | (F.col("below") <= F.col("below_allowed")))
+
+
+def _fits(x: str, y: str, similarity: int) -> Column:
+    return (F.col(x) * 100 >= F.col(y) * similarity) & (F.col(y) * 100 >= F.col(x) * similarity)
+
+
+def _candidates(found: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
+    """Pairs of reps (a, b) whose common rare signatures are as many as similar sets must have."""
+    pairs = found.where("kind = 1").groupBy("a", "b", "c").agg(F.sum("d").alias("shared"))
+    for side in "ab":
+        own = classes.select(*(F.col(c).alias(f"{side}_{c}") for c in ("name", "rep", "n", "parity", "own", "below")))
+        pairs = pairs.join(own, F.col(side) == F.col(f"{side}_name"))
+    rare = lambda s: F.when(F.col("c") == F.col(f"{s}_parity"), F.col(f"{s}_own")).otherwise(F.col(f"{s}_below"))
+    need = F.greatest(rare("a"), rare("b")) - _allowed(F.col("a_n"), F.col("b_n"), similarity)
+    pairs = pairs.where(_fits("a_n", "b_n", similarity) & (F.col("a_rep") != F.col("b_rep")) & (F.col("shared") >= need))
+    return pairs.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")).distinct()
+
+
+def _late(second: DataFrame) -> DataFrame:
+    """Sets that rare segments and neighbourhoods leave unsettled: late, spare (units of its poorer family)."""
+    tag = F.col("c")
+    lost = second.where("kind = 3").select(F.col("b").alias("doc"), F.floor(tag / (1 << 40)).alias("turn"), F.floor((tag % (1 << 40)) / 4).alias("segment"), F.when((tag % 2 == 0) & (tag % 4 >= 2), 2).otherwise(1).alias("units"))
+    lost = lost.groupBy("doc", "turn", "segment").agg(F.max("units").alias("units")).groupBy(F.col("doc").alias("x_doc")).agg(*(F.sum(F.when(F.col("turn") == k, F.col("units")).otherwise(0)).alias(f"x{k}") for k in (0, 1)))
+    spare = second.where("kind = 0").select(F.col("a").alias("doc"), F.col("b").alias("s0"), F.col("c").alias("s1"))
+    return spare.join(lost, F.col("doc") == F.col("x_doc"), "left").fillna(0, ["x0", "x1"]).where("x0 > s0 or x1 > s1").select(F.col("doc").alias("late"), F.least("s0", "s1").alias("spare"))
+
+
+def _kept_segments(second: DataFrame, late: DataFrame, sizes: DataFrame, similarity: int) -> DataFrame:
+    """sig, doc: the frequent whole segments that late sets look up. Each set passes over the most frequent ones, as many as it can do without; the order is the same for all."""
+    tag = F.col("c")
+    rows = second.where((F.col("kind") == 3) & (tag % 2 == 0)).select(F.col("a").alias("sig"), F.col("b").alias("doc"), F.floor(tag / (1 << 40)).alias("turn"), F.col("d").alias("size"))
+    rows = rows.join(late.select("late"), F.col("doc") == F.col("late"), "left_semi")
+    room = sizes.select(F.col("rep").alias("s_rep"), "own_room", "below_room").groupBy("s_rep").agg(F.min("own_room").alias("own_room"), F.min("below_room").alias("below_room"))
+    rows = rows.join(room, F.col("doc") == F.col("s_rep"))
+    place = F.row_number().over(Window.partitionBy("doc", "turn").orderBy(F.desc("size"), F.desc("sig")))
+    kept = rows.withColumn("place", place).where(F.col("place") > F.when(F.col("turn") == 0, F.col("own_room")).otherwise(F.col("below_room"))).select("sig", "doc")
+    # sets of so few segments that even all of them would not do meet in one group of their own size
+    poor = sizes.join(late.select("late"), F.col("rep") == F.col("late"), "left_semi").where("own_room < 0 or below_room < 0").select(F.floor(F.log2("n") * 3).alias("size"), F.col("rep").alias("doc"))
+    return kept.unionByName(poor.select(F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("sig"), "doc")).distinct()
 
 
 def jaccard_components(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, class_id.
 
     component_id is the smallest doc_id that links lead to, class_id the smallest one with the same set. Null texts and texts without words have
-    no shingles and link with nothing. Rows that share a doc_id are versions of one document. A row with a null doc_id has null ids and links with
-    nothing. An empty table gives an empty result; other columns are ignored.
+    no shingles and link with nothing. Rows that share a doc_id are versions of one document and have its component in common; repeated rows repeat.
+    A row with a null doc_id has null ids and links with nothing. An empty table gives an empty result; other columns are ignored.
     """
     if similarity != SIMILARITY:
         raise ValueError("bands are laid out for a similarity of 80 %")
@@ -369,72 +484,40 @@ def jaccard_components(docs: DataFrame, similarity: int = SIMILARITY) -> DataFra
     buckets = BUCKETS_PER_PARTITION * partitions(spark)
     rows = texts(docs)
     named = rows.where("doc_id is not null")
-    sent = named.mapInArrow(_signature_rows(buckets), "bucket int, sig binary, doc binary, about binary")
+    sent = named.mapInArrow(_signature_rows(buckets), "bucket int, sig binary, name binary, about binary")
     found = written(sent.groupBy("bucket").applyInArrow(_first_round(RARE), FOUND), "found")
-    about = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("cid"), F.col("d").alias("own"), F.col("e").alias("below"))
-    classes = about.where("n > 0").groupBy("cid", "n").agg(F.min("doc_id").alias("rep")).select(F.col("cid").alias("k_cid"), F.col("n").alias("k_n"), "rep")
-    known = written(about.join(classes, (F.col("cid") == F.col("k_cid")) & (F.col("n") == F.col("k_n")), "left").select("doc_id", "n", "own", "below", F.coalesce("rep", "doc_id").alias("rep")), "classes")
-    to_rep = known.where("n > 0").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.min("n").alias("n_min"), F.max("n").alias("n_max"))
-    a = to_rep.select(F.col("doc_id").alias("a_id"), F.col("rep").alias("ra"), F.col("n_min").alias("na"), F.col("n_max").alias("ma"))
-    b = to_rep.select(F.col("doc_id").alias("b_id"), F.col("rep").alias("rb"), F.col("n_min").alias("nb"), F.col("n_max").alias("mb"))
-    raw = found.where("kind = 1").select("a", "b").distinct()
-    fits = (F.col("ra") != F.col("rb")) & (F.col("ma") * 100 >= F.col("nb") * similarity) & (F.col("mb") * 100 >= F.col("na") * similarity)
-    pairs = raw.join(a, F.col("a") == F.col("a_id")).join(b, F.col("b") == F.col("b_id")).where(fits)
-    pairs = written(pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "candidates")
-    # sets whose rare signatures are too few
-    often = found.where("kind = 2").select(F.col("a").alias("o_id"), F.col("b").alias("parity"), F.col("c").alias("k"))
-    often = often.groupBy("o_id").pivot("parity", [0, 1]).agg(F.sum("k")).select("o_id", F.coalesce(F.col("0"), F.lit(0)).alias("even"), F.coalesce(F.col("1"), F.lit(0)).alias("odd"))
-    counted = known.where("n > 0").join(often, F.col("doc_id") == F.col("o_id"), "left").fillna(0, ["even", "odd"]).withColumn("parity", _parity("n"))
-    mine, lower = F.when(F.col("parity") == 0, F.col("even")).otherwise(F.col("odd")), F.when(F.col("parity") == 0, F.col("odd")).otherwise(F.col("even"))
-    unsettled = written(counted.where((mine > F.col("own")) | (lower > F.col("below"))).select("rep").distinct(), "unsettled")
-    involved = pairs.select(F.col("a").alias("want")).unionByName(pairs.select(F.col("b").alias("want"))).unionByName(unsettled.select(F.col("rep").alias("want"))).distinct()
-    held = written(named.join(involved, F.col("doc_id") == F.col("want")).select(F.col("doc_id").alias("rep"), "text"), "texts")
+    classes = written(_classes(found, similarity), "classes")
+    about = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("hi"), F.col("d").alias("lo"))
+    own = classes.select(F.col("hi").alias("k_hi"), F.col("lo").alias("k_lo"), F.col("n").alias("k_n"), "rep")
+    known = about.where("n > 0").join(own, (F.col("hi") == F.col("k_hi")) & (F.col("lo") == F.col("k_lo")) & (F.col("n") == F.col("k_n"))).select("doc_id", "n", "rep")
+    known = written(known.unionByName(about.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("rep"))), "known")
+    pairs = written(_candidates(found, classes, similarity), "candidates")
+    involved = pairs.select(F.col("a").alias("want"), F.lit(False).alias("unsettled")).unionByName(pairs.select(F.col("b").alias("want"), F.lit(False).alias("unsettled"))).unionByName(classes.where("unsettled").select(F.col("rep").alias("want"), "unsettled"))
+    involved = written(involved.groupBy("want").agg(F.max("unsettled").alias("unsettled")), "involved")
+    held = written(named.join(involved.hint("merge"), F.col("doc_id") == F.col("want")).select(F.col("doc_id").alias("rep"), "text", "unsettled"), "texts")
     # second round
-    again = held.join(unsettled.select(F.col("rep").alias("u_rep")), F.col("rep") == F.col("u_rep"), "left_semi").mapInArrow(_second_rows(buckets), "bucket int, sig binary, rows binary, about binary")
+    again = held.where("unsettled").select("rep", "text").mapInArrow(_second_rows(buckets), "bucket int, sig binary, rows binary, about binary")
     second = written(again.groupBy("bucket").applyInArrow(_second_round(RARE_AGAIN), FOUND), "second")
-    sizes = known.where("n > 0").groupBy("rep").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    x, y = sizes.select(F.col("rep").alias("x"), F.col("lo").alias("xl"), F.col("hi").alias("xh")), sizes.select(F.col("rep").alias("y"), F.col("lo").alias("yl"), F.col("hi").alias("yh"))
-    more = second.where("kind = 1").select("a", "b").distinct().join(x, F.col("a") == F.col("x")).join(y, F.col("b") == F.col("y"))
-    more = more.where((F.col("xh") * 100 >= F.col("yl") * similarity) & (F.col("yh") * 100 >= F.col("xl") * similarity)).select("a", "b")
-    pairs = pairs.unionByName(more).distinct()
-    links = written(_two_steps(written(pairs, "pairs"), held, similarity), "links")
+    held = held.select("rep", "text")
+    sizes = classes.select("rep", "n", (F.col("touched") - F.col("own_allowed") - 1).alias("own_room"), (F.col("touched_below") - F.col("below_allowed") - 1).alias("below_room"))
+    spans = classes.groupBy("rep").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    more = second.where("kind = 1").select("a", "b").distinct()
+    for side in "ab":
+        more = more.join(spans.select(F.col("rep").alias(f"{side}_rep"), F.col("lo").alias(f"{side}_lo"), F.col("hi").alias(f"{side}_hi")), F.col(side) == F.col(f"{side}_rep"))
+    more = more.where((F.col("a_hi") * 100 >= F.col("b_lo") * similarity) & (F.col("b_hi") * 100 >= F.col("a_lo") * similarity)).select("a", "b")
+    links = verified(written(pairs.unionByName(more).distinct(), "pairs"), held, similarity)
+    # versions of a document belong together
+    several = known.where("n > 0").groupBy(F.col("doc_id").alias("a")).agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
+    links = written(links.unionByName(several.select(F.col("low").alias("a"), F.col("high").alias("b"))), "links")
     # third round
-    tag = F.col("c")
-    lost = second.where("kind = 3").select(F.col("b").alias("doc"), F.floor(tag / (1 << 40)).alias("turn"), F.floor((tag % (1 << 40)) / 4).alias("segment"), (tag % 2 == 0).alias("whole"), (tag % 4 >= 2).alias("several"))
-    lost = lost.groupBy("doc", "turn", "segment").agg(F.max(F.when(F.col("whole"), F.when(F.col("several"), 2).otherwise(1)).otherwise(1)).alias("units")).groupBy("doc").pivot("turn", [0, 1]).agg(F.sum("units"))
-    lost = lost.select(F.col("doc").alias("x_doc"), F.coalesce(F.col("0"), F.lit(0)).alias("x0"), F.coalesce(F.col("1"), F.lit(0)).alias("x1"))
-    spare = second.where("kind = 0").select(F.col("a").alias("doc"), F.col("b").alias("s0"), F.col("c").alias("s1"))
-    late = written(spare.join(lost, F.col("doc") == F.col("x_doc"), "left").fillna(0, ["x0", "x1"]).where("x0 > s0 or x1 > s1").select(F.col("doc").alias("late"), F.least("s0", "s1").alias("spare")), "late")
-    rows3 = second.where("kind = 3").select(F.col("a").alias("sig"), F.col("b").alias("doc")).distinct().join(late.select("late"), F.col("doc") == F.col("late"), "left_semi")
-    # sets of so few segments that even all of them would not do meet in one group of their own size
-    poor = late.where("spare < 0").join(known.select(F.col("rep").alias("n_rep"), "n").distinct(), F.col("late") == F.col("n_rep")).select((F.floor(F.log2("n") * 3)).alias("size"), "late")
-    poor = poor.select(F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("sig"), F.col("late").alias("doc"))
-    sized = rows3.unionByName(poor).join(known.groupBy(F.col("rep").alias("n_rep")).agg(F.min("n").alias("n")), F.col("doc") == F.col("n_rep")).select("sig", "doc", "n")
-    links = _large_groups(written(sized, "large"), held, links, similarity)
-    labels = components(links)
-    done = _labelled(known, labels, "rep", "component_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("rep").alias("class_id"))
+    late = written(_late(second), "late")
+    if not late.isEmpty():
+        links = _large_groups(written(_kept_segments(second, late, sizes, similarity), "kept"), held, links, similarity)
+    done = _labelled(known, components(links), "rep", "component_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("rep").alias("class_id"))
     unnamed = rows.where("doc_id is null").mapInArrow(_sizes, "doc_id long, n_shingles long, component_id long, class_id long")
     return done.unionByName(unnamed)
 
 
-def _parity(n: str) -> Column:
-    """0 or 1: the parity of the band of n. Bands are few, so their bounds are spelled out."""
-    out = F.lit(0)
-    for i in range(60, -1, -1):
-        out = F.when(F.col(n) <= _top(i), F.lit(i & 1)).otherwise(out)
-    return out
-
-
-def _two_steps(pairs: DataFrame, held: DataFrame, similarity: int) -> DataFrame:
-    """Links that connect all that the pairs' links connect. Each set is first compared with its smallest candidate; pairs within the components so found need no comparison."""
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = written(verified(first, held).where(_linked(similarity)).select("a", "b"), "links")
-    labels = components(links)
-    rest = _labelled(_labelled(pairs, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb").select("a", "b")
-    rest = rest.join(first.select(F.col("a").alias("f_a"), F.col("b").alias("f_b")), (F.col("a") == F.col("f_a")) & (F.col("b") == F.col("f_b")), "left_anti")
-    return links.unionByName(verified(rest, held).where(_linked(similarity)).select("a", "b"))
-
-
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ids, data in _chunks(batches):
         none = pa.nulls(len(ids), pa.int64())

@@ -1,8 +1,10 @@
-"""Sets of hashed word shingles, a chunk of texts at a time."""
+"""Sets of word shingles, hashed or numbered, a chunk of texts at a time."""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 WORDS = 5
 
@@ -81,3 +83,28 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np
     h, owner = h[order], owner[order]
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])
     return h[new], np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=len(texts)))])
+
+
+def exact_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Like shingle_sets, with numbers in place of hashes: equal shingles of these texts have equal numbers, different ones different numbers."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat = pc.list_flatten(split)
+    owner = pc.list_parent_indices(split).to_numpy().astype(np.int64)
+    full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    coded = pc.dictionary_encode(flat)
+    word, kinds, owner = coded.indices.to_numpy().astype(np.int64)[full] + 1, len(coded.dictionary) + 1, owner[full]
+    count = np.bincount(owner, minlength=len(texts))
+    # short texts are filled with the number 0, which no word has
+    missing = np.where(count > 0, np.maximum(0, words - count), 0)
+    at = np.repeat(np.cumsum(count), missing)
+    word, owner = np.insert(word, at, 0), np.insert(owner, at, np.repeat(np.arange(len(texts)), missing))
+    if len(word) < words:
+        return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+    key = word[: len(word) - words + 1]
+    for j in range(1, words):
+        _, key = np.unique(key * kinds + word[j : len(word) - words + 1 + j], return_inverse=True)
+    whole = owner[words - 1 :] == owner[: len(owner) - words + 1]
+    key, owner = key[whole], owner[: len(whole)][whole]
+    most = int(key.max(initial=0)) + 1
+    distinct = np.unique(owner * most + key)
+    return distinct % most, np.concatenate([[0], np.cumsum(np.bincount(distinct // most, minlength=len(texts)))])

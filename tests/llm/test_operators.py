@@ -84,6 +84,62 @@ def test_jaccard_components(docs, cases, rare, monkeypatch):
     assert got.where("doc_id is null").select("n_shingles", "component_id").first() == (1, None)
 
 
+def test_jaccard_of_tables_without_words(spark):
+    rows = [(1, None), (2, ""), (3, "  \n"), (4, "\t"), (3, None)]
+    for parts in (1, 5):
+        got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == [(1, 0, 1), (2, 0, 2), (3, 0, 3), (3, 0, 3), (4, 0, 4)]
+
+
+@pytest.mark.parametrize("block", [1 << 22, 4000])
+def test_jaccard_components_of_large_groups(spark, block, monkeypatch):
+    """Groups of near copies whose members reach each other only through others, in one block and in several; versions of a document; very small sets."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", block)
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(4):
+        w = _words(rng, 80).split()
+        for i in range(60):
+            if i % 7 == 0:
+                w[rng.integers(80)] = f"step{g}x{i}"
+            own = list(w)
+            if i % 3:
+                own[rng.integers(80)] = f"own{g}x{i}"
+            rows.append((1000 * g + i, " ".join(own)))
+    rows += [(9000 + n, " ".join(f"s{k}" for k in range(n))) for n in range(1, 30)]
+    rows += [(9100, rows[0][1]), (9100, rows[70][1])]
+    sets, root = [], {}
+    for i, t in rows:
+        w = t.split()
+        sets.append((i, {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or {tuple(w)}))
+        root[i] = i
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, (a, x) in enumerate(sets):
+        for b, y in sets[:k]:
+            both = len(x & y)
+            if a == b or 100 * both >= 80 * (len(x) + len(y) - both):
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert got.count() == len(rows) and _by_id(got, "component_id") == {i: (find(i),) for i, _ in rows}
+
+
+def test_exact_sets_agree_with_hashed_ones(cases):
+    import pyarrow as pa
+
+    from citeloom.llm import shingles
+
+    texts = [t or "" for _, t in cases]
+    a, b = shingles.exact_sets(pa.array(texts, pa.large_string())), shingles.shingle_sets([t.encode() for t in texts])
+    assert np.diff(a[1]).tolist() == np.diff(b[1]).tolist()
+    assert len(np.unique(a[0])) == len(np.unique(b[0]))
+
+
 def test_media(docs, cases):
     got = queries.F  # the module's functions, for the digest column below
     rows = media.media_features(media.media_column(docs)).withColumn("feature", got.hex("hash")).collect()
