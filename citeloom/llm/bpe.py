@@ -26,8 +26,6 @@ WORD_BYTES = 48
 #: A task forgets the rare words it has encoded when it holds so many.
 TASK_WORDS = 2**17
 LINE_WORDS = 128
-#: Rows of a batch: ids and pieces of a text take several times its own size.
-BATCH_ROWS = 64
 #: Bytes of text or numbers of ids that a worker turns into objects at once.
 SLICE = 2**20
 WHITE = r"[ \t\n\x0B\f\r]+"
@@ -103,17 +101,17 @@ def bpe_encode(docs: DataFrame, path: str, most: int = TABLE_WORDS) -> DataFrame
     path names the tokenizer's file, which each worker reads.
     """
     spark = docs.sparkSession
-    small_batches(spark, BATCH_ROWS)
+    small_batches(spark)
     table = spark.sparkContext.broadcast({bytes(r["word"]): bytes(r["ids"]) for r in word_table(docs, path, most).toLocalIterator()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known = None, dict(table.value)
         for b in _slices(batches, "text", SLICE):
             split = [x.split() for x in b.column("text").cast(pa.binary()).to_pylist()]
-            new = set().union(*split) - known.keys()
+            new = set().union(*split).difference(known)
             if len(known) - len(table.value) + len(new) > TASK_WORDS:
                 known = dict(table.value)
-                new = set().union(*split) - known.keys()
+                new = set().union(*split).difference(known)
             if new:
                 own = own or _tokenizer(path)
                 new = list(new)
@@ -131,7 +129,7 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
 
     Null ids, like none, give an empty text; ids outside the vocabulary are passed over. A file that names a decoder is refused.
     """
-    small_batches(encoded.sparkSession, BATCH_ROWS)
+    small_batches(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _tokenizer(path)

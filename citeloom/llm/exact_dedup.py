@@ -6,7 +6,8 @@ are identical just when byte length and final number are.
 
 Block contents travel once, in an aggregation that keeps one row per content and task. Rows then
 carry a 64-bit key; the naming table counts the contents behind each key, and keys with more than one
-content are named by content, so no name rests on a hash.
+content are named by content, so no name rests on a hash. Rows that share a doc_id, or have none, are told
+apart by byte length and a 64-bit hash of their texts while their blocks are put together.
 """
 
 from __future__ import annotations

@@ -395,7 +395,7 @@ def _labelled(rows: DataFrame, labels: DataFrame, node: str, into: str) -> DataF
 
 def _large_groups(rows: DataFrame, held: DataFrame, links: DataFrame, similarity: int) -> DataFrame:
     """links and those among sets that share frequent signatures. rows: sig, doc."""
-    first = rows.groupBy(F.col("sig").alias("f_sig")).agg(F.min("doc").alias("pivot"))
+    first = written(rows.groupBy(F.col("sig").alias("f_sig")).agg(F.min("doc").alias("pivot")), "pivots")
     hoods = components(rows.join(first, F.col("sig") == F.col("f_sig")).select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct())
     members = _labelled(hoods.select(F.col("node").alias("doc"), F.col("label").alias("hood")), components(links), "doc", "comp")
     members = written(members, "hoods")

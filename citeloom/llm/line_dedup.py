@@ -2,11 +2,11 @@
 
 Tasks set the bits of each line key in a filter of keys seen once and, where a bit is already set by
 another document, in a filter of bits seen twice. Filter segments are merged by segment. Only lines whose bits
-are all in the second filter can repeat; just these are shuffled, by their text, for the exact count
+are all in the second filter can repeat; just these are shuffled, as 128-bit digests of their keys, for the exact count
 and the choice of the document that keeps them.
 
 The filter has a fixed number of bits, so its broadcast has a fixed size. Beyond its capacity more
-lines are suspected and shuffled; the result is the same.
+lines are suspected and shuffled, all of them in the end; that is a row of three integers for each line, whatever its length, and the result is the same.
 """
 
 from __future__ import annotations
@@ -37,8 +37,12 @@ def keys_of(text: str, least: int) -> list[bytes | None]:
     return out
 
 
-def _bits(keys: list[bytes], bits: int) -> np.ndarray:
-    h = np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), dtype=np.uint64, count=len(keys))
+def _digests(keys: list[bytes]) -> np.ndarray:
+    """128 bits of each key, as two integers."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, keys)), ">u8").astype(np.uint64).reshape(-1, 2)
+
+
+def _bits(h: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([h % np.uint64(bits), (h >> np.uint64(32)) * np.uint64(0x9E3779B1) % np.uint64(bits)])
 
 
@@ -50,7 +54,7 @@ def _local_filters(least: int, bits: int, segment: int):
             for text in b.column("text").to_pylist():
                 keys = list({k for k in keys_of(text, least) if k is not None})
                 if keys:
-                    found.append(np.unique(_bits(keys, bits)))
+                    found.append(np.unique(_bits(_digests(keys)[:, 1], bits)))
             if not found:
                 continue
             pos, n = np.unique(np.concatenate(found), return_counts=True)
@@ -95,16 +99,17 @@ def _suspects(least: int, bits: int, segment: int, shared):
         for s, blob in shared.value:
             twice[s * segment // 8 : (s + 1) * segment // 8] = np.frombuffer(zlib.decompress(blob), np.uint8)
         for b in batches:
-            ids, keys = [], []
+            ids, found = [], [np.zeros((0, 2), np.uint64)]
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 own = list({k for k in keys_of(text, least) if k is not None})
                 if own and i is not None:
-                    pos = _bits(own, bits).astype(np.int64)
-                    hit = ((twice[pos >> 3] >> (pos & 7).astype(np.uint8)) & 1).all(axis=0)
-                    own = [k for k, x in zip(own, hit, strict=True) if x]
-                    ids += [i] * len(own)
-                    keys += own
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "key": pa.array(keys, pa.binary())})
+                    digests = _digests(own)
+                    pos = _bits(digests[:, 1], bits).astype(np.int64)
+                    digests = digests[((twice[pos >> 3] >> (pos & 7).astype(np.uint8)) & 1).all(axis=0)]
+                    ids += [i] * len(digests)
+                    found.append(digests)
+            halves = np.concatenate(found).view(np.int64)
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "hi": halves[:, 0], "lo": halves[:, 1]})
 
     return run
 
@@ -117,8 +122,10 @@ def _rewritten(least: int):
                 own = text.split("\n")
                 lines.append(len(own))
                 if drop:
-                    drop = set(drop)
-                    own = [x for x, k in zip(own, keys_of(text, least), strict=True) if k is None or k not in drop]
+                    drop = {(x["hi"], x["lo"]) for x in drop}
+                    keys = keys_of(text, least)
+                    digests = _digests([k or b"" for k in keys]).view(np.int64).tolist()
+                    own = [x for x, k, d in zip(own, keys, digests, strict=True) if k is None or tuple(d) not in drop]
                     text = "\n".join(own)
                 gone.append(lines[-1] - len(own))
                 kept.append(text)
@@ -128,16 +135,16 @@ def _rewritten(least: int):
 
 
 def repeated_keys(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """doc_id and key of each line key that a document loses."""
+    """doc_id and digest (hi, lo) of each line key that a document loses."""
     spark = docs.sparkSession
     segment = min(SEGMENT_BITS, filter_bits)
     rows = texts(docs)
     local = rows.where("doc_id is not null").select("text").mapInArrow(_local_filters(least_chars, filter_bits, segment), "segment int, once binary, twice binary")
     merged = local.repartition(partitions(spark), "segment").sortWithinPartitions("segment").mapInArrow(_merged(segment), "segment int, twice binary")
     shared = spark.sparkContext.broadcast([(r["segment"], bytes(r["twice"])) for r in merged.collect()])  # filter_bits / 8 bytes at most
-    found = written(rows.mapInArrow(_suspects(least_chars, filter_bits, segment, shared), "doc_id long, key binary").distinct(), "suspects")
-    keys = written(found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= least_docs).select("key", "keep"), "repeated")
-    return found.join(keys, "key").where("doc_id <> keep").select("doc_id", "key")
+    found = written(rows.mapInArrow(_suspects(least_chars, filter_bits, segment, shared), "doc_id long, hi long, lo long").distinct(), "suspects")
+    keys = written(found.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= least_docs).select("hi", "lo", "keep"), "repeated")
+    return found.join(keys, ["hi", "lo"]).where("doc_id <> keep").select("doc_id", "hi", "lo")
 
 
 def line_dedup(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -149,7 +156,7 @@ def line_dedup(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, filt
     count as one document. Rows with a null doc_id are neither counted nor changed. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    drops = repeated_keys(docs, least_chars, least_docs, filter_bits).groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_set("key").alias("drop"))
+    drops = repeated_keys(docs, least_chars, least_docs, filter_bits).groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_set(F.struct("hi", "lo")).alias("drop"))
     rows = texts(docs, rest_of(docs))
     joined = rows.join(drops, F.col("doc_id") == F.col("drop_id"), "left").select("doc_id", "text", "drop", "rest")
     kinds = T.StructType.fromDDL("doc_id long, kept_text string, n_lines long, n_dropped long")

@@ -95,9 +95,21 @@ def _unfiltered(kinds: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return rows
 
 
-@lru_cache(maxsize=4096)
+#: Heights of images up to which the transforms are remembered: 64 bytes a row, so at most 16 MiB in all.
+REMEMBERED_ROWS = 512
+
+
 def _to_low(n: int) -> np.ndarray:
     """8 x n: n samples averaged into 32 cells, then their 8 lowest cosine coefficients."""
+    return _remembered(n) if n <= REMEMBERED_ROWS else _transform(n)
+
+
+@lru_cache(maxsize=REMEMBERED_ROWS)
+def _remembered(n: int) -> np.ndarray:
+    return _transform(n)
+
+
+def _transform(n: int) -> np.ndarray:
     edges = np.arange(33) * n / 32
     cells = np.clip(np.minimum(edges[1:, None], np.arange(1, n + 1)) - np.maximum(edges[:-1, None], np.arange(n)), 0, None) * (32 / n)
     return np.cos(np.pi / 32 * np.outer(np.arange(8), np.arange(32) + 0.5)) @ cells

@@ -1,16 +1,16 @@
 """Packing token ids into windows by multiway differencing.
 
 Documents become ids; full windows are cut off at once and the rest is cut into pieces of bounded length. Pieces are dealt
-by hash into groups of bounded size. In a group, Karmarkar-Karp differencing starts with one partial partition for each piece
+by a hash of piece and row into groups of bounded size. In a group, Karmarkar-Karp differencing starts with one partial partition for each piece
 and always merges the two of the widest spread, largest sums onto smallest, which leaves near-equal
 windows. Where the largest exceeds the capacity, the window count rises by one and differencing starts again.
 """
 
 from __future__ import annotations
 
-import array
-import base64
 import heapq
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -25,23 +25,41 @@ CAPACITY = 2048
 PIECE = 512
 GROUP_PIECES = 384
 END_ID = 1
+#: A task forgets the pieces of text that it has encoded when it holds so many.
+KNOWN_PIECES = 2**19
+CUT = re.compile(r"(?<=\S) ")
+WHITE_RUN = re.compile(r"\s ")
 #: sequence_id is the group's number times this, plus the window's number in the group.
 GROUP_WINDOWS = 1 << 20
 
 
-def encoder(ranks_path: str, pattern: str, specials: dict[str, int]):
-    """text -> ids of the byte-level vocabulary; the special tokens' strings become their ids."""
-    import tiktoken
+def encoder(path: str):
+    """texts -> each one's ids as little-endian unsigned 32-bit integers, by the tokenizers library without special tokens added.
 
-    with open(ranks_path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    own = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=specials)
-    names = tuple(specials)
-
-    def encode(text: str) -> array.array:
-        if any(x in text for x in names):
-            return array.array("I", own.encode(text, allowed_special=set(names)))
-        return array.array("I", own.encode_ordinary(text))
+    A text is cut before each space that follows something other than white space. The byte-level vocabulary's pattern ends a token there at the latest and looks
+    no further back, so the pieces' ids are the text's; a piece met before is not encoded again until KNOWN_PIECES are held.
+    """
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(path)
+    own.no_truncation()
+    own.no_padding()
+    known: dict[str, bytes] = {}
+
+    def ids(lines: list[str]) -> Iterator[bytes]:
+        for x in own.encode_batch_fast(lines, add_special_tokens=False):
+            yield struct.pack(f"<{len(x)}I", *x.ids)
+
+    def encode(texts: list[str]) -> list[bytes]:
+        split = [CUT.split(t) if WHITE_RUN.search(t) else t.split(" ") for t in texts]
+        heads = [x.pop(0) for x in split]
+        new = set().union(*split).difference(known)
+        if len(known) + len(new) > KNOWN_PIECES:
+            known.clear()
+            new = set().union(*split)
+        new = list(new)
+        known.update(zip(new, ids([" " + x for x in new]), strict=True))
+        return [b"".join([h, *map(known.__getitem__, x)]) for h, x in zip(ids(heads), split, strict=True)]
 
     return encode
 
@@ -113,14 +131,12 @@ def packed(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
 
 def _pieces(make, capacity: int, piece: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = make()
+        encode, end = make(), struct.pack("<I", END_ID)
         for b in batches:
             rows: list[tuple] = []
-            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = encode(text)
-                ids.append(END_ID)
-                data = memoryview(ids.tobytes())
-                rows += [(i, start, n, zlib.crc32(data[4 * start : 4 * (start + n)]), len(ids)) for start, n in cuts(len(ids), capacity, piece)]
+            for i, ids in zip(b.column("doc_id").to_pylist(), encode(b.column("text").to_pylist()), strict=True):
+                data, n = memoryview(ids + end), len(ids) // 4 + 1
+                rows += [(i, start, size, zlib.crc32(data[4 * start : 4 * (start + size)]), n) for start, size in cuts(n, capacity, piece)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return run
@@ -150,7 +166,7 @@ def _windows(capacity: int):
 def pack_documents(docs: DataFrame, make, capacity: int = CAPACITY, piece: int = PIECE, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    make() gives a worker its function from text to an array of ids; END_ID follows each document's. Each id lies in exactly one piece, each piece in
+    make() gives a worker its function from texts to ids (as bytes, see encoder()); END_ID follows each document's. Each id lies in exactly one piece, each piece in
     exactly one window of at most capacity ids; window numbers have gaps. A null or empty text is the END_ID alone. Repeated rows are
     packed as often as they occur, rows with a null doc_id like others. An empty table gives an empty result; other columns are ignored.
     """
@@ -158,5 +174,6 @@ def pack_documents(docs: DataFrame, make, capacity: int = CAPACITY, piece: int =
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
     pieces = written(texts(docs).mapInArrow(_pieces(make, capacity, piece), kinds), "pieces")
     groups = max(1, pieces.count() // group_pieces)
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    # the row's number deals out repeated rows, and rows without an id, like any others
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("group").applyInArrow(_windows(capacity), f"{kinds}, sequence_id long, offset long")

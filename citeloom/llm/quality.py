@@ -70,10 +70,11 @@ class Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
-    """The classifier, from at most `rows` labelled documents; without labels of both kinds it finds every document good."""
+    """The classifier, from at most `rows` labelled documents; without labels of both kinds it finds every document good. Where labels of one document disagree, the worse holds; of
+    several texts of one doc_id the first in order counts."""
     own = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("quality").cast("int").alias("quality")).where("label_id is not null and quality in (0, 1)")
-    chosen = own.dropDuplicates(["label_id"]).orderBy(F.xxhash64("label_id"), "label_id").limit(rows)
-    sample = texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("text", "quality")
+    chosen = own.groupBy("label_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("label_id"), "label_id").limit(rows)
+    sample = texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).groupBy("label_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality")).select("text", "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -18,11 +18,9 @@ def tokenizer_file(name: str) -> str:
 
 
 def packing_encoder():
-    import public_tokenizers
-
     from .packing import encoder
 
-    return encoder(tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
+    return encoder(tokenizer_file("byte_bpe_50k.json"))
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

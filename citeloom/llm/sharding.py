@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, written
 
 
 def jump_hash(key: Column, shards: int) -> Column:
@@ -28,29 +28,29 @@ def jump_hash(key: Column, shards: int) -> Column:
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     """One row for each row of docs: doc_id, size (UTF-8 bytes + 8), text_crc32, law, shard, slot, grown_shard.
 
-    slot numbers a shard's rows from 0 without gaps: rows are ordered within hash buckets, and a
-    bucket starts where the counts of those before it end, so no task holds a whole shard.
+    slot numbers a shard's rows from 0 without gaps: distinct rows are ordered within hash buckets of id and text, and a
+    bucket starts where the counts of those before it end, so no task holds a whole shard; repeated rows travel as one with their number.
     A null text counts as empty (size 8, crc32 0). A null doc_id hashes like a value of its own.
     Repeated rows get slots of their own. An empty table gives an empty result. Columns other than doc_id and
     text are ignored.
     """
     spark = docs.sparkSession
     key, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    bucket = F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(4 * partitions(spark))).cast("int")
-    ids = docs.select(key.alias("doc_id"), jump_hash(key, shards).alias("shard"), bucket.alias("bucket"))
-    counts = ids.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col("shard").alias("at_shard"), F.col("bucket").alias("at_bucket"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     rows = docs.select(
         key.alias("doc_id"),
         (F.octet_length(text).cast("long") + F.lit(8)).alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         jump_hash(key, shards).alias("shard"),
         jump_hash(key, shards + 1).alias("grown_shard"),
-        bucket.alias("bucket"),
     )
-    within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("rank", F.row_number().over(within) - 1)
+    bucket = F.pmod(F.xxhash64("doc_id", "size", "text_crc32", F.lit("slot")), F.lit(4 * partitions(spark))).cast("int")
+    distinct = written(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", bucket), "sharded")
+    counts = distinct.groupBy("shard", "bucket").agg(F.sum("n").alias("k"))
+    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("shard").alias("at_shard"), F.col("bucket").alias("at_bucket"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("first"))
+    within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = distinct.withColumn("rank", F.coalesce(F.sum("n").over(within), F.lit(0)))
+    first = F.col("rank") + F.col("first")
     return ranked.join(starts, (F.col("shard") == F.col("at_shard")) & (F.col("bucket") == F.col("at_bucket"))).select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("rank") + F.col("first")).cast("long").alias("slot"), "grown_shard"
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.explode(F.sequence(first, first + F.col("n") - 1)).alias("slot"), "grown_shard"
     )

@@ -180,15 +180,17 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """text and toxic of at most `rows` labelled documents that are not held out."""
+    """text and toxic of at most `rows` labelled documents that are not held out, one row for each text. Where labels of one document or text disagree, toxic holds; of several texts of one
+    doc_id the first in order counts."""
     own = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).where("label_id is not null and toxic in (0, 1)").where(~is_held_out(F.col("label_id")))
-    chosen = own.dropDuplicates(["label_id"]).orderBy(F.xxhash64("label_id"), "label_id").limit(rows)
-    return texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("text", "toxic")
+    chosen = own.groupBy("label_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("label_id"), "label_id").limit(rows)
+    found = texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+    return found.groupBy("label_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).groupBy("text").agg(F.max("toxic").alias("toxic"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
     """The lexicon from grouped counts over the sample, then the weights of misspellings and the curve from the sample's evidence."""
-    sample = _sample(docs, labels, rows).dropDuplicates(["text"]).persist()
+    sample = _sample(docs, labels, rows).persist()
     words = sample.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}\p{N}_]+"))).alias("word")).where(F.length("word") >= min(STEM_CHARS))
     whole = words.groupBy("word").agg(F.sum("toxic").alias("pos"), F.count(F.lit(1)).alias("n"))
     stems = whole.select("word", "pos", "n", F.explode(F.array(*(F.lit(n) for n in STEM_CHARS))).alias("size")).where(F.length("word") > F.col("size"))

@@ -265,9 +265,10 @@ def test_packing(docs, cases):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(queries.tokenizer_file("byte_bpe_50k.json"))
-    more = docs.sparkSession.createDataFrame([(9000, "x <|endoftext|> y  z\r\n\n q")], "doc_id long, text string")
+    odd = ["x <|endoftext|> y  z\r\n\n q", " a  b\t c\n d \x1c e\x1c f\x85 g\u3000 h ", "  two", "it's 12 x12's <|endoftext|>\n <|endoftext|>z ", " \n ", "\ufeff ĳ ſ İ \u200b x\u200b y"]
+    more = docs.sparkSession.createDataFrame([(9000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string")
     rows = packing.pack_documents(docs.where("doc_id is not null").select("doc_id", "text").dropDuplicates().unionByName(more), queries.packing_encoder, group_pieces=20).collect()
-    texts = dict(cases) | {9000: "x <|endoftext|> y  z\r\n\n q"}
+    texts = dict(cases) | {9000 + i: t for i, t in enumerate(odd)}
     by, windows = defaultdict(list), defaultdict(list)
     for r in rows:
         by[r["doc_id"]].append(r)
@@ -289,6 +290,14 @@ def test_packing(docs, cases):
         assert at <= 2048
 
 
+def test_packing_deals_out_repeated_rows(spark):
+    """Equal rows, with and without an id, do not meet in one group."""
+    rows = [(None, "same text"), (5, "another text")] * 400
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), queries.packing_encoder, group_pieces=40).collect()
+    groups = Counter(r["sequence_id"] // packing.GROUP_WINDOWS for r in got)
+    assert len(got) == 800 and len(groups) == 20 and max(groups.values()) < 120
+
+
 def test_differencing_is_near_equal():
     sizes = np.random.default_rng(3).integers(1, 512, 400)
     at = packing.packed(sizes)
@@ -368,10 +377,20 @@ def test_pipeline_stages_keep_the_columns(spark, docs, tmp_path):
     labels.limit(0).write.parquet(f"{tmp_path}/labels.parquet")  # without labels the classifier keeps all
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     at = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
         out = stage(spark, at, str(tmp_path))
         assert out.columns == docs.columns, name
-        at = out.cache()
-    kept = {r["doc_id"] for r in at.collect()}
-    assert 100 in kept and not kept & set(range(101, 130)) and None in kept
+        out.write.parquet(f"{tmp_path}/stage{k}")
+        at = spark.read.parquet(f"{tmp_path}/stage{k}")
+        kept = {r["doc_id"]: r["text"] for r in at.collect()}
+        # one line, held by 30 documents: the line stage leaves it to the largest id, and those that it empties go
+        assert kept.keys() & set(range(100, 130)) == (set(range(100, 130)) if k == 0 else {129}), name
+        assert None in kept and kept[7] in (None, "") and kept[3] == "" and kept[9].strip() == "", name
+        # 60 near copies of it, with edits; the near stage leaves the smallest id
+        assert (len(kept.keys() & set(range(941, 1001))) == 60) == (k < 2), name
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    for blank in ([], [(1, None), (2, ""), (None, " "), (1, None)]):
+        at = spark.createDataFrame([(i, t, None, None, None, None, None, None) for i, t in blank], SCHEMA)
+        for _, stage in corpus_pipeline.STAGES:
+            at = stage(spark, at, str(tmp_path)).persist()
+            assert at.count() == len(blank)
