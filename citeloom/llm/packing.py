@@ -8,8 +8,9 @@ windows. Where the largest exceeds the capacity, the window count rises by one a
 
 from __future__ import annotations
 
+import base64
 import heapq
-import re
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,43 +26,43 @@ CAPACITY = 2048
 PIECE = 512
 GROUP_PIECES = 384
 END_ID = 1
-#: A task forgets the pieces of text that it has encoded when it holds so many.
-KNOWN_PIECES = 2**19
-CUT = re.compile(r"(?<=\S) ")
-WHITE_RUN = re.compile(r"\s ")
 #: sequence_id is the group's number times this, plus the window's number in the group.
 GROUP_WINDOWS = 1 << 20
 
 
-def encoder(path: str):
-    """texts -> each one's ids as little-endian unsigned 32-bit integers, by the tokenizers library without special tokens added.
+def _special(tokenizer_path: str) -> dict[str, int]:
+    """Strings that the tokenizers library reads as ids of their own."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        return {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
 
-    A text is cut before each space that follows something other than white space. The byte-level vocabulary's pattern ends a token there at the latest and looks
-    no further back, so the pieces' ids are the text's; a piece met before is not encoded again until KNOWN_PIECES are held.
+
+def encoder(tokenizer_path: str, ranks_path: str, pattern: str):
+    """texts -> each one's ids as little-endian unsigned 32-bit integers, those that the tokenizers library gives for tokenizer_path without special tokens added.
+
+    They are computed from the same vocabulary in the form of ranks, by a faster library; library_encoder() is the slower way to the same ids.
     """
+    import tiktoken
+
+    with open(ranks_path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    names = _special(tokenizer_path)
+    own = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=names)
+
+    def ids(text: str) -> bytes:
+        found = own.encode(text, allowed_special=set(names)) if any(x in text for x in names) else own.encode_ordinary(text)
+        return np.array(found, "<u4").tobytes()
+
+    return lambda texts: [ids(t) for t in texts]
+
+
+def library_encoder(tokenizer_path: str):
+    """Like encoder(), by the tokenizers library itself."""
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(path)
+    own = Tokenizer.from_file(tokenizer_path)
     own.no_truncation()
     own.no_padding()
-    known: dict[str, bytes] = {}
-
-    def ids(lines: list[str]) -> Iterator[bytes]:
-        for x in own.encode_batch_fast(lines, add_special_tokens=False):
-            yield struct.pack(f"<{len(x)}I", *x.ids)
-
-    def encode(texts: list[str]) -> list[bytes]:
-        split = [CUT.split(t) if WHITE_RUN.search(t) else t.split(" ") for t in texts]
-        heads = [x.pop(0) for x in split]
-        new = set().union(*split).difference(known)
-        if len(known) + len(new) > KNOWN_PIECES:
-            known.clear()
-            new = set().union(*split)
-        new = list(new)
-        known.update(zip(new, ids([" " + x for x in new]), strict=True))
-        return [b"".join([h, *map(known.__getitem__, x)]) for h, x in zip(ids(heads), split, strict=True)]
-
-    return encode
+    return lambda texts: [np.array(x.ids, "<u4").tobytes() for x in own.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def cuts(n: int, capacity: int = CAPACITY, piece: int = PIECE) -> list[tuple[int, int]]:

@@ -18,9 +18,11 @@ def tokenizer_file(name: str) -> str:
 
 
 def packing_encoder():
+    import public_tokenizers
+
     from .packing import encoder
 
-    return encoder(tokenizer_file("byte_bpe_50k.json"))
+    return encoder(tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,9 +25,9 @@ from .common import partitions, rest_of, small_batches, texts
 
 WINDOW, GRAM = 50, 20
 SHALLOW_WORDS = 3
-CHUNK_BYTES = 1 << 21
-FLUSH_ANCHORS = 1 << 21
-FLUSH_STRETCHES = 1 << 18
+CHUNK_BYTES = 1 << 20
+FLUSH_ANCHORS = 1 << 20
+FLUSH_STRETCHES = 1 << 17
 BUCKETS_PER_PARTITION = 2
 
 #: What a document is told of its shared anchors: 32 bits of each hash. A chance agreement sends a stretch too many, no more.
