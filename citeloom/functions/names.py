@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,9 +19,25 @@ def norm_title_alnum(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), "[^a-z0-9]+", " "))
 
 
+@lru_cache(maxsize=1)
+def _plain_letters() -> tuple[str, str]:
+    """Characters whose compatible form without combining marks is one ASCII character, and these."""
+    pairs = []
+    for ch in map(chr, (*range(0x80, 0xD800), *range(0xF900, 0x10000))):
+        form = "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x))
+        if len(form) == 1 and form.isascii():
+            pairs.append((ch, form))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def unaccented(x: Column) -> Column:
+    """Letters without accents and other marks, full-width and styled letters as plain ones. A built-in expression: characters that stand for several letters, such as ligatures, stay."""
+    return F.regexp_replace(F.translate(x, *_plain_letters()), r"\p{M}", "")
+
+
 def canonical_quote_key(x: Column) -> Column:
-    """The key under which quotes count as one: alphanumeric form, 220 characters at most."""
-    return F.substring(norm_title_alnum(x), 1, 220)
+    """The key under which quotes count as one: without accents, alphanumeric, 220 characters at most."""
+    return F.substring(norm_title_alnum(unaccented(F.coalesce(x, F.lit("")))), 1, 220)
 
 
 def author_list(x: Column) -> Column:

@@ -7,24 +7,34 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions.names import norm_title_alnum
 
+# Fixed value: a sentence.
 SENTENCE = r"[^.!?。！？]+[.!?。！？]?"
 #: A marker range wider than this is read by its bounds only.
 WIDEST_RANGE = 1000
 
 
 def sentences(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, pos, sentence, start and stop, characters of the untrimmed match. Blank pieces go; their length still counts."""
-    parts = texts.select(key, F.posexplode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SENTENCE), F.lit(0))).alias("pos", "raw"), F.coalesce(text, F.lit("")).alias("whole"))
-    # what lies between matches are closing marks that follow one another; each piece's place is found behind the pieces before it
-    lengths = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    seen = parts.withColumn("before", F.coalesce(F.sum(F.length("raw")).over(lengths), F.lit(0)))
-    rows = seen.withColumn("start", (F.expr("locate(raw, whole, int(before) + 1)") - 1).cast("int"))
-    return rows.where(F.trim("raw") != "").select(key, "pos", F.trim("raw").alias("sentence"), "start", (F.col("start") + F.length("raw")).alias("stop"))
+    """key, pos, sentence, start and stop, characters of the untrimmed match. Blank pieces go; their length still counts. A text is read once, in Arrow batches; no row carries more of it than its sentence."""
+    pattern = re.compile(SENTENCE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, rows = [], []
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = [(i, x, m.start(), m.end()) for i, m in enumerate(pattern.finditer(t)) if (x := m.group().strip(" "))]
+                keys += [k] * len(own)
+                rows += own
+            columns = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((keys, *columns), (b.schema[0].type, pa.int32(), pa.string(), pa.int32(), pa.int32()), strict=True)], [key, "pos", "sentence", "start", "stop"])
+
+    kind = texts.select(key).schema[0].dataType.simpleString()
+    return texts.select(key, F.coalesce(text, F.lit("")).alias("t")).mapInArrow(run, f"{key} {kind}, pos int, sentence string, start int, stop int")
 
 
 def target_keywords(title: Column) -> Column:
@@ -99,6 +109,7 @@ def is_grouped(text: Column) -> Column:
     return F.exists(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\[([^\]]+)\]"), F.lit(1)), lambda x: x.rlike(r"\d+\s*[,–—-]\s*\d+"))
 
 
+# Fixed value: the heading of a reference list, its letters spaced or not.
 HEADING = r"(?im)^[ \t]*(?:references|bibliography|r[ \t]*e[ \t]*f[ \t]*e[ \t]*r[ \t]*e[ \t]*n[ \t]*c[ \t]*e[ \t]*s)[ \t]*$"
 
 
@@ -117,16 +128,19 @@ def reference_entries(texts: DataFrame, key: str = "doc_id", text: str = "text")
     return rows.groupBy(key, "marker").agg(F.max_by("entry", "pos").alias("entry")).select(key, "marker", F.trim(F.regexp_replace("entry", r"\s+", " ")).alias("entry"))
 
 
+# Cues of a bibliographic entry.
+BIBLIOGRAPHIC_CUES = [
+    r"\b(?:19|20)\d{2}\b",
+    r"(?i)\b(?:doi|vol\.?|no\.?|pp?\.?|proc\.?|proceedings|journal|transactions?|conference|symposium|workshop|ieee|acm)\b",
+    r"[“\"].{8,}[”\"]",
+    r"^\s*\[\s*\d+\s*\]\s+[A-Z][.\w-]*(?:\s+[A-Z][.\w-]*)*,",
+]
+
+
 def is_bibliographic(entry: Column) -> Column:
     """Two of four cues in 1800 characters at most: a year, a venue word, a quoted title, an author's name after the marker."""
     t = F.trim(F.regexp_replace(F.substring(F.coalesce(entry, F.lit("")), 1, 2500), r"\s+", " "))
-    cues = [
-        r"\b(?:19|20)\d{2}\b",
-        r"(?i)\b(?:doi|vol\.?|no\.?|pp?\.?|proc\.?|proceedings|journal|transactions?|conference|symposium|workshop|ieee|acm)\b",
-        r"[“\"].{8,}[”\"]",
-        r"^\s*\[\s*\d+\s*\]\s+[A-Z][.\w-]*(?:\s+[A-Z][.\w-]*)*,",
-    ]
-    n = sum((t.rlike(x).cast("int") for x in cues), F.lit(0))
+    n = sum((t.rlike(x).cast("int") for x in BIBLIOGRAPHIC_CUES), F.lit(0))
     return (t != "") & (F.length(t) <= 1800) & (n >= 2)
 
 
@@ -175,15 +189,41 @@ def is_reference_entry(text: Column) -> Column:
     return t.rlike(r"^\s*\[\d+\]") & n.rlike(r"\b(19|20)\d{2}\b") & n.rlike(r"\b(proc|conference|journal|vol|pp|doi|arxiv|isbn)\b")
 
 
-def quote_location(quotes: DataFrame, texts: DataFrame, words: int = 5) -> DataFrame:
-    """item_id, doc_id, start (from 0) of exact quotes in texts. A quote is sought by its `words` words after the first, which stand whole in any text that holds it,
-    so only texts with that run of words are read; quotes of fewer than words + 2 words are not located."""
-    q = quotes.select("item_id", F.col("text").alias("quote"), F.split("text", r"\s+").alias("w")).where(F.size("w") >= words + 2)
-    q = q.withColumn("k", F.xxhash64(F.array_join(F.slice("w", 2, words), " ")))
-    runs = texts.select("doc_id", F.split("text", r"\s+").alias("w")).where(F.size("w") >= words)
-    runs = runs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " "))))).alias("r"))
-    hits = q.join(runs, F.col("k") == F.col("r")).select("item_id", F.col("doc_id").alias("d"), "quote")
-    return hits.join(texts, F.col("d") == F.col("doc_id")).select("item_id", "doc_id", (F.instr("text", F.col("quote")) - 1).alias("start")).where("start >= 0")
+#: Quotes are sought by probes of so many characters.
+PROBE_CHARS = 24
+#: So many probes are looked for in a text at once; they are dealt to groups of this size.
+PROBES_AT_ONCE = 50_000
+
+
+def quote_location(quotes: DataFrame, texts: DataFrame, probe: int = PROBE_CHARS) -> DataFrame:
+    """item_id, doc_id, start (from 0) of the first place of exact quotes (item_id, text) in texts (doc_id, text). Blank quotes are not sought; any other length is.
+
+    A quote is nominated by its first `probe` characters, all of them if it has fewer. Groups of probes, of bounded size, go to every text as one automaton; only hits
+    are shuffled, and only they meet the whole quote."""
+    q = quotes.where(F.trim(F.coalesce("text", F.lit(""))) != "").select("item_id", F.col("text").alias("quote"), F.substring("text", 1, probe).alias("probe"))
+    probes = q.select("probe").distinct()
+    groups = max(1, -(-probes.count() // PROBES_AT_ONCE))
+    own = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    hits = None
+    for g in range(groups):  # one pass over the texts for each group: the number of groups is that of the quotes over a constant
+        part = probes.where(F.pmod(F.xxhash64("probe"), F.lit(groups)) == g)
+        shared = texts.sparkSession.sparkContext.broadcast([r[0] for r in part.toLocalIterator()])
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            seek = ahocorasick.Automaton()
+            for p in shared.value:
+                seek.add_word(p, p)
+            seek.make_automaton()
+            for b in batches:
+                rows = [(k, p) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for p in {p for _, p in seek.iter(t)}] if len(seek) else []
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], b.schema[0].type), pa.array([p for _, p in rows], pa.string())], ["d", "found"])
+
+        found = own.mapInArrow(run, f"d {own.schema[0].dataType.simpleString()}, found string")
+        hits = found if hits is None else hits.unionByName(found)
+    met = q.join(hits, F.col("probe") == F.col("found")).select("item_id", "d", "quote")
+    return met.join(own, F.col("d") == F.col("doc_id")).select("item_id", "doc_id", (F.instr("text", F.col("quote")) - 1).alias("start")).where("start >= 0")
 
 
 def ascii_form(value: str) -> str:
@@ -208,42 +248,3 @@ def normal_forms(texts: DataFrame, key: str, text: str) -> DataFrame:
             yield pd.DataFrame({key: b[key], "ascii_form": b["t"].map(ascii_form), "biblio_form": b["t"].map(biblio_form)})
 
     return texts.select(key, F.coalesce(text, F.lit("")).alias("t")).mapInPandas(run, f"{key} long, ascii_form string, biblio_form string")
-
-
-def contexts_of(text: str, marker: str, window: int = 1200, most: int = 10) -> list[tuple[int, int, str, str]]:
-    """(start, stop, kind, heading) of windows around a marker's places: exact, grouped or range; overlapping repeats of one window go."""
-    n, half, out, last = int(marker), max(400, window // 2), [], -1
-    for m in re.finditer(r"\[([^\]]+)\](?:\s*[-–—]\s*\[(\d+)\])?", text):
-        inner, kind = m.group(1).replace("–", "-").replace("—", "-"), None
-        if m.group(2) and inner.strip().isdigit():
-            lo, hi = sorted((int(inner), int(m.group(2))))
-            kind = "range" if lo <= n <= hi else None
-        else:
-            for part in inner.split(","):
-                ends = [x.strip() for x in part.split("-", 1)]
-                if all(x.isdigit() for x in ends) and min(map(int, ends)) <= n <= max(map(int, ends)):
-                    kind = "range" if len(ends) == 2 else "grouped" if "," in inner else "exact"
-        if kind and m.start() - half > last:
-            heads = re.findall(r"(?m)^(?:\d+(?:\.\d+)*\.?\s+)?([A-Z][A-Za-z ]{3,60})$", text[: m.start()])
-            out.append((max(0, m.start() - half), min(len(text), m.end() + half), kind, heads[-1] if heads else ""))
-            last = max(0, m.start() - half)
-        if len(out) >= most:
-            break
-    return out
-
-
-def target_contexts(texts: DataFrame, key: str = "doc_id", text: str = "marked", marker: str = "target_marker") -> DataFrame:
-    """key, ordinal, start, stop, kind, heading: the windows in which a text cites its target, in Arrow batches."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(k, i, *c) for k, t, m in zip(b["k"], b["t"], b["m"], strict=True) if isinstance(m, str) and m.isdigit() for i, c in enumerate(contexts_of(t, m))]
-            yield pd.DataFrame(rows, columns=[key, "ordinal", "start", "stop", "kind", "heading"])
-
-    return texts.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("t"), F.col(marker).alias("m")).mapInPandas(run, f"{key} long, ordinal int, start int, stop int, kind string, heading string")
-
-
-def compact_text(text: Column, contexts: Column, budget: int = 12000) -> Column:
-    """The beginning, named sections and contexts of a text, cut to a budget of characters."""
-    sections = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?im)^(?:abstract|introduction|related work|conclusions?)$[\s\S]{0,5000}"), F.lit(0))
-    return F.substring(F.concat_ws("\n\n", F.substring(text, 1, 4000), F.array_join(sections, "\n\n"), contexts), 1, budget)

@@ -57,38 +57,149 @@ def cards(evidence: DataFrame, items: DataFrame, matches: DataFrame | None = Non
     return rows.select("session_id", "evidence_id", "item_id", "card_type", title.alias("card_title"), F.concat(F.lit("cites "), "cited_title").alias("subtitle"), F.col("citation_text").alias("evidence_quote"), "strength", "review_status", include.alias("include_in_report"), order.alias("sort_order"))
 
 
-def _quotes_agree(a: str, b: str) -> bool:
+def quotes_agree(a: str, b: str) -> bool:
+    """Whether two quote keys say the same: one holds the other, or all but two words of the one with fewer characters (five at least) are in the other."""
     if not a or not b:
         return False
     if a in b or b in a:
         return True
-    short, long = sorted((a.split(), b.split()), key=len)
-    held = set(long)
-    return sum(w in held for w in short) >= max(5, len(short) - 2)
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    words, held = short.split(), set(long.split())
+    return sum(w in held for w in words) >= max(5, len(words) - 2)
+
+
+class _Kept:
+    """The kept quotes of one item and card type, found by their words."""
+
+    def __init__(self):
+        self.rows: list[dict] = []
+        self.by_word: dict[str, set[int]] = {}
+        self.short: set[int] = set()
+
+    def _put(self, i: int, key: str) -> None:
+        words = key.split()
+        if len(words) <= 2:  # as a part of longer words, such a quote may share none
+            self.short.add(i)
+        for w in words:
+            self.by_word.setdefault(w, set()).add(i)
+
+    def add(self, row: dict) -> None:
+        words = row["key"].split()
+        near = set(range(len(self.rows))) if len(words) <= 2 else set().union(self.short, *(self.by_word.get(w, ()) for w in words))
+        same = next((i for i in sorted(near) if quotes_agree(self.rows[i]["key"], row["key"])), None)
+        if same is None:
+            self.rows.append(row | {"copies": 1})
+            self._put(len(self.rows) - 1, row["key"])
+            return
+        copies = self.rows[same]["copies"] + 1
+        if tuple(row["preference"]) > tuple(self.rows[same]["preference"]):
+            self.rows[same] = row
+            self._put(same, row["key"])  # words of the one before nominate it too, which costs a comparison
+        self.rows[same]["copies"] = copies
 
 
 def distinct_quotes(rows: DataFrame) -> DataFrame:
-    """Cards without equivalent quotes within an item and type, and the number that each stands for. rows: item_id, card_type, evidence_id, quote, preference (array of doubles, larger is better).
-
-    Equal normal forms are merged first, natively. What is left of a group is compared in the order of ids, each with the kept ones (greedy: equivalence isn't transitive); a
-    group holds the distinct quotes of one item and card type. Groups stream in batches, and the kept quotes alone stay in memory."""
-    keyed = rows.withColumn("key", canonical_quote_key(F.col("quote")))
-    exact = keyed.groupBy("item_id", "card_type", F.when(F.col("key") != "", F.col("key")).otherwise(F.concat(F.lit("#"), "evidence_id")).alias("k"), "key").agg(F.max_by("evidence_id", F.struct("preference", "evidence_id")).alias("evidence_id"), F.max("preference").alias("preference"), F.min("evidence_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).drop("k")
-
-    def greedy(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        for r in group.sort_values("first_id").to_dict("records"):
-            same = next((x for x in kept if _quotes_agree(x["key"], r["key"])), None)
-            if same is None:
-                kept.append(r)
-            else:
-                copies = same["copies"] + r["copies"]
-                if (list(r["preference"]), r["evidence_id"]) > (list(same["preference"]), same["evidence_id"]):
-                    same.update(r)
-                same["copies"] = copies
-        return pd.DataFrame(kept)[["item_id", "card_type", "evidence_id", "copies"]]
-
-    return exact.groupBy("item_id", "card_type").applyInPandas(greedy, "item_id long, card_type string, evidence_id long, copies long")
+    """Evidence without equivalent quotes within an item and card type (item_id, card_type, evidence_id), and the number that each stands for (copies). rows: item_id, card_type, evidence_id, quote, review_status, score.
+
+    In the order of ids, a quote joins the first kept one that it agrees with, and takes its place if it is preferred: important, accepted, higher score, longer, larger id. As agreement isn't transitive, the rule is
+    one ordered pass over an item and type. Rows stream by, sorted; of a group only the kept quotes are in memory, and words nominate those that a new one meets."""
+    quote, status = F.coalesce("quote", F.lit("")), F.coalesce("review_status", F.lit(""))
+    preference = F.array(*(x.cast("double") for x in (status == "important", status == "accepted", F.coalesce("score", F.lit(0.0)), F.length(quote), F.col("evidence_id"))))
+    keyed = rows.select("item_id", "card_type", "evidence_id", canonical_quote_key(quote).alias("key"), preference.alias("preference"))
+
+    def greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, kept = None, _Kept()
+        out = lambda: pd.DataFrame([{c: r[c] for c in ("item_id", "card_type", "evidence_id", "copies")} for r in kept.rows], columns=["item_id", "card_type", "evidence_id", "copies"])
+        for b in batches:
+            for r in b.to_dict("records"):
+                if (r["item_id"], r["card_type"]) != at:
+                    if kept.rows:
+                        yield out()
+                    at, kept = (r["item_id"], r["card_type"]), _Kept()
+                kept.add(r)
+        if kept.rows:
+            yield out()
+
+    dealt = keyed.repartition("item_id", "card_type").sortWithinPartitions("item_id", "card_type", "evidence_id")
+    return dealt.mapInPandas(greedy, "item_id long, card_type string, evidence_id long, copies long")
+
+
+def generated(evidence: DataFrame, items: DataFrame, anchors: DataFrame, matches: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A session's cards made anew: one for each distinct quote whose anchor is not invalid, in rank order; and the evidence that becomes false positive.
+
+    evidence: scored and eligible. anchors: evidence_id, status. matches: see cards(). existing: card_id, session_id, item_id, card_type, quote, is_user_edited, card_title. Of the existing cards that have a new one's
+    item, type and quote key, the one that a user edited stays as it is (only its place is new), else the lowest id takes the new values; without any, card_id is null."""
+    a = anchors.select(F.col("evidence_id").alias("a_id"), F.col("status").alias("anchor_status"))
+    made = cards(evidence, items, matches)
+    first = distinct_quotes(made.join(evidence.select(F.col("evidence_id").alias("s_id"), "score"), F.col("evidence_id") == F.col("s_id")).select("item_id", "card_type", "evidence_id", F.col("evidence_quote").alias("quote"), "review_status", "score"))
+    chosen = made.join(first.select(F.col("evidence_id").alias("f_id"), "copies"), F.col("evidence_id") == F.col("f_id")).drop("f_id").join(a, F.col("evidence_id") == F.col("a_id"), "left").drop("a_id")
+    bad = chosen.where("anchor_status = 'invalid'").select("evidence_id", F.lit("false_positive").alias("review_status"))
+    good = chosen.where("anchor_status is null or anchor_status <> 'invalid'").withColumn("key", canonical_quote_key(F.col("evidence_quote")))
+    own = existing.select(F.col("session_id").alias("x_session"), F.col("item_id").alias("x_item"), F.col("card_type").alias("x_type"), canonical_quote_key(F.col("quote")).alias("x_key"), "card_id", "is_user_edited", F.col("card_title").alias("x_title"))
+    own = own.groupBy("x_session", "x_item", "x_type", "x_key").agg(F.min_by(F.struct("card_id", "is_user_edited", "x_title"), F.struct(~F.col("is_user_edited"), F.col("card_id"))).alias("x"))
+    same = (F.col("session_id") == F.col("x_session")) & (F.col("item_id") == F.col("x_item")) & (F.col("card_type") == F.col("x_type")) & (F.col("key") == F.col("x_key"))
+    rows = good.join(own, same, "left").withColumn("card_title", F.when(F.col("x.is_user_edited"), F.col("x.x_title")).otherwise(F.col("card_title")))
+    rows = rows.withColumns({"card_id": F.col("x.card_id"), "user_edited": F.coalesce("x.is_user_edited", F.lit(False)), "sort_order": F.row_number().over(Window.partitionBy("session_id").orderBy("sort_order"))})
+    return rows.select("session_id", "card_id", "evidence_id", "item_id", "card_type", "card_title", "evidence_quote", "copies", "user_edited", "sort_order"), bad
+
+
+# What a card's section is called, and the sentences of a judgment.
+SECTION_NAMES = {
+    "theoretical_foundation": "理论基础影响",
+    "method_foundation": "方法采用",
+    "representative_work": "代表性相关工作",
+    "limitation_or_negative": "局限性反馈",
+    "detailed_comparison": "详细对比",
+    "baseline_or_benchmark": "基线与比较对象",
+    "positive_evaluation": "正向评价",
+    "neutral_evaluation": "中性评价",
+    "ordinary_citation": "普通引用待复核",
+    "background_reference": "背景引用待复核",
+    "weak_mention": "弱证据待复核",
+    "citation_only": "仅引用记录",
+}
+NO_SECTION, TO_REVIEW = "报告素材", "（成组引用待复核）"
+REASONS = {
+    "theoretical_foundation": "因此判断为理论基础：该段不是单纯列出参考文献，而是在正文技术论述中把目标论文作为建模、推导或概念说明的依据。",
+    "method_foundation": "因此判断为方法采用：该段将目标论文关联到后续方法设计、技术流程或实现依据。",
+    "representative_work": "因此判断为代表性相关工作：该段体现目标论文被纳入相关工作或技术路线梳理，但不是直接高度评价。",
+    "limitation_or_negative": "因此判断为局限性反馈：该段表达的是限制、负面比较或技术约束，不能改写成正向亮点。",
+}
+ORDINARY_REASON = "因此判断为普通/背景引用：该段能证明正文引用存在，但不足以支持高度评价、方法采用或详细对比。"
+POSITIVE_REASON, OTHER_REASON = "因此判断为正向证据：该段包含可追溯到原文的正向评价或使用依据。", "该判断基于正文原文、引用锚点、证据类型和人工复核状态综合给出。"
+GROUPED_RISK, ORDINARY_RISK, LIMITATION_RISK = "这是成组引用，需要人工确认归因范围。", "这不是直接正向评价，不应包装成高度评价。", "这是局限性反馈/负面比较，不应改写成正向亮点。"
+ORDINARY_TYPES = ("ordinary_citation", "background_reference", "citation_only", "weak_mention")
+
+
+def judgments(cards_: DataFrame) -> DataFrame:
+    """cards_ (card_type, mention_type, stance, strength) with judgment_label, reason_sentence, risk_note and confidence."""
+    kind, grouped = F.col("card_type"), F.coalesce(F.col("mention_type") == "grouped_citation", F.lit(False))
+    name = F.lit(NO_SECTION)
+    for k, v in SECTION_NAMES.items():
+        name = F.when(kind == k, v).otherwise(name)
+    why = F.when(F.col("stance") == "positive", POSITIVE_REASON).otherwise(OTHER_REASON)
+    why = F.when(kind.isin(*ORDINARY_TYPES), ORDINARY_REASON).otherwise(why)
+    for k, v in REASONS.items():
+        why = F.when(kind == k, v).otherwise(why)
+    risk = F.concat_ws(" ", F.when(grouped, GROUPED_RISK), F.when(kind.isin("representative_work", *ORDINARY_TYPES), ORDINARY_RISK), F.when(kind == "limitation_or_negative", LIMITATION_RISK))
+    return cards_.select(
+        "*", F.when(grouped, F.concat(name, F.lit(TO_REVIEW))).otherwise(name).alias("judgment_label"), why.alias("reason_sentence"), risk.alias("risk_note"),
+        F.when(F.col("strength").isin("weak", "moderate"), "medium").otherwise("high").alias("confidence"),
+    )
+
+
+def session_summaries(publications: DataFrame, edges: DataFrame, queue: DataFrame, evidence: DataFrame) -> DataFrame:
+    """One row for each session: publications and their list (JSON, by id), edges, queue items, analysed and selected ones, evidence and important evidence."""
+    n = lambda cond, name: F.count_if(F.coalesce(cond, F.lit(False))).alias(name)
+    p = publications.groupBy("session_id").agg(F.count(F.lit(1)).alias("publications"), F.to_json(F.array_sort(F.collect_list(F.struct("publication_id", "title", "year", "doi")))).alias("publication_list"))
+    out = p
+    for df, name in (
+        (edges.groupBy("session_id").agg(F.count(F.lit(1)).alias("edges")), "e"),
+        (queue.groupBy("session_id").agg(F.count(F.lit(1)).alias("queue_items"), n(F.col("queue_status") == "analyzed", "analysed"), n(F.col("queue_status") == "selected", "selected")), "q"),
+        (evidence.groupBy("session_id").agg(F.count(F.lit(1)).alias("evidence"), n(F.col("review_status") == "important", "important")), "v"),
+    ):
+        out = out.join(df.withColumnRenamed("session_id", f"{name}_session"), F.col("session_id") == F.col(f"{name}_session"), "left").drop(f"{name}_session")
+    return out.fillna(0, ["edges", "queue_items", "analysed", "selected", "evidence", "important"])
 
 
 def reportable(cards_: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -60,6 +60,19 @@ def upsert_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
     return joined.select("session_id", "cited_id", "citing_id", F.map_concat(kept, given).alias("meta"), state.alias("state"))
 
 
+def expanded(edges: DataFrame, page: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One step of citation expansion: edges with a provider's page (session_id, cited_id, citing_id, provider) merged in, and by session what it brought: fetched, added, duplicates (edges known before, and
+    repeats within the page). A known edge keeps its provider."""
+    keys = ["session_id", "cited_id", "citing_id"]
+    fresh = page.groupBy(*keys).agg(F.min("provider").alias("new_provider"), F.count(F.lit(1)).alias("seen"))
+    old = edges.groupBy(*keys).agg(F.min("provider").alias("old_provider"))
+    both = old.join(fresh, keys, "full")
+    merged = both.select(*keys, F.coalesce("old_provider", "new_provider").alias("provider"))
+    new = F.col("old_provider").isNull()
+    counts = both.where("seen is not null").groupBy("session_id").agg(F.sum("seen").alias("fetched"), F.count_if(new).alias("added"), F.sum(F.col("seen") - F.when(new, 1).otherwise(0)).alias("duplicates"))
+    return merged, counts
+
+
 def joined_edges(edges: DataFrame, cited: DataFrame, citing: DataFrame) -> DataFrame:
     """Edges with both publications; an edge that misses one goes."""
     a = cited.select(F.col("publication_id").alias("cited_id"), F.col("title").alias("cited_title"), F.col("doi").alias("cited_doi"))

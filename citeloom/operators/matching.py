@@ -155,48 +155,113 @@ def _near(a: _Block, b: _Block, least: float) -> Iterator[tuple[str, str, float]
                     yield a.titles[i], b.titles[j], score
 
 
-def title_similarity_join(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(left_id, right_id, score) of titles whose matching-blocks ratio, left against right, is least (above 0) or more. left, right: id, title.
+def title_similarity_join(left: DataFrame, right: DataFrame, least: float, within: str | None = None) -> DataFrame:
+    """(left_id, right_id, score) of titles whose matching-blocks ratio, left against right, is least (above 0) or more. left, right: id, title, and the column named by within, in which both sides then agree.
 
     Nothing is lost. Equal titles match at once. The others meet as distinct titles, in blocks of titles of one length, with the blocks of each length that the ratio
     allows; bounds that no pair of that ratio can miss leave few pairs, and of these the ratio itself is computed. A length with many titles has many blocks, and pairs of
     blocks are dealt out evenly; their number grows with the square of the distinct titles of like length."""
-    k = lambda df, s: df.select(F.col("id").alias(f"{s}_id"), norm_title_alnum(F.col("title")).alias(f"{s[0]}t")).where(f"{s[0]}t <> ''")
+    part = F.col(within).cast("string") if within else F.lit("")
+    k = lambda df, s: df.select(F.col("id").alias(f"{s}_id"), norm_title_alnum(F.col("title")).alias(f"{s[0]}t"), part.alias(f"{s[0]}w")).where(f"{s[0]}t <> '' and {s[0]}w is not null")
     a, b = k(left, "left"), k(right, "right")
-    equal = a.join(b, F.col("lt") == F.col("rt")).select("left_id", "right_id", F.lit(1.0).alias("score"))
+    equal = a.join(b, (F.col("lt") == F.col("rt")) & (F.col("lw") == F.col("rw"))).select("left_id", "right_id", F.lit(1.0).alias("score"))
 
     def blocks(df: DataFrame, s: str) -> DataFrame:
         # distinct titles meet once, whatever the number of rows that carry them
-        x = df.select(F.col(f"{s}t").alias("t")).distinct().withColumn("n", F.length("t"))
-        many = x.groupBy(F.col("n").alias("m")).agg(F.ceil(F.count(F.lit(1)) / BLOCK_TITLES).alias("blocks"))
-        x = x.join(many, F.col("n") == F.col("m")).withColumn("block", F.pmod(F.xxhash64("t"), F.col("blocks")))
-        return x.groupBy(F.col("n").alias(f"{s}n"), F.col("block").alias(f"{s}b")).agg(F.collect_list("t").alias(f"{s}ts"))
+        x = df.select(F.col(f"{s}t").alias("t"), F.col(f"{s}w").alias("w")).distinct().withColumn("n", F.length("t"))
+        many = x.groupBy(F.col("w").alias("v"), F.col("n").alias("m")).agg(F.ceil(F.count(F.lit(1)) / BLOCK_TITLES).alias("blocks"))
+        x = x.join(many, (F.col("w") == F.col("v")) & (F.col("n") == F.col("m"))).withColumn("block", F.pmod(F.xxhash64("t"), F.col("blocks")))
+        return x.groupBy("w", F.col("n").alias(f"{s}n"), F.col("block").alias(f"{s}b")).agg(F.collect_list("t").alias(f"{s}ts"))
 
     x, y = blocks(a, "l"), blocks(b, "r")
     lengths = F.sequence(F.ceil(F.col("ln") * least / (2 - least) - 1e-6).cast("int"), F.floor(F.col("ln") * (2 - least) / least + 1e-6).cast("int"))
-    meet = x.select("ln", "lb", F.explode(lengths).alias("rn")).join(y.select("rn", "rb"), "rn")
+    meet = x.select("w", "ln", "lb", F.explode(lengths).alias("rn")).join(y.select("w", "rn", "rb"), ["w", "rn"])
     session = left.sparkSession
     tasks = 4 * max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
-    meet = meet.join(x, ["ln", "lb"]).join(y, ["rn", "rb"]).repartition(tasks, "ln", "lb", "rn", "rb").select("lts", "rts")
+    meet = meet.join(x, ["w", "ln", "lb"]).join(y, ["w", "rn", "rb"]).repartition(tasks, "w", "ln", "lb", "rn", "rb").select("w", "lts", "rts")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            for p, q in zip(rows["lts"], rows["rts"], strict=True):
-                yield pd.DataFrame(list(_near(_Block(list(p)), _Block(list(q)), least)), columns=["sl", "sr", "score"]).astype({"score": "float64"})
+            for w, p, q in zip(rows["w"], rows["lts"], rows["rts"], strict=True):
+                yield pd.DataFrame([(w, *x) for x in _near(_Block(list(p)), _Block(list(q)), least)], columns=["sw", "sl", "sr", "score"]).astype({"score": "float64"})
 
-    fuzzy = meet.mapInPandas(run, "sl string, sr string, score double")
-    wide = fuzzy.join(a, F.col("sl") == F.col("lt")).join(b, F.col("sr") == F.col("rt")).select("left_id", "right_id", "score")
+    fuzzy = meet.mapInPandas(run, "sw string, sl string, sr string, score double")
+    wide = fuzzy.join(a, (F.col("sl") == F.col("lt")) & (F.col("sw") == F.col("lw"))).join(b, (F.col("sr") == F.col("rt")) & (F.col("sw") == F.col("rw"))).select("left_id", "right_id", "score")
     return equal.unionByName(wide)
 
 
-def honour_decisions(scored: DataFrame) -> DataFrame:
-    """row_id, its status and up to two items: matched, ambiguous or unmatched, from scores (row_id, item_id, score) of one honour row with queue items.
+# The weights of an honour row's citing title, cited title and author, and the least score that counts.
+CITING, CITED, AUTHOR, LEAST_HONOUR = 0.85, 0.15, 0.05, 0.75
 
-    Scores are 0.85 citing + 0.15 cited + 0.05 for the author, one at most; below 0.75 nothing counts. Two within 0.05, or a best below 0.95 with another, are ambiguous."""
+
+def _title_ratio(pairs: DataFrame, a: str, b: str, into: str) -> DataFrame:
+    """pairs with the ratio of two titles in normal form, found once for each distinct pair, in Arrow batches."""
+    x = pairs.select(norm_title_alnum(F.col(a)).alias("x"), norm_title_alnum(F.col(b)).alias("y")).distinct()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield rows.assign(ratio=[1.0 if p == q and p else SequenceMatcher(None, p, q).ratio() if p and q else 0.0 for p, q in zip(rows["x"], rows["y"], strict=True)])
+
+    found = x.mapInPandas(run, "x string, y string, ratio double")
+    return pairs.join(found, (norm_title_alnum(F.col(a)) == F.col("x")) & (norm_title_alnum(F.col(b)) == F.col("y"))).drop("x", "y").withColumnRenamed("ratio", into)
+
+
+def honour_scores(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """row_id, item_id, score of honour rows with the queue items of their session, LEAST_HONOUR or more: citing and cited title ratios and the author, one at most; both titles equal make one.
+
+    rows: row_id, session_id, citing_title, cited_title, author. items: item_id, session_id, citing_title, cited_title, authors (array). A citing title too unlike for any total is not met: that loses no pair."""
+    least = (LEAST_HONOUR - CITED - AUTHOR) / CITING - 1e-6
+    near = title_similarity_join(rows.select(F.col("row_id").alias("id"), F.col("citing_title").alias("title"), "session_id"), items.select(F.col("item_id").alias("id"), F.col("citing_title").alias("title"), "session_id"), least, "session_id")
+    r = rows.select("row_id", F.col("cited_title").alias("r_cited"), norm_title_alnum(F.col("author")).alias("r_author"), norm_title_alnum(F.col("citing_title")).alias("r_citing"))
+    i = items.select("item_id", F.col("cited_title").alias("i_cited"), F.transform(F.coalesce("authors", F.array().cast("array<string>")), norm_title_alnum).alias("i_authors"), norm_title_alnum(F.col("citing_title")).alias("i_citing"))
+    pairs = near.join(r, F.col("left_id") == F.col("row_id")).join(i, F.col("right_id") == F.col("item_id"))
+    pairs = _title_ratio(pairs, "r_cited", "i_cited", "cited_score")
+    total = F.col("score") * CITING + F.col("cited_score") * CITED + F.when(F.array_contains("i_authors", F.col("r_author")), AUTHOR).otherwise(0.0)
+    same = (F.col("r_citing") == F.col("i_citing")) & (norm_title_alnum(F.col("r_cited")) == norm_title_alnum(F.col("i_cited")))
+    return pairs.select("row_id", "item_id", F.when(same, 1.0).otherwise(F.round(F.least(F.lit(1.0), total), 4)).alias("score")).where(F.col("score") >= LEAST_HONOUR)
+
+
+def honour_decisions(scored: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """row_id, its best item, score and status: matched or ambiguous, from scores (row_id, item_id, score) of one honour row with queue items; unmatched, without an item, for those of rows (row_id) that no score reaches.
+
+    Below LEAST_HONOUR nothing counts. Two within 0.05, or a best below 0.95 with another, are ambiguous."""
     w = Window.partitionBy("row_id").orderBy(F.desc("score"), F.asc("item_id"))
-    rows = scored.where(F.col("score") >= 0.75 - 1e-9).withColumns({"rank": F.row_number().over(w), "next": F.lead("score").over(w)}).where("rank = 1")
+    best_ = scored.where(F.col("score") >= LEAST_HONOUR - 1e-9).withColumns({"rank": F.row_number().over(w), "next": F.lead("score").over(w)}).where("rank = 1")
     close = F.col("next").isNotNull() & ((F.col("score") - F.col("next") < 0.05 - 1e-9) | (F.col("score") < 0.95 - 1e-9))
-    return rows.select("row_id", "item_id", "score", F.when(close, "ambiguous").when(F.col("score") >= 0.90 - 1e-9, "matched").otherwise("ambiguous").alias("status"))
+    out = best_.select("row_id", "item_id", "score", F.when(close, "ambiguous").when(F.col("score") >= 0.90 - 1e-9, "matched").otherwise("ambiguous").alias("status"))
+    if rows is None:
+        return out
+    every = rows.select(F.col("row_id").alias("every_id")).distinct()
+    return every.join(out, F.col("every_id") == F.col("row_id"), "left").select(F.col("every_id").alias("row_id"), "item_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("status", F.lit("unmatched")).alias("status"))
+
+
+def replaced(stored: DataFrame, fresh: DataFrame, key: str = "session_id") -> DataFrame:
+    """A table whose sessions in fresh are replaced by fresh; the others stay. Columns by name."""
+    new = fresh.select(F.col(key).alias("__new")).distinct()
+    return stored.join(new, F.col(key) == F.col("__new"), "left_anti").unionByName(fresh)
+
+
+def rematched(annotations: DataFrame, items: DataFrame) -> DataFrame:
+    """Stored annotations (annotation_id, session_id, citing_title, cited_title, author) against a new queue: annotation_id, item_id, score, status, is_important (matched ones)."""
+    rows = annotations.withColumnRenamed("annotation_id", "row_id")
+    out = honour_decisions(honour_scores(rows, items), rows)
+    return out.select(F.col("row_id").alias("annotation_id"), "item_id", "score", "status", (F.col("status") == "matched").alias("is_important"))
+
+
+def inbox_matches(files: DataFrame, items: DataFrame, least: float = 0.82) -> DataFrame:
+    """file_id, item_id, score of the best item of each drop-folder file: by DOI 1.0, else by title ratio, least or more; the smallest item id wins ties. files: file_id, doi, title. items: item_id, doi, title."""
+    i = items.select("item_id", doi_key(F.col("doi")).alias("i_doi"))
+    by_doi = files.withColumn("f_doi", doi_key(F.col("doi"))).join(i, F.col("f_doi") == F.col("i_doi")).groupBy("file_id").agg(F.min("item_id").alias("item_id")).withColumn("score", F.lit(1.0))
+    rest = files.join(by_doi.select(F.col("file_id").alias("done")), F.col("file_id") == F.col("done"), "left_anti")
+    near = title_similarity_join(rest.select(F.col("file_id").alias("id"), "title"), items.select(F.col("item_id").alias("id"), "title"), least)
+    best_ = near.groupBy(F.col("left_id").alias("file_id")).agg(F.max(F.struct("score", (-F.col("right_id")).alias("r"))).alias("m")).select("file_id", (-F.col("m.r")).alias("item_id"), "m.score")
+    return by_doi.unionByName(best_)
+
+
+def ordered_links(links: DataFrame) -> DataFrame:
+    """Candidate links with their place in an item's list: what downloads by itself as a direct PDF, landing pages, others; then by label and URL. links: item_id, url, url_type, can_auto_download, label."""
+    rank = F.when(F.col("can_auto_download") & (F.col("url_type") == "direct_pdf"), 0).when(F.col("url_type") == "landing_page", 1).otherwise(2)
+    return links.withColumn("place", F.row_number().over(Window.partitionBy("item_id").orderBy(rank, "label", "url")))
 
 
 def record_publications(records: DataFrame, publications: DataFrame, least: float = 0.92) -> DataFrame:

@@ -159,3 +159,10 @@ def summary(queue: DataFrame) -> DataFrame:
 
 def selected_ready(queue: DataFrame) -> DataFrame:
     return queue.where((F.col("queue_status") == "selected") & is_ready(F.col("pdf_readiness_status")))
+
+
+def template_match_text(items: DataFrame) -> DataFrame:
+    """session_id, cited_id, citing_id and the text in which templates look for their terms: titles, venue, authors, contexts and target title of an item, nulls as nothing."""
+    text = lambda x: F.coalesce(x, F.lit(""))
+    parts = F.concat(F.array(text("citing_title"), text("cited_title"), text("venue"), F.array_join("authors", ", ")), F.coalesce("contexts", F.array().cast("array<string>")), F.array(text("target_title")))
+    return items.select("session_id", "cited_id", "citing_id", F.array_join(parts, " ").alias("text"))

@@ -1,33 +1,17 @@
-"""Evidence templates: their table, terms, rules and verdicts."""
+"""Evidence templates: their table, terms and term matches."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.functions.names import norm_title_alnum
-
-# For each template type the evidence types that it takes, what its quote must say, and what makes it strong.
-CUES = {
-    "first_or_pioneering_claim": ("first_or_pioneering_claim,first_or_seminal_claim", r"\b(first|pioneer\w*|earliest|seminal)\b", r"\b(first|pioneer\w*|earliest|seminal)\b"),
-    "detailed_comparison": ("detailed_comparison,performance_comparison,method_summary,capability_summary,ordinary_reference", r"\b(compar\w*|versus|vs\.?|relative\s+to)\b", r"\b(table|experiment\w*|performance|accuracy|error|latency|throughput|metric|result\w*|outperform\w*|higher|lower|faster|slower|whereas|however)\b|%"),
-    "baseline_or_benchmark": ("baseline_or_benchmark,performance_comparison", r"\b(baseline\w*|benchmark\w*)\b", r"\b(experiment\w*|table|reproduc\w*|performance|compar\w*)\b"),
-    "positive_evaluation": ("positive_evaluation,capability_recognition,capability_summary", r"\b(accura\w*|effective\w*|robust\w*|excellent|promising|good)\b", r"\b(high|best|significant\w*|state[- ]of[- ]the[- ]art)\b|%"),
-    "limitation_or_negative": ("limitation_or_negative,limitation_feedback", r"\b(limit\w*|fail\w*|however|drawback\w*|cannot)\b", r"\b(require\w*|only|error|because|due)\b"),
-    "theoretical_foundation": ("theoretical_foundation,method_summary", r"\b(theor\w*|model\w*|principle\w*|prove\w*)\b", r"\b(based\s+on|following|according\s+to)\b"),
-    "method_foundation": ("method_foundation,method_use", r"\b(based\s+on|build\w*\s+on|extend\w*|adopt\w*|follow\w*)\b", r"\b(method|algorithm|approach|framework|we)\b"),
-    "method_or_capability_summary": ("method_summary,capability_summary", r"\b(propos\w*|present\w*|us\w*|achiev\w*)\b", r"\b(method|system|approach|achiev\w*)\b"),
-    "neutral_attitude": ("custom_template_evidence,ordinary_reference,background", r"\b(describ\w*|report\w*|stud\w*|work\w*)\b", r"\b(describ\w*|report\w*)\b"),
-}
-# Fixed value: types whose citation may share its brackets with others.
-GROUPED_ALLOWED = ("neutral_attitude",)
+# The types of the built-in templates, in the order of their ids. The rules by which they are judged are in evaluation.py.
+BUILT_IN = ("first_or_pioneering_claim", "detailed_comparison", "baseline_or_benchmark", "positive_evaluation", "limitation_or_negative", "theoretical_foundation", "method_foundation", "method_or_capability_summary", "neutral_attitude")
 
 
-def builtin_templates(spark: SparkSession, sessions: DataFrame) -> DataFrame:
-    """The built-in templates of every session: session_id, template_id, template_type, keywords, rules. Templates are few by construction (one for each entry of CUES), so each session's come from an array."""
-    rows = [F.struct(F.lit(i + 1).alias("template_id"), F.lit(t).alias("template_type"), F.array(*(F.lit(w) for w in t.split("_") if len(w) > 3)).alias("keywords"), F.lit(types).alias("types"), F.lit(need).alias("need"), F.lit(detail).alias("detail"), F.lit(t in GROUPED_ALLOWED).alias("grouped_ok")) for i, (t, (types, need, detail)) in enumerate(CUES.items())]
+def builtin_templates(sessions: DataFrame) -> DataFrame:
+    """The built-in templates of every session: session_id, template_id, template_type, keywords. They are as few as BUILT_IN, so each session's come from an array."""
+    rows = [F.struct(F.lit(i).alias("template_id"), F.lit(t).alias("template_type"), F.array(*(F.lit(w) for w in t.split("_") if len(w) > 3)).alias("keywords")) for i, t in enumerate(BUILT_IN, 1)]
     return sessions.select("session_id", F.explode(F.array(*rows)).alias("t")).select("session_id", "t.*")
 
 
@@ -58,40 +42,8 @@ def template_reasons(matches: DataFrame, key: str) -> DataFrame:
     return matches.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("template_id", reason.alias("reason"), F.col("match_score").alias("delta")))), lambda x: F.struct(x["reason"].alias("reason"), x["delta"].alias("delta"))).alias("extra"))
 
 
-def guard(quote: Column, reference_status: Column, anchored: Column, title: Column) -> Column:
-    """Why no template can hold for a quote; null where one may."""
-    plain = norm_title_alnum(F.regexp_replace(F.coalesce(quote, F.lit("")), r"\[[^\]]*\]", " "))
-    words = F.filter(F.split(plain, " "), lambda w: F.length(w) > 2)
-    return (
-        F.when(F.trim(F.coalesce(quote, F.lit(""))) == "", "no citation_text body evidence")
-        .when(reference_status == "mismatch", "reference mismatch")
-        .when((plain == norm_title_alnum(title)) | (F.size(words) <= 3), "title-only or reference-only evidence")
-        .when(~anchored, "citation_text does not anchor to target paper")
-    )
-
-
-def verdicts(evidence: DataFrame, templates: DataFrame) -> DataFrame:
-    """evidence_id, template_id, level (strong, candidate, none) and failure of every template of the session.
-
-    evidence: evidence_id, session_id, citation_text, context, claim_type, reference_match_status, anchored, title, grouped."""
-    t = templates.select(F.col("session_id").alias("t_session"), "template_id", "template_type", "types", "need", "detail", "grouped_ok")
-    rows = evidence.join(t, F.col("session_id") == F.col("t_session"))
-    c = F.col
-    text = F.concat_ws(" ", "citation_text", "context")
-    # cues are few and fixed, so each type's pattern is a literal of the plan
-    say = lambda i: reduce(lambda w, kv: w.when(c("template_type") == kv[0], text.rlike("(?i)" + kv[1][i])), CUES.items(), F.when(F.lit(False), F.lit(False))).otherwise(False)
-    blocked = guard(c("citation_text"), c("reference_match_status"), c("anchored"), c("title"))
-    allowed = F.array_contains(F.split("types", ","), c("claim_type"))
-    failure = F.when(blocked.isNotNull(), blocked).when(~allowed, F.concat(F.lit("evidence type "), "claim_type", F.lit(" is not allowed by the template"))).when(~say(1), "no required expression in body text")
-    strong = say(2) & (F.length(text) >= 60)
-    level = F.when(failure.isNotNull(), "none").when(strong & (~c("grouped") | c("grouped_ok")), "strong").otherwise("candidate")
-    return rows.select("evidence_id", "template_id", "template_type", level.alias("level"), failure.alias("failure"))
-
-
-def combined(rows: DataFrame) -> DataFrame:
-    """One row for each piece of evidence: the ids of satisfied templates in order, the best level, the failures of the others."""
-    c = F.col
-    ok = c("level") != "none"
-    ids = F.transform(F.array_sort(F.collect_list(F.when(ok, c("template_id")))), lambda x: x)
-    level = F.when(F.bool_or(c("level") == "strong"), "strong").when(F.bool_or(c("level") == "candidate"), "candidate").otherwise("none")
-    return rows.groupBy("evidence_id").agg(ids.alias("template_ids"), level.alias("template_match_level"), F.array_join(F.array_sort(F.collect_set("failure")), "; ").alias("failures"))
+def persisted_matches(items: DataFrame, evidence: DataFrame, templates: DataFrame) -> DataFrame:
+    """The matches of queue items and of evidence (session_id, owner_id, text) as one table, owner being item or evidence."""
+    rows = items.select(F.lit("item").alias("owner"), "session_id", "owner_id", "text").unionByName(evidence.select(F.lit("evidence").alias("owner"), "session_id", "owner_id", "text"))
+    keyed = rows.select("session_id", F.struct("owner", "owner_id").alias("k"), "text")
+    return term_matches(keyed, templates, "k").select("k.owner", "k.owner_id", "template_id", "template_type", "matched_terms", "match_score")

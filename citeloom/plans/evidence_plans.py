@@ -1,4 +1,4 @@
-"""Evidence and templates."""
+"""Evidence and templates."""
 
 from __future__ import annotations
 
@@ -45,19 +45,7 @@ DIRECT = """d0 as (select evidence_id, item_id, session_id, citation_text, evide
 
 
 def _templates(s: Source):
-    sessions = s.fx_evidence.select("session_id").distinct()
-    return T.builtin_templates(s.spark, sessions)
-
-
-def _judged(s: Source):
-    """Verdicts on documents' evidence with words that the cues know."""
-    k = c("evidence_id")
-    words = F.when(k % 3 == 0, " compared with a baseline in experiments, its results are higher").when(k % 3 == 1, " we build on this method and adopt its approach; however it fails only sometimes").otherwise(" is described")
-    e = s.fx_evidence.where("citation_text <> ''").select("evidence_id", "session_id", F.concat("citation_text", words).alias("citation_text"), F.lit("").alias("context"), F.when(k % 3 == 0, "performance_comparison").when(k % 3 == 1, "method_use").otherwise("background").alias("claim_type"), F.when(k % 9 == 0, "mismatch").otherwise("matched").alias("reference_match_status"), (k % 7 != 0).alias("anchored"), F.lit("A title").alias("title"), (k % 4 == 0).alias("grouped"))
-    return T.combined(T.verdicts(e, _templates(s)))
-
-
-TERMS = {"first": 1, "comparison": 2, "benchmark": 3, "baseline": 3, "positive": 4, "evaluation": 4, "limitation": 5, "theoretical": 6, "method": 7, "neutral": 9}
+    return T.builtin_templates(s.fx_evidence.select("session_id").distinct())
 
 
 def _promoted(s: Source):
@@ -75,8 +63,10 @@ PLANS = {
     "r23_scored_evidence": (lambda s: scored(s).select("evidence_id", "score", "strength"), f"with {SCORED} select evidence_id, score, strength from sc"),
     "r25_promotion": (_promoted, PROMOTED),
     "r27_inferred": (
-        lambda s: s.fx_evidence.select("evidence_id", E.inferred(F.when(c("evidence_id") % 3 == 0, "However, this fails").when(c("evidence_id") % 3 == 1, F.concat(F.lit("we FOLLOW "), c("evidence_id").cast("string"))).otherwise("plain")).alias("i")).select("evidence_id", "i.*"),
-        "select evidence_id, case evidence_id % 3 when 0 then 'limitation_or_negative' when 1 then 'method_foundation' else 'background' end as evidence_type, case evidence_id % 3 when 0 then 'negative' when 1 then 'positive' else 'neutral' end as stance from fx_evidence",
+        lambda s: s.fx_evidence.select("evidence_id", E.inferred(c("citation_text")).alias("i")).select("evidence_id", "i.*"),
+        r"""with k as (select evidence_id, lower(citation_text) as t from fx_evidence), n as (select evidence_id, case when regexp_matches(t, '\b(first|pioneer\w*|seminal)\b') then 1 when regexp_matches(t, '\b(compar\w*|versus|outperform\w*)\b') then 2 when regexp_matches(t, '\b(baseline|benchmark)\w*\b') then 3 when regexp_matches(t, '\b(limit\w*|fail\w*|however)\b') then 4
+            when regexp_matches(t, '\b(based on|build\w* on|extend\w*|follow\w*)\b') then 5 when regexp_matches(t, '\b(accurate|effective|robust|good)\w*\b') then 6 else 7 end as k from k)
+            select evidence_id, ['first_or_seminal_claim', 'detailed_comparison', 'baseline_or_benchmark', 'limitation_or_negative', 'method_foundation', 'positive_evaluation', 'background'][k] as evidence_type, ['positive', 'neutral', 'neutral', 'negative', 'positive', 'positive', 'neutral'][k] as stance from n""",
     ),
     "r29_reason_codes": (lambda s: direct(s).select("evidence_id", F.array_join("codes", "|").alias("codes"), E.template_eligible().alias("eligible")), f"with {DIRECT} select evidence_id, array_to_string(codes, '|') as codes, has_target and not list_has_any(codes, ['reference_mismatch', 'target_marker_missing', 'reference_only']) as eligible from di"),
     "r5_template_terms": (
@@ -85,7 +75,6 @@ PLANS = {
     ),
     "r3_template_reasons": (lambda s: T.template_reasons(T.term_matches(s.fx_evidence.select("session_id", "evidence_id", c("evidence_type").alias("text")), _templates(s), "evidence_id"), "evidence_id").select("evidence_id", F.size("extra").alias("n"), F.aggregate("extra", F.lit(0.0), lambda a, x: a + x["delta"]).alias("delta")),
         "select evidence_id, n, delta from (select evidence_id, case evidence_type when 'detailed_comparison' then 1 when 'baseline_or_benchmark' then 1 when 'method_foundation' then 3 when 'limitation_or_negative' then 1 end as n, case evidence_type when 'detailed_comparison' then 20.0 when 'baseline_or_benchmark' then 20.0 when 'method_foundation' then 40.0 when 'limitation_or_negative' then 20.0 end as delta from fx_evidence) where n is not null"),
-    "r19_template_verdicts": (lambda s: _judged(s).select("evidence_id", "template_match_level", F.array_join(c("template_ids").cast("array<string>"), ",").alias("ids")), None),
     "r22_template_overlay": (
         lambda s: T.overlaid(_templates(s), s.fx_evidence.select("session_id").distinct().select("session_id", F.explode(F.array(F.struct(F.lit("neutral_attitude").alias("template_type"), F.lit(False).alias("enabled")), F.struct(F.lit("own").alias("template_type"), F.lit(True).alias("enabled")))).alias("x")).select("session_id", "x.*", F.array(F.lit("k")).alias("keywords"))).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("enabled").alias("enabled"), F.count_if("custom").alias("custom")),
         "select distinct session_id, cast(10 as bigint) as n, cast(9 as bigint) as enabled, cast(1 as bigint) as custom from fx_evidence",

@@ -48,7 +48,7 @@ VIEWS: dict[str, str] = {
         from documents""",
     "fx_evidence": """
         select d.doc_id as evidence_id, d.doc_id % 97 as item_id, 'S' || cast(d.doc_id % 7 as {str}) as session_id,
-               case when d.doc_id % 31 = 0 then '' else substring(d.text, 1, cast(40 + d.doc_id % 90 as int)) end as citation_text,
+               case when d.doc_id % 31 = 0 then '' else d.text end as citation_text,
                case d.doc_id % 6 when 0 then 'detailed_comparison' when 1 then 'baseline_or_benchmark' when 2 then 'method_foundation' when 3 then 'limitation_or_negative' when 4 then 'background' else 'custom' end as evidence_type,
                case d.doc_id % 5 when 0 then 'positive' when 1 then 'neutral' when 2 then 'negative' when 3 then 'mixed' else 'neutral' end as stance,
                case d.doc_id % 8 when 0 then 'grouped_citation' when 1 then 'reference_only' when 2 then 'weak_mention' when 3 then 'background_mention' else 'direct_citation' end as mention_type,

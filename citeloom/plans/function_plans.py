@@ -30,8 +30,8 @@ PUBLISHER_SQL = f"""
 
 PLANS = {
     "f1_title_whitespace": (
-        lambda s: s.documents.select("doc_id", N.norm_title_ws(F.substring("text", 1, 300)).alias("norm")),
-        r"select doc_id, trim(regexp_replace(lower(substring(text, 1, 300)), '\s+', ' ', 'g')) as norm from documents",
+        lambda s: s.documents.select("doc_id", N.norm_title_ws("text").alias("norm")),
+        r"select doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) as norm from documents",
     ),
     "f2_title_alnum": (
         lambda s: s.fx_cited.select("publication_id", N.norm_title_alnum(c("title")).alias("norm")),
@@ -124,12 +124,12 @@ PLANS = {
         "select event_id, try_cast(props::json->>'$.k' as int) as k, cast(0 as int) as as_list from events",
     ),
     "f27_highlight_keywords": (
-        lambda s: s.documents.select("doc_id", F.array_join(N.highlight_keywords(F.array(F.lit("The"), F.lit("the"), F.lit(" est "), F.lit("zzz")), F.substring("text", 1, 200)), "|").alias("words")),
-        """select doc_id, concat_ws('|', case when contains(lower(substring(text, 1, 200)), 'the') then 'The' end, case when contains(lower(substring(text, 1, 200)), 'est') then 'est' end) as words from documents""",
+        lambda s: s.documents.select("doc_id", F.array_join(N.highlight_keywords(F.array(F.lit("The"), F.lit("the"), F.lit(" est "), F.lit("zzz")), c("text")), "|").alias("words")),
+        """select doc_id, concat_ws('|', case when contains(lower(text), 'the') then 'The' end, case when contains(lower(text), 'est') then 'est' end) as words from documents""",
     ),
     "f29_quote_key": (
-        lambda s: s.benchmark.select("item_id", N.canonical_quote_key(c("text")).alias("key")),
-        f"select item_id, substring({NORM.format('text')}, 1, 220) as key from benchmark",
+        lambda s: s.documents.select("doc_id", N.canonical_quote_key(c("text")).alias("key")),
+        f"select doc_id, substring({NORM.format('strip_accents(text)')}, 1, 220) as key from documents",
     ),
     "f30_label_and_confidence": (
         lambda s: s.events.select("event_id", N.evidence_label(F.when(c("event_id") % 2 == 0, F.lit(" Limitation")).otherwise(c("event_type"))).alias("label"), N.confidence((c("value") / 50).cast("string")).alias("confidence")),
@@ -144,7 +144,7 @@ PLANS = {
         "select l_orderkey, l_linenumber, l_linenumber || '.5%|3x' as phrases from lineitem",
     ),
     "f33_redacted": (
-        lambda s: s.conversations.select("conv_id", "turn", N.redacted(F.concat(F.substring("text", 1, 40), F.lit(" api_key="), c("conv_id").cast("string"), F.lit(" Bearer a.b-c sk-abcdefgh1"))).alias("safe")),
-        "select conv_id, turn, substring(text, 1, 40) || ' api_key=[redacted] Bearer [redacted] [redacted]' as safe from conversations",
+        lambda s: s.conversations.select("conv_id", "turn", N.redacted(F.concat("text", F.lit(" api_key="), c("conv_id").cast("string"), F.lit(" Bearer a.b-c sk-abcdefgh1"))).alias("safe")),
+        "select conv_id, turn, text || ' api_key=[redacted] Bearer [redacted] [redacted]' as safe from conversations",
     ),
 }

@@ -63,13 +63,13 @@ LIBRARY = f"""
 
 def _overlap(s: Source):
     t = s.fx_cited.groupBy("title").agg(F.min("publication_id").alias("id"))
-    files = t.where("id % 3 = 0").select("id", F.concat("title", F.lit(" final")).alias("title"))
+    files = t.select("id", F.concat("title", F.lit(" final")).alias("title"))
     return M.token_overlap_join(files, t)
 
 
 OVERLAP = f"""
     with t as (select min(publication_id) as id, title from fx_cited group by title),
-    a as (select id, list_distinct(string_split({NORM.format("title || ' final'")}, ' ')) as w from t where id % 3 = 0), b as (select id, list_distinct(string_split({NORM.format('title')}, ' ')) as w from t)
+    a as (select id, list_distinct(string_split({NORM.format("title || ' final'")}, ' ')) as w from t), b as (select id, list_distinct(string_split({NORM.format('title')}, ' ')) as w from t)
     select a.id as left_id, b.id as right_id, len(list_intersect(a.w, b.w)) / greatest(len(a.w), len(b.w)) as overlap from a, b where len(list_intersect(a.w, b.w)) / greatest(len(a.w), len(b.w)) >= 0.75"""
 
 
@@ -84,6 +84,34 @@ HONOUR = """
     select row_id, item_id, score, case when nxt is not null and (score - nxt < 0.05 - 1e-9 or score < 0.95 - 1e-9) then 'ambiguous' when score >= 0.90 - 1e-9 then 'matched' else 'ambiguous' end as status from r where rank = 1"""
 
 
+def honour_rows(s: Source):
+    """Honour rows whose citing titles are those of the queue, shortened, reversed, or others."""
+    k, t = c("publication_id"), c("title")
+    title = F.when(k % 4 == 0, t).when(k % 4 == 1, F.substring_index(t, " ", 4)).when(k % 4 == 2, F.array_join(F.reverse(F.split(t, " ")), " ")).otherwise(F.concat(F.lit("Other words "), k.cast("string")))
+    return s.fx_cited.select(k.alias("row_id"), "session_id", title.alias("citing_title"), F.concat(F.lit("Cited work "), (k % 3).cast("string")).alias("cited_title"), F.concat(F.lit("Author "), (k % 5).cast("string")).alias("author"))
+
+
+def queue_items(s: Source):
+    k = c("publication_id")
+    return s.fx_cited.select(k.alias("item_id"), "session_id", c("title").alias("citing_title"), F.concat(F.lit("Cited work "), (k % 2).cast("string")).alias("cited_title"), F.array(F.concat(F.lit("AUTHOR "), (k % 10).cast("string"))).alias("authors"))
+
+
+def honours(s: Source):
+    rows = honour_rows(s)
+    return M.honour_decisions(M.honour_scores(rows, queue_items(s)), rows)
+
+
+def _annotations(s: Source):
+    k = c("publication_id")
+    own = lambda n: s.fx_cited.where(k % 2 == n).select("session_id", k.alias("annotation_id"), F.lit(n).alias("import_no"))
+    return M.replaced(own(0), own(1).where("session_id < 'Brand#3'"))
+
+
+def _candidate_links(s: Source):
+    k = c("page_id")
+    return s.pages.select((k % 20).alias("item_id"), "url", F.when(k % 3 == 0, "direct_pdf").when(k % 3 == 1, "landing_page").otherwise("metadata_page").alias("url_type"), (k % 2 == 0).alias("can_auto_download"), F.concat(F.lit("L"), (k % 5).cast("string")).alias("label")).distinct()
+
+
 def _similar(s: Source):
     t = s.fx_cited.groupBy("title").agg(F.min("publication_id").alias("id"))
     return M.title_similarity_join(t.select("id", F.concat(F.lit("The "), "title").alias("title")), t.select("id", "title"), 0.9)
@@ -128,7 +156,17 @@ PLANS = {
         f"""select f.publication_id * 2 as file_id, coalesce(case when f.publication_id % 2 = 0 then (select min(publication_id) from fx_cited g where {KEY.format('g.doi')} = {KEY.format('f.doi')}) end, t.id) as publication_id
             from fx_cited f join (select {NORM.format('title')} as k, min(publication_id) as id from fx_cited group by 1) t on t.k = {NORM.format('f.title')} where f.publication_id % 3 = 1""",
     ),
-    "j11_honour_decisions": (lambda s: M.honour_decisions(_scores(s)), HONOUR),
+    "j11_honour_decisions": (honours, None),
+    "j11_decision_rule": (lambda s: M.honour_decisions(_scores(s)), HONOUR),
+    "u13_replaced_annotations": (
+        _annotations,
+        "with k as (select session_id, publication_id as annotation_id, publication_id % 2 as import_no from fx_cited), n as (select * from k where import_no = 1 and session_id < 'Brand#3') select session_id, annotation_id, cast(import_no as int) as import_no from n union all select session_id, annotation_id, cast(import_no as int) from k where import_no = 0 and session_id not in (select session_id from n)",
+    ),
+    "u14_rematched_annotations": (lambda s: M.rematched(honour_rows(s).withColumnRenamed("row_id", "annotation_id"), queue_items(s).where("item_id % 3 <> 0")), None),
+    "t4_link_order": (
+        lambda s: M.ordered_links(_candidate_links(s)).select("item_id", "url", "url_type", "label", "place"),
+        "with k as (select distinct page_id % 20 as item_id, url, case page_id % 3 when 0 then 'direct_pdf' when 1 then 'landing_page' else 'metadata_page' end as url_type, page_id % 2 = 0 as auto, 'L' || page_id % 5 as label from pages) select item_id, url, url_type, label, row_number() over (partition by item_id order by case when auto and url_type = 'direct_pdf' then 0 when url_type = 'landing_page' then 1 else 2 end, label, url) as place from k",
+    ),
     "j12_title_similarity": (_similar, None),
     "j13_record_publications": (_records, None),
     "j16_token_overlap": (_overlap, OVERLAP),

@@ -12,11 +12,11 @@ from citeloom.operators import upkeep as K
 
 from .evidence_plans import DIRECT, SCORED, direct, scored
 from .fixtures import Source
-from .matching_plans import HONOUR, _scores
+from .matching_plans import HONOUR, _scores, honours
 
 c = F.col
 NORM = r"trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
-QKEY = f"substring({NORM.format('citation_text')}, 1, 220)"
+QKEY = f"substring({NORM.format('strip_accents(citation_text)')}, 1, 220)"
 
 
 def _reasons(s: Source):
@@ -31,8 +31,15 @@ def _findings(s: Source):
     return K.finding_reasons(e.withColumn("result_id", c("evidence_id")), e.where("evidence_id % 4 <> 0").select(c("evidence_id").alias("result_id"), F.to_json(F.array(other, one)).alias("findings")))
 
 
+def _inbox(s: Source):
+    """Drop-folder files with the DOI of a queue item, or a title near one's, or neither."""
+    k = c("publication_id")
+    return s.fx_cited.select((k * 2).alias("file_id"), F.when(k % 3 == 0, F.upper("doi")).alias("doi"), F.when(k % 3 == 1, F.concat("title", F.lit(" x"))).otherwise(F.reverse("title")).alias("title"))
+
+
 PLANS = {
-    "a4_honour_summary": (lambda s: M.honour_decisions(_scores(s)).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("item_id").alias("items")), f"select status, count(*) as n, count(distinct item_id) as items from ({HONOUR}) group by 1"),
+    "a4_honour_summary": (lambda s: honours(s).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("item_id").alias("items")), None),
+    "a4_summary_rule": (lambda s: M.honour_decisions(_scores(s)).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("item_id").alias("items")), f"select status, count(*) as n, count(distinct item_id) as items from ({HONOUR}) group by 1"),
     "a11_run_summary": (
         lambda s: K.run_summary(_reasons(s), "source_type"),
         "with k as (select source_type, case when asset_id % 7 = 0 then 'unsupported_pdf_status' when asset_id % 5 = 0 then 'invalid_pdf_binding' when extract_status <> 'extracted' then 'pdf_extract_not_ready' when asset_id % 9 = 0 or trim(text) = '' then 'missing_extracted_text' end as r from fx_asset) select source_type, count(*) as items, count(*) filter (r is null) as analysed, count(*) filter (r = 'unsupported_pdf_status') as unsupported_pdf_status, count(*) filter (r = 'invalid_pdf_binding') as invalid_pdf_binding, count(*) filter (r = 'pdf_extract_not_ready') as pdf_extract_not_ready, count(*) filter (r = 'missing_extracted_text') as missing_extracted_text from k group by 1",
@@ -50,6 +57,10 @@ PLANS = {
         lambda s: M.title_similarity_join(s.fx_cited.groupBy("title").agg(F.min("publication_id").alias("id")), s.fx_cited.groupBy("title").agg(F.min("publication_id").alias("id")), 0.8).withColumn("auto_attach", c("score") >= 0.98),
         None,
     ),
+    "j10_inbox_matches": (
+        lambda s: _inbox(s).join(M.inbox_matches(_inbox(s), s.fx_cited.select(c("publication_id").alias("item_id"), "doi", "title")).withColumnRenamed("file_id", "m_id"), c("file_id") == c("m_id"), "left").select("file_id", "item_id", K.inbox_status(F.coalesce("score", F.lit(0.0))).alias("status")),
+        None,
+    ),
     "j10_inbox_status": (lambda s: _scores(s).groupBy("row_id").agg(F.max("score").alias("best")).select("row_id", K.inbox_status(c("best")).alias("status")), "select cited_id as row_id, case when b >= 0.95 then 'matched' when b >= 0.82 then 'candidate' else 'unmatched' end as status from (select cited_id, max(least(1.0, 0.85 * (1 - (citing_id % 20) / 80.0) + 0.15 + case when citing_id % 3 = 0 then 0.05 else 0 end)) as b from fx_edge group by 1)"),
     "j19_finding_reasons": (_findings, "select evidence_id, case when evidence_id % 4 <> 0 then 'because ' || evidence_id else '' end as reason from fx_evidence"),
     "p11_export_gate": (lambda s: direct(s).withColumn("anchor_status", F.when(c("evidence_id") % 11 == 0, "invalid").otherwise("valid")).where(K.export_gate()).select("evidence_id"), f"with {DIRECT} select evidence_id from di where recommendation = 'include' and has_target and evidence_id % 11 <> 0"),
@@ -70,8 +81,8 @@ PLANS = {
         f"with {SCORED} select evidence_id, seen from (select evidence_id, row_number() over (partition by session_id, {QKEY} order by round(score, 9) desc, evidence_id) as n, count(*) over (partition by session_id, {QKEY}) as seen from sc where {QKEY} <> '') where n = 1",
     ),
     "u10_card_keepers": (
-        lambda s: K.card_keepers(s.fx_evidence.select((c("item_id") % 5).alias("item_id"), c("stance").alias("card_type"), c("evidence_id").alias("card_id"), F.substring("citation_text", 1, 12).alias("quote"), (c("evidence_id") % 6 == 5).alias("is_user_edited"))),
-        f"with k as (select item_id % 5 as item_id, stance as card_type, evidence_id as card_id, {NORM.format('substring(citation_text, 1, 12)')} as key from fx_evidence) select item_id, card_type, key, coalesce(min(card_id) filter (card_id % 6 = 5), min(card_id)) as card_id, count(*) as copies from k group by 1, 2, 3",
+        lambda s: K.card_keepers(s.fx_evidence.select((c("item_id") % 5).alias("item_id"), c("stance").alias("card_type"), c("evidence_id").alias("card_id"), c("citation_text").alias("quote"), (c("evidence_id") % 6 == 5).alias("is_user_edited"))),
+        f"with k as (select item_id % 5 as item_id, stance as card_type, evidence_id as card_id, {QKEY} as key from fx_evidence) select item_id, card_type, key, coalesce(min(card_id) filter (card_id % 6 = 5), min(card_id)) as card_id, count(*) as copies from k group by 1, 2, 3",
     ),
     "u16_venue_backfill": (
         lambda s: K.backfilled_venues(s.fx_citing.select("publication_id", "title", "venue"), s.fx_citing.where("publication_id % 2 = 0").select(F.upper("title").alias("citing_title"), F.concat(F.lit("Conf "), c("publication_id") % 7).alias("citing_venue"))).select("publication_id", "venue"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +23,8 @@ CITATION_HEADERS = {
 }
 # The columns that an honour list must have.
 HONOUR_HEADERS = ("Honor/Category", "Citing Author", "Citing Author Affiliation", "Citing Paper Info", "My Cited Paper Title", "My Cited Paper Venue", "My Cited Paper Year")
-CARD_HEADERS = ("session_id", "evidence_id", "item_id", "card_type", "card_title", "subtitle", "evidence_quote", "strength", "review_status", "include_in_report", "sort_order")
+# The columns of the cards' CSV.
+CARD_HEADERS = ("id", "card_type", "title", "subtitle", "source_citing_paper_title", "source_cited_paper_title", "aspect", "stance", "evidence_strength", "score", "evidence_quote")
 
 
 def _csv(spark: SparkSession, path: str) -> DataFrame:
@@ -58,10 +61,25 @@ def honour_records(df: DataFrame) -> DataFrame:
     return df.select(F.trim("Honor/Category").alias("honour"), F.trim("Citing Author").alias("author"), F.nullif(F.trim(F.col("Citing Author Affiliation")), F.lit("")).alias("affiliation"), info["title"].alias("citing_title"), info["venue"].alias("citing_venue"), info["year"].alias("citing_year"), F.trim("My Cited Paper Title").alias("cited_title"))
 
 
+def library_files(files: DataFrame, most: int = 1000) -> DataFrame:
+    """Of a listing (path, is_link) the PDF files, whatever the case of the suffix, links left out: the first `most` by path (a limit that is part of the scan's contract)."""
+    return files.where(F.lower("path").endswith(".pdf") & ~F.coalesce("is_link", F.lit(False))).orderBy("path").limit(most)
+
+
 def read_library(spark: SparkSession, path: str, most: int = 1000) -> DataFrame:
-    """The PDF files under a path, the first `most` by path (a limit that is part of the scan's contract), with what their names and contents tell."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(path).orderBy("path").limit(most)
-    return file_metadata(files.select("path", "length", "content", F.regexp_extract("path", r"([^/]+)$", 1).alias("filename")))
+    """The PDF files under a path with what their names and contents tell; see library_files(). Links under a local folder are left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{pdf,PDF,Pdf}").load(path)
+    link = F.lit(False)
+    for at in _links(path):
+        link = link | (F.col("path") == f"file:{at}") | F.startswith("path", F.lit(f"file:{at}/"))
+    listed = files.withColumn("is_link", link)
+    return file_metadata(library_files(listed, most).select("path", "length", "content", F.regexp_extract("path", r"([^/]+)$", 1).alias("filename")))
+
+
+def _links(path: str) -> list[str]:
+    """The links, of files and folders, under a local folder. Other stores have none that Spark follows."""
+    at = path.removeprefix("file://").removeprefix("file:")
+    return [full for top, folders, names in os.walk(at) for x in (*folders, *names) if os.path.islink(full := os.path.join(top, x))] if "://" not in at else []
 
 
 def file_metadata(files: DataFrame) -> DataFrame:
@@ -134,10 +152,25 @@ def missing_documents(queue: DataFrame) -> DataFrame:
     return queue.where("pdf_readiness_status = 'need_pdf'").select("session_id", "cited_id", "citing_id", "citing_title", F.when(F.col("doi").isNotNull(), F.concat(F.lit("https://doi.org/"), "doi")).otherwise("").alias("doi_url"), search.alias("search_url"))
 
 
+def cards_export(cards: DataFrame) -> DataFrame:
+    """The columns of the cards' CSV. cards: as made from evidence, with aspect, stance, score and both titles."""
+    c = F.col
+    return cards.select(c("evidence_id").alias("id"), "card_type", c("card_title").alias("title"), "subtitle", c("citing_title").alias("source_citing_paper_title"), c("cited_title").alias("source_cited_paper_title"), "aspect", "stance", c("strength").alias("evidence_strength"), "score", "evidence_quote")
+
+
 def write_cards(cards: DataFrame, path: str) -> None:
     cards.select(*CARD_HEADERS).write.mode("overwrite").option("header", True).csv(path)
 
 
+def paper_reports(papers: DataFrame, results: DataFrame, evidence: DataFrame) -> DataFrame:
+    """session_id and report, a JSON text with the session, its citing papers, full-text results and strong evidence, each by id; sessions are those of papers. A session's rows are its report, which is read as one document."""
+    out = papers.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("publication_id", "title"))).alias("citing_papers"))
+    for rows, name, columns in ((results, "fulltext_results", ("result_id", "status")), (evidence, "strong_evidence", ("evidence_id", "evidence_type"))):
+        own = rows.groupBy(F.col("session_id").alias("k")).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+        out = out.join(own, F.col("session_id") == F.col("k"), "left").drop("k").withColumn(name, F.coalesce(name, F.array().cast(own.schema[name].dataType)))
+    return out.select("session_id", F.to_json(F.struct(F.struct(F.col("session_id").alias("id")).alias("session"), "citing_papers", "fulltext_results", "strong_evidence")).alias("report"))
+
+
 def write_reports(reports: DataFrame, path: str) -> None:
     """Reports by session; writing again replaces only the sessions at hand."""
     reports.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(path)

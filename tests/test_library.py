@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import identifiers as I
 from citeloom.functions import names as N
-from citeloom.operators import anchors, cards, evidence, graph, inference, matching, queue, templates
+from citeloom.operators import anchors, cards, evaluation, evidence, graph, inference, matching, queue
 from citeloom.sources import readers
 from citeloom.streaming import streams
 
@@ -124,18 +124,22 @@ def test_token_overlap_is_lossless(spark):
 
 def test_quotes_are_merged_greedily_in_order(spark):
     long = "one two three four five six seven"
-    rows = [(1, "t", 1, long, [0.0]), (1, "t", 2, long.upper() + "!", [1.0]), (1, "t", 3, long + " eight nine", [0.0]), (1, "u", 4, long, [0.0]), (1, "t", 5, "", [0.0]), (1, "t", 6, None, [0.0])]
-    df = spark.createDataFrame(rows, "item_id long, card_type string, evidence_id long, quote string, preference array<double>")
+    rows = [(1, "t", 1, long, "", 0.0), (1, "t", 2, long.upper() + "!", "accepted", 0.0), (1, "t", 3, long + " eight nine", "", 0.9), (1, "u", 4, long, "", 0.0), (1, "t", 5, "", "", 0.0), (1, "t", 6, None, None, None)]
+    df = spark.createDataFrame(rows, "item_id long, card_type string, evidence_id long, quote string, review_status string, score double")
     assert {(r["evidence_id"], r["copies"]) for r in cards.distinct_quotes(df).collect()} == {(2, 3), (4, 1), (5, 1), (6, 1)}
 
 
 def test_verdicts_guard_and_group(spark):
-    sessions = spark.createDataFrame([("s",)], "session_id string")
-    t = templates.builtin_templates(spark, sessions)
-    text = "We compare with [3] in experiments and report higher accuracy than the others do"
-    e = spark.createDataFrame([(1, "s", text, "", "detailed_comparison", "matched", True, "T", False), (2, "s", text, "", "detailed_comparison", "matched", True, "T", True), (3, "s", text, "", "detailed_comparison", "mismatch", True, "T", False), (4, "s", "", "", "detailed_comparison", "matched", True, "T", False)], "evidence_id long, session_id string, citation_text string, context string, claim_type string, reference_match_status string, anchored boolean, title string, grouped boolean")
-    got = {r["evidence_id"]: r["template_match_level"] for r in templates.combined(templates.verdicts(e, t)).collect()}
-    assert got == {1: "strong", 2: "candidate", 3: "none", 4: "none"}
+    """Strong, candidate and none; a grouped citation is a candidate until the model attributes it."""
+    kinds = "template_id int, session_id string, template_type string, name string, goal string, user_defined boolean, enabled boolean, aspects array<string>, allowed_types array<string>, positive array<string>, negative array<string>, required array<string>, require_marker boolean, min_chars int, min_words int"
+    t = spark.createDataFrame([(2, "s", "detailed_comparison", "compared", "", False, True, [], [], [], [], [], None, 0, 0), (3, "s", "baseline_or_benchmark", "off", "", False, False, [], [], [], [], [], None, 0, 0)], kinds)
+    text = "We compare with [3] in experiments. We report higher accuracy than the others do."
+    row = lambda i, quote, status="matched", group=False, ids=(), inherited=False: (i, "s", quote.replace("[3]", "[3, 4]") if group else quote, "", "detailed_comparison", "", "", [], status, "3", "A title", inherited, "review", list(ids), True)
+    rows = [row(1, text), row(2, text, group=True), row(3, text, group=True, ids=[2]), row(4, text, status="mismatch"), row(5, ""), row(6, text.replace("[3]", "it")), row(7, text.replace("[3]", "it"), inherited=True), row(8, "We compare with [3]."), row(9, "A title [3]")]
+    f = spark.createDataFrame(rows, "evidence_id long, session_id string, citation_text string, context string, claim_type string, mention_type string, reasoning string, keywords array<string>, reference_match_status string, target_marker string, title string, inherited boolean, recommendation string, model_ids array<int>, model_satisfied boolean")
+    got = {r["evidence_id"]: (r["template_match_level"], list(r["template_ids"])) for r in evaluation.together(evaluation.evaluations(f, t), t).collect()}
+    level = {1: "strong", 2: "candidate", 3: "strong", 4: "none", 5: "none", 6: "none", 7: "strong", 8: "candidate", 9: "none"}
+    assert got == {i: (x, [] if x == "none" else [2]) for i, x in level.items()}
 
 
 def test_answers_are_salvaged_or_quarantined(spark):
