@@ -42,7 +42,7 @@ FLUSH_SIGNATURES = 1 << 20
 BUCKETS_PER_PARTITION = 2
 SPARE = 1.1
 #: Bytes of text that one side of a comparison, or one group of pairs, brings together in a task.
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 20
 
 _LOW = np.uint64((1 << 48) - 1)
 
@@ -396,7 +396,10 @@ def _labelled(rows: DataFrame, labels: DataFrame, node: str, into: str) -> DataF
 def _large_groups(rows: DataFrame, held: DataFrame, links: DataFrame, similarity: int) -> DataFrame:
     """links and those among sets that share frequent signatures. rows: sig, doc."""
     first = written(rows.groupBy(F.col("sig").alias("f_sig")).agg(F.min("doc").alias("pivot")), "pivots")
-    hoods = components(rows.join(first, F.col("sig") == F.col("f_sig")).select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct())
+    # a class is tied to the first of its pivots, and that one to the others: of these pairs few are distinct
+    tied = written(rows.join(first, F.col("sig") == F.col("f_sig")).groupBy("doc").agg(F.collect_set("pivot").alias("pivots")), "tied")
+    low = F.array_min("pivots").alias("a")
+    hoods = components(tied.select(low, F.col("doc").alias("b")).unionByName(tied.select(low, F.explode("pivots").alias("b"))).distinct())
     members = _labelled(hoods.select(F.col("node").alias("doc"), F.col("label").alias("hood")), components(links), "doc", "comp")
     members = written(members, "hoods")
     star = _compared(members, members.where("doc = hood"), held, similarity)
