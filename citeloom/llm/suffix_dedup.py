@@ -5,8 +5,9 @@ places, so windows need comparing only where their anchors agree.
 
 1. Anchors are dealt by hash; those that occur in two documents or more are handed back to their documents.
 2. For each such anchor the documents send the stretch of text that its windows cover, equal stretches once for each task.
-3. Where an anchor has several distinct stretches, their windows are sorted: multikey quicksort to a shallow depth of
-   24 bytes, then blind tries order the groups that remain tied. A window is removed where a smaller doc_id has it too.
+3. Equal stretches are merged by content: all but their smallest holder lose them whole. Where an anchor has several distinct stretches,
+   their windows are sorted: multikey quicksort to a shallow depth of 24 bytes, then blind tries order the groups that remain tied. A
+   window is removed where a smaller doc_id has it too.
 4. Removed windows return to their documents, whose texts lose the bytes they cover.
 """
 
@@ -33,6 +34,8 @@ BUCKETS_PER_PARTITION = 2
 #: What a document is told of its shared anchors: 32 bits of each hash. A chance agreement sends a stretch too many, no more.
 _SHORT = np.uint64((1 << 32) - 1)
 _PLACE = np.uint64((1 << 30) - 1)
+#: Places in a chunk take 30 bits. A chunk holds one text or less than CHUNK_BYTES.
+MOST_BYTES = (1 << 30) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTE = np.random.default_rng(10).integers(1, 2**63, 256, dtype=np.uint64)
 _powers: list[np.ndarray] = []
@@ -96,6 +99,8 @@ def _chunks(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iter
             while to < len(data) and (to == at or size + len(data[to]) <= CHUNK_BYTES):
                 size += len(data[to])
                 to += 1
+            if size > MOST_BYTES:
+                raise ValueError(f"a text of {size} bytes; at most {MOST_BYTES} can be read")
             ends = np.cumsum([len(x) for x in data[at:to]])
             yield b"".join(data[at:to]), ends - np.diff(ends, prepend=0), ends, *(x[at:to] for x in rest)
             at = to
@@ -264,24 +269,29 @@ def _stretches(buckets: int):
     return run
 
 
-def multikey_sort(words: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of rows by their first `depth` words, and each sorted row's tie group; ties of one word are refined by the next."""
-    order = np.arange(len(words))
-    group = np.zeros(len(words), np.int64)
-    for d in range(depth):
-        tied = np.zeros(len(order), bool)
-        same = group[1:] == group[:-1]
-        tied[1:] |= same
-        tied[:-1] |= same
-        own = np.flatnonzero(tied)
-        if not len(own):
-            break
-        by = own[np.lexsort((words[order[own], d], group[own]))]
-        order[own] = order[by]
-        key = np.zeros(len(order), np.uint64)
-        key[own] = words[order[own], d]
-        group = np.cumsum(np.concatenate([[False], (np.diff(group) != 0) | (key[1:] != key[:-1])]))
-    return order, group
+def multikey_quicksort(words: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows by their first `depth` words, and each sorted row's tie group, by three-way multikey quicksort, all groups a round at a time.
+
+    A group's middle row gives the pivot; rows with a smaller, equal or larger word at the group's depth part into three groups, and the equal one goes a word deeper."""
+    n = len(words)
+    order, start, level = np.arange(n), np.zeros(n, bool), np.zeros(n, np.int64)
+    start[:1] = True
+    active = np.arange(n if n > 1 and depth else 0)
+    while len(active):
+        rows = order[active]
+        key = words[rows, level[active]]
+        begin = np.flatnonzero(start[active])
+        sizes = np.diff(begin, append=len(active))
+        pivot = np.repeat(key[begin + sizes // 2], sizes)
+        part = np.repeat(np.arange(len(begin)) * 3, sizes) + (key >= pivot) + (key > pivot)
+        by = np.argsort(part, kind="stable")
+        order[active], part = rows[by], part[by]
+        first = np.concatenate([[True], part[1:] != part[:-1]])
+        start[active] = first
+        level[active] += part % 3 == 1
+        sizes = np.diff(np.flatnonzero(first), append=len(active))
+        active = active[(np.repeat(sizes, sizes) > 1) & (level[active] < depth)]
+    return order, np.cumsum(start) - 1
 
 
 def blind_tries(rows: np.ndarray, order: np.ndarray, group: np.ndarray, at: int) -> np.ndarray:
@@ -319,7 +329,7 @@ def smallest_holders(data: bytes, starts: np.ndarray, docs: np.ndarray) -> np.nd
     """For each window start in data, the smallest of docs over all windows of the same bytes."""
     rows = np.zeros((len(starts), -(-WINDOW // 8) * 8), np.uint8)
     rows[:, :WINDOW] = np.frombuffer(data, np.uint8)[starts[:, None] + np.arange(WINDOW)]
-    order, group = multikey_sort(rows.view(">u8").astype(np.uint64), SHALLOW_WORDS)
+    order, group = multikey_quicksort(rows.view(">u8").astype(np.uint64), SHALLOW_WORDS)
     group = blind_tries(rows[:, :WINDOW], order, group, 8 * SHALLOW_WORDS)
     begin = np.flatnonzero(np.diff(group, prepend=-1))
     low = np.minimum.reduceat(docs[order], begin)
@@ -424,7 +434,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     A byte goes where a 50-byte string that covers it also starts in a document of smaller doc_id. Null texts count as
     empty. Rows that share a doc_id remove nothing from one another. Rows with a null doc_id stay whole and remove nothing.
-    An empty table gives an empty result.
+    An empty table gives an empty result. A text of 1 GiB or more fails the job.
     """
     spark = docs.sparkSession
     small_batches(spark)
