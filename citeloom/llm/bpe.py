@@ -1,8 +1,8 @@
 """BPE encoding and decoding by a table of distinct words.
 
-Spark splits the texts at white space, counts the distinct words and keeps the frequent ones, a number that is
-bounded by a parameter; each is encoded once. The table goes to the workers, which put the ids back in each word's position. Words
-outside the table (rare, or long) are encoded where they stand, once for each task. Decoding looks ids up in the id-to-piece table.
+Texts are cut into words at white space, block by block; a block keeps the places of its words as numbers into its own list of distinct ones. These lists are dealt out by a hash of the
+word, so that all that a word needs is its encoding, once, and one entry for each block that has it, however often it occurs there. The ids return to their blocks and are joined with
+the places. Decoding joins ids with the id-to-piece table, a batch at a time.
 
 Cutting at the six ASCII white space characters is safe: no merge, normal form or special token of the vocabulary reaches across them.
 """
@@ -10,30 +10,39 @@ Cutting at the six ASCII white space characters is safe: no merge, normal form o
 from __future__ import annotations
 
 import array
-import math
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import small_batches, texts, written
+from .common import partitions, small_batches, texts, written
 
-TABLE_WORDS = 2**17
-WORD_BYTES = 48
-#: A task forgets the rare words it has encoded when it holds so many.
-TASK_WORDS = 2**17
+#: Bytes of text in a block: the larger, the fewer entries a word has; a task holds one block.
+BLOCK_BYTES = 3 * 2**22
+BUCKETS_PER_PARTITION = 2
 LINE_WORDS = 128
 #: Bytes of text or numbers of ids that a worker turns into objects at once.
 SLICE = 2**20
-WHITE = r"[ \t\n\x0B\f\r]+"
-#: Steps of the logarithmic scale on which word counts are compared.
-STEPS = 64
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers in little room: low bytes together, then higher ones."""
+    return zstandard.ZstdCompressor(level=3).compress(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(4, -1).T.copy().view(np.uint32).reshape(-1).astype(np.int64)
+
+
+@lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    """The tokenizer of a file, read once for each worker."""
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
@@ -67,34 +76,80 @@ def _slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterat
             at += n
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word and n, the number of its occurrences."""
-    words = texts(docs).select(F.explode(F.split("text", WHITE)).alias("word"))
-    return words.where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-
-
-def word_table(docs: DataFrame, path: str, most: int = TABLE_WORDS) -> DataFrame:
-    """word and ids (binary) of the most frequent words: at most `most` of them, each of at most WORD_BYTES bytes."""
-    counts = word_counts(docs).where((F.octet_length("word") <= WORD_BYTES) & (F.col("n") > 1)).withColumn("step", F.floor(F.log2("n") * STEPS).cast("int"))
-    counts = written(counts, "word-counts")
-    least, total = math.inf, 0
-    for step, n in sorted(((r["step"], r["k"]) for r in counts.groupBy("step").agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True):
-        total += n
-        if total > most:
-            break
-        least = step
+def _split(buckets: int):
+    """For each block of texts: a row of its documents and of the places of its words, numbers into the block's own list of distinct words, the frequent first; and for each bucket a row with the
+    words that belong there."""
+    kinds = pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("places", pa.binary()), ("bucket", pa.int32()), ("words", pa.binary()), ("numbers", pa.binary())])
+
+    def block(ids: list, texts: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+        split = pc.ascii_split_whitespace(pa.concat_arrays(texts).cast(pa.large_string()))
+        flat, owner = pc.list_flatten(split), pc.list_parent_indices(split).to_numpy()
+        full = pc.greater(pc.binary_length(flat), 0)
+        coded = pc.dictionary_encode(flat.filter(full))
+        counts = np.bincount(owner[full.to_numpy(zero_copy_only=False)], minlength=len(ids)).astype(np.int32)
+        at = coded.indices.to_numpy()
+        order = np.argsort(-np.bincount(at, minlength=len(coded.dictionary)), kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order))
+        number = uuid.uuid4().int >> 65
+        yield pa.RecordBatch.from_pylist([{"block": number, "docs": ids, "counts": counts.tolist(), "places": _packed(rank[at])}], kinds)
+        words = coded.dictionary.take(pa.array(order)).cast(pa.large_binary()).to_pylist()
+        deal = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int64, len(words))
+        by = np.argsort(deal, kind="stable")
+        begin = np.flatnonzero(np.diff(deal[by], prepend=-1))
+        for a, z in zip(begin, np.append(begin[1:], len(by)), strict=True) if len(by) else ():
+            own = by[a:z]
+            yield pa.RecordBatch.from_pylist([{"block": number, "bucket": int(deal[own[0]]), "words": zstandard.ZstdCompressor(level=3).compress(b" ".join(words[i] for i in own)), "numbers": _packed(np.diff(own, prepend=0))}], kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _tokenizer(path)
-        for b in batches:
-            words = b.column("word").cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([words, pa.array(_encoded(own, words.to_pylist()), pa.binary())], ["word", "ids"])
-
-    chosen = counts.where(F.col("step") >= (F.lit(2**31 - 1) if least == math.inf else F.lit(least)))
-    return chosen.select("word").mapInArrow(run, "word binary, ids binary")
-
-
-def bpe_encode(docs: DataFrame, path: str, most: int = TABLE_WORDS) -> DataFrame:
+        ids, texts, size = [], [], 0
+        for b in _slices(batches, "text", SLICE):
+            ids += b.column("doc_id").to_pylist()
+            texts.append(b.column("text"))
+            size += b.column("text").nbytes
+            if size >= BLOCK_BYTES:
+                yield from block(ids, texts)
+                ids, texts, size = [], [], 0
+        if ids:
+            yield from block(ids, texts)
+
+    return run
+
+
+def _encoded_words(path: str):
+    """A bucket's distinct words, each encoded once; for each of its blocks, the ids of the block's words."""
+
+    def run(table: pa.Table) -> pa.Table:
+        lists = [zstandard.ZstdDecompressor().decompress(x).split(b" ") for x in table.column("words").to_pylist()]
+        words = list(set().union(*lists))
+        known = dict(zip(words, _encoded(_tokenizer(path), words), strict=True))
+        ids = [[known[w] for w in x] for x in lists]
+        sizes = [_packed(np.array([len(y) // 4 for y in x])) for x in ids]
+        return pa.table({"block": table.column("block"), "numbers": table.column("numbers"), "sizes": pa.array(sizes, pa.binary()), "ids": pa.array([_packed(np.frombuffer(b"".join(x), np.int32)) for x in ids], pa.binary())})
+
+    return run
+
+
+def _joined(blocks: pa.Table, words: pa.Table) -> pa.Table:
+    """A block's documents with the ids of their words, joined by the words' numbers at each place."""
+    none = np.zeros(0, np.int64)
+    ints = lambda column: [_unpacked(x) for x in words.column(column).to_pylist()]
+    numbers = np.concatenate([none, *(np.cumsum(x) for x in ints("numbers"))])
+    sizes, ids = np.concatenate([none, *ints("sizes")]), np.concatenate([none, *ints("ids")])
+    first = np.cumsum(sizes) - sizes
+    where = np.empty(len(numbers), np.int64)
+    where[numbers] = np.arange(len(numbers))
+    out = []
+    for docs, counts, places in zip(*(blocks.column(c).to_pylist() for c in ("docs", "counts", "places")), strict=True):
+        at = where[_unpacked(places)]
+        n = sizes[at]
+        flat = ids[np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])]
+        out.append(pa.table({"doc_id": pa.array(docs, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32)))}))
+    return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})
+
+
+def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids, array<int>, for each row of docs, as the tokenizers library encodes the text without special tokens added.
 
     A null or empty text has no ids. Repeated rows repeat, a null doc_id stays null. An empty table gives an empty result; other columns are ignored.
@@ -102,26 +157,11 @@ def bpe_encode(docs: DataFrame, path: str, most: int = TABLE_WORDS) -> DataFrame
     """
     spark = docs.sparkSession
     small_batches(spark)
-    table = spark.sparkContext.broadcast({bytes(r["word"]): bytes(r["ids"]) for r in word_table(docs, path, most).toLocalIterator()})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = None, dict(table.value)
-        for b in _slices(batches, "text", SLICE):
-            split = [x.split() for x in b.column("text").cast(pa.binary()).to_pylist()]
-            new = set().union(*split).difference(known)
-            if len(known) - len(table.value) + len(new) > TASK_WORDS:
-                known = dict(table.value)
-                new = set().union(*split).difference(known)
-            if new:
-                own = own or _tokenizer(path)
-                new = list(new)
-                known.update(zip(new, _encoded(own, new), strict=True))
-            data = [b"".join(map(known.__getitem__, words)) for words in split]
-            ends = np.cumsum([0, *(len(x) // 4 for x in data)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(data), np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids], ["doc_id", "ids"])
-
-    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    buckets = BUCKETS_PER_PARTITION * partitions(spark)
+    split = written(texts(docs).mapInArrow(_split(buckets), "block long, docs array<long>, counts array<int>, places binary, bucket int, words binary, numbers binary"), "words")
+    words = split.where("bucket is not null").select("bucket", "block", "words", "numbers").groupBy("bucket").applyInArrow(_encoded_words(path), "block long, numbers binary, sizes binary, ids binary")
+    blocks = split.where("bucket is null").select("block", "docs", "counts", "places")
+    return blocks.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_joined, "doc_id long, ids array<int>")
 
 
 def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:

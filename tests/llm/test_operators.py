@@ -91,7 +91,7 @@ def test_jaccard_of_tables_without_words(spark):
         assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == [(1, 0, 1), (2, 0, 2), (3, 0, 3), (3, 0, 3), (4, 0, 4)]
 
 
-@pytest.mark.parametrize("block", [1 << 22, 4000])
+@pytest.mark.parametrize("block", [1 << 20, 4000])
 def test_jaccard_components_of_large_groups(spark, block, monkeypatch):
     """Groups of near copies whose members reach each other only through others, in one block and in several; versions of a document; very small sets."""
     monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", block)
@@ -153,6 +153,25 @@ def test_media(docs, cases):
     assert len({r["media_sha256"] for r in rows if r["doc_id"] in range(100, 130)}) == 1
 
 
+def test_low_frequency_hash_against_plain_loops():
+    """The hash by its definition: mean of the samples of a pixel, box averages to 32 x 32, sums of cosines, the median of all but the mean."""
+    import math
+
+    samples = np.random.default_rng(9).integers(0, 256, 192 * 40, dtype=np.uint8)
+    grey = samples.reshape(40, 64, 3).astype(float).mean(axis=2)
+
+    def cells(n):
+        return [[max(0.0, min((k + 1) * n / 32, i + 1) - max(k * n / 32, i)) * 32 / n for i in range(n)] for k in range(32)]
+
+    down, across = np.array(cells(40)), np.array(cells(64))
+    small = down @ grey @ across.T
+    low = [[round(sum(small[y][x] * math.cos(math.pi / 32 * u * (y + 0.5)) * math.cos(math.pi / 32 * v * (x + 0.5)) for y in range(32) for x in range(32)), 6) for v in range(8)] for u in range(8)]
+    flat = [x for row in low for x in row]
+    middle = sorted(flat[1:])[31]
+    want = bytes(sum(128 >> j for j in range(8) if flat[8 * i + j] > middle) for i in range(8))
+    assert media.low_frequency_hash(samples.tobytes()) == want
+
+
 def test_png_filters_and_checksums():
     rng = np.random.default_rng(0)
     samples = rng.integers(0, 256, 192 * 7, dtype=np.uint8).tobytes()
@@ -190,7 +209,7 @@ def test_exact_dedup(docs, cases, key_bits):
     assert Counter(tuple(r) for r in got.where("doc_id is not null").select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()) == want
 
 
-def test_bpe_matches_the_library(docs, cases, empty):
+def test_bpe_matches_the_library(docs, cases, empty, monkeypatch):
     from tokenizers import Tokenizer
 
     path = queries.tokenizer_file("word_bpe_49k.json")
@@ -199,8 +218,10 @@ def test_bpe_matches_the_library(docs, cases, empty):
     more = docs.sparkSession.createDataFrame([(9000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string")
     both = docs.select("doc_id", "text").unionByName(more)
     texts = dict(cases) | {9000 + i: t for i, t in enumerate(odd)}
-    for most in (2**18, 5):
-        rows = bpe.bpe_decode(bpe.bpe_encode(both, path, most), path).where("doc_id is not null").collect()
+    for block in (2**23, 200):
+        monkeypatch.setattr(bpe, "BLOCK_BYTES", block)
+        assert bpe.bpe_encode(both, path).count() == both.count()
+        rows = bpe.bpe_decode(bpe.bpe_encode(both, path), path).where("doc_id is not null").collect()
         for r in rows:
             ids = own.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
             assert r["ids"] == ids and r["decoded"] == own.decode(ids, skip_special_tokens=False)
@@ -217,6 +238,32 @@ def test_sharding(docs, empty):
     assert all(sorted(x) == list(range(len(x))) for x in by.values())
 
 
+def test_sharding_against_a_jump_hash_in_python(spark, docs, cases):
+    """size, crc32, law and the jump itself, from the draws that Spark makes; repeated rows and rows without an id have slots of their own."""
+    f = queries.F
+    rows = [(i, t) for i, t in cases] + [(None, "no id"), (None, "no id"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    draws = {(r["doc_id"], r["i"]): r["h"] for r in df.select("doc_id").distinct().select("doc_id", f.explode(f.sequence(f.lit(0), f.lit(25))).alias("i")).select("doc_id", "i", f.xxhash64("doc_id", "i").alias("h")).collect()}
+
+    def jump(key, shards):
+        shard, at, i = -1, 0, 0
+        while at < shards:
+            shard = at
+            draw = ((draws[key, i] % 2**64 >> 11) + 1) / 2**53
+            at, i = int((shard + 1) // draw) if i else int(1 // draw), i + 1
+        return shard
+
+    got = sharding.shard_documents(df, 24).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows)
+    for r in got:
+        assert r["law"] == "key" and r["grown_shard"] in (r["shard"], 24)
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r["slot"])
+    assert all(sorted(x) == list(range(len(x))) for x in by.values())
+    assert all(r["shard"] == jump(r["doc_id"], 24) and r["grown_shard"] == jump(r["doc_id"], 25) for r in got)
+
+
 def test_jump_hash_is_even_and_moves_little(spark):
     f = queries.F
     n = 24000
@@ -261,6 +308,27 @@ def test_suffix_dedup(docs, cases):
             seen |= {x[j : j + 50] for j in range(len(x) - 49)}
 
 
+def test_multikey_quicksort():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 50, 3000):
+        words = rng.integers(0, 3, (n, 4), dtype=np.uint64)
+        order, group = suffix_dedup.multikey_quicksort(words, 3)
+        rows = [tuple(words[i, :3].tolist()) for i in order]
+        assert sorted(order.tolist()) == list(range(n)) and rows == sorted(rows)
+        assert [rows[i] != rows[i - 1] for i in range(1, n)] == (np.diff(group) != 0).tolist()
+
+
+def test_suffix_dedup_of_a_text_of_some_megabytes(spark):
+    rng = np.random.default_rng(6)
+    long = " ".join(rng.choice([f"w{i}" for i in range(9000)], 500_000))
+    rows = [(1, long), (2, "head " + long[1_000_000:1_000_400] + " tail"), (3, "nothing of it here, in a text that is long enough for windows")]
+    got = _by_id(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")), "n_bytes", "n_removed", "n_spans")
+    assert got[1] == (len(long), 0, 0) and got[3][1:] == (0, 0)
+    assert got[2][2] == 1 and 400 <= got[2][1] <= 402  # a space on either side may be the long text's own
+    same = _by_id(jaccard_join.jaccard_components(spark.createDataFrame([(4, long), (5, long + " more"), rows[2]], "doc_id long, text string")), "component_id")
+    assert same == {4: (4,), 5: (4,), 3: (3,)}
+
+
 def test_packing(docs, cases):
     from tokenizers import Tokenizer
 
@@ -354,6 +422,51 @@ def test_quality(spark, empty):
     assert 0 < first["host_posterior"] < 1 and 0 < first["path_posterior"] < 1
 
 
+def test_quality_posteriors_against_numpy(spark):
+    """Shrinkage by its formulas: a host toward all, a path toward its host, with strengths by the method of moments."""
+    docs, labels = _labelled(spark)
+    model = quality.learn(docs, labels)
+    rows = quality.quality_scores(docs, model).where("doc_id is not null").collect()
+    p = np.array([r["doc_probability"] for r in quality.quality_scores(docs, model).collect()])
+    keys = [(r["host"], r["path"]) for r in quality.quality_scores(docs, model).collect()]
+    prior = (p.sum() + 1) / (len(p) + 2)
+
+    def strength(groups, mean):
+        n = np.array([len(g) for g in groups], float)
+        m = np.array([np.mean(g) for g in groups])
+        inside = sum(len(g) * np.var(g) for g in groups) / n.sum()
+        between = max(1e-4, (n * (m - mean) ** 2).sum() / n.sum() - len(groups) * inside / n.sum())
+        return min(1e4, max(1.0, inside / between))
+
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for k, x in zip(keys, p, strict=True):
+        hosts[k[0]].append(x)
+        paths[k].append(x)
+    a = strength(list(hosts.values()), prior)
+    host = {h: (sum(g) + a * prior) / (len(g) + a) for h, g in hosts.items()}
+    b = strength(list(paths.values()), np.array([host[h] for h, _ in paths]))
+    for r in rows:
+        g = paths[r["host"], r["path"]]
+        path = (sum(g) + b * host[r["host"]]) / (len(g) + b)
+        assert np.isclose(r["host_posterior"], host[r["host"]]) and np.isclose(r["path_posterior"], path)
+        odds = lambda x: np.log(x / (1 - x))
+        score = 1 / (1 + np.exp(-(odds(r["doc_probability"]) + quality.SITE_SHARE * (odds(path) - odds(prior)))))
+        assert np.isclose(r["score"], score) and r["kept"] == (r["score"] >= quality.LEAST)
+
+
+def test_learning_has_one_rule_for_repeated_and_disagreeing_labels(spark):
+    docs, labels = _labelled(spark)
+    twice = labels.unionByName(labels.selectExpr("doc_id", "1 as quality", "0 as toxic"))
+    a = toxicity.learn(docs.unionByName(docs), twice)
+    b = toxicity.learn(docs, labels)
+    for other in (a, toxicity.learn(docs.repartition(7), twice.repartition(3))):
+        assert other.lexicon == b.lexicon and np.allclose(other.curve, b.curve)
+    assert np.allclose(quality.learn(docs.unionByName(docs), twice).weights, quality.learn(docs, labels).weights)
+    clash = docs.selectExpr("doc_id", "text", "lang", "source", "1 as score", "true as held_out", "2 as label_id", "3 as toxic")
+    assert toxicity.toxicity_scores(clash, a).count() == docs.count() and toxicity.learn(clash, labels).lexicon == b.lexicon
+    assert toxicity.toxicity_scores(docs.limit(0), a).count() == 0
+
+
 def test_capitals_count_to_the_end_of_a_text():
     upper = quality.FEATURES.index("upper")
     text = "word " * 5000 + "LOUD " * 5000
