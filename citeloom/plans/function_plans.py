@@ -89,8 +89,8 @@ PLANS = {
         "select publication_id, title, coalesce(venue, 'Arxiv') as venue, case when year >= 2000 then year else year + 100 end as year, 'Oral' as type from fx_citing",
     ),
     "f19_provider_name": (
-        lambda s: s.documents.select("doc_id", N.provider_name(F.when(c("doc_id") % 2 == 0, F.concat(F.lit("Google "), "source")).otherwise(c("source"))).alias("provider")),
-        "select doc_id, case when doc_id % 2 = 0 then 'google_scholar_import' else 'external_import' end as provider from documents",
+        lambda s: s.documents.select("doc_id", N.provider_name(F.concat(F.element_at(F.array(*(F.lit(x) for x in ("Google Books ", "my SCHOLAR list ", "self-published ", "a web page ", None))), (c("doc_id") % 5 + 1).cast("int")), "source")).alias("provider")),
+        "select doc_id, case when doc_id % 5 < 3 or (doc_id % 5 = 3 and regexp_matches(lower(source), 'google|scholar|publish')) then 'google_scholar_import' else 'external_import' end as provider from documents",
     ),
     "f20_venue_tier": (
         lambda s: s.fx_citing.groupBy("venue", N.venue_tier(c("venue")).alias("tier")).agg(F.count(F.lit(1)).alias("n")),

@@ -148,8 +148,8 @@ PLANS = {
         f"with {ITEMS}, {LINKS} select * from (select item_id, asset_id, row_number() over (partition by item_id order by asset_id) as rank from items i join links l on {NORM.format('i.title')} = {NORM.format('l.title')} and {NORM.format('i.title')} <> '') where rank <= 3"),
     "j7_library_matches": (lambda s: M.library_matches(_published(s), _entries(s)), LIBRARY),
     "j8_session_library_matches": (
-        lambda s: M.library_matches(_published(s).join(s.fx_edge.where("pdf_readiness_status <> 'need_pdf'").select(c("cited_id").alias("has")).distinct(), c("publication_id") == c("has"), "left_anti"), _entries(s)),
-        f"select * from ({LIBRARY}) where publication_id not in (select cited_id from fx_edge where pdf_readiness_status <> 'need_pdf')",
+        lambda s: M.library_matches(_published(s).join(s.fx_edge.where("pdf_readiness_status <> 'need_pdf' and citing_id % 50 = 0").select(c("cited_id").alias("has")).distinct(), c("publication_id") == c("has"), "left_anti"), _entries(s)),
+        f"select * from ({LIBRARY}) where publication_id not in (select cited_id from fx_edge where pdf_readiness_status <> 'need_pdf' and citing_id % 50 = 0)",
     ),
     "j9_file_publications": (
         lambda s: M.file_publications(_files(s), s.fx_cited),

@@ -69,8 +69,8 @@ PLANS = {
         f"with {REFS} select doc_id, cast(marker as varchar) as marker, trim(regexp_replace(entry, '\\s+', ' ', 'g')) as entry from e where i <> 1",
     ),
     "x7_bibliographic": (
-        lambda s: A.reference_entries(_refs(s)).select("doc_id", "marker", A.is_bibliographic(c("entry")).alias("yes"), A.is_reference_entry(c("entry")).alias("strict")),
-        f"with {REFS} select doc_id, cast(marker as varchar) as marker, true as yes, true as strict from e where i <> 1",
+        lambda s: A.reference_entries(_refs(s)).withColumn("entry", F.when(c("doc_id") % 4 == 1, "[1] Smith, J. says so.").when(c("doc_id") % 4 == 2, F.concat(F.lit("[1] In "), (c("doc_id") % 90 + 1900).cast("string"), F.lit(" a journal"))).when(c("doc_id") % 4 == 3, F.concat(F.rpad(F.lit("x"), 1900, "x"), "entry")).otherwise(c("entry"))).select("doc_id", "marker", A.is_bibliographic(c("entry")).alias("yes"), A.is_reference_entry(c("entry")).alias("strict")),
+        f"with {REFS} select doc_id, cast(marker as varchar) as marker, doc_id % 4 in (0, 2) as yes, doc_id % 4 in (0, 2) as strict from e where i <> 1",
     ),
     "x8_target_references": (
         lambda s: A.resolve_targets(A.reference_entries(_refs(s)), s.fx_text.join(s.fx_cited.select("publication_id", "title", F.lit(None).cast("string").alias("doi"), F.lit("Smith").alias("author")), (c("doc_id") * 3) % 2000 == c("publication_id")).select("doc_id", "title", "doi", "author")),
@@ -87,7 +87,10 @@ PLANS = {
         "select doc_id, array_to_string(list_sort(list_distinct([doc_id % 40 + 1, doc_id % 7 + 1, doc_id % 7 + 2, doc_id % 7 + 3, doc_id % 7 + 4])), ' ') as markers from fx_text",
     ),
     "x14_anchor_validation": (_anchored, ANCHORED),
-    "x15_grouped": (lambda s: s.fx_text.select("doc_id", A.is_grouped(F.when(c("doc_id") % 2 == 0, c("marked")).otherwise(F.concat(F.lit("as in ["), "target_marker", F.lit("]")))).alias("grouped")), "select doc_id, doc_id % 2 = 0 as grouped from fx_text"),
+    "x15_grouped": (
+        lambda s: s.fx_text.select("doc_id", A.is_grouped(F.concat("text", F.lit(" as in "), F.element_at(F.array(*(F.lit(x) for x in ("[3]", "[3, 4]", "[3-5]", "[a, b]", "(3, 4)", "[3] and [4]", "[3 – 7]"))), (c("doc_id") % 7 + 1).cast("int")))).alias("grouped")),
+        "select doc_id, doc_id % 7 in (1, 2, 6) or len(list_filter(regexp_extract_all(text, '\\[([^\\]]+)\\]', 1), lambda x: regexp_matches(x, '\\d+\\s*[,–—-]\\s*\\d+'))) > 0 as grouped from fx_text",
+    ),
     "x16_quote_location": (lambda s: A.quote_location(s.benchmark, s.documents), "select item_id, doc_id, instr(d.text, b.text) - 1 as start from documents d join benchmark b on instr(d.text, b.text) > 0"),
     "x22_authors": (
         lambda s: s.fx_text.select("doc_id", A.body_author(F.concat(F.lit("Smith ["), "target_marker", F.lit("] and "), F.when(c("doc_id") % 3 == 0, "Table").when(c("doc_id") % 3 == 1, "Müller-Jones et al.").otherwise("Lee"), F.lit(" ["), "target_marker", F.lit("]")), c("target_marker")).alias("body"), A.entry_author(F.concat(F.lit("[3] J. Lee, A. Kim. Title "), "target_marker")).alias("entry")),
