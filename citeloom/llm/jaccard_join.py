@@ -26,7 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, small_batches, texts, written
@@ -216,7 +216,7 @@ def _rare_pairs(member: np.ndarray, begin: np.ndarray, sizes: np.ndarray, most:
     return np.concatenate(low), np.concatenate(high), np.concatenate(group)
 
 
-#: Rows of a round: kind 0 tells of a document or set, kind 1 of a candidate pair, kind 2 counts frequent signatures, kind 3 is one.
+#: Rows of the first round: kind 0 tells of a document or set, kind 1 of a candidate pair, kind 2 counts frequent signatures.
 FOUND = "kind int, a long, b long, c long, d long, e long, f long, g long, h long"
 
 
@@ -250,23 +250,25 @@ def _first_round(rare: int):
 
 def _neighbourhoods(sets: np.ndarray, begins: np.ndarray):
     """(signature, set, tag) for segments and their one-deletion neighbourhoods, and needs. tag: 4 x segment number + 2 if it has several tokens + 1 for a deletion, apart for each
-    family; needs: of each family and set, the units it lacks if all were frequent."""
-    out, needs = [], []
+    family; needs: of each family and set, the units to spare beyond the differences allowed; rooms: the same in whole segments."""
+    out, needs, rooms = [], [], []
     for turn in (0, 1):
         sig, at, count, first, own = _segments(sets, begins, turn)
         units = np.bincount(at, np.where(count > 1, 2, 1), minlength=len(own)).astype(np.int64) if len(at) else np.zeros(len(own), np.int64)
+        touched = np.bincount(at, minlength=len(own)).astype(np.int64) if len(at) else units
         needs.append([u - x[2] - 1 if x else 1 << 30 for u, x in zip(units.tolist(), own, strict=True)])
+        rooms.append([u - x[2] - 1 if x else 1 << 30 for u, x in zip(touched.tolist(), own, strict=True)])
         number = np.arange(len(at)) * 4 + np.where(count > 1, 2, 0) + (1 << 40) * turn
         out.append((sig, at, number))
         several = np.flatnonzero(count > 1)
         n = count[several]
         token = np.repeat(first[several], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         out.append((np.repeat(sig[several], n) - mixed(sets[token]), np.repeat(at[several], n), np.repeat(number[several], n) + 1))
-    return (*(np.concatenate(x) for x in zip(*out, strict=True)), needs)
+    return (*(np.concatenate(x) for x in zip(*out, strict=True)), needs + rooms)
 
 
 def _second_rows(buckets: int):
-    """Like the first round's rows, with tags; about: the set and what each family has to spare."""
+    """Like the first round's rows, with tags; about: the set, what each family has to spare in units and in whole segments, and its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([("bucket", pa.int32()), ("sig", pa.binary()), ("rows", pa.binary()), ("about", pa.binary())])
@@ -274,7 +276,7 @@ def _second_rows(buckets: int):
             sets, begins = shingle_sets(data)
             ids = np.array(ids, np.int64)
             sig, at, tag, needs = _neighbourhoods(sets, begins)
-            about = np.column_stack([ids, *(np.array(x, np.int64) for x in needs)])
+            about = np.column_stack([ids, *(np.array(x, np.int64) for x in needs), np.diff(begins)])
             for k, own in _groups((mixed(ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)):
                 yield pa.RecordBatch.from_pylist([{"bucket": k, "about": _packed(about[own])}], kinds)
             for k, own in _groups(((sig >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)):
@@ -283,11 +285,23 @@ def _second_rows(buckets: int):
     return run
 
 
-def _second_round(rare: int):
-    """Kind 0: set a, units b and c to spare by family; kind 1: pairs a, b; kind 3: frequent signature a of set b, tag c, d sets that have it."""
+#: Rows of the second round: candidate pairs (a, b), and blobs for a group of sets: about them, and their frequent signatures.
+SECOND = "group int, about binary, often binary, a long, b long"
+SECOND_ABOUT = 6
+
+
+def _second_round(rare: int, groups: int):
+    """Pairs a, b of rare signatures; what is known of the sets and the frequent signatures (set, tag, signature, sets that have it), packed by groups of sets."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts = {0: _unpacked(table.column("about").to_pylist(), 3)}
+        out: dict[str, list] = {c: [] for c in ("group", "about", "often", "a", "b")}
+
+        def pack(x: np.ndarray, into: str) -> None:
+            for k, own in _groups((mixed(x[:, 0].astype(np.uint64)) % np.uint64(groups)).astype(np.int64)):
+                for c in out:
+                    out[c].append({"group": k, into: _packed(x[own])}.get(c))
+
+        pack(_unpacked(table.column("about").to_pylist(), SECOND_ABOUT), "about")
         rows = _unpacked(table.column("rows").to_pylist(), 2)
         if len(rows):
             sig = np.frombuffer(b"".join(x for x in table.column("sig").to_pylist() if x), np.uint64)
@@ -298,15 +312,51 @@ def _second_round(rare: int):
             begin = np.flatnonzero(np.concatenate([[True], sig[once][1:] != sig[once][:-1]]))
             sizes = np.diff(begin, append=once.sum())
             low, high, _ = _rare_pairs(doc[once], begin, sizes, rare)
-            parts[1] = np.column_stack(_distinct_rows(low, high)[0])
+            (low, high), _ = _distinct_rows(low, high)
             size = np.repeat(sizes, sizes)[number]
             often = size > rare
-            parts[3] = np.column_stack([sig[often].view(np.int64), doc[often], tag[often], size[often]])
-        return _table(parts)
+            pack(np.column_stack([doc, tag, sig.view(np.int64), size])[often], "often")
+            for c, x in (("a", low.tolist()), ("b", high.tolist())):
+                out[c] += x
+            for c in ("group", "about", "often"):
+                out[c] += [None] * len(low)
+        return pa.table({c: pa.array(x, t) for (c, x), t in zip(out.items(), (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)})
 
     return run
 
 
+def _kept_segments(table: pa.Table) -> pa.Table:
+    """sig, doc: the frequent whole segments that unsettled sets look up. A set whose rare segments and neighbourhoods suffice has none. Each of the others passes over its most frequent segments, as
+    many as it can do without; the order, by size and signature, is the same for all. Sets of so few segments that even all of them would not do meet in a group of their own size, and the next."""
+    about = _unpacked(table.column("about").to_pylist(), SECOND_ABOUT)
+    rows = _unpacked(table.column("often").to_pylist(), 4)
+    sig, doc = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(rows):
+        # versions of a document count as its poorest
+        order = np.argsort(about[:, 0], kind="stable")
+        ids, begin = np.unique(about[order, 0], return_index=True)
+        known = np.minimum.reduceat(about[order], begin)
+        own, tag = np.searchsorted(ids, rows[:, 0]), rows[:, 1]
+        turn, segment, whole = tag >> 40, (tag & ((1 << 40) - 1)) >> 2, tag % 2 == 0
+        units = np.where(whole & (tag % 4 >= 2), 2, 1)
+        by = np.lexsort((segment, turn, own))
+        first = np.flatnonzero(np.concatenate([[True], np.any([np.diff(x[by]) != 0 for x in (own, turn, segment)], axis=0)]))
+        lost = np.zeros((len(ids), 2), np.int64)
+        np.add.at(lost, (own[by[first]], turn[by[first]]), np.maximum.reduceat(units[by], first))
+        late = (lost > known[:, 1:3]).any(axis=1)
+        at = np.flatnonzero(whole & late[own])
+        by = at[np.lexsort((rows[at, 2], rows[at, 3], turn[at], own[at]))[::-1]]
+        key = own[by] * 2 + turn[by]
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(by) else by
+        place = np.arange(len(by)) - np.repeat(begin, np.diff(begin, append=len(by)))
+        keep = by[place >= known[own[by], 3 + turn[by]]]
+        poor = np.flatnonzero(late & (known[:, 3:5] < 0).any(axis=1))
+        size = np.floor(np.log2(np.maximum(1, known[poor, 5])) * 3).astype(np.int64)
+        sig, doc = np.concatenate([rows[keep, 2], size, size + 1]), np.concatenate([rows[keep, 0], ids[poor], ids[poor]])
+        (sig, doc), _ = _distinct_rows(sig, doc)
+    return pa.table({"sig": pa.array(sig, pa.int64()), "doc": pa.array(doc, pa.int64())})
+
+
 def _numbered_sets(*columns: pa.ChunkedArray) -> list[list[np.ndarray]]:
     """For each column of texts its sets; shingles are numbered alike in all of them."""
     whole = pa.concat_arrays([c for column in columns for c in column.cast(pa.large_string()).chunks]) if any(len(c) for c in columns) else pa.array([], pa.large_string())
@@ -418,7 +468,7 @@ def _allowed(n: Column, other: Column, similarity: int) -> Column:
 
 
 def _classes(found: DataFrame, similarity: int) -> DataFrame:
-    """One row for each distinct set: hi, lo, n, rep (its smallest doc_id), name, parity, and for both families (own, below) the touched and the rare segments and the differences allowed; unsettled."""
+    """One row for each distinct set: hi, lo, n, rep (its smallest doc_id), name, parity, and for both families (own, below) the rare segments and the differences allowed; unsettled."""
     about = found.where("kind = 0 and b > 0")
     sets = about.groupBy(F.col("c").alias("hi"), F.col("d").alias("lo"), F.col("b").alias("n")).agg(F.min("a").alias("rep"), *(F.max(x).alias(y) for x, y in zip("efgh", ("touched", "touched_below", "low", "parity"), strict=True)))
     often = found.where("kind = 2").groupBy(F.col("a").alias("o_name")).agg(*(F.sum(F.when(F.col("b") == k, F.col("c")).otherwise(0)).alias(f"often_{k}") for k in (0, 1)))
@@ -426,7 +476,7 @@ def _classes(found: DataFrame, similarity: int) -> DataFrame:
     even = F.col("parity") == 0
     n = F.col("n")
     return named.select(
-        "hi", "lo", "n", "rep", "name", "parity", "touched", "touched_below",
+        "hi", "lo", "n", "rep", "name", "parity",
         (F.col("touched") - F.when(even, F.col("often_0")).otherwise(F.col("often_1"))).alias("own"),
         (F.col("touched_below") - F.when(even, F.col("often_1")).otherwise(F.col("often_0"))).alias("below"),
         F.when(F.col("touched") >= 0, _allowed(n, F.floor(n * 100 / similarity), similarity)).otherwise(-(1 << 30)).alias("own_allowed"),
@@ -450,29 +500,6 @@ def _candidates(found: DataFrame, classes: DataFrame, similarity: int) -> DataFr
     return pairs.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")).distinct()
 
 
-def _late(second: DataFrame) -> DataFrame:
-    """Sets that rare segments and neighbourhoods leave unsettled: late, spare (units of its poorer family)."""
-    tag = F.col("c")
-    lost = second.where("kind = 3").select(F.col("b").alias("doc"), F.floor(tag / (1 << 40)).alias("turn"), F.floor((tag % (1 << 40)) / 4).alias("segment"), F.when((tag % 2 == 0) & (tag % 4 >= 2), 2).otherwise(1).alias("units"))
-    lost = lost.groupBy("doc", "turn", "segment").agg(F.max("units").alias("units")).groupBy(F.col("doc").alias("x_doc")).agg(*(F.sum(F.when(F.col("turn") == k, F.col("units")).otherwise(0)).alias(f"x{k}") for k in (0, 1)))
-    spare = second.where("kind = 0").select(F.col("a").alias("doc"), F.col("b").alias("s0"), F.col("c").alias("s1"))
-    return spare.join(lost, F.col("doc") == F.col("x_doc"), "left").fillna(0, ["x0", "x1"]).where("x0 > s0 or x1 > s1").select(F.col("doc").alias("late"), F.least("s0", "s1").alias("spare"))
-
-
-def _kept_segments(second: DataFrame, late: DataFrame, sizes: DataFrame, similarity: int) -> DataFrame:
-    """sig, doc: the frequent whole segments that late sets look up. Each set passes over the most frequent ones, as many as it can do without; the order is the same for all."""
-    tag = F.col("c")
-    rows = second.where((F.col("kind") == 3) & (tag % 2 == 0)).select(F.col("a").alias("sig"), F.col("b").alias("doc"), F.floor(tag / (1 << 40)).alias("turn"), F.col("d").alias("size"))
-    rows = rows.join(late.select("late"), F.col("doc") == F.col("late"), "left_semi")
-    room = sizes.select(F.col("rep").alias("s_rep"), "own_room", "below_room").groupBy("s_rep").agg(F.min("own_room").alias("own_room"), F.min("below_room").alias("below_room"))
-    rows = rows.join(room, F.col("doc") == F.col("s_rep"))
-    place = F.row_number().over(Window.partitionBy("doc", "turn").orderBy(F.desc("size"), F.desc("sig")))
-    kept = rows.withColumn("place", place).where(F.col("place") > F.when(F.col("turn") == 0, F.col("own_room")).otherwise(F.col("below_room"))).select("sig", "doc")
-    # sets of so few segments that even all of them would not do meet in one group of their own size
-    poor = sizes.join(late.select("late"), F.col("rep") == F.col("late"), "left_semi").where("own_room < 0 or below_room < 0").select(F.floor(F.log2("n") * 3).alias("size"), F.col("rep").alias("doc"))
-    return kept.unionByName(poor.select(F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("sig"), "doc")).distinct()
-
-
 def jaccard_components(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, class_id.
 
@@ -500,11 +527,10 @@ def jaccard_components(docs: DataFrame, similarity: int = SIMILARITY) -> DataFra
     held = written(named.join(involved.hint("merge"), F.col("doc_id") == F.col("want")).select(F.col("doc_id").alias("rep"), "text", "unsettled"), "texts")
     # second round
     again = held.where("unsettled").select("rep", "text").mapInArrow(_second_rows(buckets), "bucket int, sig binary, rows binary, about binary")
-    second = written(again.groupBy("bucket").applyInArrow(_second_round(RARE_AGAIN), FOUND), "second")
+    second = written(again.groupBy("bucket").applyInArrow(_second_round(RARE_AGAIN, max(1, buckets // 8)), SECOND), "second")
     held = held.select("rep", "text")
-    sizes = classes.select("rep", "n", (F.col("touched") - F.col("own_allowed") - 1).alias("own_room"), (F.col("touched_below") - F.col("below_allowed") - 1).alias("below_room"))
     spans = classes.groupBy("rep").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    more = second.where("kind = 1").select("a", "b").distinct()
+    more = second.where("a is not null").select("a", "b").distinct()
     for side in "ab":
         more = more.join(spans.select(F.col("rep").alias(f"{side}_rep"), F.col("lo").alias(f"{side}_lo"), F.col("hi").alias(f"{side}_hi")), F.col(side) == F.col(f"{side}_rep"))
     more = more.where((F.col("a_hi") * 100 >= F.col("b_lo") * similarity) & (F.col("b_hi") * 100 >= F.col("a_lo") * similarity)).select("a", "b")
@@ -513,9 +539,9 @@ def jaccard_components(docs: DataFrame, similarity: int = SIMILARITY) -> DataFra
     several = known.where("n > 0").groupBy(F.col("doc_id").alias("a")).agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     links = written(links.unionByName(several.select(F.col("low").alias("a"), F.col("high").alias("b"))), "links")
     # third round
-    late = written(_late(second), "late")
-    if not late.isEmpty():
-        links = _large_groups(written(_kept_segments(second, late, sizes, similarity), "kept"), held, links, similarity)
+    kept = written(second.where("group is not null").select("group", "about", "often").groupBy("group").applyInArrow(_kept_segments, "sig long, doc long"), "kept")
+    if not kept.isEmpty():
+        links = _large_groups(kept, held, links, similarity)
     done = _labelled(known, components(links), "rep", "component_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("rep").alias("class_id"))
     unnamed = rows.where("doc_id is null").mapInArrow(_sizes, "doc_id long, n_shingles long, component_id long, class_id long")
     return done.unionByName(unnamed)
