@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from .common import partitions, small_batches, texts, written
 
 #: Bytes of text in a block: the larger, the fewer entries a word has; a task holds one block.
-BLOCK_BYTES = 3 * 2**22
+BLOCK_BYTES = 2**22
 BUCKETS_PER_PARTITION = 2
 LINE_WORDS = 128
 #: Bytes of text or numbers of ids that a worker turns into objects at once.
