@@ -101,4 +101,8 @@ PLANS = {
         "select doc_id, doc_id % 2 = 0 as entry from fx_text",
     ),
     "f3_f4_normal_forms": (lambda s: A.normal_forms(s.documents, "doc_id", "text").select("doc_id", F.length("ascii_form").alias("ascii_chars"), F.length("biblio_form").alias("biblio_chars")), None),
+    "f4_biblio_form": (
+        lambda s: A.normal_forms(s.documents.withColumn("text", F.concat(F.lit(" [7] "), "text")), "doc_id", "text").select("doc_id", F.length("biblio_form").alias("chars")),
+        r"select doc_id, length(trim(regexp_replace(replace(lower(replace(text, chr(173), '')), 'ß', 'ss'), '[^\p{L}\p{N}]+', ' ', 'g'))) as chars from documents",
+    ),
 }
