@@ -94,6 +94,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(common.documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(common.documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_media_columns": op2_media_columns,
@@ -105,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_collocations": op11_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -128,4 +135,32 @@ ORACLE_SQL: dict[str, str] = {
         select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
                sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
         from marked group by doc_id""",
+    "op11_collocations": r"""
+        with pieces as (
+            select coalesce(lang, 'und') as lang,
+                   unnest(list_transform(
+                       regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]'),
+                       lambda p: regexp_extract_all(p, '[^\x20\x09]+'))) as w
+            from documents),
+        totals as (select lang, sum(len(w))::bigint as n from pieces group by lang),
+        grams as (
+            select lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') as phrase
+            from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from pieces, range(1, 5) as sizes(k))),
+        f as (select lang, k, phrase, count(*) as f from grams group by all having count(*) >= 30),
+        candidates as (select lang, k, phrase, string_split(phrase, ' ') as w, f as a from f where k > 1),
+        cuts as (
+            select c.lang, c.phrase, c.a, j, x.f as l, y.f as r, (2000000::hugeint * c.a) // (x.f + y.f) as score
+            from (select *, unnest(range(1, k)) as j from candidates) c
+            join f x on x.lang = c.lang and x.phrase = array_to_string(list_slice(c.w, 1, j), ' ')
+            join f y on y.lang = c.lang and y.phrase = array_to_string(list_slice(c.w, j + 1, c.k), ' ')),
+        best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+        inner_phrases as (
+            select lang, array_to_string(list_slice(w, i, i + m - 1), ' ') as phrase, max(a) as within
+            from (select *, unnest(range(1, k - m + 2)) as i from (select *, unnest(range(2, k)) as m from candidates)) group by all),
+        ranked as (
+            select b.lang, b.phrase, b.a, b.l, b.r, b.score::bigint as score,
+                   row_number() over (partition by b.lang order by b.score desc, b.a desc, b.phrase) as rank
+            from best b left join inner_phrases i on i.lang = b.lang and i.phrase = b.phrase
+            where coalesce(100 * i.within < 80 * b.a, true))
+        select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000""",
 }
