@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import partitions, small_batches, texts, written
 from .components import components
-from .shingles import exact_sets, mixed, shingle_sets
+from .shingles import WORDS, exact_sets, mixed, shingle_sets
 
 SIMILARITY = 80
 #: Signatures of more classes than this are frequent.
@@ -357,10 +357,10 @@ def _kept_segments(table: pa.Table) -> pa.Table:
     return pa.table({"sig": pa.array(sig, pa.int64()), "doc": pa.array(doc, pa.int64())})
 
 
-def _numbered_sets(*columns: pa.ChunkedArray) -> list[list[np.ndarray]]:
+def _numbered_sets(words: int, *columns: pa.ChunkedArray) -> list[list[np.ndarray]]:
     """For each column of texts its sets; shingles are numbered alike in all of them."""
     whole = pa.concat_arrays([c for column in columns for c in column.cast(pa.large_string()).chunks]) if any(len(c) for c in columns) else pa.array([], pa.large_string())
-    ids, begins = exact_sets(whole)
+    ids, begins = exact_sets(whole, words)
     sets, out = [ids[a:z] for a, z in zip(begins, begins[1:], strict=False)], []
     for c in columns:
         out.append(sets[: len(c)])
@@ -368,12 +368,12 @@ def _numbered_sets(*columns: pa.ChunkedArray) -> list[list[np.ndarray]]:
     return out
 
 
-def _linked_pairs(similarity: int):
+def _linked_pairs(similarity: int, words: int):
     """The pairs (a, b) that are similar. Texts that share a doc_id count as its versions; one similar version will do."""
 
     def run(pairs: pa.Table, held: pa.Table) -> pa.Table:
         sets: dict[int, list[np.ndarray]] = {}
-        for i, x in zip(held.column("rep").to_pylist(), _numbered_sets(held.column("text"))[0], strict=True):
+        for i, x in zip(held.column("rep").to_pylist(), _numbered_sets(words, held.column("text"))[0], strict=True):
             sets.setdefault(i, []).append(x)
         keep = []
         for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
@@ -384,7 +384,7 @@ def _linked_pairs(similarity: int):
     return run
 
 
-def verified(pairs: DataFrame, held: DataFrame, similarity: int) -> DataFrame:
+def verified(pairs: DataFrame, held: DataFrame, similarity: int, words: int = WORDS) -> DataFrame:
     """The similar ones of distinct pairs (a, b). Pairs are dealt by the smallest candidate of a, which groups of copies have in common, into groups of bounded bytes; a text
     goes once to each group that needs it."""
     spark = held.sparkSession
@@ -394,14 +394,14 @@ def verified(pairs: DataFrame, held: DataFrame, similarity: int) -> DataFrame:
     dealt = pairs.join(least, F.col("a") == F.col("of"), "left").select("a", "b", F.pmod(F.xxhash64(F.coalesce("hub", "a")), F.lit(groups)).cast("int").alias("deal"))
     wanted = dealt.select("deal", F.col("a").alias("want")).unionByName(dealt.select("deal", F.col("b").alias("want"))).distinct()
     sent = held.join(wanted.hint("merge"), F.col("want") == F.col("rep")).select(F.col("deal").alias("to"), "rep", "text")
-    return dealt.groupBy("deal").cogroup(sent.groupBy("to")).applyInArrow(_linked_pairs(similarity), "a long, b long")
+    return dealt.groupBy("deal").cogroup(sent.groupBy("to")).applyInArrow(_linked_pairs(similarity, words), "a long, b long")
 
 
-def _linked_blocks(similarity: int):
+def _linked_blocks(similarity: int, words: int):
     """(a, b) for each queried set and one similar member of each other component in the block."""
 
     def run(members: pa.Table, asked: pa.Table) -> pa.Table:
-        sets, queries = _numbered_sets(members.column("text"), asked.column("text"))
+        sets, queries = _numbered_sets(words, members.column("text"), asked.column("text"))
         doc, comp = members.column("doc").to_numpy(), members.column("comp").to_numpy()
         sizes = np.array([len(x) for x in sets], np.int64)
         kinds = 1 + max((int(x.max(initial=0)) for x in (*sets, *queries)), default=0)
@@ -424,7 +424,7 @@ def _linked_blocks(similarity: int):
     return run
 
 
-def _compared(members: DataFrame, asked: DataFrame, held: DataFrame, similarity: int) -> DataFrame:
+def _compared(members: DataFrame, asked: DataFrame, held: DataFrame, similarity: int, words: int) -> DataFrame:
     """Links between asked (hood, doc, comp) and members (hood, doc, comp, n) of the same neighbourhood and other components. Both are cut into blocks of bounded
     bytes by hash; every pair of blocks is one group."""
     size = lambda x, name: x.groupBy(F.col("hood").alias(f"{name}_hood")).agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias(name))
@@ -435,31 +435,31 @@ def _compared(members: DataFrame, asked: DataFrame, held: DataFrame, similarity:
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = members.join(grid, F.col("hood") == F.col("rows_hood")).select("hood", deal("rows").alias("row"), every("columns").alias("column"), "doc", "comp", "text")
     right = asked.join(grid, F.col("hood") == F.col("rows_hood")).select("hood", every("rows").alias("row"), deal("columns").alias("column"), "doc", "comp", "text")
-    return left.groupBy("hood", "row", "column").cogroup(right.groupBy("hood", "row", "column")).applyInArrow(_linked_blocks(similarity), "a long, b long")
+    return left.groupBy("hood", "row", "column").cogroup(right.groupBy("hood", "row", "column")).applyInArrow(_linked_blocks(similarity, words), "a long, b long")
 
 
-def _labelled(rows: DataFrame, labels: DataFrame, node: str, into: str) -> DataFrame:
+def labelled(rows: DataFrame, labels: DataFrame, node: str, into: str) -> DataFrame:
     own = labels.select(F.col("node").alias("l_node"), F.col("label").alias("l_label"))
     return rows.join(own, F.col(node) == F.col("l_node"), "left").withColumn(into, F.coalesce("l_label", node)).drop("l_node", "l_label")
 
 
-def _large_groups(rows: DataFrame, held: DataFrame, links: DataFrame, similarity: int) -> DataFrame:
+def large_groups(rows: DataFrame, held: DataFrame, links: DataFrame, similarity: int, words: int = WORDS) -> DataFrame:
     """links and those among sets that share frequent signatures. rows: sig, doc."""
     first = written(rows.groupBy(F.col("sig").alias("f_sig")).agg(F.min("doc").alias("pivot")), "pivots")
     # a class is tied to the first of its pivots, and that one to the others: of these pairs few are distinct
     tied = written(rows.join(first, F.col("sig") == F.col("f_sig")).groupBy("doc").agg(F.collect_set("pivot").alias("pivots")), "tied")
     low = F.array_min("pivots").alias("a")
     hoods = components(tied.select(low, F.col("doc").alias("b")).unionByName(tied.select(low, F.explode("pivots").alias("b"))).distinct())
-    members = _labelled(hoods.select(F.col("node").alias("doc"), F.col("label").alias("hood")), components(links), "doc", "comp")
+    members = labelled(hoods.select(F.col("node").alias("doc"), F.col("label").alias("hood")), components(links), "doc", "comp")
     members = written(members, "hoods")
-    star = _compared(members, members.where("doc = hood"), held, similarity)
+    star = _compared(members, members.where("doc = hood"), held, similarity, words)
     links = written(links.unionByName(star), "links")
-    marked = written(_labelled(members.drop("comp"), components(links), "doc", "comp"), "marked")
+    marked = written(labelled(members.drop("comp"), components(links), "doc", "comp"), "marked")
     parts = marked.groupBy("hood", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy(F.col("hood").alias("t_hood")).agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("parts"))
     parts = written(parts.where("parts > 1"), "parts")
     open_ = marked.join(parts, F.col("hood") == F.col("t_hood")).select("hood", "doc", "comp", "top")
     open_ = written(open_, "open")
-    return written(links.unionByName(_compared(open_.drop("top"), open_.where("comp <> top").drop("top"), held, similarity)), "links")
+    return written(links.unionByName(_compared(open_.drop("top"), open_.where("comp <> top").drop("top"), held, similarity, words)), "links")
 
 
 def _allowed(n: Column, other: Column, similarity: int) -> Column:
@@ -541,8 +541,8 @@ def jaccard_components(docs: DataFrame, similarity: int = SIMILARITY) -> DataFra
     # third round
     kept = written(second.where("group is not null").select("group", "about", "often").groupBy("group").applyInArrow(_kept_segments, "sig long, doc long"), "kept")
     if not kept.isEmpty():
-        links = _large_groups(kept, held, links, similarity)
-    done = _labelled(known, components(links), "rep", "component_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("rep").alias("class_id"))
+        links = large_groups(kept, held, links, similarity)
+    done = labelled(known, components(links), "rep", "component_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("rep").alias("class_id"))
     unnamed = rows.where("doc_id is null").mapInArrow(_sizes, "doc_id long, n_shingles long, component_id long, class_id long")
     return done.unionByName(unnamed)
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,6 +31,15 @@ END_ID = 1
 GROUP_WINDOWS = 1 << 20
 
 
+#: Texts with runs of white space of so many characters are left to library_encoder(): the faster library looks ahead on its stack, which ends at some hundred thousand.
+LONG_BLANK = 100_000
+_BLANK_RUN = re.compile(r"\s{%d}" % LONG_BLANK)
+
+
+def long_blank(text: str) -> bool:
+    return len(text) >= LONG_BLANK and _BLANK_RUN.search(text) is not None
+
+
 def _special(tokenizer_path: str) -> dict[str, int]:
     """Strings that the tokenizers library reads as ids of their own."""
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -39,7 +49,7 @@ def _special(tokenizer_path: str) -> dict[str, int]:
 def encoder(tokenizer_path: str, ranks_path: str, pattern: str):
     """texts -> each one's ids as little-endian unsigned 32-bit integers, those that the tokenizers library gives for tokenizer_path without special tokens added.
 
-    They are computed from the same vocabulary in the form of ranks, by a faster library; library_encoder() is the slower way to the same ids.
+    They are computed from the same vocabulary in the form of ranks, by a faster library; library_encoder() is the slower way to the same ids, and the one for long runs of white space.
     """
     import tiktoken
 
@@ -48,7 +58,12 @@ def encoder(tokenizer_path: str, ranks_path: str, pattern: str):
     names = _special(tokenizer_path)
     own = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=names)
 
+    slow: list = []
+
     def ids(text: str) -> bytes:
+        if long_blank(text):
+            slow[:] = slow or [library_encoder(tokenizer_path)]
+            return slow[0]([text])[0]
         found = own.encode(text, allowed_special=set(names)) if any(x in text for x in names) else own.encode_ordinary(text)
         return np.array(found, "<u4").tobytes()
 

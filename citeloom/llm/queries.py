@@ -100,6 +100,26 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(common.documents(spark, sf_dir))
 
 
+def op12_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(common.documents(spark, sf_dir))
+
+
+def alignment_tokenizers():
+    import public_tokenizers
+
+    from .alignment import byte_level, pieces
+
+    return byte_level(tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), pieces(tokenizer_file("piece_bpe_32k.model"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align
+
+    return align(common.documents(spark, sf_dir), alignment_tokenizers)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_media_columns": op2_media_columns,
@@ -112,6 +132,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_collocations": op11_collocations,
+    "op12_near_dedup": op12_near_dedup,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -163,4 +185,25 @@ ORACLE_SQL: dict[str, str] = {
             from best b left join inner_phrases i on i.lang = b.lang and i.phrase = b.phrase
             where coalesce(100 * i.within < 80 * b.a, true))
         select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000""",
+    "op12_near_dedup": r"""
+        with recursive split as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+            from documents),
+        shingles as (
+            select distinct doc_id, s
+            from (select doc_id, unnest(case when len(w) < 2 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as s from split)),
+        sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+        shared as (
+            select a.doc_id as x, b.doc_id as y, count(*) as c
+            from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by all),
+        links as (
+            select x, y from shared join sizes p on p.doc_id = x join sizes q on q.doc_id = y
+            where 100 * c >= 80 * (p.n + q.n - c)),
+        both_ways as (select x, y from links union all select y, x from links),
+        reached as (
+            select doc_id, doc_id as root from documents
+            union
+            select r.doc_id, b.y from reached r join both_ways b on b.x = r.root)
+        select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept
+        from (select doc_id, min(root) as component_id from reached group by doc_id) left join sizes using (doc_id)""",
 }
