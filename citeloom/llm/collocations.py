@@ -32,10 +32,10 @@ TOP = 2000
 SCALE = 2_000_000
 CONTAINED = 80
 #: Bytes of text whose graph is built at once, and bytes hashed at once.
-CHUNK_BYTES = 10 << 20
+CHUNK_BYTES = 6 << 20
 SLICE_BYTES = 1 << 20
 #: Words whose edges one bucket gets, about.
-BUCKET_WORDS = 1_000_000
+BUCKET_WORDS = 600_000
 #: Words, and pairs, that hold more than this part of a chunk are looked at as frequent; at most twice as many of each are treated so.
 FREQUENT = 1024
 UNKNOWN = "und"
