@@ -81,6 +81,8 @@ def oracle(sql: str) -> str:
     body = sql.strip()
     if not own:
         return body
+    if body[:15].lower() == "with recursive ":
+        return f"with recursive {own}, {body[15:]}"
     return f"with {own}, {body[5:]}" if body[:5].lower() == "with " else f"with {own} {body}"
 
 

@@ -39,7 +39,24 @@ def _edges(s: Source):
 
 
 def _arriving(s: Source):
-    return s.fx_edge.where(c("citing_id") % 3 == 0).select("session_id", "cited_id", F.when(c("citing_id") % 2 == 0, c("citing_id")).otherwise(-c("citing_id")).alias("citing_id"), F.create_map(F.lit("state"), F.when(c("cited_id") % 2 == 0, F.lit("new")), F.lit("page"), F.lit("1")).alias("meta"), F.lit(1).alias("ordinal"))
+    """Two rows of an edge each, in order: the second brings one entry again, one of its own and a null."""
+    x = s.fx_edge.where(c("citing_id") % 3 == 0).select("session_id", "cited_id", F.when(c("citing_id") % 2 == 0, c("citing_id")).otherwise(-c("citing_id")).alias("citing_id"))
+    one = x.withColumns({"meta": F.create_map(F.lit("state"), F.when(c("cited_id") % 2 == 0, F.lit("new")), F.lit("page"), F.lit("1")), "ordinal": F.lit(1)})
+    two = x.where(c("cited_id") % 5 < 3).withColumns({"meta": F.create_map(F.lit("page"), F.when(c("cited_id") % 5 < 2, F.lit("2")), F.lit("seen"), F.lit("again")), "ordinal": F.lit(2)})
+    return one.unionByName(two)
+
+
+def _some_known(s: Source):
+    """What a store knows of the cited works: half of them, ids missing here and there."""
+    k = c("publication_id")
+    return s.fx_cited.where(k % 2 == 0).select(k, F.when(k % 4 == 0, F.concat(F.lit("W"), k % 97)).alias("work_id"), F.when(k % 3 == 0, c("doi")).alias("doi"), "title", "year")
+
+
+def _chained(s: Source):
+    """Records that meet each other: titles, DOIs and work ids of the cited works and of their neighbours, so that one record brings the id by which another is found."""
+    k, n = c("publication_id"), s.fx_cited.select((c("publication_id") + 1).alias("next_id"), c("doi").alias("next_doi"))
+    x = s.fx_cited.join(n, k == c("next_id"), "left")
+    return x.select((k + 1).alias("ordinal"), F.when(k % 3 != 0, F.concat(F.lit("W"), k % 97)).alias("work_id"), F.when(k % 4 == 1, c("doi")).when(k % 4 == 2, c("next_doi")).alias("doi"), F.when(k % 5 == 0, F.lit("Shared title")).otherwise(c("title")).alias("title"), "year")
 
 
 def j1(s: Source):
@@ -52,27 +69,38 @@ J1 = f"""
     w as (select work_id, min(publication_id) as id from old group by 1), d as (select kd, min(publication_id) as id from old where kd is not null group by 1), t as (select kt, ky, min(publication_id) as id from old where kt is not null group by 1, 2),
     m as (select n.*, w.id as wi, d.id as di, t.id as ti from n left join w using (work_id) left join d on n.kd = d.kd left join t on n.kt = t.kt and n.ky = t.ky)
     select ordinal, coalesce(wi, di, ti, -min(ordinal) over (partition by coalesce(wi, di, ti), coalesce('d:' || kd, 't:' || kt || '|' || ky))) as publication_id,
-           case when wi is not null then 'work_id' when di is not null then 'doi' when ti is not null then 'title_year' else 'new' end as matched_by from m"""
+           case when wi is not null then 'work_id' when di is not null then 'doi' when ti is not null then 'title_year'
+                when ordinal = min(ordinal) over (partition by coalesce(wi, di, ti), coalesce('d:' || kd, 't:' || kt || '|' || ky)) then 'new' else 'title_year' end as matched_by from m"""
+
+# the ordered choice as rounds: those whose earlier rivals are all decided are decided, until none is left
+J2 = f"""
+    with recursive n as (select publication_id as ordinal, session_id, {WS.format('title')} || '|' || year as kt, {KEY.format('doi')} as kd from fx_cited),
+    f as (select * from n where ordinal % 10 <> 0 and not exists (select 1 from n p where p.ordinal % 10 = 0 and p.session_id = n.session_id and (p.kt = n.kt or p.kd = n.kd))),
+    rivals as (select a.ordinal as late, b.ordinal as early from f a join f b on a.session_id = b.session_id and b.ordinal < a.ordinal and (a.kt = b.kt or a.kd = b.kd)),
+    rounds as (
+        select 0 as i, (select list(ordinal) from f) as entered
+        union all
+        select i + 1, (select list(ordinal) from f where ordinal not in (select late from rivals where list_contains(r.entered, early))) from rounds r where i < 12)
+    select ordinal, session_id from f where list_contains((select entered from rounds where i = 12), ordinal)"""
 
 PLANS = {
     "j1_resolve_publications": (j1, J1),
+    "j1_chained_records": (lambda s: G.resolve_publications(_chained(s), _some_known(s)).select("ordinal", "publication_id", "matched_by"), None),
+    "j1_stored_publications": (lambda s: G.stored_publications(_chained(s), _some_known(s)), None),
     "j2_add_session_publications": (
         lambda s: G.add_session_publications(s.fx_cited.select((c("publication_id")).alias("ordinal"), "session_id", "title", "year", "doi"), s.fx_cited.where("publication_id % 10 = 0").select("session_id", "title", "year", "doi")).select("ordinal", "session_id"),
-        f"""with n as (select publication_id as ordinal, session_id, {WS.format('title')} as kt, year as ky, {KEY.format('doi')} as kd from fx_cited),
-            p as (select * from n where ordinal % 10 = 0),
-            f as (select * from n where not exists (select 1 from p where p.session_id = n.session_id and p.kt = n.kt and p.ky = n.ky) and not exists (select 1 from p where p.session_id = n.session_id and p.kd = n.kd)),
-            a as (select *, row_number() over (partition by session_id, kt, ky order by ordinal) as r1 from f), b as (select * from a where r1 = 1)
-            select ordinal, session_id from (select *, row_number() over (partition by session_id, coalesce(kd, '#' || ordinal) order by ordinal) as r2 from b) where r2 = 1""",
+        J2,
     ),
     "j3_joined_edges": (
         lambda s: G.joined_edges(s.fx_edge, s.fx_cited.where("publication_id % 9 <> 0"), s.fx_citing.withColumn("citing_authors", F.array("author"))).select("session_id", "cited_id", "citing_id", "cited_title", "citing_title", "year"),
         "select e.session_id, cited_id, citing_id, a.title as cited_title, b.title as citing_title, b.year from fx_edge e join fx_cited a on a.publication_id = cited_id join fx_citing b on b.publication_id = citing_id where cited_id % 9 <> 0",
     ),
     "u1_upsert_edges": (
-        lambda s: G.upsert_edges(_edges(s), _arriving(s)).select("session_id", "cited_id", "citing_id", c("meta")["rows"].alias("rows"), c("meta")["state"].alias("meta_state"), c("meta")["page"].alias("page"), "state"),
-        """with n as (select session_id, cited_id, case when citing_id % 2 = 0 then citing_id else -citing_id end as citing_id, case when cited_id % 2 = 0 then 'new' end as st from fx_edge where citing_id % 3 = 0)
+        lambda s: G.upsert_edges(_edges(s), _arriving(s)).select("session_id", "cited_id", "citing_id", c("meta")["rows"].alias("rows"), c("meta")["state"].alias("meta_state"), c("meta")["page"].alias("page"), c("meta")["seen"].alias("seen"), "state"),
+        """with n as (select session_id, cited_id, case when citing_id % 2 = 0 then citing_id else -citing_id end as citing_id, case when cited_id % 2 = 0 then 'new' end as st,
+                             case when cited_id % 5 < 2 then '2' else '1' end as page, case when cited_id % 5 < 3 then 'again' end as seen from fx_edge where citing_id % 3 = 0)
            select coalesce(e.session_id, n.session_id) as session_id, coalesce(e.cited_id, n.cited_id) as cited_id, coalesce(e.citing_id, n.citing_id) as citing_id, cast(e.n_rows as varchar) as rows,
-                  coalesce(n.st, e.pdf_readiness_status) as meta_state, case when n.cited_id is not null then '1' end as page, case when e.cited_id is null then 'inserted' when n.cited_id is null then 'kept' else 'merged' end as state
+                  coalesce(n.st, e.pdf_readiness_status) as meta_state, n.page, n.seen, case when e.cited_id is null then 'inserted' when n.cited_id is null then 'kept' else 'merged' end as state
            from fx_edge e full join n on e.session_id = n.session_id and e.cited_id = n.cited_id and e.citing_id = n.citing_id""",
     ),
     "j14_existing_edges": (
