@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.functions.names import norm_title_alnum
+from citeloom.functions.names import norm_title_alnum, unaccented
 
 # Fixed value: a sentence.
 SENTENCE = r"[^.!?。！？]+[.!?。！？]?"
@@ -119,13 +119,11 @@ def body_and_references(text: Column) -> Column:
     return F.struct(parts[0].alias("body"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("refs"))
 
 
-def reference_entries(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, marker, entry of the numbered entries below the references heading; of a repeated marker the last entry counts."""
-    refs = texts.select(key, body_and_references(F.col(text))["refs"].alias("refs"))
-    parts = refs.select(key, F.posexplode(F.split("refs", r"(?m)(?=^[ \t]*\[[ \t]*\d(?:[ \t]*\d)*[ \t]*\])")).alias("pos", "entry"))
-    pattern = r"^[ \t]*\[[ \t]*(\d(?:[ \t]*\d)*)[ \t]*\]"
-    rows = parts.withColumn("marker", F.regexp_replace(F.regexp_extract("entry", pattern, 1), r"\s", "")).where("marker <> ''")
-    return rows.groupBy(key, "marker").agg(F.max_by("entry", "pos").alias("entry")).select(key, "marker", F.trim(F.regexp_replace("entry", r"\s+", " ")).alias("entry"))
+# Where a numbered entry begins, and its number, digits spaced or not.
+ENTRY_BEGIN = r"(?md)(?=^[ \t]*\[[ \t]*\d(?:[ \t]*\d)*[ \t]*\]|\f[ \t]*\[[ \t]*\d(?:[ \t]*\d)*[ \t]*\])"
+ENTRY_NUMBER = r"^\f?[ \t]*\[[ \t]*(\d(?:[ \t]*\d)*)[ \t]*\]"
+#: Entries that follow each other by no more than STEP make a run, which tells a reference list from RUN entries on.
+STEP, RUN = 3, 3
 
 
 # Cues of a bibliographic entry.
@@ -144,6 +142,39 @@ def is_bibliographic(entry: Column) -> Column:
     return (t != "") & (F.length(t) <= 1800) & (n >= 2)
 
 
+def numbered_entries(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, pos, start, marker, entry: each text cut where a line begins with a number in brackets; start counts characters before."""
+    pieces = texts.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), ENTRY_BEGIN)).alias("pos", "entry"))
+    before = F.sum(F.length("entry")).over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    marker = F.regexp_replace(F.regexp_extract("entry", ENTRY_NUMBER, 1), r"\s", "")
+    return pieces.select(key, "pos", F.coalesce(before, F.lit(0)).alias("start"), marker.alias("marker"), "entry").where("marker <> ''")
+
+
+def _unheaded_lists(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """The entries of the reference lists of texts without a heading: of those that read like bibliography, the last run of RUN or more. A run is an island among the gaps between numbers."""
+    entries = numbered_entries(texts.where(~F.coalesce(text, F.lit("")).rlike(HEADING)), key, text).where(is_bibliographic(F.col("entry")))
+    order = Window.partitionBy(key).orderBy("pos")
+    step = F.col("marker").try_cast("decimal(38,0)") - F.lag(F.col("marker").try_cast("decimal(38,0)")).over(order)
+    entries = entries.withColumn("gap", F.when(step.between(1, STEP), 0).otherwise(1)).withColumn("run", F.sum("gap").over(order))
+    entries = entries.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy(key, "run"))).where(F.col("size") >= RUN)
+    return entries.withColumn("last", F.max("run").over(Window.partitionBy(key))).where("run = last").select(key, "pos", "start", "marker", "entry")
+
+
+def body_ends(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, body_end: how many characters of a text come before its references: before their heading; without one, before the last run of numbered entries that read like bibliography; without these, all."""
+    t = F.coalesce(text, F.lit(""))
+    listed = _unheaded_lists(texts, key, text).groupBy(F.col(key).alias("__key")).agg(F.min("start").alias("listed"))
+    headed = texts.select(key, F.length(F.split(t, HEADING, 2)[0]).alias("body"))
+    return headed.join(listed, F.col(key) == F.col("__key"), "left").select(key, F.least("body", "listed").cast("int").alias("body_end"))
+
+
+def reference_entries(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, marker, entry of the numbered entries below the references heading, or of the list of a text without one (see body_ends); of a repeated marker the last entry counts."""
+    refs = texts.select(key, body_and_references(F.col(text))["refs"].alias("refs"))
+    rows = numbered_entries(refs, key, "refs").unionByName(_unheaded_lists(texts, key, text))
+    return rows.groupBy(key, "marker").agg(F.max_by("entry", "pos").alias("entry")).select(key, "marker", F.trim(F.regexp_replace("entry", r"\s+", " ")).alias("entry"))
+
+
 def resolve_targets(entries: DataFrame, targets: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, marker, method, score of the entry that is a document's target: DOI 1.0, title 0.98, title without spaces 0.96, shared title words; below 0.65 none.
 
@@ -226,6 +257,14 @@ def quote_location(quotes: DataFrame, texts: DataFrame, probe: int = PROBE_CHARS
     return met.join(own, F.col("d") == F.col("doc_id")).select("item_id", "doc_id", (F.instr("text", F.col("quote")) - 1).alias("start")).where("start >= 0")
 
 
+def ascii_key(x: Column) -> Column:
+    """ascii_form() by built-in expressions: accents by a table, words joined over line ends, spaced letters closed up, lower case, alphanumeric."""
+    t = F.regexp_replace(F.replace(unaccented(F.coalesce(x, F.lit(""))), F.lit("-\n"), F.lit("")), r"\n", " ")
+    # of three letters or more that stand alone, the blank before the last one, then those before others
+    gap = r"(?<=(?<![A-Za-z])[A-Za-z][ \t]{1,9}[A-Za-z])[ \t]+(?=[A-Za-z](?![A-Za-z]))|(?<=(?<![A-Za-z])[A-Za-z])[ \t]+(?=[A-Za-z][ \t]+[A-Za-z](?![A-Za-z]))"
+    return norm_title_alnum(F.regexp_replace(t, gap, ""))
+
+
 def ascii_form(value: str) -> str:
     """Letters without accents, words joined over line ends and spaced letters closed up, lower case, alphanumeric."""
     text = unicodedata.normalize("NFKD", value or "").encode("ascii", "ignore").decode().replace("-\n", "").replace("\n", " ")

@@ -194,7 +194,7 @@ def title_similarity_join(left: DataFrame, right: DataFrame, least: float, withi
 CITING, CITED, AUTHOR, LEAST_HONOUR = 0.85, 0.15, 0.05, 0.75
 
 
-def _title_ratio(pairs: DataFrame, a: str, b: str, into: str) -> DataFrame:
+def title_ratio(pairs: DataFrame, a: str, b: str, into: str) -> DataFrame:
     """pairs with the ratio of two titles in normal form, found once for each distinct pair, in Arrow batches."""
     x = pairs.select(norm_title_alnum(F.col(a)).alias("x"), norm_title_alnum(F.col(b)).alias("y")).distinct()
 
@@ -215,7 +215,7 @@ def honour_scores(rows: DataFrame, items: DataFrame) -> DataFrame:
     r = rows.select("row_id", F.col("cited_title").alias("r_cited"), norm_title_alnum(F.col("author")).alias("r_author"), norm_title_alnum(F.col("citing_title")).alias("r_citing"))
     i = items.select("item_id", F.col("cited_title").alias("i_cited"), F.transform(F.coalesce("authors", F.array().cast("array<string>")), norm_title_alnum).alias("i_authors"), norm_title_alnum(F.col("citing_title")).alias("i_citing"))
     pairs = near.join(r, F.col("left_id") == F.col("row_id")).join(i, F.col("right_id") == F.col("item_id"))
-    pairs = _title_ratio(pairs, "r_cited", "i_cited", "cited_score")
+    pairs = title_ratio(pairs, "r_cited", "i_cited", "cited_score")
     total = F.col("score") * CITING + F.col("cited_score") * CITED + F.when(F.array_contains("i_authors", F.col("r_author")), AUTHOR).otherwise(0.0)
     same = (F.col("r_citing") == F.col("i_citing")) & (norm_title_alnum(F.col("r_cited")) == norm_title_alnum(F.col("i_cited")))
     return pairs.select("row_id", "item_id", F.when(same, 1.0).otherwise(F.round(F.least(F.lit(1.0), total), 4)).alias("score")).where(F.col("score") >= LEAST_HONOUR)

@@ -52,7 +52,7 @@ def _answers(i: int) -> str:
 
 def _headings(s: Source):
     text = F.concat("text", F.lit("\n"), _pick(HEADINGS, c("doc_id")), F.lit("\n"), _pick(BETWEEN, F.floor(c("doc_id") / len(HEADINGS))), F.lit("\n"))
-    return X.by_row(s.documents.select("doc_id", text.alias("t")), lambda k, t: [(k, X.heading_before(t, len(t)))], "doc_id long, heading string")
+    return s.documents.select("doc_id", X.nearest_heading(text).alias("heading"))
 
 
 def _previews(s: Source):

@@ -22,6 +22,21 @@ def _refs(s: Source):
     return rows.groupBy("doc_id").agg(F.first("marked").alias("marked"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", entry.alias("t")))), lambda x: x["t"]), "\n").alias("r")).select("doc_id", F.concat("marked", F.lit("\nReferences\n"), "r").alias("text"))
 
 
+def _unheaded(s: Source):
+    """Texts whose reference list has no heading; in a third of them its numbers leave a gap that makes it no list."""
+    number = F.when((c("i") == 2) & (c("doc_id") % 3 == 0), 9).otherwise(c("i") + 1).cast("string")
+    rows = s.fx_text.select("doc_id", "marked", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i")).withColumn("entry", F.concat(F.lit("["), number, F.lit("] Smith, J., \"On "), c("doc_id").cast("string"), F.lit(" things\". Journal of Tests, 1999.")))
+    lists = rows.groupBy("doc_id").agg(F.max("marked").alias("marked"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "entry"))), lambda x: x["entry"]), "\n").alias("r"))
+    return lists.select("doc_id", F.concat("marked", F.lit("\n"), "r").alias("text"))
+
+
+UNHEADED = """
+    e as (select doc_id, marked, i, case when i = 2 and doc_id % 3 = 0 then 9 else i + 1 end as number from (select doc_id, marked, unnest([0, 1, 2]) as i from fx_text)),
+    x as (select *, '[' || number || '] Smith, J., "On ' || doc_id || ' things". Journal of Tests, 1999.' as entry, number - lag(number) over (partition by doc_id order by i) as step from e),
+    g as (select *, sum(case when step between 1 and 3 then 0 else 1 end) over (partition by doc_id order by i) as run, sum(length(entry) + 1) over (partition by doc_id order by i) - length(entry) + length(marked) as start from x),
+    islands as (select doc_id, run, min(start) as start from g group by all having count(*) >= 3),
+    last as (select doc_id, max(run) as run, max_by(start, run) as start from islands group by 1)"""
+
 REFS = """
     e as (select doc_id, i, '[' || case when i = 2 then 2 else i + 1 end || '] Smith, J., "' || coalesce(title, 'none') || '". Journal of Tests, ' || coalesce(cast(year as varchar), '1999') || '. ' || coalesce(doi, '') as entry, case when i = 2 then 2 else i + 1 end as marker, title, year
           from (select doc_id, unnest([0, 1, 2]) as i from fx_text) left join fx_cited on publication_id = (doc_id * (3 + i) + i) % 2000)"""
@@ -64,6 +79,11 @@ PLANS = {
         lambda s: _refs(s).select("doc_id", A.body_and_references(c("text")).alias("p")).select("doc_id", F.length("p.body").alias("body_chars"), F.length("p.refs").alias("ref_chars")),
         f"with {REFS} select t.doc_id, length(marked) + 1 as body_chars, length(r) + 1 as ref_chars from fx_text t join (select doc_id, string_agg(entry, chr(10) order by i) as r from e group by 1) x using (doc_id)",
     ),
+    "x5_unheaded_bodies": (
+        lambda s: A.body_ends(_unheaded(s)),
+        f"with {UNHEADED} select doc_id, cast(coalesce(start, total) as int) as body_end from (select doc_id, max(length(marked)) + sum(length(entry) + 1) as total from x group by 1) left join last using (doc_id)",
+    ),
+    "x6_unheaded_entries": (lambda s: A.reference_entries(_unheaded(s)), f"with {UNHEADED} select doc_id, cast(number as varchar) as marker, entry from g join last using (doc_id, run)"),
     "x6_reference_entries": (
         lambda s: A.reference_entries(_refs(s)),
         f"with {REFS} select doc_id, cast(marker as varchar) as marker, trim(regexp_replace(entry, '\\s+', ' ', 'g')) as entry from e where i <> 1",

@@ -14,41 +14,61 @@ from citeloom.operators import matching as M
 REFERENCES = "\nReferences\n[5] J. Lee, A. Kim. Small widget: a study. Journal of Tests, 2001.\n"
 
 
-def test_markers_near_the_beginning_count_and_references_do_not():
-    text = "1 Introduction\nas shown in [5] this holds. " + "word " * 400 + "Again [3], [5] and [4]-[7]." + REFERENCES
-    found = X.marker_windows(text, "5")
-    assert [(x[0], x[2], x[4]) for x in found] == [(0, "exact_marker", "1 Introduction"), (text.index("[3]") - 600, "grouped_marker", "1 Introduction"), (text.index("[4]-") - 600, "range_marker", "1 Introduction")]
-    assert all(x[1] <= text.index("\nReferences") + 1 for x in found) and not X.marker_windows(text, "9") and not X.marker_windows("", "5")
-    assert X.marker_windows("The equation of [5] holds.", "5")[0][2] == "formula_nearby"
-    assert len(X.marker_windows("see [5]. " * 500, "5")) == 10
-
-
-def test_references_are_found_without_a_heading():
-    entries = "".join(f"[{i}] A. Author, B. Other. A title of some length. Journal of Tests, {1990 + i}.\n" for i in range(1, 5))
-    text = "Body that cites [2].\n" + entries
-    assert X.body_end(text) == text.index("[1]") and X.body_end("[1] one\n[2] two\n") == len("[1] one\n[2] two\n")
-    assert len(X.marker_windows(text, "2")) == 1
+def _table(spark, rows, kinds):
+    return spark.createDataFrame(rows, kinds)
 
 
-def test_headings():
+def test_markers_near_the_beginning_count_and_references_do_not(spark):
+    text = "1 Introduction\nas shown in [5] this holds. " + "word " * 400 + "Again [3], [5] and [4]-[7]." + REFERENCES
+    rows = [(1, text, "5"), (2, text, "9"), (3, "", "5"), (4, None, "5"), (5, "The equation of [5] holds.", "5"), (6, "see [5]. " * 500, "5"), (7, text, None)]
+    found = sorted(X.target_contexts(_table(spark, rows, "doc_id long, marked string, target_marker string")).collect())
+    of = lambda i: [x for x in found if x["doc_id"] == i]
+    assert [(x["ordinal"], x["start"], x["kind"], x["heading"]) for x in of(1)] == [(0, 0, "exact_marker", "1 Introduction"), (1, text.index("[3]") - 600, "grouped_marker", "1 Introduction"), (2, text.index("[4]-") - 600, "range_marker", "1 Introduction")]
+    assert all(x["stop"] <= text.index("\nReferences") + 1 and x["text"] == text[x["start"] : x["stop"]].strip() for x in of(1)) and not of(2) and not of(3) and not of(4) and not of(7)
+    assert of(5)[0]["kind"] == "formula_nearby" and len(of(6)) == 10 and [x["ordinal"] for x in of(6)] == list(range(10))
+
+
+def test_aliases_in_any_case(spark):
+    rows = [(1, "A heat\\E box (new). a HEAT\\E BOX. " + "w " * 900 + "Lee et al. 2022 said.", ["Heat\\E Box", "", "lee et al."]), (2, None, ["x"]), (3, "x", None)]
+    found = sorted(X.alias_contexts(_table(spark, rows, "doc_id long, text string, aliases array<string>")).collect())
+    assert [(x["doc_id"], x["ordinal"], x["label"], x["kind"]) for x in found] == [(1, 0, "Heat\\E Box", "alias_context"), (1, 1, "Heat\\E Box", "alias_context"), (1, 2, "lee et al.", "alias_context")]
+
+
+def test_references_are_found_without_a_heading(spark):
+    entries = [f"[{i}] A. Author, B. Other. A title of some length. Journal of Tests, {1990 + i}.\n" for i in range(1, 5)]
+    two = "[1] one\n[2] two\n"
+    jump = entries[0] + entries[1] + "[9] A. Author, B. Other. A title. Journal of Tests, 1990.\n" + "[10] A. Author. Journal, 1991.\n[12] A. Author. Journal, 1992.\n"
+    texts = {1: "Body that cites [2].\n" + "".join(entries), 2: two, 3: "x\n" + jump, 4: "x\nReferences\n" + two, 5: None, 6: "[1] A. Author, 2001 no. 3\n" * 4}
+    df = _table(spark, list(texts.items()), "doc_id long, text string")
+    ends = {r["doc_id"]: r["body_end"] for r in A.body_ends(df).collect()}
+    assert ends == {1: texts[1].index("[1]"), 2: len(two), 3: texts[3].index("[9]"), 4: 2, 5: 0, 6: len(texts[6])}
+    got = {(r["doc_id"], r["marker"]): r["entry"] for r in A.reference_entries(df).collect()}
+    assert got == {(1, str(i + 1)): x.strip() for i, x in enumerate(entries)} | {(3, n): next(x for x in jump.splitlines() if x.startswith(f"[{n}]")) for n in ("9", "10", "12")} | {(4, "1"): "[1] one", (4, "2"): "[2] two"}
+    cited = X.target_contexts(df.selectExpr("doc_id", "text as marked", "'2' as target_marker")).collect()
+    assert [(r["doc_id"], r["kind"]) for r in cited if r["doc_id"] == 1] == [(1, "exact_marker")]
+
+
+def test_headings(spark):
     text = "2 Method\nplain words here\nRESULTS\nlower\n" + "x" * 200 + "\nend"
-    assert X.heading_before(text, len(text)) == "RESULTS" and X.heading_before(text, 20) == "2 Method" and X.heading_before("lower\n", 6) == ""
+    rows = [text, text[:20], "lower\n", "A Plain: heading\nnot a heading, as it ends so.", "", None]
+    got = [r[0] for r in _table(spark, [(x,) for x in rows], "t string").select(X.nearest_heading(X.F.col("t"))).collect()]
+    assert got == ["RESULTS", "2 Method", "", "A Plain: heading", "", ""]
 
 
-def test_preview():
-    text = "First part.\n\nIt was shown by Lee [5] that heat\nrises. More follows here.\n\nLast part." + REFERENCES
-    start, stop, sentence, paragraph, shown, _ = X.preview(text, "shown BY lee [5]", "5")
-    assert sentence == "It was shown by Lee [5] that heat rises." and paragraph.startswith("It was") and paragraph.endswith("here.")
-    assert start == 0 and "References" not in shown
-    assert X.preview(text, "not in the text", "5")[2] == "It was shown by Lee [5] that heat rises." and X.preview(text, "not in the text", "") is None
+def test_preview(spark):
+    text = "1 Intro\n\nFirst part.\n\nIt was shown by Lee [5] that heat\nrises. More follows here.\n\nLast part." + REFERENCES
     long = "a b. " * 2000 + "the quote" + " c d." * 2000
-    a, z, *_ = X.preview(long, "the quote", "")
-    assert z - a == X.PREVIEW_CHARS and a <= long.index("the quote") <= z
+    rows = [(1, text, "shown BY lee [5]", "5"), (2, text, "not in the text", "5"), (3, text, "not in the text", ""), (4, long, "the quote", ""), (5, None, None, None)]
+    got = {r["evidence_id"]: r for r in X.previews(_table(spark, rows, "evidence_id long, text string, quote string, marker string")).collect()}
+    one = got[1]
+    assert one["sentence"] == "It was shown by Lee [5] that heat rises." and one["paragraph"].startswith("It was") and one["paragraph"].endswith("here.")
+    assert one["start"] == 0 and "References" not in one["shown"]
+    assert got[2]["sentence"] == "It was shown by Lee [5] that heat rises." and set(got) == {1, 2, 4}
+    assert got[4]["stop"] - got[4]["start"] == X.PREVIEW_CHARS and got[4]["start"] <= long.index("the quote") <= got[4]["stop"]
 
 
-@pytest.mark.parametrize(
-    ("quote", "context", "want"),
-    [
+def test_inherited_anchors(spark):
+    cases = [
         ("A Heat-Box is warm.", "In [5] a tool called Heat-Box was shown. A Heat-Box is warm.", (True, "same_paragraph_named_method:Heat-Box")),
         ("A Heat-Box is warm [5].", "In [5] a tool called Heat-Box was shown. A Heat-Box is warm [5].", (False, "")),
         ("A Heat-Box is warm [4].", "x", (False, "quote_contains_other_reference_marker")),
@@ -57,18 +77,50 @@ def test_preview():
         ("A Heat-Box is warm.", "In [5] a tool called Heat-Box was shown.\n\nA Heat-Box is warm.", (False, "target_marker_in_different_paragraph")),
         ("A Heat-Box is warm.", "In [5] a tool called Heat-Box was shown [6]. A Heat-Box is warm.", (False, "other_reference_marker_between_anchor_and_quote")),
         ("It is warm.", "In [5] a tool called Heat-Box was shown. It is warm.", (False, "no_unique_named_method_link")),
-    ],
-)
-def test_inherited_anchors(quote, context, want):
-    assert X.inherited(quote, context, "5") == want
-
-
-def test_compact_text():
+        (None, "x", (False, "")),
+    ]
+    rows = _table(spark, [(i, q, x, "5") for i, (q, x, _) in enumerate(cases)], "evidence_id long, quote string, context string, marker string")
+    assert [tuple(r)[1:] for r in sorted(X.inheritances(rows).collect())] == [want for *_, want in cases]
+
+
+def test_identities_of_entries(spark):
+    cases = [
+        ("[1] A. Kim, Different. doi 10.1145/ABC.1.", "10.1145/abc.1", "", False, ("matched", "exact_doi_match", 1.0)),
+        ("[1] A. Kim, Different. doi 10.1145/ABC.1.", None, "x doi:10.1145/abc.1", False, ("matched", "exact_doi_match", 1.0)),
+        ("[1] A. Kim, S m a l l WID-\nGET - Ä Study. 2001.", "", "", False, ("matched", "normalized_title_match", 0.98)),
+        ("[1] J. Lee, Small thing widget study. 1999.", "", "", False, ("matched", "title_author_year_match", 0.95)),
+        ("[1] A. Kim, Small thing widget study, 2001.", "", "", False, ("matched", "title_author_year_match", 0.95)),
+        ("[1] A. Kim, Small thing widget study. 1999.", "", "", False, ("mismatch", "mismatch", 1.0)),
+        ("[1] A. Kim, Heat. 1999.", "", "[9] Entirely other words about rivers and mountains", True, ("mismatch", "marker_resolver_match", None)),
+        ("[1] A. Kim, Heat. 1999.", "", "[1] A Kim Heat 1999", True, ("matched", "marker_resolver_match", 1.0)),
+        (None, "", "", True, ("unresolved", "", 0.0)),
+    ]
+    rows = _table(spark, [(i, e, "Small widget: a study", d, o, ["J. Lee", None], 2001, r) for i, (e, d, o, r, _) in enumerate(cases)], "evidence_id long, entry string, title string, doi string, own_entry string, authors array<string>, year int, resolved boolean")
+    for r, (*_, want) in zip(sorted(X.identities(rows).collect()), cases, strict=True):
+        assert (r["status"], r["method"]) == want[:2] and (want[2] is None or r["score"] == want[2]), r
+
+
+def test_attributed_quotes(spark):
+    far = " " + "z" * 700 + " "
+    cases = [("It is  warm.", "Small widget: a study said. It is\nwarm.", True), ("It is warm.", "Small widget: a study said." + far + "It is warm.", False), ("In SMALL widget, a study, all.", "nothing", True), ("It is warm.", "x\nReferences\nSmall widget: a study. It is warm.", False), (None, "Small widget: a study", False), ("absent", "Small widget: a study", False)]
+    rows = _table(spark, [(i, q, t, "Small widget: a study") for i, (q, t, _) in enumerate(cases)], "evidence_id long, quote string, text string, title string")
+    assert [r["attributed"] for r in sorted(X.attributions(rows).collect())] == [want for *_, want in cases]
+
+
+def test_compact_text(spark):
     text = "Title\nAbstract\nWe do it.\n\nMethods\nx\n" + "y" * 9000 + REFERENCES
-    out = X.compact(text, [("H", "c" * 5000)], " e ")
-    assert out.startswith("## TITLE_ABSTRACT_INTRO_RELATED_CONCLUSION\n## BEGINNING\nTitle") and "\n\nAbstract\n\n## TARGET_REFERENCE_CONTEXTS" in out
-    assert out.endswith("## TARGET_REFERENCE_ENTRY\ne") and out.count("c" * 1800) == 1 and "c" * 1801 not in out
-    assert X.compact("z" * 300_000, [], "").count("z") == 4000 and len(X.compact(text, [], "", budget=50)) == 50
+    rows = [(1, text, [("H", "c" * 5000)], " e "), (2, "z" * 300_000, [], ""), (3, None, None, None)]
+    df = _table(spark, rows, "doc_id long, text string, contexts array<struct<heading:string,text:string>>, entry string")
+    out = {r["doc_id"]: r["compact"] for r in X.compact_texts(df).collect()}
+    assert out[1].startswith("## TITLE_ABSTRACT_INTRO_RELATED_CONCLUSION\n## BEGINNING\nTitle") and "\n\nAbstract" in out[1]
+    assert out[1].endswith("## TARGET_REFERENCE_ENTRY\ne") and out[1].count("c" * 1800) == 1 and "c" * 1801 not in out[1]
+    assert out[2].count("z") == 4000 and out[3] == "" and all(len(r["compact"]) <= 50 for r in X.compact_texts(df, budget=50).collect())
+
+
+def test_letters_closed_up_by_columns_as_by_the_plain_form(spark):
+    rows = ["R e f e r e n c e s of a b", "a b c", "x y", "well-\nknown É a  b\tc d1", "an a b c d", None]
+    got = [r[0] for r in _table(spark, [(x,) for x in rows], "t string").select(A.ascii_key(X.F.col("t"))).collect()]
+    assert got == [A.ascii_form(x) for x in rows]
 
 
 def test_sentences_have_their_places(spark):
