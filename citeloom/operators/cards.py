@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions.names import canonical_quote_key
+from citeloom.rounds import settled, written
 
 # Evidence types that make a card of their own type.
 CARD_TYPES = ("first_or_seminal_claim", "detailed_comparison", "baseline_or_benchmark", "theoretical_foundation", "method_foundation", "application_extension", "important_author_citation", "long_context_citation")
@@ -57,71 +55,68 @@ def cards(evidence: DataFrame, items: DataFrame, matches: DataFrame | None = Non
     return rows.select("session_id", "evidence_id", "item_id", "card_type", title.alias("card_title"), F.concat(F.lit("cites "), "cited_title").alias("subtitle"), F.col("citation_text").alias("evidence_quote"), "strength", "review_status", include.alias("include_in_report"), order.alias("sort_order"))
 
 
-def quotes_agree(a: str, b: str) -> bool:
+def agree(kept: Column, new: Column) -> Column:
     """Whether two quote keys say the same: one holds the other, or all but two words of the one with fewer characters (five at least) are in the other."""
-    if not a or not b:
-        return False
-    if a in b or b in a:
-        return True
-    short, long = (a, b) if len(a) <= len(b) else (b, a)
-    words, held = short.split(), set(long.split())
-    return sum(w in held for w in words) >= max(5, len(words) - 2)
-
-
-class _Kept:
-    """The kept quotes of one item and card type, found by their words."""
-
-    def __init__(self):
-        self.rows: list[dict] = []
-        self.by_word: dict[str, set[int]] = {}
-        self.short: set[int] = set()
-
-    def _put(self, i: int, key: str) -> None:
-        words = key.split()
-        if len(words) <= 2:  # as a part of longer words, such a quote may share none
-            self.short.add(i)
-        for w in words:
-            self.by_word.setdefault(w, set()).add(i)
-
-    def add(self, row: dict) -> None:
-        words = row["key"].split()
-        near = set(range(len(self.rows))) if len(words) <= 2 else set().union(self.short, *(self.by_word.get(w, ()) for w in words))
-        same = next((i for i in sorted(near) if quotes_agree(self.rows[i]["key"], row["key"])), None)
-        if same is None:
-            self.rows.append(row | {"copies": 1})
-            self._put(len(self.rows) - 1, row["key"])
-            return
-        copies = self.rows[same]["copies"] + 1
-        if tuple(row["preference"]) > tuple(self.rows[same]["preference"]):
-            self.rows[same] = row
-            self._put(same, row["key"])  # words of the one before nominate it too, which costs a comparison
-        self.rows[same]["copies"] = copies
+    short, long = F.when(F.length(kept) <= F.length(new), kept).otherwise(new), F.when(F.length(kept) <= F.length(new), new).otherwise(kept)
+    words = F.split(short, " ")
+    shared = F.size(F.filter(words, lambda w: F.array_contains(F.split(long, " "), w)))
+    return (kept != "") & (new != "") & (F.contains(kept, new) | F.contains(new, kept) | (shared >= F.greatest(F.lit(5), F.size(words) - 2)))
+
+
+def agreements(keys: DataFrame) -> DataFrame:
+    """grp, kept, new of the distinct keys (grp, key) of a group that agree. Nothing is lost: a key of three words or more, if it lies in another or has all but two words there, has one of its three rarest words or its rarest inner word
+    there; a shorter one has its first three characters there. So pairs meet by rare words and short beginnings only."""
+    w = keys.where("key <> ''").select("grp", "key", F.split("key", " ").alias("w"))
+    held = w.select("grp", F.col("key").alias("holder"), F.explode(F.array_distinct("w")).alias("t"))
+    counts = held.groupBy("grp", "t").agg(F.count(F.lit(1)).alias("n"))
+    long = w.where(F.size("w") >= 3).select("grp", "key", F.size("w").alias("size"), F.posexplode("w").alias("pos", "t")).join(counts, ["grp", "t"])
+    each = long.groupBy("grp", "key", "t").agg(F.min("n").alias("n"))
+    rare = each.withColumn("rank", F.row_number().over(Window.partitionBy("grp", "key").orderBy("n", "t"))).where("rank <= 3").select("grp", "key", "t")
+    inner = long.where("pos > 0 and pos < size - 1").groupBy("grp", "key").agg(F.min(F.struct("n", "t")).alias("m")).select("grp", "key", F.col("m.t").alias("t"))
+    by_word = rare.unionByName(inner).distinct().join(held, ["grp", "t"]).select("grp", "key", "holder")
+    short = w.where(F.size("w") <= 2).select("grp", "key", F.substring("key", 1, 3).alias("t"))
+    some = w.join(short.select("grp").distinct(), "grp", "left_semi").select("grp", F.col("key").alias("holder"), F.explode(F.sequence(F.lit(1), F.length("key"))).alias("i"))
+    pieces = some.select("grp", "holder", F.explode(F.array_distinct(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substring("holder", F.col("i"), n)))).alias("t")).distinct()
+    pairs = by_word.unionByName(short.join(pieces, ["grp", "t"]).select("grp", "key", "holder")).distinct()
+    both = pairs.select("grp", F.col("key").alias("kept"), F.col("holder").alias("new")).unionByName(pairs.select("grp", F.col("holder").alias("kept"), F.col("key").alias("new"))).distinct()
+    return both.where(agree(F.col("kept"), F.col("new")))
+
+
+#: Rows of one kept quote are looked through in so many parts before their best ones meet.
+PARTS = 32
 
 
 def distinct_quotes(rows: DataFrame) -> DataFrame:
-    """Evidence without equivalent quotes within an item and card type (item_id, card_type, evidence_id), and the number that each stands for (copies). rows: item_id, card_type, evidence_id, quote, review_status, score.
+    """Evidence without equivalent quotes within an item and card type (item_id, card_type, evidence_id), and the number that each stands for (copies). rows: item_id, card_type, evidence_id (unique), quote, review_status, score.
 
-    In the order of ids, a quote joins the first kept one that it agrees with, and takes its place if it is preferred: important, accepted, higher score, longer, larger id. As agreement isn't transitive, the rule is
-    one ordered pass over an item and type. Rows stream by, sorted; of a group only the kept quotes are in memory, and words nominate those that a new one meets."""
+    In the order of ids, a quote joins the first kept one that it agrees with, and takes its place if it is preferred: important, accepted, higher score, longer, larger id. Agreement isn't transitive, and what a kept place
+    agrees with changes with its quote, so the rule is ordered. It is found as a fixed point of rounds (see citeloom.rounds): given each quote's place, the quotes that a place had over time are its members that were preferred to all
+    before; given these, a quote's place is the first whose quote at its time agrees with it. Which keys agree is found once. No item, type or place is gathered in one task."""
     quote, status = F.coalesce("quote", F.lit("")), F.coalesce("review_status", F.lit(""))
-    preference = F.array(*(x.cast("double") for x in (status == "important", status == "accepted", F.coalesce("score", F.lit(0.0)), F.length(quote), F.col("evidence_id"))))
-    keyed = rows.select("item_id", "card_type", "evidence_id", canonical_quote_key(quote).alias("key"), preference.alias("preference"))
-
-    def greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, kept = None, _Kept()
-        out = lambda: pd.DataFrame([{c: r[c] for c in ("item_id", "card_type", "evidence_id", "copies")} for r in kept.rows], columns=["item_id", "card_type", "evidence_id", "copies"])
-        for b in batches:
-            for r in b.to_dict("records"):
-                if (r["item_id"], r["card_type"]) != at:
-                    if kept.rows:
-                        yield out()
-                    at, kept = (r["item_id"], r["card_type"]), _Kept()
-                kept.add(r)
-        if kept.rows:
-            yield out()
-
-    dealt = keyed.repartition("item_id", "card_type").sortWithinPartitions("item_id", "card_type", "evidence_id")
-    return dealt.mapInPandas(greedy, "item_id long, card_type string, evidence_id long, copies long")
+    preference = F.struct((status == "important").alias("p1"), (status == "accepted").alias("p2"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("p3"), F.length(quote).alias("p4"), F.col("evidence_id").alias("p5"))
+    group = F.concat_ws("|", F.coalesce(F.col("item_id").cast("string"), F.lit("-")), F.coalesce("card_type", F.lit("-")))
+    keyed = written(rows.select("item_id", "card_type", "evidence_id", group.alias("grp"), canonical_quote_key(quote).alias("key"), preference.alias("preference")), "quotes")
+    edges = written(agreements(keyed.select("grp", "key").distinct()), "agreements")
+    own = keyed.select(F.col("evidence_id").alias("id"), "grp", "key", "preference")
+
+    def leading(members: DataFrame, *part: Column | str) -> DataFrame:
+        before = F.max("preference").over(Window.partitionBy("place", *part).orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
+        return members.withColumn("before", before).where("before is null or preference > before").drop("before")
+
+    def step(placed: DataFrame) -> DataFrame:
+        members = placed.select(F.col("id").alias("m_id"), "place").join(own, F.col("m_id") == F.col("id"))
+        # what is not preferred to all before it in its part is not so in the whole
+        led = leading(leading(members, F.pmod(F.xxhash64("id"), F.lit(PARTS))))
+        led = led.select("grp", F.col("key").alias("kept"), "place", F.col("id").alias("since"), F.lead("id").over(Window.partitionBy("place").orderBy("id")).alias("until"))
+        offered = led.join(edges, ["grp", "kept"]).select(F.col("grp").alias("o_grp"), F.col("new").alias("o_key"), "place", "since", "until")
+        now = (F.col("grp") == F.col("o_grp")) & (F.col("key") == F.col("o_key")) & (F.col("since") < F.col("id")) & (F.col("until").isNull() | (F.col("id") <= F.col("until")))
+        first = own.join(offered, now).groupBy(F.col("id").alias("f_id")).agg(F.min("place").alias("place"))
+        return own.select("id").join(first, F.col("id") == F.col("f_id"), "left").select("id", F.coalesce("place", "id").alias("place"))
+
+    placed = settled(own.select("id", F.col("id").alias("place")), step, "id", "place")
+    members = placed.select(F.col("id").alias("m_id"), "place").join(own, F.col("m_id") == F.col("id"))
+    best = members.groupBy("place").agg(F.max("preference").alias("m"), F.count(F.lit(1)).alias("copies")).select(F.col("m.p5").alias("b_id"), "copies")
+    return keyed.join(best, F.col("evidence_id") == F.col("b_id")).select("item_id", "card_type", "evidence_id", "copies")
 
 
 def generated(evidence: DataFrame, items: DataFrame, anchors: DataFrame, matches: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -145,11 +145,20 @@ def test_quote_keys_lose_accents(spark):
     assert got == ["elan naive senor", "abc 2 x", "istanbul", ""]
 
 
+def _agree(a, b):
+    if not a or not b:
+        return False
+    if a in b or b in a:
+        return True
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    return sum(w in set(long.split()) for w in short.split()) >= max(5, len(short.split()) - 2)
+
+
 def _greedy(rows):
     """The rule, as it is stated."""
     kept = []
     for r in sorted(rows, key=lambda r: r[2]):
-        same = next((i for i, k in enumerate(kept) if k[0][:2] == r[:2] and C.quotes_agree(_key(k[0][3]), _key(r[3]))), None)
+        same = next((i for i, k in enumerate(kept) if k[0][:2] == r[:2] and _agree(_key(k[0][3]), _key(r[3]))), None)
         if same is None:
             kept.append([r, 1])
         else:
@@ -166,8 +175,12 @@ def _key(x):
     return " ".join(re.findall("[a-z0-9]+", (x or "").lower()))[:220]
 
 
-def test_distinct_quotes_against_the_plain_rule(spark):
-    rng = random.Random(3)
+QUOTES = "item_id long, card_type string, evidence_id long, quote string, review_status string, score double"
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_distinct_quotes_against_the_plain_rule(spark, seed):
+    rng = random.Random(seed)
     words = [f"w{i}" for i in range(30)]
     base = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 12))) for _ in range(12)]
     rows = []
@@ -175,11 +188,25 @@ def test_distinct_quotes_against_the_plain_rule(spark):
         w = rng.choice(base).split()
         for _ in range(rng.randint(0, 3)):
             w[rng.randrange(len(w))] = rng.choice(words)
-        quote = rng.choice([" ".join(w), " ".join(w[1:]), " ".join(w)[1:-1], "", None]) if i % 5 == 0 else " ".join(w)
-        rows.append((rng.randint(1, 3), rng.choice("ab"), i, quote, rng.choice(["important", "accepted", "x", None]), rng.choice([0.1, 0.5, None])))
-    df = spark.createDataFrame(rows, "item_id long, card_type string, evidence_id long, quote string, review_status string, score double").repartition(5)
+        quote = rng.choice([" ".join(w), " ".join(w[1:]), " ".join(w)[1:-1], "", None, "w1", "2 w"]) if i % 5 == 0 else " ".join(w)
+        rows.append((rng.randint(1, 3) if rng.random() < 0.9 else None, rng.choice("ab"), i, quote, rng.choice(["important", "accepted", "x", None]), rng.choice([0.1, 0.5, None])))
+    assert {tuple(r) for r in C.distinct_quotes(spark.createDataFrame(rows, QUOTES).repartition(5)).collect()} == _greedy(rows)
+
+
+def test_agreements_are_all_found(spark):
+    rng = random.Random(9)
+    keys = {" ".join("".join(rng.choice("ab") for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 9))) for _ in range(120)} | {"b c", "a b cd", "a b c d e f x", "f e d c b a yy z", ""}
+    got = {(r["kept"], r["new"]) for r in C.agreements(spark.createDataFrame([("g", k) for k in keys], "grp string, key string")).collect()}
+    assert got == {(a, b) for a in keys for b in keys if _agree(a, b)}
+
+
+def test_one_item_with_all_quotes_spreads(spark):
+    """No task sees more than a share of an item's rows, though all are of one item and most agree."""
+    rows = [(1, "t", i, f"the same quote of some words with number {i % 3}" if i % 2 else f"a quote of its own {i} {i * 7} {i * 13} {i * 17} {i * 19} x", "", i / 1000) for i in range(1500)]
+    df = spark.createDataFrame(rows, QUOTES).repartition(4)
     assert {tuple(r) for r in C.distinct_quotes(df).collect()} == _greedy(rows)
-    assert C.quotes_agree("b c", "a b cd") and not C.quotes_agree("", "") and C.quotes_agree("a b c d e f x", "f e d c b a yy z")
+    plan = C.distinct_quotes(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InPandas" not in plan and "Window" not in plan
 
 
 def test_honours_against_every_pair(spark):
