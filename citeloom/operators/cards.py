@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions.names import canonical_quote_key
-from citeloom.rounds import settled, written
+from citeloom.rounds import numbered, settled, written
 
 # Evidence types that make a card of their own type.
 CARD_TYPES = ("first_or_seminal_claim", "detailed_comparison", "baseline_or_benchmark", "theoretical_foundation", "method_foundation", "application_extension", "important_author_citation", "long_context_citation")
@@ -49,10 +49,10 @@ def cards(evidence: DataFrame, items: DataFrame, matches: DataFrame | None = Non
         rows = rows.join(best, F.col("evidence_id") == F.col("m_id"), "left").drop("m_id")
         kind = F.when(F.col("m_type").isNotNull() & (F.col("m_type") != "custom"), F.col("m_type")).otherwise(kind)
     rows = rows.withColumn("card_type", kind)
-    order = F.row_number().over(Window.partitionBy("session_id").orderBy((F.col("review_status") == "important").desc(), (F.col("review_status") == "accepted").desc(), F.desc("score"), F.asc("evidence_id")))
+    rows = numbered(rows, "session_id", [(F.col("review_status") == "important").desc(), (F.col("review_status") == "accepted").desc(), F.desc("score"), F.asc("evidence_id")], "sort_order")
     title = F.concat(F.initcap(F.replace("card_type", F.lit("_"), F.lit(" "))), F.lit(": "), "citing_title")
     include = F.col("strength").isin("strong", "moderate") & (F.col("self_citation_status") != "self_citation")
-    return rows.select("session_id", "evidence_id", "item_id", "card_type", title.alias("card_title"), F.concat(F.lit("cites "), "cited_title").alias("subtitle"), F.col("citation_text").alias("evidence_quote"), "strength", "review_status", include.alias("include_in_report"), order.alias("sort_order"))
+    return rows.select("session_id", "evidence_id", "item_id", "card_type", title.alias("card_title"), F.concat(F.lit("cites "), "cited_title").alias("subtitle"), F.col("citation_text").alias("evidence_quote"), "strength", "review_status", include.alias("include_in_report"), "sort_order")
 
 
 def agree(kept: Column, new: Column) -> Column:
@@ -134,7 +134,8 @@ def generated(evidence: DataFrame, items: DataFrame, anchors: DataFrame, matches
     own = own.groupBy("x_session", "x_item", "x_type", "x_key").agg(F.min_by(F.struct("card_id", "is_user_edited", "x_title"), F.struct(~F.col("is_user_edited"), F.col("card_id"))).alias("x"))
     same = (F.col("session_id") == F.col("x_session")) & (F.col("item_id") == F.col("x_item")) & (F.col("card_type") == F.col("x_type")) & (F.col("key") == F.col("x_key"))
     rows = good.join(own, same, "left").withColumn("card_title", F.when(F.col("x.is_user_edited"), F.col("x.x_title")).otherwise(F.col("card_title")))
-    rows = rows.withColumns({"card_id": F.col("x.card_id"), "user_edited": F.coalesce("x.is_user_edited", F.lit(False)), "sort_order": F.row_number().over(Window.partitionBy("session_id").orderBy("sort_order"))})
+    rows = rows.withColumns({"card_id": F.col("x.card_id"), "user_edited": F.coalesce("x.is_user_edited", F.lit(False))})
+    rows = numbered(rows.withColumnRenamed("sort_order", "rank_order"), "session_id", [F.col("rank_order")], "sort_order")
     return rows.select("session_id", "card_id", "evidence_id", "item_id", "card_type", "card_title", "evidence_quote", "copies", "user_edited", "sort_order"), bad
 
 
@@ -207,7 +208,7 @@ def reportable(cards_: DataFrame, evidence: DataFrame) -> DataFrame:
 def report_sections(cards_: DataFrame) -> DataFrame:
     """Cards with section and their number in the report."""
     order = F.array_position(F.array(*(F.lit(n) for n, _ in SECTIONS)), F.col("section"))
-    return cards_.withColumn("section", section(F.col("card_type"))).withColumn("number", F.row_number().over(Window.partitionBy("session_id").orderBy(order, "sort_order")))
+    return numbered(cards_.withColumn("section", section(F.col("card_type"))), "session_id", [order, F.col("sort_order")], "number")
 
 
 def conclusions(sections: DataFrame) -> DataFrame:

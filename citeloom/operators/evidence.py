@@ -201,3 +201,8 @@ def stale_split(evidence: DataFrame, current: DataFrame) -> DataFrame:
     rows = evidence.join(cur, F.col("evidence_id") == F.col("cur"), "left")
     touched = F.col("review_status") != "unreviewed"
     return rows.withColumn("action", F.when(F.col("cur").isNotNull(), "keep").when(touched, "demote").otherwise("delete")).drop("cur")
+
+
+def evidence_order() -> list[Column]:
+    """What users marked as important, then by score, then by id."""
+    return [(F.col("review_status") == "important").desc(), F.round("score", 9).desc(), F.asc("evidence_id")]

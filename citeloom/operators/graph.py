@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions.identifiers import doi_key
 from citeloom.functions.names import norm_title_ws
-from citeloom.rounds import settled, written
+from citeloom.rounds import numbered, settled, written
 
 
 #: New publications are numbered after all known ones while a batch is resolved; known ids are smaller than this.
@@ -176,4 +176,4 @@ def target_publications(session_publications: DataFrame) -> DataFrame:
 
 def local_codes(rows: DataFrame, prefix: str, group: str, order: str) -> DataFrame:
     """S001, S002, ... in each group, in input order."""
-    return rows.withColumn("local_code", F.format_string(f"{prefix}%03d", F.row_number().over(Window.partitionBy(group).orderBy(order))))
+    return numbered(rows, group, [F.col(order)], "place").withColumn("local_code", F.format_string(f"{prefix}%03d", "place")).drop("place")

@@ -48,16 +48,20 @@ def reuse_candidates(items: DataFrame, links: DataFrame) -> DataFrame:
     return best(first_by_keys(items, links, keys, "item_id", "asset_id"), "item_id", "asset_id", 3).withColumn("auto_attach", F.col("match_score") >= 0.95)
 
 
-def library_matches(publications: DataFrame, entries: DataFrame) -> DataFrame:
-    """publication_id, entry_id: a DOI or arXiv id decides at once, in entry order; what these leave, an equal title.
+#: Fixed value: the least title ratio of a library entry or drop-folder file.
+LEAST_TITLE = 0.82
+
+
+def library_matches(publications: DataFrame, entries: DataFrame, least: float = LEAST_TITLE) -> DataFrame:
+    """publication_id, entry_id, match_score, match_reason: a DOI or arXiv id decides at once, in entry order; what these leave, the entry of the best title ratio, least or more, the first one among equals.
 
     publications: publication_id, doi, arxiv_id, title. entries: entry_id, doi, arxiv_id, title."""
-    t = lambda: norm_title_alnum(F.col("title"))
+    titles = lambda df, id_: df.select(F.col(id_).alias("id"), "title")
     strong = first_by_keys(publications, entries, [(doi_key(F.col("doi")), doi_key(F.col("doi")), 1.0, "doi"), (F.lower("arxiv_id"), F.lower("arxiv_id"), 0.98, "arxiv")], "publication_id", "entry_id")
     first = strong.groupBy("publication_id").agg(F.min_by(F.struct("entry_id", "match_score", "match_reason"), "entry_id").alias("m")).select("publication_id", "m.*")
     rest = publications.join(first.select(F.col("publication_id").alias("done")), F.col("publication_id") == F.col("done"), "left_anti")
-    titled = best(first_by_keys(rest, entries, [(t(), t(), 1.0, "title")], "publication_id", "entry_id"), "publication_id", "entry_id").drop("rank")
-    return first.unionByName(titled)
+    near = title_similarity_join(titles(rest, "publication_id"), titles(entries, "entry_id"), least).groupBy(F.col("left_id").alias("publication_id")).agg(F.max(F.struct("score", (-F.col("right_id")).alias("r"))).alias("m"))
+    return first.unionByName(near.select("publication_id", (-F.col("m.r")).alias("entry_id"), F.col("m.score").alias("match_score"), F.lit("title").alias("match_reason")))
 
 
 def file_publications(files: DataFrame, publications: DataFrame) -> DataFrame:
@@ -165,6 +169,8 @@ def title_similarity_join(left: DataFrame, right: DataFrame, least: float, withi
     k = lambda df, s: df.select(F.col("id").alias(f"{s}_id"), norm_title_alnum(F.col("title")).alias(f"{s[0]}t"), part.alias(f"{s[0]}w")).where(f"{s[0]}t <> '' and {s[0]}w is not null")
     a, b = k(left, "left"), k(right, "right")
     equal = a.join(b, (F.col("lt") == F.col("rt")) & (F.col("lw") == F.col("rw"))).select("left_id", "right_id", F.lit(1.0).alias("score"))
+    if least >= 1:
+        return equal
 
     def blocks(df: DataFrame, s: str) -> DataFrame:
         # distinct titles meet once, whatever the number of rows that carry them
@@ -248,7 +254,7 @@ def rematched(annotations: DataFrame, items: DataFrame) -> DataFrame:
     return out.select(F.col("row_id").alias("annotation_id"), "item_id", "score", "status", (F.col("status") == "matched").alias("is_important"))
 
 
-def inbox_matches(files: DataFrame, items: DataFrame, least: float = 0.82) -> DataFrame:
+def inbox_matches(files: DataFrame, items: DataFrame, least: float = LEAST_TITLE) -> DataFrame:
     """file_id, item_id, score of the best item of each drop-folder file: by DOI 1.0, else by title ratio, least or more; the smallest item id wins ties. files: file_id, doi, title. items: item_id, doi, title."""
     i = items.select("item_id", doi_key(F.col("doi")).alias("i_doi"))
     by_doi = files.withColumn("f_doi", doi_key(F.col("doi"))).join(i, F.col("f_doi") == F.col("i_doi")).groupBy("file_id").agg(F.min("item_id").alias("item_id")).withColumn("score", F.lit(1.0))

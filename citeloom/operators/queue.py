@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions.names import norm_title_ws, venue_tier
+from citeloom.rounds import numbered
 
 READY = ("manual_pdf", "reused_pdf", "local_library_pdf")
 # What each finding adds to a priority.
@@ -105,7 +106,7 @@ def queue_order() -> list[Column]:
 
 def ranked(queue: DataFrame) -> DataFrame:
     """queue with its position in each session."""
-    return queue.withColumn("position", F.row_number().over(Window.partitionBy("session_id").orderBy(*queue_order())))
+    return numbered(queue, "session_id", queue_order(), "position")
 
 
 def is_important(review: Column, flag: Column, annotated: Column, reasons: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 
 from citeloom.operators import evidence as E
 from citeloom.operators import templates as T
+from citeloom.rounds import numbered
 
 from .fixtures import Source
 
@@ -89,7 +90,7 @@ PLANS = {
         f"with {DIRECT} select evidence_id from di where recommendation = 'include' and level = 'strong' and status = 'matched' and has_target",
     ),
     "t3_card_order": (
-        lambda s: E.eligible(scored(s)).withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy(*E.card_order()))).select("session_id", "evidence_id", "place"),
+        lambda s: numbered(E.eligible(scored(s)), "session_id", E.card_order(), "place").select("session_id", "evidence_id", "place"),
         f"with {SCORED} select session_id, evidence_id, row_number() over (partition by session_id order by review_status = 'important' desc, review_status = 'accepted' desc, round(score, 9) desc, evidence_id) as place from sc where trim(citation_text) <> '' and review_status not in ('rejected', 'false_positive')",
     ),
     "u3_evidence_upsert": (

@@ -146,9 +146,10 @@ PLANS = {
     "j4_reuse_candidates": (lambda s: M.reuse_candidates(_items(s), _links(s)), REUSE),
     "j6_top_candidates": (lambda s: M.best(M.first_by_keys(_items(s), _links(s), [(M.norm_title_alnum(c("title")), M.norm_title_alnum(c("title")), 0.95, "title")], "item_id", "asset_id"), "item_id", "asset_id", 3).select("item_id", "asset_id", "rank"),
         f"with {ITEMS}, {LINKS} select * from (select item_id, asset_id, row_number() over (partition by item_id order by asset_id) as rank from items i join links l on {NORM.format('i.title')} = {NORM.format('l.title')} and {NORM.format('i.title')} <> '') where rank <= 3"),
-    "j7_library_matches": (lambda s: M.library_matches(_published(s), _entries(s)), LIBRARY),
+    "j7_library_matches": (lambda s: M.library_matches(_published(s), _entries(s), 1.0), LIBRARY),
+    "j7_fuzzy_library_matches": (lambda s: M.library_matches(_published(s), _entries(s).withColumn("title", F.concat(c("title"), F.lit(" final")))), None),
     "j8_session_library_matches": (
-        lambda s: M.library_matches(_published(s).join(s.fx_edge.where("pdf_readiness_status <> 'need_pdf' and citing_id % 50 = 0").select(c("cited_id").alias("has")).distinct(), c("publication_id") == c("has"), "left_anti"), _entries(s)),
+        lambda s: M.library_matches(_published(s).join(s.fx_edge.where("pdf_readiness_status <> 'need_pdf' and citing_id % 50 = 0").select(c("cited_id").alias("has")).distinct(), c("publication_id") == c("has"), "left_anti"), _entries(s), 1.0),
         f"select * from ({LIBRARY}) where publication_id not in (select cited_id from fx_edge where pdf_readiness_status <> 'need_pdf' and citing_id % 50 = 0)",
     ),
     "j9_file_publications": (

@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from citeloom.operators import anchors as A
+from citeloom.operators import evidence as E
 from citeloom.operators import matching as M
 from citeloom.operators import queue as Q
 from citeloom.operators import upkeep as K
+from citeloom.rounds import numbered
 
 from .evidence_plans import DIRECT, SCORED, direct, scored
 from .fixtures import Source
@@ -69,7 +71,7 @@ PLANS = {
         "select publication_id, coalesce(doi, '') as doi_url, case when doi like '%10.1145/%' then 'ACM Digital Library' when doi like '%10.1109/%' then 'IEEE Xplore' when doi like '%10.1007/%' then 'Springer' when doi like '%10.1016/%' then 'Elsevier / ScienceDirect' else 'Publisher' end as publisher, 'https://scholar.google.com/scholar?q=' || replace(regexp_replace(title, '[^A-Za-z0-9 ]', '', 'g'), ' ', '+') as search_url from fx_cited",
     ),
     "t2_evidence_order": (
-        lambda s: scored(s).withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy((c("evidence_id") % 13 == 0).desc(), F.round("score", 9).desc(), "evidence_id"))).select("session_id", "evidence_id", "place"),
+        lambda s: numbered(scored(s).withColumn("review_status", F.when(c("evidence_id") % 13 == 0, "important").otherwise("")), "session_id", E.evidence_order(), "place").select("session_id", "evidence_id", "place"),
         f"with {SCORED} select session_id, evidence_id, row_number() over (partition by session_id order by evidence_id % 13 = 0 desc, round(score, 9) desc, evidence_id) as place from sc",
     ),
     "t5_top_three": (

@@ -11,7 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -42,3 +42,17 @@ def settled(guess: DataFrame, step: Callable[[DataFrame], DataFrame], key: str,
         if then.join(old, F.col(key) == F.col("__key")).where(F.col(decision) != F.col("__old")).isEmpty():
             return then
         now = then
+
+
+def numbered(rows: DataFrame, by: str, order: list[Column], into: str) -> DataFrame:
+    """rows with their number, from 1, among those of equal `by` (null is a value like others), in an order without ties.
+
+    Rows are dealt out by ranges of `by` and the order, so many tasks number a group that holds most of them: each row has its place in its range, and the counts of the ranges before, a small table, are added."""
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = rows.repartitionByRange(n, F.col(by), *order).sortWithinPartitions(F.col(by), *order)
+    placed = written(ranged.withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    ranges = placed.groupBy(F.col(by).alias("__by"), F.shiftright("__at", 33).alias("__range")).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("__by").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.withColumn("__before", F.coalesce(before, F.lit(0)))
+    same = F.col(by).eqNullSafe(F.col("__by")) & (F.shiftright("__at", 33) == F.col("__range"))
+    return placed.join(ranges, same).withColumn(into, F.col("__at") - F.col("__first") + F.col("__before") + 1).drop("__at", "__by", "__range", "__first", "__n", "__before")

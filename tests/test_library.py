@@ -199,6 +199,55 @@ def test_intake_stream_equals_batch(spark, tmp_path):
     assert sorted(r["sha256"] for r in spark.read.parquet(store).collect()) == sorted(r["sha256"] for r in batch.collect())
 
 
+def test_inbox_stream_matches_and_binds(spark, tmp_path):
+    """Two batches equal the batch operator on all files; a batch that is run again, or late, changes nothing."""
+    folder, store, ck = tmp_path / "in", str(tmp_path / "store"), str(tmp_path / "ck")
+    folder.mkdir()
+    items = spark.createDataFrame([(1, None, "A study of warm rivers in spring"), (2, "10.1145/3494975", "Another thing"), (3, None, "Stones and how they fall down slowly")], "item_id long, doi string, title string")
+    put = lambda files: [(folder / n).write_bytes(d) for n, d in files]
+    put([("a_study_of_warm_rivers_in_spring.pdf", b"1"), ("z copy.pdf", b"1"), ("10.1145_3494975.pdf", b"2")])
+    streams.start_inbox(spark, str(folder), store, lambda: items, ck).awaitTermination()
+    put([("copy_of_1.pdf", b"1"), ("stones and how they fall down.pdf", b"3"), ("nothing known.pdf", b"4")])
+    streams.start_inbox(spark, str(folder), store, lambda: items, ck).awaitTermination()
+    view = lambda: sorted((r["sha256"], r["path"].split("/")[-1], r["item_id"], r["status"], r["bound"]) for r in spark.read.parquet(store).collect())
+    files = spark.read.format("binaryFile").load(str(folder)).select("path", F.sha2("content", 256).alias("sha256"))
+    batch = streams.matched_intake(files, spark.createDataFrame([], "sha256 string"), items)
+    assert view() == sorted((r["sha256"], r["path"].split("/")[-1], r["item_id"], r["status"], r["bound"]) for r in batch.collect())
+    assert sorted((x[2], x[3], x[4]) for x in view() if x[2]) == [(1, "matched", True), (2, "matched", True), (3, "candidate", False)]
+    for number in (1, 0, 1):  # replays, out of order
+        names = ["copy_of_1.pdf", "stones and how they fall down.pdf", "nothing known.pdf"] if number else ["a_study_of_warm_rivers_in_spring.pdf", "z copy.pdf", "10.1145_3494975.pdf"]
+        before = view()
+        streams.store_batch(files.where(F.substring_index("path", "/", -1).isin(names)), number, store, items)
+        assert view() == before
+
+
+def test_newest_states_stream_equals_batch(spark, tmp_path):
+    """Shuffled files, rows that come late: the last row of each key is its state in the batch. State goes after its time."""
+    import random
+    from datetime import datetime, timedelta
+
+    rng, start = random.Random(2), datetime(2024, 1, 1)
+    rows = [(i, f"u{rng.randint(0, 6)}", start + timedelta(minutes=rng.randint(0, 300)), rng.choice("abc")) for i in range(200)]
+    rng.shuffle(rows)
+    kind, src, out = "event_id long, user string, ts timestamp, state string", str(tmp_path / "src"), str(tmp_path / "out")
+    for k in range(4):
+        spark.createDataFrame(rows[50 * k : 50 * k + 50], kind).coalesce(1).write.mode("append").parquet(src)
+
+    def run():
+        stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(src)
+        keep = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+        streams.newest_states(stream, "user", "state", late="10 hours", keep=timedelta(days=1)).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+        return {r["key"]: (r["value"], r["changes"]) for r in spark.read.parquet(out).groupBy("key").agg(F.max_by(F.struct("value", "changes"), "batch").alias("m")).select("key", "m.*").collect()}
+
+    want = {r["user"]: (r["state"], r["changes"]) for r in streams.current_state(spark.createDataFrame(rows, kind), "user", "state").collect()}
+    assert run() == want
+    for day in (5, 6):  # time goes on for another key; then u0 comes back and begins anew
+        spark.createDataFrame([(900 + day, "other", start + timedelta(days=day), "z")], kind).coalesce(1).write.mode("append").parquet(src)
+        run()
+    spark.createDataFrame([(990, "u0", start + timedelta(days=6), "back")], kind).coalesce(1).write.mode("append").parquet(src)
+    assert run()["u0"] == ("back", 1)
+
+
 def test_progress_stream_equals_batch(spark, tmp_path):
     events = spark.createDataFrame([(i, f"2024-01-01 0{i % 5}:30:00", "x" if i % 2 else "y", float(i)) for i in range(40)], "event_id long, t string, event_type string, value double").withColumn("ts", F.to_timestamp("t")).drop("t")
     path = str(tmp_path / "events")
