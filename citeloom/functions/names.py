@@ -35,6 +35,15 @@ def unaccented(x: Column) -> Column:
     return F.regexp_replace(F.translate(x, *_plain_letters()), r"\p{M}", "")
 
 
+# Typographic marks and their plain forms.
+MARKS, PLAIN_MARKS = "’‘´`“”–— ", "''''\"\"-- "
+
+
+def plain_characters(x: Column) -> Column:
+    """Letters without accents, typographic quotes and dashes as plain ones, lower case: character by character, so that places stay what they are."""
+    return F.lower(F.translate(F.translate(x, MARKS, PLAIN_MARKS), *_plain_letters()))
+
+
 def canonical_quote_key(x: Column) -> Column:
     """The key under which quotes count as one: without accents, alphanumeric, 220 characters at most."""
     return F.substring(norm_title_alnum(unaccented(F.coalesce(x, F.lit("")))), 1, 220)

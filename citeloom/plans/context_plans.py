@@ -84,7 +84,17 @@ def _generated(s: Source):
     return C.generated(e, _items(s), anchors, none, old)
 
 
+def _located(s: Source):
+    """Quotes cut out of their own texts: as they are, in capitals over other lines, or with words that are not there, for which the text's marker stands."""
+    k = c("doc_id")
+    cut = F.substring("text", 150, 60)
+    quote = F.when(k % 3 == 0, cut).when(k % 3 == 1, F.upper(F.replace(cut, F.lit(" "), F.lit(" \n ")))).otherwise(F.concat(cut, F.lit(" zq")))
+    quotes = s.fx_text.select(k.alias("item_id"), k, quote.alias("quote"), F.when(k % 5 > 0, "[").alias("marker"), F.array(F.lit("Follows")).alias("terms"))
+    return X.located_quotes(quotes, s.fx_text.select("doc_id", F.col("marked").alias("text")))
+
+
 PLANS = {
+    "x16_located_quotes": (_located, None),
     "x9_identities": (_identities, f"select doc_id as evidence_id, {_answers(4)} as status, {_answers(5)} as reason from documents"),
     "x12_target_contexts": (
         lambda s: X.target_contexts(s.fx_text).select("doc_id", "ordinal", "start", "stop", "kind"),

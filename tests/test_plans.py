@@ -163,6 +163,49 @@ def distinct_quotes(con):
     return [dict(zip(("item_id", "card_type", "evidence_id", "copies"), x, strict=True)) for x in _greedy(rows)]
 
 
+def located_quotes(con):
+    """The rule over characters, with a map back to the text."""
+    import unicodedata
+
+    def normal(text):
+        out, at = [], []
+        for i, ch in enumerate(text):
+            if text[i : i + 2] == "-\n" or text[max(0, i - 1) : i + 1] == "-\n":
+                continue
+            for x in unicodedata.normalize("NFKD", ch).translate(str.maketrans("’‘´`“”–—", "''''\"\"--")):
+                if unicodedata.combining(x):
+                    continue
+                if not x.isspace():
+                    out.append(x.lower())
+                    at.append(i)
+                elif not out or out[-1] != " ":
+                    out.append(" ")
+                    at.append(i)
+        return "".join(out), at
+
+    rows = []
+    for k, text, marked in con.sql(registry.oracle("select doc_id, text, marked from fx_text")).fetchall():
+        cut = text[149:209]
+        quote = (cut, cut.replace(" ", " \n ").upper(), cut + " zq")[k % 3]
+        start = marked.find(quote.strip()) if quote.strip() else -1
+        if start >= 0:
+            rows.append({"item_id": k, "start": start, "stop": start + len(quote.strip()), "method": "exact"})
+            continue
+        body, at = normal(marked)
+        needle = normal(quote)[0].strip()
+        start = body.find(needle) if needle else -1
+        if start >= 0:
+            rows.append({"item_id": k, "start": at[start], "stop": at[start + len(needle) - 1] + 1, "method": "normalised"})
+        elif k % 5 and "[" in marked:
+            words, best = set(re.findall("[A-Za-z][A-Za-z0-9.-]{3,}", quote.lower())), None
+            for m in re.finditer(re.escape("["), marked):
+                around = marked[max(0, m.start() - 800) : m.end() + 800].lower()
+                own = (3 * sum(w in around for w in words) + 5 * ("follows" in around), -m.start())
+                best = max(best or own, own)
+            rows.append({"item_id": k, "start": -best[1], "stop": -best[1] + 1, "method": "marker"})
+    return rows
+
+
 #: Plain versions of the queries that have no SQL, over whole tables.
 PLAIN = {
     "j5_fuzzy_reuse": fuzzy_reuse,
@@ -176,6 +219,7 @@ PLAIN = {
     "u9_distinct_quotes": distinct_quotes,
     "u14_rematched_annotations": rematched,
     "f3_f4_normal_forms": normal_forms,
+    "x16_located_quotes": located_quotes,
 }
 #: test_ordered_rules.py holds these against their loop.
 ELSEWHERE = {"j1_chained_records", "j1_stored_publications"}
