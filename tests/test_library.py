@@ -62,7 +62,7 @@ def test_resolution_prefers_ids_and_merges_a_batch(spark):
     known = spark.createDataFrame([(1, "W1", "10.1/a", "T one", 2000), (2, None, "10.1/b", "T two", 2001)], "publication_id long, work_id string, doi string, title string, year int")
     new = spark.createDataFrame([(1, "W1", "10.1/b", "x", 1), (2, None, "DOI:10.1/B", "x", 1), (3, None, None, " t  ONE", 2000), (4, None, "10.1/n", "N", 1), (5, None, "10.1/N", "M", 1), (6, None, None, None, None)], "ordinal long, work_id string, doi string, title string, year int")
     got = {r["ordinal"]: (r["publication_id"], r["matched_by"]) for r in graph.resolve_publications(new, known).collect()}
-    assert got == {1: (1, "work_id"), 2: (2, "doi"), 3: (1, "title_year"), 4: (-4, "new"), 5: (-4, "new"), 6: (-6, "new")}
+    assert got == {1: (1, "work_id"), 2: (2, "doi"), 3: (1, "title_year"), 4: (-4, "new"), 5: (-4, "doi"), 6: (-6, "new")}
 
 
 def test_rebuild_keeps_what_users_set(spark):
