@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 
 from citeloom.functions.identifiers import doi_key
 from citeloom.functions.names import norm_title_alnum
+from citeloom.rounds import written
 
 #: About so many distinct titles of one length meet as many others at a time in the fuzzy join; the result doesn't depend on it.
 BLOCK_TITLES = 256
 
+#: From this ratio on, pieces of titles nominate pairs: they have eight letters or so there, below it too few to tell titles apart. The result doesn't depend on it.
+PIECE_RATIO = 0.95
+
 
 def first_by_keys(left: DataFrame, right: DataFrame, keys: list[tuple[Column, Column, float, str]], left_id: str, right_id: str) -> DataFrame:
     """left_id, right_id, match_score, match_reason: each pair by the first of its keys that agrees. keys: (left, right, score, reason); null keys agree with nothing."""
@@ -134,8 +138,25 @@ def _common_subsequence(codes: np.ndarray, others: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def _near(a: _Block, b: _Block, least: float) -> Iterator[tuple[str, str, float]]:
-    """Unequal titles of two blocks whose ratio is least or more. Bounds from above, each exact, come first: letters, letter pairs, common subsequence."""
+def _first_piece(a: str, b: str, edits: int, size: int) -> int:
+    """The first piece of a that b holds at its place, moved by edits at most; -1 without one."""
+    return next((j for j in range(edits + 1) if b.find(a[j * size : (j + 1) * size], max(0, j * size - edits), (j + 1) * size + edits) >= 0), -1)
+
+
+def _ratios(pairs: list[tuple[str, str]], least: float) -> Iterator[tuple[str, str, float]]:
+    """Unequal ones of pairs, ordered by their second titles, whose ratio is least or more."""
+    matcher, second = SequenceMatcher(), None
+    for a, b in pairs:
+        if a != b:
+            if b != second:
+                matcher.set_seq2(second := b)  # kept for all of its partners
+            matcher.set_seq1(a)
+            if (score := matcher.ratio()) >= least:
+                yield a, b, score
+
+
+def _near(a: _Block, b: _Block, least: float) -> list[tuple[str, str]]:
+    """Pairs of two blocks' titles that may have a ratio of least or more. Bounds from above, each exact: letters, letter pairs, common subsequence."""
     need = int(np.ceil(least * (a.n + b.n) / 2 - 1e-9))
     # a letter put in or taken out changes three letter pairs at most
     pairs = a.n + b.n + 2 - 3 * (a.n + b.n - 2 * need)
@@ -148,15 +169,40 @@ def _near(a: _Block, b: _Block, least: float) -> Iterator[tuple[str, str, float]
             at = at[_common_subsequence(a.codes[i], b.codes[at]) >= need]
         for j in at.tolist():
             near[j].append(i)
-    matcher = SequenceMatcher()
-    for j, found in enumerate(near):
-        if found:
-            matcher.set_seq2(b.titles[j])  # kept for all of its partners
-        for i in found:
-            if a.titles[i] != b.titles[j]:
-                matcher.set_seq1(a.titles[i])
-                if (score := matcher.ratio()) >= least:
-                    yield a.titles[i], b.titles[j], score
+    return [(a.titles[i], b.titles[j]) for j, found in enumerate(near) for i in found]
+
+
+def _edits(n: int, least: float) -> tuple[int, int]:
+    """The most letters that a title of n letters and one of that ratio to it put in and take out between them, and the letters of a piece: edits + 1 pieces lie side by side in the title."""
+    edits = int(n * (2 * (1 - least) / least) + 1e-6)
+    return edits, n // (edits + 1)
+
+
+def _pieces(n: Column, least: float) -> tuple[Column, Column]:
+    """_edits as columns."""
+    edits = F.floor(n * (2 * (1 - least) / least) + 1e-6).cast("int")
+    return edits, F.floor(n / (edits + 1)).cast("int")
+
+
+def _piece(t: Column | str, j: Column, at: Column, size: Column) -> Column:
+    return F.struct(j.alias("j"), F.xxhash64(F.substring(t, at + 1, size)).alias("piece"))
+
+
+def _met(left: DataFrame, right: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Titles (w, t, n) with their pieces (j, piece): all pieces of left titles, and of right titles each place where such a piece lies, at its own place or moved by the edits at most. Right pieces that no left title has go before titles are gathered."""
+    x = left.withColumns(dict(zip(("edits", "size"), _pieces(F.col("n"), least), strict=True))).where("edits > 0")  # no edits: only an equal title
+    x = x.select("w", "t", "n", F.explode(F.transform(F.sequence(F.lit(0), "edits"), lambda j: _piece("t", j, j * F.col("size"), F.col("size")))).alias("p")).select("w", "t", "n", "p.*")
+    x = written(x, "pieces")
+    # the kinds of pieces that titles of a length may be asked for, and their places: a row for each length, joined with the titles of that length
+    lengths = F.sequence(F.ceil(F.col("n") * least / (2 - least) - 1e-6).cast("int"), F.floor(F.col("n") * (2 - least) / least + 1e-6).cast("int"))
+    kinds = right.select("n").distinct().withColumn("other", F.explode(lengths))
+    kinds = kinds.select(F.col("n").alias("m"), *(c.alias(k) for c, k in zip(_pieces(F.col("other"), least), ("edits", "size"), strict=True))).where("edits > 0").distinct()
+    kinds = kinds.withColumn("j", F.explode(F.sequence(F.lit(0), "edits")))
+    first, last = F.greatest(F.lit(0), F.col("j") * F.col("size") - F.col("edits")), F.least(F.col("m") - F.col("size"), F.col("j") * F.col("size") + F.col("edits"))
+    places = kinds.where(first <= last).select("m", "size", "j", F.explode(F.sequence(first, last)).alias("at")).distinct()
+    places = places.groupBy("m").agg(F.collect_list(F.struct("j", "at", "size")).alias("places"))
+    y = right.join(places, F.col("n") == F.col("m")).select("w", "t", "n", F.explode(F.array_distinct(F.transform("places", lambda q: _piece("t", q["j"], q["at"], q["size"])))).alias("p")).select("w", "t", "n", "p.*")
+    return x, written(y.join(x.select("w", "j", "piece").distinct(), ["w", "j", "piece"], "left_semi"), "pieces")
 
 
 def title_similarity_join(left: DataFrame, right: DataFrame, least: float, within: str | None = None) -> DataFrame:
@@ -164,32 +210,54 @@ def title_similarity_join(left: DataFrame, right: DataFrame, least: float, withi
 
     Nothing is lost. Equal titles match at once. The others meet as distinct titles, in blocks of titles of one length, with the blocks of each length that the ratio
     allows; bounds that no pair of that ratio can miss leave few pairs, and of these the ratio itself is computed. A length with many titles has many blocks, and pairs of
-    blocks are dealt out evenly; their number grows with the square of the distinct titles of like length."""
+    blocks are dealt out evenly.
+
+    From PIECE_RATIO on a block's titles also share a piece with those it meets. A ratio of least bounds the letters put in and taken out between two titles; cut
+    into one piece more than that, the left title keeps one whole in the right one, moved by no more than as many places. So work follows titles that share such pieces. Below that ratio
+    pieces would be a few letters long, and pairs of blocks grow with the square of the distinct titles of like length."""
     part = F.col(within).cast("string") if within else F.lit("")
     k = lambda df, s: df.select(F.col("id").alias(f"{s}_id"), norm_title_alnum(F.col("title")).alias(f"{s[0]}t"), part.alias(f"{s[0]}w")).where(f"{s[0]}t <> '' and {s[0]}w is not null")
     a, b = k(left, "left"), k(right, "right")
     equal = a.join(b, (F.col("lt") == F.col("rt")) & (F.col("lw") == F.col("rw"))).select("left_id", "right_id", F.lit(1.0).alias("score"))
     if least >= 1:
         return equal
+    by_piece = least >= PIECE_RATIO
+    # distinct titles meet once, whatever the number of rows that carry them
+    x, y = (df.select(F.col(f"{s}w").alias("w"), F.col(f"{s}t").alias("t")).distinct().withColumn("n", F.length("t")) for df, s in ((a, "l"), (b, "r")))
+    x, y = _met(x, y, least) if by_piece else (df.withColumns({"j": F.lit(0), "piece": F.lit(0).cast("long")}) for df in (x, y))
+    keys = ["w", "j", "piece", "n"]
 
     def blocks(df: DataFrame, s: str) -> DataFrame:
-        # distinct titles meet once, whatever the number of rows that carry them
-        x = df.select(F.col(f"{s}t").alias("t"), F.col(f"{s}w").alias("w")).distinct().withColumn("n", F.length("t"))
-        many = x.groupBy(F.col("w").alias("v"), F.col("n").alias("m")).agg(F.ceil(F.count(F.lit(1)) / BLOCK_TITLES).alias("blocks"))
-        x = x.join(many, (F.col("w") == F.col("v")) & (F.col("n") == F.col("m"))).withColumn("block", F.pmod(F.xxhash64("t"), F.col("blocks")))
-        return x.groupBy("w", F.col("n").alias(f"{s}n"), F.col("block").alias(f"{s}b")).agg(F.collect_list("t").alias(f"{s}ts"))
+        many = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK_TITLES).alias("blocks"))
+        dealt = df.join(many, keys).withColumn("block", F.pmod(F.xxhash64("t"), F.col("blocks")))
+        return dealt.groupBy(*keys, "block").agg(F.collect_list("t").alias(f"{s}ts")).withColumnsRenamed({"n": f"{s}n", "block": f"{s}b"})
 
-    x, y = blocks(a, "l"), blocks(b, "r")
+    x, y = blocks(x, "l"), blocks(y, "r")
     lengths = F.sequence(F.ceil(F.col("ln") * least / (2 - least) - 1e-6).cast("int"), F.floor(F.col("ln") * (2 - least) / least + 1e-6).cast("int"))
-    meet = x.select("w", "ln", "lb", F.explode(lengths).alias("rn")).join(y.select("w", "rn", "rb"), ["w", "rn"])
     session = left.sparkSession
     tasks = 4 * max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
-    meet = meet.join(x, ["w", "ln", "lb"]).join(y, ["w", "rn", "rb"]).repartition(tasks, "w", "ln", "lb", "rn", "rb").select("w", "lts", "rts")
+    if by_piece:  # few titles share a piece: their lists travel at once; a title shares every piece with itself
+        meet = x.join(y, ["w", "j", "piece"]).where(F.col("rn").between(lengths[0], F.element_at(lengths, -1)))
+        meet = meet.where(~((F.size("lts") == 1) & (F.size("rts") == 1) & (F.col("lts")[0] == F.col("rts")[0])))
+    else:
+        meet = x.select("w", "j", "piece", "ln", "lb", F.explode(lengths).alias("rn")).join(y.select("w", "j", "piece", "rn", "rb"), ["w", "j", "piece", "rn"])
+        meet = meet.join(x, ["w", "j", "piece", "ln", "lb"]).join(y, ["w", "j", "piece", "rn", "rb"])
+    meet = meet.repartition(tasks, "w", "j", "piece", "ln", "lb", "rn", "rb").select("w", "j", "lts", "rts")
+
+    def pairs(j: int, p: list[str], q: list[str]) -> Iterator[tuple[str, str, float]]:
+        # a handful of pairs is not worth the counts of letters; by pieces, a pair is judged where its first common piece is, once
+        found = [(u, v) for v in q for u in p] if len(p) * len(q) <= 16 and by_piece else _near(_Block(p), _Block(q), least)
+        if by_piece:
+            edits, size = _edits(len(p[0]), least)
+            found = [(u, v) for u, v in found if _first_piece(u, v, edits, size) == j]
+        return _ratios(found, least)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            for w, p, q in zip(rows["w"], rows["lts"], rows["rts"], strict=True):
-                yield pd.DataFrame([(w, *x) for x in _near(_Block(list(p)), _Block(list(q)), least)], columns=["sw", "sl", "sr", "score"]).astype({"score": "float64"})
+            for at in range(0, len(rows), 256):
+                some = rows.iloc[at : at + 256]
+                found = [(w, *x) for w, j, p, q in zip(some["w"], some["j"], some["lts"], some["rts"], strict=True) for x in pairs(j, list(p), list(q))]
+                yield pd.DataFrame(found, columns=["sw", "sl", "sr", "score"]).astype({"score": "float64"})
 
     fuzzy = meet.mapInPandas(run, "sw string, sl string, sr string, score double")
     wide = fuzzy.join(a, (F.col("sl") == F.col("lt")) & (F.col("sw") == F.col("lw"))).join(b, (F.col("sr") == F.col("rt")) & (F.col("sw") == F.col("rw"))).select("left_id", "right_id", "score")

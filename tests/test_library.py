@@ -1,6 +1,7 @@
 """Operators on small tables: nulls, empty inputs, ties, precedence, streams against batches."""
 
 import itertools
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -114,6 +115,42 @@ def test_title_join_finds_titles_without_a_shared_word(spark):
     assert got == _ratio_pairs(left, right, 0.8) == {(0, 0), (1, 1), (2, 2)}
 
 
+def _edited(rng, title, most):
+    """title with up to so many letters put in, taken out or replaced."""
+    t = list(title)
+    for _ in range(rng.randint(0, most)):
+        at = rng.randrange(len(t) + 1)
+        t[at : at + rng.randint(0, 1)] = rng.choice(["", "q", "z", " ", "7"])
+    return "".join(t)
+
+
+@pytest.mark.parametrize("least", [0.95, 0.97, 0.99])
+def test_pieces_lose_no_pair(spark, least):
+    """Against all pairs: edits at any place, one title for many, repeated letters, lengths down to those that only an equal title reaches."""
+    rng = random.Random(int(least * 100))
+    words = "graph citation impact of on the learning deep networks analysis survey large scale".split()
+    seeds = [" ".join(rng.choices(words, k=rng.randint(1, 14))) for _ in range(60)] + ["a" * 45, "ab " * 30, "x"]
+    left = [t for t in (_edited(rng, rng.choice(seeds), 4) for _ in range(150)) if t.strip()]
+    right = [t for t in (_edited(rng, rng.choice(seeds), 4) for _ in range(250)) if t.strip()]
+    tidy = lambda ts: [" ".join(t.split()) for t in ts]
+    left, right = tidy(left), tidy(right)
+    df = lambda ts: spark.createDataFrame([(i, t, "s") for i, t in enumerate(ts)], "id long, title string, session_id string")
+    rows = matching.title_similarity_join(df(left), df(right), least, "session_id").collect()
+    want = _ratio_pairs(left, right, least)
+    assert len(rows) == len(want) and {(r["left_id"], r["right_id"]) for r in rows} == want
+    assert len([1 for i, j in want if left[i] != right[j]]) > 5
+
+
+def test_pieces_in_blocks(spark, monkeypatch):
+    """A piece that all titles share fills many blocks; the result is the same."""
+    monkeypatch.setattr(matching, "BLOCK_TITLES", 4)
+    titles = [f"a common beginning that every title of this table has and then number {i:03d}" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(titles)), "id long, title string")
+    rows = matching.title_similarity_join(df, df, 0.97).collect()
+    want = _ratio_pairs(titles, titles, 0.97)
+    assert len(rows) == len(want) > 600 and {(r["left_id"], r["right_id"]) for r in rows} == want
+
+
 def test_token_overlap_is_lossless(spark):
     a = ["a b c d", "a b c x", "q", "", "a b c d e f g h"]
     df = spark.createDataFrame(list(enumerate(a)), "id long, title string")
