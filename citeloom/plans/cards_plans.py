@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from citeloom.operators import answers as W
 from citeloom.operators import cards as C
 from citeloom.operators import evidence as E
 from citeloom.operators import inference as L
@@ -36,6 +37,20 @@ def _answers(s: Source):
     return s.conversations.select(k.alias("item_id"), text.alias("response"))
 
 
+def _responses(s: Source):
+    """Answers that quote a turn's whole text, in ten shapes: plain, a list, fenced, behind thoughts, other names, a wrong second finding, an escaped apostrophe, none, no JSON, empty."""
+    k = c("conv_id") * 100 + c("turn")
+    own = lambda quote, stance="neutral", names=("evidence_type", "reasoning", "citation_text"): F.struct(F.lit("background").alias(names[0]), F.lit(stance).alias("stance"), c("role").alias("mention_type"), F.concat(F.lit("turn "), c("turn")).alias(names[1]), quote.alias(names[2]))
+    listed = lambda name, *rows: F.to_json(F.struct(F.array(*rows).alias(name)))
+    one = listed("findings", own(c("text")))
+    shapes = (
+        listed("findings", own(c("text")), own(F.upper("role"), "mixed")), F.to_json(F.array(own(c("text")))), F.concat(F.lit("Here:\n```json\n"), one, F.lit("\n```\nThat is all.")),
+        F.concat(F.lit('<think>{"findings": []}</think> So {x}: '), one, F.lit(" and nothing else")), listed("evidence", own(c("text"), names=("aspect", "reason", "quote"))), listed("findings", own(c("text")), own(c("text"), "odd")),
+        F.replace(listed("findings", own(F.concat(F.lit("it's "), c("text")))), F.lit("'"), F.lit("\\'")), F.lit(" No  evidence found\n"), c("text"), F.lit('{"findings": []}'),
+    )
+    return s.conversations.select(k.alias("item_id"), F.get(F.array(*shapes), (k % 10).cast("int")).alias("response"))
+
+
 PLANS = {
     "c1_card_types": (lambda s: s.fx_evidence.select("evidence_id", C.card_type(c("evidence_type"), c("stance")).alias("card_type")), f"select evidence_id, {TYPE} as card_type from fx_evidence"),
     "c2_cards": (lambda s: cards(s).select("evidence_id", "card_type", "include_in_report", "sort_order"), f"with {CARDS} select evidence_id, card_type, include_in_report, sort_order from ca"),
@@ -104,4 +119,11 @@ PLANS = {
         lambda s: L.salvaged(_answers(s)).groupBy("status", c("answer.evidence_type").alias("kind")).agg(F.count(F.lit(1)).alias("n")),
         "select case when (conv_id * 100 + turn) % 3 < 2 then 'parsed' when (conv_id * 100 + turn) % 6 = 2 then 'salvaged' else 'quarantined' end as status, case when (conv_id * 100 + turn) % 3 < 2 or (conv_id * 100 + turn) % 6 = 2 then role end as kind, count(*) as n from conversations group by 1, 2",
     ),
+    "l3_answer_findings": (
+        lambda s: W.answers(_responses(s)).select("item_id", "status", "reason", F.size("findings").alias("n"), F.get("findings", F.lit(0))["citation_text"].alias("quote"), F.get("findings", F.lit(0))["reasoning"].alias("why"), F.array_join(F.transform("findings", lambda x: x["stance"]), ",").alias("stances")),
+        """with k as (select conv_id * 100 + turn as i, (conv_id * 100 + turn) % 10 as x, turn, text from conversations)
+           select i as item_id, case when x in (2, 3) then 'salvaged' when x in (5, 8) then 'quarantined' when x = 7 then 'no_evidence' else 'parsed' end as status, case x when 5 then 'stance' when 8 then 'no_json' end as reason,
+           case when x = 0 then 2 when x in (1, 2, 3, 4, 6) then 1 else 0 end as n, case when x = 6 then 'it''s ' || text when x < 5 then text end as quote, case when x < 5 or x = 6 then 'turn ' || turn end as why,
+           case when x = 0 then 'neutral,mixed' when x in (1, 2, 3, 4, 6) then 'neutral' else '' end as stances from k""",
+    ),
 }

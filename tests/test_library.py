@@ -1,6 +1,7 @@
 """Operators on small tables: nulls, empty inputs, ties, precedence, streams against batches."""
 
 import itertools
+import json
 import random
 from difflib import SequenceMatcher
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import identifiers as I
 from citeloom.functions import names as N
-from citeloom.operators import anchors, cards, evaluation, evidence, graph, inference, matching, queue
+from citeloom.operators import anchors, answers, cards, evaluation, evidence, graph, inference, matching, queue
 from citeloom.sources import readers
 from citeloom.streaming import streams
 
@@ -186,6 +187,50 @@ def test_answers_are_salvaged_or_quarantined(spark):
     assert got[1] == "parsed" and got[3] == "salvaged" and got[4] == got[5] == "quarantined" and got[2] in ("parsed", "salvaged")
 
 
+def test_findings_of_answers_in_any_shape(spark):
+    f = {"evidence_type": "background", "stance": "neutral", "mention_type": "m", "reasoning": "r", "citation_text": "c {d} [1]"}
+    named = lambda name, *rows: json.dumps({name: rows})
+    shapes = [
+        (named("findings", f, f), "parsed", None, 2),
+        (json.dumps([f]), "parsed", None, 1),
+        (named("evidence", f), "parsed", None, 1),
+        (named("evidence", f) + ",", "quarantined", "no_json", 0),  # begins like JSON and is none
+        ("<THINK>\n{}</think>" + named("findings", f), "parsed", None, 1),
+        ("<think>no end " + named("findings", f), "quarantined", "no_json", 0),
+        ("so {bad} [x] " + named("findings", f) + " or {}", "salvaged", None, 1),
+        ("first " + named("findings", f) + " then " + named("findings", f, f), "salvaged", None, 2),
+        ("```\n" + named("findings", f) + "```\n" + named("findings"), "salvaged", None, 1),  # a fence before what stands free
+        ("a list: " + json.dumps([1, 2]), "quarantined", "finding", 0),
+        (named("findings", dict(f, stance="odd")), "quarantined", "stance", 0),
+        (named("findings", f, dict(f, evidence_type=None)), "quarantined", "evidence_type", 0),
+        (named("findings", {k: v for k, v in f.items() if k != "mention_type"}), "quarantined", "mention_type", 0),
+        (named("findings", dict(f, reasoning=5)), "quarantined", "reasoning", 0),
+        (named("findings", dict(f, keywords="k")), "quarantined", "keywords", 0),
+        (named("findings", dict(f, matched_template_ids=["x"])), "quarantined", "matched_template_ids", 0),
+        (named("findings", 1), "quarantined", "finding", 0),
+        (json.dumps({"findings": 3}), "quarantined", "not_findings", 0),
+        ("No relevant\n evidence FOUND", "no_evidence", None, 0),
+        ("No relevant evidence found.", "quarantined", "no_json", 0),
+        ("{}", "parsed", None, 0), ("[]", "parsed", None, 0), ("", "quarantined", "no_json", 0), (None, "quarantined", "no_json", 0),
+        ("x" * 300_000 + "{" * 300 + named("findings", f), "salvaged", None, 1),
+    ]
+    df = answers.answers(spark.createDataFrame([(str(i), x[0]) for i, x in enumerate(shapes)], "item_id string, response string")).cache()
+    got = {int(r["item_id"]): (r["status"], r["reason"], len(r["findings"])) for r in df.collect()}
+    assert got == {i: x[1:] for i, x in enumerate(shapes)}
+    assert {(r["evidence_type"], r["citation_text"], r["keep"]) for r in answers.findings(df).collect()} == {("background", "c {d} [1]", True)}
+    assert answers.answers(df.sparkSession.createDataFrame([], "item_id long, response string")).collect() == []
+
+
+def test_other_names_and_escapes(spark):
+    rows = [
+        (1, json.dumps([{"evidence_type": "", "aspect": None, "type": "precision_claim", "category": "background", "stance": "mixed", "mention_type": "m", "reason": "r", "evidence_quote": "q", "text": "t", "highlight_keywords": ["k"], "keep": False, "matched_template_ids": [3, 4]}])),
+        (2, r"""[{"evidence_type": "background", "stance": "mixed", "mention_type": "a\'b \\'c", "reasoning": "r"}]"""),
+    ]
+    got = {r["item_id"]: r for r in answers.findings(answers.answers(spark.createDataFrame(rows, "item_id long, response string"))).collect()}
+    assert tuple(got[1])[2:] == ("precision_claim", "mixed", "m", "r", "q", ["k"], False, [3, 4], "", None, None)
+    assert got[2]["mention_type"] == "a'b \\'c" and got[2]["citation_text"] is None
+
+
 def test_failed_batches_become_rows(spark):
     def broken(prompts):
         raise RuntimeError("down")
