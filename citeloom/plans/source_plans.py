@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from citeloom.rounds import shared_folder
 from citeloom.sources import readers as R
 
 from .fixtures import Source
@@ -39,6 +42,18 @@ def _works(s: Source):
         F.array(F.struct(F.lit(False).alias("is_oa"), F.lit("no").alias("pdf_url"), F.lit("closed").alias("landing_page_url"), F.struct(F.lit("Tests").alias("display_name")).alias("source")), F.struct(F.lit(True).alias("is_oa"), F.when(c("publication_id") % 3 == 0, "p").alias("pdf_url"), F.lit("open").alias("landing_page_url"), F.struct(F.lit("x").alias("display_name")).alias("source"))).alias("locations"))
 
 
+def _stored(s: Source):
+    """Annotations of all sessions, then a second import of some, one of which brings none: written, replaced and read back."""
+    k = c("publication_id")
+    own = lambda n: s.fx_cited.where(k % 2 == n).select("session_id", k.alias("annotation_id"), F.lit(n).alias("import_no"))
+    again = s.fx_cited.where("session_id < 'Brand#3'")
+    spark = again.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/annotations-{uuid.uuid4().hex}"
+    R.store_sessions(own(0), path)
+    R.store_sessions(own(1).where("session_id < 'Brand#3' and session_id <> 'Brand#11'"), path, again.select("session_id"))
+    return R.stored_sessions(spark, path, own(0).schema)
+
+
 PLANS = {
     "s1_citation_list": (
         lambda s: R.citation_records(_list(s)).select("title", F.array_join("authors", "|").alias("authors"), "year", "venue", "doi", "article_url", "rank"),
@@ -76,4 +91,8 @@ PLANS = {
         lambda s: R.validated(_files(s), 20000).select("doc_id", "reason"),
         "select doc_id, case when octet_length(encode(case when doc_id % 4 = 0 then '' else '%PDF-' end || text)) = 0 then 'empty' when octet_length(encode(case when doc_id % 4 = 0 then '' else '%PDF-' end || text)) > 20000 then 'too_large' when doc_id % 10 = 0 then 'not_pdf_name' when doc_id % 4 = 0 then 'not_pdf_content' end as reason from documents",
     ),
+    "u13_stored_annotations": (
+        _stored,
+        "with k as (select session_id, publication_id as annotation_id, cast(publication_id % 2 as int) as import_no from fx_cited) select * from k where case when session_id < 'Brand#3' then import_no = 1 and session_id <> 'Brand#11' else import_no = 0 end",
+    ),
 }

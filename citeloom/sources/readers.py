@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from citeloom.functions import identifiers as I
 from citeloom.functions import names as N
@@ -174,3 +175,27 @@ def paper_reports(papers: DataFrame, results: DataFrame, evidence: DataFrame) ->
 def write_reports(reports: DataFrame, path: str) -> None:
     """Reports by session; writing again replaces only the sessions at hand."""
     reports.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(path)
+
+
+#: The column that marks the row of a session that is stored without rows.
+EMPTIED = "__emptied"
+
+
+def store_sessions(rows: DataFrame, path: str, sessions: DataFrame | None = None, key: str = "session_id") -> None:
+    """Writes rows to a table of one folder a session, where they replace what those sessions had; other sessions keep their files. Written again, the table is the same, so a failed write is simply repeated.
+
+    sessions (with the key) names those that are replaced in any case: one without rows is emptied. A null session is one of its own; an empty text would be stored as null and is an error.
+    Rows are dealt out by session, and Spark splits a session with many."""
+    data = rows.withColumn(EMPTIED, F.lit(False))
+    if sessions is not None:
+        named = sessions.select(key).distinct()
+        none = named.join(rows.select(F.col(key).alias("__own")).distinct(), F.col(key).eqNullSafe(F.col("__own")), "left_anti")
+        data = data.unionByName(none.withColumn(EMPTIED, F.lit(True)), allowMissingColumns=True)
+    stated = data.withColumn(key, F.when(F.col(key).cast("string") == "", F.raise_error(F.lit("a session without a name"))).otherwise(F.col(key)))
+    stated.hint("rebalance", key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+
+
+def stored_sessions(spark: SparkSession, path: str, schema: StructType, key: str = "session_id") -> DataFrame:
+    """The rows that store_sessions wrote, of that schema; a condition on the key reads the folders of its sessions only."""
+    stored = StructType([*(f for f in schema.fields if f.name != key), StructField(EMPTIED, BooleanType()), schema[key]])
+    return spark.read.schema(stored).parquet(path).where(~F.col(EMPTIED)).select(*schema.fieldNames())

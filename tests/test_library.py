@@ -252,6 +252,26 @@ def test_honours_need_their_columns(spark, tmp_path):
         readers.read_honours(spark, str(tmp_path / "h.csv"))
 
 
+def test_sessions_are_replaced_and_others_keep_their_files(spark, tmp_path):
+    path = str(tmp_path / "annotations")
+    df = lambda *rows: spark.createDataFrame(list(rows), "session_id string, note_id long, text string")
+    files = lambda: {p.relative_to(path): p.stat().st_mtime_ns for p in (tmp_path / "annotations").rglob("*.parquet")}
+    rows = lambda: sorted((tuple(r) for r in readers.stored_sessions(spark, path, df().schema).collect()), key=str)
+    readers.store_sessions(df(("a", 1, "x"), ("a", 2, None), ("b/c = d", 3, "y"), (None, 4, "z"), ("e", 5, "w")), path)
+    before = files()
+    for _ in range(2):  # once more, as after a failure
+        readers.store_sessions(df(("a", 7, "n"), (None, 8, "n")), path, spark.createDataFrame([("a",), ("e",), ("new",)], "session_id string"))
+        assert rows() == sorted([("a", 7, "n"), ("b/c = d", 3, "y"), (None, 8, "n")], key=str)
+    kept = {p: at for p, at in before.items() if "d" in str(p.parent).split("=", 1)[1] and "DEFAULT" not in str(p)}
+    assert len(kept) == 1 and all(files().get(p) == at for p, at in kept.items())
+    readers.store_sessions(df(), path)
+    assert len(rows()) == 3
+    plan = readers.stored_sessions(spark, path, df().schema).where("session_id = 'a'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(session_id" in plan
+    with pytest.raises(Exception, match="without a name"):
+        readers.store_sessions(df(("", 1, "x")), path)
+
+
 def test_library_scan_and_validation(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "10.1145_3494975.pdf").write_bytes(b"%PDF-1.4")
