@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.functions.names import norm_title_alnum
+from citeloom.functions.names import norm_title_alnum, norm_title_ws, unaccented
 
 # Evidence types that count as strong, mentions that count as weak.
 STRONG_TYPES = (
@@ -66,19 +66,37 @@ def promotion(keep: Column, anchor: Column, least: float = 0.6) -> Column:
     )
 
 
-def inferred(text: Column) -> Column:
-    """struct(evidence_type, stance) from words of a quote; the first rule wins. The default scorer of batch inference."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    row = lambda k, s: F.struct(F.lit(k).alias("evidence_type"), F.lit(s).alias("stance"))
-    return (
-        F.when(t.rlike(r"\b(first|pioneer\w*|seminal)\b"), row("first_or_seminal_claim", "positive"))
-        .when(t.rlike(r"\b(compar\w*|versus|outperform\w*)\b"), row("detailed_comparison", "neutral"))
-        .when(t.rlike(r"\b(baseline|benchmark)\w*\b"), row("baseline_or_benchmark", "neutral"))
-        .when(t.rlike(r"\b(limit\w*|fail\w*|however)\b"), row("limitation_or_negative", "negative"))
-        .when(t.rlike(r"\b(based on|build\w* on|extend\w*|follow\w*)\b"), row("method_foundation", "positive"))
-        .when(t.rlike(r"\b(accurate|effective|robust|good)\w*\b"), row("positive_evaluation", "positive"))
-        .otherwise(row("background", "neutral"))
-    )
+# Words that make a quote evidence of a type, in order of precedence; the words that make it negative; what types are positive, comparisons or uses of a method.
+SUPPORTED = (
+    ("first_or_seminal_claim", ("first", "seminal", "pioneer", "pioneering")),
+    ("detailed_comparison", ("detailed comparison", "compare", "compared", "comparison")),
+    ("baseline_or_benchmark", ("baseline", "benchmark")),
+    ("method_foundation", ("method foundation", "methodological foundation", "builds on", "based on")),
+    ("theoretical_foundation", ("theoretical foundation", "theory", "theoretical")),
+    ("application_extension", ("extend", "extension", "application")),
+    ("positive_evaluation", ("positive", "effective", "accurate", "robust", "high precision", "important")),
+    ("limitation_or_negative", ("limitation", "negative", "fail", "weakness")),
+)
+POSITIVE_TYPES, COMPARISONS, USES = ("positive_evaluation", "method_foundation", "first_or_seminal_claim"), ("detailed_comparison", "baseline_or_benchmark"), ("method_foundation", "theoretical_foundation")
+
+
+def inferred(text: Column, cited_title: Column | None = None) -> Column:
+    """struct(evidence_type, stance, mention_type) from words of a quote, which may be parts of longer ones; the first type wins, without any it is null. The default scorer of batch inference.
+
+    Texts are compared in plain lower-case ASCII with single spaces. A quote that holds the cited title is an explicit mention; an empty title is in every quote, and without a title mentions follow the type alone."""
+    plain = lambda x: norm_title_ws(F.regexp_replace(unaccented(F.coalesce(x, F.lit(""))), r"[^\x00-\x7F]", ""))
+    # the normal form is made once: a list of one quote
+    quotes = F.array(F.struct(plain(text).alias("q"), (F.lit(None).cast("string") if cited_title is None else plain(cited_title)).alias("title")))
+    any_of = lambda q, words: F.coalesce(*(F.when(F.contains(q, F.lit(w)), F.lit(True)) for w in words), F.lit(False))
+    typed = F.transform(quotes, lambda x: F.struct(x["q"].alias("q"), x["title"].alias("title"), F.coalesce(*(F.when(any_of(x["q"], words), F.lit(kind)) for kind, words in SUPPORTED)).alias("kind")))
+    negative = dict(SUPPORTED)["limitation_or_negative"]
+
+    def judged(x: Column) -> Column:
+        stance = F.when(any_of(x["q"], negative), "negative").when(x["kind"].isin(*POSITIVE_TYPES), "positive").otherwise("neutral")
+        mention = F.when(F.contains(x["q"], x["title"]), "explicit_target").when(x["kind"].isin(*COMPARISONS), "comparison").when(x["kind"].isin(*USES), "method_use").otherwise("other")
+        return F.struct(x["kind"].alias("evidence_type"), stance.alias("stance"), mention.alias("mention_type"))
+
+    return F.get(F.transform(typed, judged), F.lit(0))
 
 
 VIEWS = {

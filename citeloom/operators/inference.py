@@ -26,7 +26,7 @@ def infer(prompts_: DataFrame, scorer: Callable[[list[str]], list[str]] | None =
     """item_id, response, error. A scorer maps a batch of prompts to answers and does its own retries; a batch that fails becomes rows with an error. Without one, words of the prompt decide."""
     if scorer is None:
         i = inferred(F.col("prompt"))
-        return prompts_.select("item_id", F.to_json(F.struct(i["evidence_type"].alias("evidence_type"), i["stance"].alias("stance"), F.lit(True).alias("keep"), F.lit(0.5).alias("confidence"))).alias("response"), F.lit(None).cast("string").alias("error"))
+        return prompts_.select("item_id", F.to_json(F.struct(F.coalesce(i["evidence_type"], F.lit("background")).alias("evidence_type"), i["stance"].alias("stance"), F.lit(True).alias("keep"), F.lit(0.5).alias("confidence"))).alias("response"), F.lit(None).cast("string").alias("error"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

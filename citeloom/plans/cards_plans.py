@@ -9,7 +9,7 @@ from citeloom.operators import cards as C
 from citeloom.operators import evidence as E
 from citeloom.operators import inference as L
 
-from .evidence_plans import SCORED, scored
+from .evidence_plans import KINDS, PLAIN, SCORED, scored
 from .fixtures import Source
 
 c = F.col
@@ -19,6 +19,12 @@ def _items(s: Source):
     return s.fx_evidence.select("item_id").distinct().select("item_id", F.concat(F.lit("Citing "), "item_id").alias("citing_title"), F.concat(F.lit("Cited "), "item_id").alias("cited_title"))
 
 
+def _single(s: Source):
+    """Each piece of evidence as an item of its own."""
+    k = c("evidence_id")
+    return s.fx_evidence.select(k.alias("item_id"), F.concat(F.lit("Citing "), k).alias("citing_title"), F.concat(F.lit("Cited "), k).alias("cited_title"))
+
+
 def cards(s: Source):
     return C.cards(E.eligible(scored(s)), _items(s))
 
@@ -112,8 +118,9 @@ PLANS = {
         "select item_id, 13 + 8 + length('Citing ' || item_id) + 8 + length('Cited ' || item_id) + 11 + sum(length(citation_text)) + count(*) - 1 as chars from fx_evidence group by item_id",
     ),
     "l2_default_inference": (
-        lambda s: L.infer(L.prompts(_items(s), s.fx_evidence.select("item_id", c("evidence_id").alias("ordinal"), F.lit("we follow [3]").alias("text")))).select("item_id", F.get_json_object("response", "$.evidence_type").alias("kind")),
-        "select distinct item_id, 'method_foundation' as kind from fx_evidence",
+        lambda s: L.infer(L.prompts(_single(s), s.fx_evidence.select(c("evidence_id").alias("item_id"), F.lit(1).alias("ordinal"), c("citation_text").alias("text")))).select("item_id", F.get_json_object("response", "$.evidence_type").alias("kind"), F.get_json_object("response", "$.stance").alias("stance")),
+        f"""with k as (select evidence_id as item_id, {PLAIN.format('citation_text')} as q from fx_evidence), n as (select *, {KINDS.format('q')} as kind from k)
+            select item_id, coalesce(kind, 'background') as kind, case when regexp_matches(q, 'limitation|negative|fail|weakness') then 'negative' when kind in ('positive_evaluation', 'method_foundation', 'first_or_seminal_claim') then 'positive' else 'neutral' end as stance from n""",
     ),
     "l3_salvaged_answers": (
         lambda s: L.salvaged(_answers(s)).groupBy("status", c("answer.evidence_type").alias("kind")).agg(F.count(F.lit(1)).alias("n")),

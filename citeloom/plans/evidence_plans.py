@@ -60,15 +60,26 @@ PROMOTED = f"""with {SCORED} select evidence_id, case when evidence_id % 17 = 0
       case when evidence_id % 17 = 0 then 'keep_false' when trim(citation_text) = '' then 'no_citation_text' when mention_type = 'reference_only' then 'reference_only' when evidence_id % 13 = 0 then 'anchor_invalid' when mention_type = 'grouped_citation' then 'grouped_citation'
       when mention_type = 'background_mention' and evidence_type in ('method_foundation', 'baseline_or_benchmark') then 'background_upgrade' when score < 0.6 then 'low_strength' else 'saved' end as reason from sc"""
 
+def _inferred(s: Source):
+    """Types of whole texts; an item's cited title is how its first text begins."""
+    first = s.fx_evidence.groupBy(c("item_id").alias("k")).agg(F.substring(F.min_by("citation_text", "evidence_id"), 1, 12).alias("title"))
+    return s.fx_evidence.join(first, c("item_id") == c("k")).select("evidence_id", E.inferred(c("citation_text"), c("title")).alias("i")).select("evidence_id", "i.*")
+
+
+PLAIN = r"trim(regexp_replace(regexp_replace(lower(strip_accents(coalesce({0}, ''))), '[^\x00-\x7F]', '', 'g'), '\s+', ' ', 'g'))"
+KINDS = """case when regexp_matches({0}, 'first|seminal|pioneer') then 'first_or_seminal_claim' when contains({0}, 'compar') and regexp_matches({0}, 'compare|comparison') then 'detailed_comparison' when regexp_matches({0}, 'baseline|benchmark') then 'baseline_or_benchmark'
+    when regexp_matches({0}, 'method foundation|methodological foundation|builds on|based on') then 'method_foundation' when regexp_matches({0}, 'theoretical foundation|theory|theoretical') then 'theoretical_foundation' when regexp_matches({0}, 'extend|extension|application') then 'application_extension'
+    when regexp_matches({0}, 'positive|effective|accurate|robust|high precision|important') then 'positive_evaluation' when regexp_matches({0}, 'limitation|negative|fail|weakness') then 'limitation_or_negative' end"""
+INFERRED = f"""
+    with f as (select item_id, substring(arg_min(citation_text, evidence_id), 1, 12) as title from fx_evidence group by 1),
+    k as (select evidence_id, {PLAIN.format('citation_text')} as q, {PLAIN.format('title')} as t from fx_evidence join f using (item_id)), n as (select *, {KINDS.format('q')} as kind from k)
+    select evidence_id, kind as evidence_type, case when regexp_matches(q, 'limitation|negative|fail|weakness') then 'negative' when kind in ('positive_evaluation', 'method_foundation', 'first_or_seminal_claim') then 'positive' else 'neutral' end as stance,
+    case when contains(q, t) then 'explicit_target' when kind in ('detailed_comparison', 'baseline_or_benchmark') then 'comparison' when kind in ('method_foundation', 'theoretical_foundation') then 'method_use' else 'other' end as mention_type from n"""
+
 PLANS = {
     "r23_scored_evidence": (lambda s: scored(s).select("evidence_id", "score", "strength"), f"with {SCORED} select evidence_id, score, strength from sc"),
     "r25_promotion": (_promoted, PROMOTED),
-    "r27_inferred": (
-        lambda s: s.fx_evidence.select("evidence_id", E.inferred(c("citation_text")).alias("i")).select("evidence_id", "i.*"),
-        r"""with k as (select evidence_id, lower(citation_text) as t from fx_evidence), n as (select evidence_id, case when regexp_matches(t, '\b(first|pioneer\w*|seminal)\b') then 1 when regexp_matches(t, '\b(compar\w*|versus|outperform\w*)\b') then 2 when regexp_matches(t, '\b(baseline|benchmark)\w*\b') then 3 when regexp_matches(t, '\b(limit\w*|fail\w*|however)\b') then 4
-            when regexp_matches(t, '\b(based on|build\w* on|extend\w*|follow\w*)\b') then 5 when regexp_matches(t, '\b(accurate|effective|robust|good)\w*\b') then 6 else 7 end as k from k)
-            select evidence_id, ['first_or_seminal_claim', 'detailed_comparison', 'baseline_or_benchmark', 'limitation_or_negative', 'method_foundation', 'positive_evaluation', 'background'][k] as evidence_type, ['positive', 'neutral', 'neutral', 'negative', 'positive', 'positive', 'neutral'][k] as stance from n""",
-    ),
+    "r27_inferred": (_inferred, INFERRED),
     "r29_reason_codes": (lambda s: direct(s).select("evidence_id", F.array_join("codes", "|").alias("codes"), E.template_eligible().alias("eligible")), f"with {DIRECT} select evidence_id, array_to_string(codes, '|') as codes, has_target and not list_has_any(codes, ['reference_mismatch', 'target_marker_missing', 'reference_only']) as eligible from di"),
     "r5_template_terms": (
         lambda s: T.term_matches(s.fx_evidence.select("session_id", "evidence_id", F.concat("evidence_type", F.lit(" "), "stance").alias("text")), _templates(s), "evidence_id").select("evidence_id", "template_id", F.size("matched_terms").alias("n"), "match_score"),

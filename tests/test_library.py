@@ -187,6 +187,25 @@ def test_answers_are_salvaged_or_quarantined(spark):
     assert got[1] == "parsed" and got[3] == "salvaged" and got[4] == got[5] == "quarantined" and got[2] in ("parsed", "salvaged")
 
 
+def test_types_stances_and_mentions_of_quotes(spark):
+    """The first type wins; words are parts of longer ones, without accents; a type is positive or negative by its words."""
+    rows = [
+        ("We compare with the first such study", "none of it", "first_or_seminal_claim", "positive", "other"),
+        ("A COMPARISON with a baseline", "other", "detailed_comparison", "neutral", "comparison"),
+        ("the strong bench\tmark set", "x", None, "neutral", "other"),
+        ("It builds\n on  theory and fails", "other", "method_foundation", "negative", "method_use"),
+        ("a théorétical view", "x", "theoretical_foundation", "neutral", "method_use"),
+        ("An extension of Deep  Nets", "deep nets", "application_extension", "neutral", "explicit_target"),
+        ("robustness", None, "positive_evaluation", "positive", "explicit_target"),
+        ("a weakness", "zz", "limitation_or_negative", "negative", "other"),
+        ("", "zz", None, "neutral", "other"), (None, None, None, "neutral", "explicit_target"),
+    ]
+    df = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(rows)], "i int, quote string, title string")
+    got = {r["i"]: tuple(r["x"]) for r in df.select("i", evidence.inferred(F.col("quote"), F.col("title")).alias("x")).collect()}
+    assert got == {i: r[2:] for i, r in enumerate(rows)}
+    assert {r["x"]["mention_type"] for r in df.select(evidence.inferred(F.col("quote")).alias("x")).collect()} == {"other", "comparison", "method_use"}
+
+
 def test_findings_of_answers_in_any_shape(spark):
     f = {"evidence_type": "background", "stance": "neutral", "mention_type": "m", "reasoning": "r", "citation_text": "c {d} [1]"}
     named = lambda name, *rows: json.dumps({name: rows})
