@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from .common import partitions, written
 
 
+#: Copies of one row that are numbered as one; more are dealt out in steps of so many.
+COPIES = 4096
+
+
 def jump_hash(key: Column, shards: int) -> Column:
     """The shard, 0 to shards - 1, of a key; a null key has a shard like any other value."""
     if shards < 1:
@@ -50,7 +54,13 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     starts = counts.select(F.col("shard").alias("at_shard"), F.col("bucket").alias("at_bucket"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("first"))
     within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
     ranked = distinct.withColumn("rank", F.coalesce(F.sum("n").over(within), F.lit(0)))
-    first = F.col("rank") + F.col("first")
-    return ranked.join(starts, (F.col("shard") == F.col("at_shard")) & (F.col("bucket") == F.col("at_bucket"))).select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.explode(F.sequence(first, first + F.col("n") - 1)).alias("slot"), "grown_shard"
-    )
+    placed = ranked.join(starts, (F.col("shard") == F.col("at_shard")) & (F.col("bucket") == F.col("at_bucket")))
+    placed = written(placed.select("doc_id", "size", "text_crc32", "shard", "grown_shard", "n", (F.col("rank") + F.col("first")).alias("first")), "placed")
+
+    def slots(df: DataFrame, first: Column, last: Column) -> DataFrame:
+        return df.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.explode(F.sequence(first, last)).alias("slot"), "grown_shard")
+
+    # a row with very many copies is dealt out in steps, so that no task and no array holds them all
+    last, step = F.col("first") + F.col("n") - 1, F.lit(COPIES).cast("long")
+    steps = placed.where(F.col("n") > COPIES).withColumn("step", F.explode(F.sequence("first", last, step))).repartition(4 * partitions(spark), "shard", "step")
+    return slots(placed.where(F.col("n") <= COPIES), F.col("first"), last).unionByName(slots(steps, F.col("step"), F.least(F.col("step") + step - 1, last)))

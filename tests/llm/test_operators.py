@@ -1,5 +1,6 @@
 """The operators against brute force on small fixtures, edge cases included."""
 
+import collections
 import hashlib
 import re
 import zlib
@@ -238,6 +239,16 @@ def test_sharding(docs, empty):
     assert all(sorted(x) == list(range(len(x))) for x in by.values())
 
 
+def test_sharding_numbers_many_copies_in_steps(spark):
+    """One row in many copies, a multiple of the steps and one more, and null ids and texts among them."""
+    rows = [(7, "same")] * (3 * sharding.COPIES) + [(None, None)] * (sharding.COPIES + 1) + [(i, "x") for i in range(200)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect()
+    assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(r[0] for r in rows)
+    for shard in range(3):
+        slots = sorted(r["slot"] for r in got if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+
+
 def test_sharding_against_a_jump_hash_in_python(spark, docs, cases):
     """size, crc32, law and the jump itself, from the draws that Spark makes; repeated rows and rows without an id have slots of their own."""
     f = queries.F
