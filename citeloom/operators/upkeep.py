@@ -82,3 +82,25 @@ def run_summary(outcomes: DataFrame, by: str) -> DataFrame:
     reasons = ["unsupported_pdf_status", "invalid_pdf_binding", "pdf_extract_not_ready", "missing_extracted_text"]
     n = lambda cond, name: F.count_if(F.coalesce(cond, F.lit(False))).alias(name)
     return outcomes.groupBy(by).agg(F.count(F.lit(1)).alias("items"), n(F.col("reason").isNull(), "analysed"), *(n(F.col("reason") == r, r) for r in reasons))
+
+
+def asset_usage(assets: DataFrame, links: DataFrame, queue: DataFrame) -> DataFrame:
+    """Each document of the pool with its first link, its number of links and of queue items that use it, and the citing title of the item changed last ('' without one).
+
+    assets: asset_id, source_type, extract_status. links: link_id, asset_id, doi, raw_title. queue: item_id, asset_id, updated_at, citing_title; items without a document use none. Ids break ties; both sides are grouped by document before they are joined."""
+    first = links.where("asset_id is not null").groupBy(F.col("asset_id").alias("l_asset")).agg(F.min_by(F.struct("doi", "raw_title"), "link_id").alias("link"), F.count(F.lit(1)).alias("links"))
+    used = queue.where("asset_id is not null").groupBy(F.col("asset_id").alias("q_asset")).agg(F.count(F.lit(1)).alias("uses"), F.max_by("citing_title", F.struct("updated_at", "item_id")).alias("latest"))
+    out = assets.join(first, F.col("asset_id") == F.col("l_asset"), "left").join(used, F.col("asset_id") == F.col("q_asset"), "left")
+    number = lambda name: F.coalesce(name, F.lit(0).cast("long")).alias(name)
+    return out.select("asset_id", "source_type", "extract_status", "link.doi", "link.raw_title", number("links"), number("uses"), F.coalesce("latest", F.lit("")).alias("latest_citing_title"))
+
+
+def pool_summary(usage: DataFrame, extracted: str = "extracted") -> DataFrame:
+    """One row on the pool, of asset_usage: documents, extracted ones, links, and uses by queue items; zeros for an empty pool."""
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
+    return usage.agg(F.count(F.lit(1)).alias("assets"), F.count_if(F.col("extract_status") == extracted).alias("extracted"), total("links").alias("links"), total("uses").alias("uses"))
+
+
+def recent_assets(usage: DataFrame, most: int = 10) -> DataFrame:
+    """The newest documents of asset_usage, the newest first: ids grow with time."""
+    return usage.orderBy(F.desc("asset_id")).limit(most)

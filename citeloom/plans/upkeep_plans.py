@@ -39,6 +39,18 @@ def _inbox(s: Source):
     return s.fx_cited.select((k * 2).alias("file_id"), F.when(k % 3 == 0, F.upper("doi")).alias("doi"), F.when(k % 3 == 1, F.concat("title", F.lit(" x"))).otherwise(F.reverse("title")).alias("title"))
 
 
+def _usage(s: Source):
+    """Documents with up to two links, used by the queue items of a table of events."""
+    one = lambda n: s.fx_asset.where(c("asset_id") % (n + 1) == 0).select((c("asset_id") * 2 + n).alias("link_id"), "asset_id", (c("publication_id") + n).alias("p"))
+    links = one(0).unionByName(one(1)).join(s.fx_cited.select(c("publication_id").alias("p"), "doi", c("title").alias("raw_title")), "p")
+    return K.asset_usage(s.fx_asset, links, s.events.select(c("event_id").alias("item_id"), c("user_id").alias("asset_id"), c("ts").alias("updated_at"), c("event_type").alias("citing_title")))
+
+
+USAGE = """l as (select asset_id * 2 as link_id, asset_id, publication_id as p from fx_asset union all select asset_id * 2 + 1, asset_id, publication_id + 1 from fx_asset where asset_id % 2 = 0),
+    l1 as (select asset_id, arg_min({'d': doi, 't': title}, link_id) as f, count(*) as links from l join fx_cited on publication_id = p group by 1),
+    q as (select user_id as asset_id, count(*) as uses, arg_max(event_type, {'a': ts, 'b': event_id}) as latest from events where user_id is not null group by 1),
+    us as (select asset_id, source_type, extract_status, f.d as doi, f.t as raw_title, coalesce(links, 0) as links, coalesce(uses, 0) as uses, coalesce(latest, '') as latest_citing_title from fx_asset left join l1 using (asset_id) left join q using (asset_id))"""
+
 PLANS = {
     "a4_honour_summary": (lambda s: honours(s).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("item_id").alias("items")), None),
     "a4_summary_rule": (lambda s: M.honour_decisions(_scores(s)).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("item_id").alias("items")), f"select status, count(*) as n, count(distinct item_id) as items from ({HONOUR}) group by 1"),
@@ -101,4 +113,7 @@ PLANS = {
         lambda s: K.marker_sentence(A.sentences(s.fx_text.select("doc_id", c("marked").alias("text"))), s.fx_text.select("doc_id", c("target_marker").alias("marker"))).select("doc_id", F.regexp_extract("sentence", r"\[[^\]]*\]", 0).alias("cites")),
         "select doc_id, '[' || doc_id % 40 + 1 || ', ' || doc_id % 7 + 1 || '-' || doc_id % 7 + 4 || ']' as cites from fx_text where target_marker = cast(doc_id % 40 + 1 as varchar) or cast(target_marker as int) between doc_id % 7 + 1 and doc_id % 7 + 4",
     ),
+    "a7_asset_usage": (_usage, f"with {USAGE} select * from us"),
+    "a7_pool_summary": (lambda s: K.pool_summary(_usage(s)), f"with {USAGE} select count(*) as assets, count(*) filter (extract_status = 'extracted') as extracted, cast(sum(links) as bigint) as links, cast(sum(uses) as bigint) as uses from us"),
+    "a7_recent_assets": (lambda s: K.recent_assets(_usage(s)), f"with {USAGE} select * from us order by asset_id desc limit 10"),
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import identifiers as I
 from citeloom.functions import names as N
-from citeloom.operators import anchors, answers, cards, evaluation, evidence, graph, inference, matching, queue
+from citeloom.operators import anchors, answers, cards, evaluation, evidence, graph, inference, matching, queue, upkeep
 from citeloom.sources import readers
 from citeloom.streaming import streams
 
@@ -259,6 +259,17 @@ def test_failed_batches_become_rows(spark):
     assert {r["response"] for r in inference.infer(p, lambda ps: [x * 2 for x in ps]).collect()} == {"aa", "bb"}
 
 
+def test_document_pool(spark):
+    """Ties by id, items and links without a document, a document without either, an empty pool."""
+    assets = spark.createDataFrame([(1, "web", "extracted"), (2, "web", "pending"), (3, None, None)], "asset_id long, source_type string, extract_status string")
+    links = spark.createDataFrame([(5, 1, "b", "B"), (4, 1, None, "A"), (6, None, "x", "X")], "link_id long, asset_id long, doi string, raw_title string")
+    items = spark.createDataFrame([(1, 1, 9, "old"), (2, 1, 10, "tie"), (3, 1, 10, "last"), (4, None, 11, "none"), (5, 2, None, None)], "item_id long, asset_id long, updated_at long, citing_title string")
+    usage = upkeep.asset_usage(assets, links, items)
+    assert sorted(tuple(r)[0:1] + tuple(r)[3:] for r in usage.collect()) == [(1, None, "A", 2, 3, "last"), (2, None, None, 0, 1, ""), (3, None, None, 0, 0, "")]
+    assert tuple(upkeep.pool_summary(usage).first()) == (3, 1, 2, 4) and [r["asset_id"] for r in upkeep.recent_assets(usage, 2).collect()] == [3, 2]
+    assert tuple(upkeep.pool_summary(upkeep.asset_usage(assets.limit(0), links, items)).first()) == (0, 0, 0, 0)
+
+
 def test_citation_list_from_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_text('﻿Title,Authors,Year,Source,Publisher,DOI,ArticleURL,GSRank\n"A ""b"" c","X; Y",in 2019,,P,DOI:10.1/Q,u,3\n', encoding="utf-8")
     r = readers.read_citation_list(spark, str(tmp_path / "a.csv")).first()
