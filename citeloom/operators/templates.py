@@ -1,39 +1,131 @@
-"""Evidence templates: their table, terms and term matches."""
+"""Evidence templates: the built-in ones, what sessions change, term matches."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# The types of the built-in templates, in the order of their ids. The rules by which they are judged are in evaluation.py.
-BUILT_IN = ("first_or_pioneering_claim", "detailed_comparison", "baseline_or_benchmark", "positive_evaluation", "limitation_or_negative", "theoretical_foundation", "method_foundation", "method_or_capability_summary", "neutral_attitude")
+from .evaluation import CONTRACTS
+
+c = F.col
+LONG_CONTEXT = "long_context_citation"
+
+
+class BuiltIn(NamedTuple):
+    kind: str
+    bonus: int
+    words: tuple[str, ...]
+    patterns: tuple[str, ...]
+    aspects: tuple[str, ...]
+
+
+# The built-in templates in the order of their ids: type (also the name), bonus, words, patterns, aspects. What their types allow is in evaluation.py.
+BUILT_IN = (
+    BuiltIn("first_or_pioneering_claim", 30, ("first", "the first", "pioneering", "earliest", "first-of-its-kind", "seminal", "for the first time", "首次", "开创性", "率先", "最早"), ("the first", "for the first time", "pioneering work", "seminal work"), ("first_or_pioneering_claim", "first_or_seminal_claim")),
+    BuiltIn("first_or_seminal_claim", 20, ("first", "seminal", "pioneering", "首次", "开创"), ("first work", "seminal work"), ("first_or_seminal_claim",)),
+    BuiltIn("detailed_comparison", 20, ("compare", "compared with", "comparison", "对比", "比较"), ("compared with",), ("detailed_comparison",)),
+    BuiltIn("baseline_or_benchmark", 20, ("baseline", "benchmark", "基线", "评测"), ("benchmark baseline",), ("baseline_or_benchmark",)),
+    BuiltIn("theoretical_foundation", 18, ("theoretical foundation", "理论基础"), ("foundation follows",), ("theoretical_foundation",)),
+    BuiltIn("method_foundation", 18, ("method foundation", "method source", "方法来源"), ("method foundation",), ("method_foundation",)),
+    BuiltIn("application_extension", 15, ("application", "extension", "应用", "拓展"), ("extends",), ("application_extension",)),
+    BuiltIn("important_author_citation", 15, ("Fellow", "院士", "important author"), ("fellow",), ("important_author_citation",)),
+    BuiltIn("survey_highlight", 15, ("survey", "review", "综述"), ("survey highlights",), ("survey_highlight",)),
+    BuiltIn(LONG_CONTEXT, 12, ("long context", "substantial discussion", "长上下文"), ("substantial discussion",), (LONG_CONTEXT,)),
+    BuiltIn("positive_evaluation", 12, ("positive", "improves", "strong", "正向", "评价"), ("positive evaluation",), ("positive_evaluation",)),
+    BuiltIn("limitation_or_negative", 12, ("limitation", "negative", "局限", "不足"), ("limitation",), ("limitation_or_negative",)),
+)
+#: The bonus of a session's own templates.
+OWN_BONUS = 15
+DETAILS = {
+    "template_type": "string", "positive": "array<string>", "negative": "array<string>", "required": "array<string>", "allowed_types": "array<string>", "min_chars": "int", "min_words": "int", "require_marker": "boolean", "allow_grouped": "boolean",
+}
+
 
+def builtin_templates(spark: SparkSession) -> DataFrame:
+    """The built-in templates, numbered from 1: template_id, name, template_type, positive, negative, required, aspects, allowed_types, bonus, min_chars, min_words, require_marker, allow_grouped. Types that have a contract need
+    the target's marker; the others leave that open (null)."""
+    rows = [(i, b.kind, b.kind, list(b.words), [], list(b.patterns), list(b.aspects), list(CONTRACTS.get(b.kind, ())), b.bonus, 0, 0, True if b.kind in CONTRACTS else None, False) for i, b in enumerate(BUILT_IN, 1)]
+    return spark.createDataFrame(rows, "template_id long, name string, template_type string, positive array<string>, negative array<string>, required array<string>, aspects array<string>, allowed_types array<string>, bonus int, min_chars int, min_words int, require_marker boolean, allow_grouped boolean")
 
-def builtin_templates(sessions: DataFrame) -> DataFrame:
-    """The built-in templates of every session: session_id, template_id, template_type, keywords. They are as few as BUILT_IN, so each session's come from an array."""
-    rows = [F.struct(F.lit(i).alias("template_id"), F.lit(t).alias("template_type"), F.array(*(F.lit(w) for w in t.split("_") if len(w) > 3)).alias("keywords")) for i, t in enumerate(BUILT_IN, 1)]
-    return sessions.select("session_id", F.explode(F.array(*rows)).alias("t")).select("session_id", "t.*")
 
+def session_templates(builtin: DataFrame, log: DataFrame) -> DataFrame:
+    """The templates that sessions have, as a log of what they did says: builtin's columns with session_id, enabled, user_defined.
 
-def overlaid(builtin: DataFrame, changes: DataFrame) -> DataFrame:
-    """Templates with a session's own changes over the built-in ones, by (session_id, template_type): enabled flags, keywords; custom rows are added. changes: session_id, template_type, enabled, keywords."""
-    ch = changes.select(F.col("session_id").alias("c_session"), F.col("template_type").alias("c_type"), "enabled", F.col("keywords").alias("c_keywords"))
-    joined = builtin.join(ch, (F.col("session_id") == F.col("c_session")) & (F.col("template_type") == F.col("c_type")), "full")
-    return joined.select(F.coalesce("session_id", "c_session").alias("session_id"), F.coalesce("template_type", "c_type").alias("template_type"), F.coalesce("enabled", F.lit(True)).alias("enabled"), F.coalesce("c_keywords", "keywords").alias("keywords"), F.col("template_id").isNull().alias("custom"))
+    log: session_id, ordinal (unique in a session), action (enable, disable, create), template_id; for creations the columns of DETAILS, any of which may be missing or null. Enabling or disabling a built-in template gives the session a copy,
+    which later actions switch. A created template is on, and named by its type, its session and the number of the session's templates that are on then, plus one; its aspects are the types it allows, else its type. Actions on
+    templates that neither exist nor were created before in the session do nothing, nor does creating one id again. A session's log, what one user did, is one window; templates of different sessions never meet."""
+    rows = log.select("session_id", "ordinal", "action", c("template_id").cast("long").alias("template_id"), *((c(n).cast(t) if n in log.columns else F.lit(None).cast(t)).alias(n) for n, t in DETAILS.items())).where(c("action").isin("enable", "disable", "create"))
+    own = Window.partitionBy("session_id", "template_id").orderBy("ordinal")
+    b = builtin.select(c("template_id").alias("b_id"))
+    rows = rows.join(b, c("template_id") == c("b_id"), "left").withColumn("made", F.min(F.when((c("action") == "create") & c("b_id").isNull(), c("ordinal"))).over(own))
+    rows = rows.where(F.when(c("action") == "create", c("ordinal") == c("made")).otherwise(c("b_id").isNotNull() | (c("made") < c("ordinal"))))
+    rows = rows.withColumn("on", c("action") != "disable")
+    rows = rows.withColumn("gain", c("on").cast("int") - F.coalesce(F.lag("on").over(own), F.lit(False)).cast("int"))
+    before = F.sum("gain").over(Window.partitionBy("session_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("others", F.coalesce(before, F.lit(0)))
+    first = lambda x: F.min_by(x, "ordinal").alias(x)
+    held = rows.groupBy("session_id", "template_id").agg(F.max_by("on", "ordinal").alias("enabled"), F.max("b_id").isNull().alias("user_defined"), first("others"), *(first(n) for n in DETAILS))
+    copies = held.where(~c("user_defined")).select("session_id", "template_id", "enabled", "user_defined").join(builtin, "template_id")
+    kind = F.coalesce(F.nullif("template_type", F.lit("")), F.lit("custom"))
+    none = F.array().cast("array<string>")
+    allowed = F.coalesce("allowed_types", none)
+    made = held.where("user_defined").select(
+        "template_id", "session_id", "enabled", "user_defined", F.concat_ws("_", F.lit("custom"), kind, "session_id", c("others") + 1).alias("name"), kind.alias("template_type"), F.coalesce("positive", none).alias("positive"), F.coalesce("negative", none).alias("negative"), F.coalesce("required", none).alias("required"),
+        F.when(F.size(allowed) > 0, allowed).otherwise(F.array(kind)).alias("aspects"), allowed.alias("allowed_types"), F.lit(OWN_BONUS).alias("bonus"), F.coalesce("min_chars", F.lit(0)).alias("min_chars"), F.coalesce("min_words", F.lit(0)).alias("min_words"), F.coalesce("require_marker", F.lit(False)).alias("require_marker"), F.coalesce("allow_grouped", F.lit(False)).alias("allow_grouped"),
+    )
+    return copies.unionByName(made)
 
 
-def term_hits(terms: Column, text: Column) -> Column:
-    """The terms that a text holds as substrings, whatever their case, each once in its first spelling."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    clean = F.filter(F.transform(terms, lambda t: F.trim(F.regexp_replace(t, r"\s+", " "))), lambda t: (t != "") & F.contains(low, F.lower(t)))
-    return F.aggregate(clean, F.array().cast("array<string>"), lambda seen, t: F.when(F.exists(seen, lambda s: F.lower(s) == F.lower(t)), seen).otherwise(F.concat(seen, F.array(t))))
+def _terms() -> Column:
+    """A template's words, patterns and aspects with single spaces, each once whatever its case, in its first spelling, with its lower-case form."""
+    lists = [F.coalesce(x, F.array().cast("array<string>")) for x in ("positive", "required", "aspects")]
+    clean = F.filter(F.transform(F.concat(*lists), lambda t: F.trim(F.regexp_replace(t, r"(?U)\s+", " "))), lambda t: t != "")
+    forms = F.transform(clean, lambda t: F.struct(t.alias("term"), F.lower(t).alias("low")))
+    return F.aggregate(forms, F.array().cast("array<struct<term:string,low:string>>"), lambda seen, t: F.when(F.exists(seen, lambda s: s["low"] == t["low"]), seen).otherwise(F.concat(seen, F.array(t))))
+
+
+def _by_session(templates: DataFrame) -> DataFrame:
+    """t_session, templates (their terms and bounds), sought (the distinct terms of all): one row for each session."""
+    long = c("template_type") == LONG_CONTEXT
+    t = templates.where("enabled").withColumn("terms", F.when(long, F.array().cast("array<struct<term:string,low:string>>")).otherwise(_terms()))
+    bounds = (F.coalesce("min_chars", F.lit(0)).alias("min_chars"), F.coalesce("min_words", F.lit(0)).alias("min_words"), F.coalesce("require_marker", F.lit(False)).alias("require_marker"))
+    row = F.struct("template_id", "template_type", "name", long.alias("long"), "terms", *bounds)
+    lows = F.array_distinct(F.flatten(F.collect_list(F.transform("terms", lambda x: x["low"]))))
+    return t.groupBy(c("session_id").alias("t_session")).agg(F.array_sort(F.collect_list(row)).alias("templates"), lows.alias("sought"))
 
 
 def term_matches(texts: DataFrame, templates: DataFrame, key: str) -> DataFrame:
-    """key, template_id, matched_terms, match_score (ten a term, thirty at most) of texts (session_id, key, text) with the templates of their session."""
-    t = templates.select(F.col("session_id").alias("t_session"), "template_id", "template_type", "keywords")
-    rows = texts.join(t, F.col("session_id") == F.col("t_session")).withColumn("matched_terms", term_hits(F.col("keywords"), F.col("text")))
-    return rows.where(F.size("matched_terms") > 0).select(key, "template_id", "template_type", "matched_terms", F.least(F.lit(30.0), 10.0 * F.size("matched_terms")).alias("match_score"))
+    """key, template_id, template_type, matched_terms, reason, match_score of texts (session_id, key, text) with the templates of their session that are on (columns as session_templates gives them). No row where nothing matches.
+
+    A template matches by its words, patterns and aspects, as parts of the text whatever their case: ten a term, thirty at most. One of long context matches by its bounds instead, all of which must hold (characters, words, a bracket where the
+    marker is asked for): ten and five for each bound, thirty at most; without any bound it matches nothing. A null text is empty.
+
+    Each text is read once, for the distinct terms of all templates of its session; the templates then look up what was found. A session's templates are one row, so no text is multiplied before it matches."""
+    rows = texts.select("session_id", key, F.coalesce("text", F.lit("")).alias("text")).join(_by_session(templates), c("session_id") == c("t_session"))
+    read = lambda text: F.struct(
+        F.get(F.transform(F.array(F.lower(text)), lambda low: F.filter("sought", lambda t: F.contains(low, t))), F.lit(0)).alias("found"),
+        F.length(text).alias("chars"), F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")).alias("words"), F.contains(text, F.lit("[")).alias("bracket"),
+    )
+
+    def judged(seen: Column, t: Column) -> Column:
+        holds = ((t["min_chars"] <= 0) | (seen["chars"] >= t["min_chars"])) & ((t["min_words"] <= 0) | (seen["words"] >= t["min_words"])) & (~t["require_marker"] | seen["bracket"])
+        bounds = F.array_compact(F.array(
+            F.when(t["min_chars"] > 0, F.concat(F.lit("min_citation_chars>="), t["min_chars"])), F.when(t["min_words"] > 0, F.concat(F.lit("min_citation_words>="), t["min_words"])), F.when(t["require_marker"], "require_target_marker"),
+        ))
+        terms = F.transform(F.filter(t["terms"], lambda x: F.array_contains(seen["found"], x["low"])), lambda x: x["term"])
+        matched = F.when(t["long"], F.when(holds, bounds).otherwise(F.array().cast("array<string>"))).otherwise(terms)
+        return F.struct(t["template_id"].alias("template_id"), t["template_type"].alias("template_type"), t["name"].alias("name"), t["long"].alias("long"), matched.alias("matched_terms"))
+
+    # a list of one keeps what is read of a text from being read again for each template
+    seen = F.array(read(c("text")))
+    matches = F.flatten(F.transform(seen, lambda x: F.filter(F.transform("templates", lambda t: judged(x, t)), lambda m: F.size(m["matched_terms"]) > 0)))
+    n = F.size("m.matched_terms")
+    listed = F.array_join("m.matched_terms", ", ")
+    reason = F.when(c("m.long"), F.concat(F.lit(f"Matched {LONG_CONTEXT} rules: "), listed)).otherwise(F.concat(F.lit("Matched template '"), "m.name", F.lit("' terms: "), listed))
+    score = F.least(F.lit(30.0), F.when(c("m.long"), 10.0 + 5.0 * n).otherwise(10.0 * n))
+    return rows.select(key, F.explode(matches).alias("m")).select(key, "m.template_id", "m.template_type", "m.matched_terms", reason.alias("reason"), score.alias("match_score"))
 
 
 def template_reasons(matches: DataFrame, key: str) -> DataFrame:
@@ -43,7 +135,7 @@ def template_reasons(matches: DataFrame, key: str) -> DataFrame:
 
 
 def persisted_matches(items: DataFrame, evidence: DataFrame, templates: DataFrame) -> DataFrame:
-    """The matches of queue items and of evidence (session_id, owner_id, text) as one table, owner being item or evidence."""
+    """The matches of queue items and of evidence (session_id, owner_id, text) as one table, owner being item or evidence. owner_id has one type in both."""
     rows = items.select(F.lit("item").alias("owner"), "session_id", "owner_id", "text").unionByName(evidence.select(F.lit("evidence").alias("owner"), "session_id", "owner_id", "text"))
     keyed = rows.select("session_id", F.struct("owner", "owner_id").alias("k"), "text")
-    return term_matches(keyed, templates, "k").select("k.owner", "k.owner_id", "template_id", "template_type", "matched_terms", "match_score")
+    return term_matches(keyed, templates, "k").select("k.owner", "k.owner_id", "template_id", "template_type", "matched_terms", "reason", "match_score")

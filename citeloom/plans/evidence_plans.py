@@ -45,8 +45,62 @@ DIRECT = """d0 as (select evidence_id, item_id, session_id, citation_text, evide
     di as (select *, case when len(cs) = 0 and recommendation <> 'include' then ['template_goal_not_satisfied'] else cs end as codes from d1)"""
 
 
-def _templates(s: Source):
-    return T.builtin_templates(s.fx_evidence.select("session_id").distinct())
+def evidence_texts(s: Source):
+    mark = F.when(c("mention_type") == "direct_citation", F.concat(F.lit(" ["), "result_no", F.lit("]"))).otherwise("")
+    return s.fx_evidence.select("session_id", "evidence_id", F.concat("citation_text", F.lit(" "), "evidence_type", F.lit(" "), "stance", mark).alias("text"))
+
+
+def template_log(texts):
+    """What the sessions of texts (session_id, text) did: all built-in templates on, one off again, then three of their own, with bounds and words from their texts."""
+    of = texts.groupBy("session_id").agg(F.substring(F.min("text"), 1, 6).alias("phrase"), F.floor(F.avg(F.length("text"))).cast("int").alias("chars"))
+    row = lambda ordinal, action, number, kind=None, words=(), chars=F.lit(0), least=0, marker=False: F.struct(
+        F.lit(ordinal).alias("ordinal"), F.lit(action).alias("action"), F.lit(number).alias("template_id"), F.lit(kind).cast("string").alias("template_type"), F.array(*words).cast("array<string>").alias("positive"),
+        chars.cast("int").alias("min_chars"), F.lit(least).alias("min_words"), F.lit(marker).alias("require_marker"),
+    )
+    n = len(T.BUILT_IN)
+    own = [row(n + 2, "create", 101, "own", [c("phrase"), F.lit(" The "), F.lit("the"), F.lit("no  such")]), row(n + 3, "create", 102, T.LONG_CONTEXT, chars=c("chars"), least=40), row(n + 4, "create", 103, T.LONG_CONTEXT, chars=F.floor(c("chars") / 2), marker=True)]
+    rows = [*(row(i, "enable", i) for i in range(1, n + 1)), row(n + 1, "disable", 9), *own]
+    return of.select("session_id", F.explode(F.array(*rows)).alias("r")).select("session_id", "r.*")
+
+
+def template_matches(s: Source, texts, key: str):
+    return T.term_matches(texts, T.session_templates(T.builtin_templates(s.spark), template_log(texts)), key)
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _builtin_terms() -> str:
+    rows = []
+    for i, b in enumerate(T.BUILT_IN, 1):
+        terms: dict[str, str] = {}
+        for w in (*b.words, *b.patterns, *b.aspects):
+            terms.setdefault(w.lower(), w)
+        rows += [f"({i}, {_quoted(b.kind)}, {p}, {_quoted(w)})" for p, w in enumerate(terms.values()) if i != 9 and b.kind != T.LONG_CONTEXT]
+    return ", ".join(rows)
+
+
+#: Matches of texts tx (session_id, key, text): key, template_id, template_type, terms, reason, match_score as tm.
+MATCHED = rf"""
+    ts as (select session_id, trim(regexp_replace(substring(min(text), 1, 6), '\s+', ' ', 'g')) as phrase, cast(floor(avg(length(text))) as int) as chars from tx group by 1),
+    te as (select session_id, v.template_id, v.kind, v.kind as name, v.pos, v.term from ts cross join (values {_builtin_terms()}) as v(template_id, kind, pos, term)
+      union all select session_id, 101, 'own', 'custom_own_' || session_id || '_12', pos, term from (select session_id, phrase, unnest([phrase, 'The', 'no such', 'own']) as term, unnest([0, 1, 2, 3]) as pos from ts) where term <> '' and not (pos = 1 and lower(phrase) = 'the')),
+    lt as (select session_id, 102 as template_id, chars as lo, 40 as least, false as marker from ts union all select session_id, 103, chars // 2, 0, true from ts),
+    hit as (select key, template_id, kind, name, pos, term from tx join te on tx.session_id = te.session_id and contains(lower(text), lower(term))),
+    tm as (select key, template_id, kind as template_type, string_agg(term, '|' order by pos) as terms, 'Matched template ''' || name || ''' terms: ' || string_agg(term, ', ' order by pos) as reason, least(30.0, 10.0 * count(*)) as match_score from hit group by key, template_id, kind, name
+      union all select key, template_id, 'long_context_citation', array_to_string(b, '|'), 'Matched long_context_citation rules: ' || array_to_string(b, ', '), least(30.0, 10.0 + 5 * len(b)) from (
+        select key, template_id, list_filter([case when lo > 0 then 'min_citation_chars>=' || lo end, case when least > 0 then 'min_citation_words>=' || least end, case when marker then 'require_target_marker' end], lambda z: z is not null) as b
+        from tx join lt using (session_id) where length(text) >= lo and len(list_filter(string_split_regex(text, '\s+'), lambda z: z <> '')) >= least and (not marker or contains(text, '['))) where len(b) > 0)"""
+BUILT = ", ".join(f"({i}, {_quoted(b.kind)}, {_quoted('|'.join(b.aspects))}, {len(b.words)})" for i, b in enumerate(T.BUILT_IN, 1))
+SESSION_TEMPLATES = f"""
+    with b as (select * from (values {BUILT}) as v(b_id, kind, asp, words)), l as (select * from fx_template_log where action <> 'open'),
+    m as (select l.*, b_id, kind, asp, words, min(case when action = 'create' then ordinal end) over (partition by session_id, template_id) as made from l left join b on template_id = b_id),
+    g as (select *, cast(action <> 'disable' as int) as o, cast(action <> 'disable' as int) - coalesce(lag(cast(action <> 'disable' as int)) over (partition by session_id, template_id order by ordinal), 0) as gain from m where action = 'create' or b_id is not null or made < ordinal),
+    h as (select *, coalesce(sum(gain) over (partition by session_id order by ordinal rows between unbounded preceding and 1 preceding), 0) as others, coalesce(nullif(template_type, ''), 'custom') as own from g)
+    select session_id, template_id, case when max(b_id) is null then 'custom_' || arg_min(own, ordinal) || '_' || session_id || '_' || cast(arg_min(others, ordinal) + 1 as bigint) else any_value(kind) end as name, case when max(b_id) is null then arg_min(own, ordinal) else any_value(kind) end as template_type, arg_max(o, ordinal) = 1 as enabled,
+      max(b_id) is null as user_defined, case when max(b_id) is null then arg_min(own, ordinal) else any_value(asp) end as aspects, cast(case when max(b_id) is null then 1 else any_value(words) end as int) as words from h group by 1, 2"""
+EVIDENCE_TEXT = "citation_text || ' ' || evidence_type || ' ' || stance || case when mention_type = 'direct_citation' then ' [' || result_no || ']' else '' end"
 
 
 def _promoted(s: Source):
@@ -82,14 +136,16 @@ PLANS = {
     "r27_inferred": (_inferred, INFERRED),
     "r29_reason_codes": (lambda s: direct(s).select("evidence_id", F.array_join("codes", "|").alias("codes"), E.template_eligible().alias("eligible")), f"with {DIRECT} select evidence_id, array_to_string(codes, '|') as codes, has_target and not list_has_any(codes, ['reference_mismatch', 'target_marker_missing', 'reference_only']) as eligible from di"),
     "r5_template_terms": (
-        lambda s: T.term_matches(s.fx_evidence.select("session_id", "evidence_id", F.concat("evidence_type", F.lit(" "), "stance").alias("text")), _templates(s), "evidence_id").select("evidence_id", "template_id", F.size("matched_terms").alias("n"), "match_score"),
-        "with t as (" + " union all ".join(f"select {i} as template_id, '{w}' as w" for w, i in [("first", 1), ("pioneering", 1), ("claim", 1), ("detailed", 2), ("comparison", 2), ("baseline", 3), ("benchmark", 3), ("positive", 4), ("evaluation", 4), ("limitation", 5), ("negative", 5), ("theoretical", 6), ("foundation", 6), ("method", 7), ("foundation", 7), ("method", 8), ("capability", 8), ("summary", 8), ("neutral", 9), ("attitude", 9)]) + ") select evidence_id, template_id, cast(count(*) as int) as n, least(30.0, 10.0 * count(*)) as match_score from fx_evidence join t on contains(evidence_type || ' ' || stance, w) group by 1, 2",
+        lambda s: template_matches(s, evidence_texts(s), "evidence_id").select("evidence_id", "template_id", "template_type", F.array_join("matched_terms", "|").alias("terms"), "reason", "match_score"),
+        f"with tx as (select session_id, evidence_id as key, {EVIDENCE_TEXT} as text from fx_evidence), {MATCHED} select key as evidence_id, template_id, template_type, terms, reason, match_score from tm",
+    ),
+    "r3_template_reasons": (
+        lambda s: T.template_reasons(template_matches(s, evidence_texts(s), "evidence_id"), "evidence_id").select("evidence_id", F.array_join(F.transform("extra", lambda x: x["reason"]), ";").alias("reasons"), F.aggregate("extra", F.lit(0.0), lambda a, x: a + x["delta"]).alias("delta")),
+        f"with tx as (select session_id, evidence_id as key, {EVIDENCE_TEXT} as text from fx_evidence), {MATCHED} select key as evidence_id, string_agg('template_match:' || template_type || ':' || replace(terms, '|', ', '), ';' order by template_id) as reasons, sum(match_score) as delta from tm group by 1",
     ),
-    "r3_template_reasons": (lambda s: T.template_reasons(T.term_matches(s.fx_evidence.select("session_id", "evidence_id", c("evidence_type").alias("text")), _templates(s), "evidence_id"), "evidence_id").select("evidence_id", F.size("extra").alias("n"), F.aggregate("extra", F.lit(0.0), lambda a, x: a + x["delta"]).alias("delta")),
-        "select evidence_id, n, delta from (select evidence_id, case evidence_type when 'detailed_comparison' then 1 when 'baseline_or_benchmark' then 1 when 'method_foundation' then 3 when 'limitation_or_negative' then 1 end as n, case evidence_type when 'detailed_comparison' then 20.0 when 'baseline_or_benchmark' then 20.0 when 'method_foundation' then 40.0 when 'limitation_or_negative' then 20.0 end as delta from fx_evidence) where n is not null"),
     "r22_template_overlay": (
-        lambda s: T.overlaid(_templates(s), s.fx_evidence.select("session_id").distinct().select("session_id", F.explode(F.array(F.struct(F.lit("neutral_attitude").alias("template_type"), F.lit(False).alias("enabled")), F.struct(F.lit("own").alias("template_type"), F.lit(True).alias("enabled")))).alias("x")).select("session_id", "x.*", F.array(F.lit("k")).alias("keywords"))).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("enabled").alias("enabled"), F.count_if("custom").alias("custom")),
-        "select distinct session_id, cast(10 as bigint) as n, cast(9 as bigint) as enabled, cast(1 as bigint) as custom from fx_evidence",
+        lambda s: T.session_templates(T.builtin_templates(s.spark), s.fx_template_log.withColumn("positive", F.array("word"))).select("session_id", "template_id", "name", "template_type", "enabled", "user_defined", F.array_join("aspects", "|").alias("aspects"), F.size("positive").alias("words")),
+        SESSION_TEMPLATES,
     ),
     "p3_evidence_views": (
         lambda s: scored(s).select("session_id", F.explode(F.array(*(F.when(f(), F.lit(n)) for n, f in E.VIEWS.items()))).alias("view")).where("view is not null").groupBy("session_id", "view").agg(F.count(F.lit(1)).alias("n")),

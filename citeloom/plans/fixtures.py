@@ -57,6 +57,14 @@ VIEWS: dict[str, str] = {
                coalesce(case when l.toxic = 1 then 'false_positive' when l.quality = 1 then 'accepted' when l.quality = 0 then 'rejected' end, 'unreviewed') as review_status,
                d.doc_id % 11 as result_no
         from documents d left join labels l on d.doc_id = l.doc_id""",
+    # what users do with templates; every user creates some of their own, and later rows switch the newest of these
+    "fx_template_log": """
+        select session_id, ordinal, action, case when action = 'create' then 1000 + ordinal when value > 40 then 1000 + newest else cast(floor(value) as int) % 12 + 1 end as template_id,
+               case when ordinal % 3 = 0 then null when ordinal % 3 = 1 then '' else event_type end as template_type, event_type as word
+        from (select 'U' || cast(user_id as {str}) as session_id, event_id as ordinal, event_type, value,
+                     case when event_type = 'signup' and value > 40 then 'create' when event_type = 'error' then 'disable' when event_type = 'view' then 'open' else 'enable' end as action,
+                     max(case when event_type = 'signup' and value > 40 then event_id end) over (partition by user_id order by event_id) as newest
+              from events) e""",
     "fx_result": """
         select event_id as result_id, user_id as item_id, ts as created_at, case when value > 20 then 'success' else 'failed' end as status, event_type as scope from events""",
 }

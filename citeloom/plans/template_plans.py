@@ -10,6 +10,7 @@ from citeloom.operators import evaluation as V
 from citeloom.operators import queue as Q
 from citeloom.operators import templates as T
 
+from .evidence_plans import EVIDENCE_TEXT, MATCHED, evidence_texts, template_log
 from .fixtures import Source
 
 c = F.col
@@ -241,14 +242,27 @@ def _answers() -> str:
     return f"select doc_id as evidence_id, {names.split(', ', 2)[2]} from documents join (values {', '.join(rows)}) as v({names}) on i = doc_id % {len(CHECKED)} and j = (doc_id // {len(CHECKED)}) % 3"
 
 
+def _match_texts(s: Source):
+    return Q.template_match_text(_items(s).select("session_id", "cited_id", "citing_id", "citing_title", "cited_title", "venue", F.array("author").alias("authors"), F.array(F.concat(F.lit("as in "), "author")).alias("contexts"), F.lit("target").alias("target_title")))
+
+
+def _persisted(s: Source):
+    items = _match_texts(s).select("session_id", F.concat_ws("-", "cited_id", "citing_id").alias("owner_id"), "text")
+    evidence = evidence_texts(s).select("session_id", c("evidence_id").cast("string").alias("owner_id"), "text")
+    log = template_log(items.select("session_id", "text").unionByName(evidence.select("session_id", "text")))
+    return T.persisted_matches(items, evidence, T.session_templates(T.builtin_templates(s.spark), log)).select("owner", "owner_id", "template_id", F.array_join("matched_terms", "|").alias("terms"), "match_score")
+
+
+MATCH_TEXT = "i.title || ' ' || d.title || ' ' || coalesce(venue, '') || ' ' || author || ' as in ' || author || ' target'"
+
 PLANS = {
     "r4_match_text": (
-        lambda s: Q.template_match_text(_items(s).select("session_id", "cited_id", "citing_id", "citing_title", "cited_title", "venue", F.array("author").alias("authors"), F.array(F.concat(F.lit("as in "), "author")).alias("contexts"), F.lit("target").alias("target_title"))),
-        "select d.session_id, cited_id, citing_id, i.title || ' ' || d.title || ' ' || coalesce(venue, '') || ' ' || author || ' as in ' || author || ' target' as text from fx_edge join fx_citing i on citing_id = i.publication_id join fx_cited d on cited_id = d.publication_id",
+        _match_texts,
+        f"select d.session_id, cited_id, citing_id, {MATCH_TEXT} as text from fx_edge join fx_citing i on citing_id = i.publication_id join fx_cited d on cited_id = d.publication_id",
     ),
     "r6_template_matches": (
-        lambda s: T.persisted_matches(findings(s).select("session_id", c("evidence_id").alias("owner_id"), c("citation_text").alias("text")), s.fx_evidence.select("session_id", c("evidence_id").alias("owner_id"), F.concat("evidence_type", F.lit(" "), "stance").alias("text")), templates(s).select("session_id", "template_id", "template_type", F.filter(F.concat("positive", F.split("template_type", "_")), lambda w: F.length(w) > 3).alias("keywords"))).select("owner", "owner_id", "template_id", F.size("matched_terms").alias("n"), "match_score"),
-        "with w as (select template_id, unnest(list_filter(list_concat(pos, string_split(type, '_')), lambda z: length(z) > 3)) as w from (values " + ", ".join(f"({x[0]}, {_text(x[1])}, {_list(x[6])})" for x in TEMPLATES) + f") as v(template_id, type, pos)), o as (select 'item' as owner, doc_id as owner_id, ({_list(QUOTES)})[doc_id % {len(QUOTES)} + 1] as text from documents union all select 'evidence', evidence_id, evidence_type || ' ' || stance from fx_evidence) select owner, owner_id, template_id, cast(count(distinct w) as int) as n, least(30.0, 10.0 * count(distinct w)) as match_score from o join w on contains(lower(text), lower(w)) group by 1, 2, 3",
+        _persisted,
+        f"with tx as (select d.session_id, 'item ' || cited_id || '-' || citing_id as key, {MATCH_TEXT} as text from fx_edge join fx_citing i on citing_id = i.publication_id join fx_cited d on cited_id = d.publication_id union all select session_id, 'evidence ' || evidence_id, {EVIDENCE_TEXT} from fx_evidence), {MATCHED} select split_part(key, ' ', 1) as owner, split_part(key, ' ', 2) as owner_id, template_id, terms, match_score from tm",
     ),
     "r7_effective_rules": (
         lambda s: V.effective_rules(templates(s)).select("session_id", "template_id", F.array_join("allowed_types", ",").alias("allowed"), "require_marker"),
