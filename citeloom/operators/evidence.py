@@ -50,22 +50,6 @@ def with_scores(evidence: DataFrame) -> DataFrame:
     return evidence.withColumn("s", downranked(s, F.coalesce(F.col("self_citation_status") == "self_citation", F.lit(False)))).select(*evidence.columns, F.col("s.score").alias("score"), F.col("s.strength").alias("strength"))
 
 
-def promotion(keep: Column, anchor: Column, least: float = 0.6) -> Column:
-    """struct(decision, reason) of a scored finding, the first rule that applies."""
-    row = lambda d, r: F.struct(F.lit(d).alias("decision"), F.lit(r).alias("reason"))
-    c = F.col
-    return (
-        F.when(~keep, row("filtered", "keep_false"))
-        .when(F.trim(F.coalesce(c("citation_text"), F.lit(""))) == "", row("filtered", "no_citation_text"))
-        .when(c("mention_type") == "reference_only", row("filtered", "reference_only"))
-        .when(anchor == "invalid", row("filtered", "anchor_invalid"))
-        .when(c("mention_type") == "grouped_citation", F.when(c("evidence_type").isin(*STRONG_TYPES), row("review", "grouped_citation")).otherwise(row("filtered", "grouped_citation")))
-        .when((c("mention_type") == "background_mention") & c("evidence_type").isin("method_foundation", "baseline_or_benchmark"), row("saved", "background_upgrade"))
-        .when(c("score") < least, row("filtered", "low_strength"))
-        .otherwise(row("saved", "saved"))
-    )
-
-
 # Words that make a quote evidence of a type, in order of precedence; the words that make it negative; what types are positive, comparisons or uses of a method.
 SUPPORTED = (
     ("first_or_seminal_claim", ("first", "seminal", "pioneer", "pioneering")),

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from citeloom.functions.names import norm_title_alnum
+from citeloom.operators import decisions as D
 from citeloom.operators import evidence as E
+from citeloom.operators import promotion as P
 from citeloom.operators import templates as T
 from citeloom.rounds import numbered
 
@@ -103,16 +106,57 @@ SESSION_TEMPLATES = f"""
 EVIDENCE_TEXT = "citation_text || ' ' || evidence_type || ' ' || stance || case when mention_type = 'direct_citation' then ' [' || result_no || ']' else '' end"
 
 
+KINDS_OF_FINDINGS = ("background", "background", "detailed_comparison", "positive_evaluation", "application_extension", "method_foundation", "custom", "limitation_or_negative", "representative_work")
+#: A finding for each document, in pieces of its text; entries of a reference list follow every fourth.
+FINDINGS = f"""
+    select doc_id as evidence_id, doc_id, marked || case when doc_id % 4 = 1 then chr(10) || 'References' || chr(10) || '[1] Smith, J. ' || title || ' Proc. 1999.' else '' end as full_text, title, target_marker, cites,
+           case doc_id % 7 when 0 then 'It follows' when 1 then 'It follows ' || cites || '.' when 2 then substring(text, 1, 40) when 3 then substring(text, 200, 60) when 4 then '' when 5 then 'As [99] says' else 'Smith, J. ' || title || ' Proc. 1999.' end as citation_text,
+           case when doc_id % 10 <> 0 then '[' || target_marker || ']' end as marker,
+           case cast(floor(doc_id / 7) as int) % 9 {' '.join(f"when {i} then '{k}'" for i, k in enumerate(KINDS_OF_FINDINGS))} end as evidence_type,
+           case cast(floor(doc_id / 5) as int) % 4 when 2 then 'positive' when 3 then 'negative' else 'neutral' end as stance,
+           case cast(floor(doc_id / 3) as int) % 6 when 0 then 'grouped_citation' when 1 then 'related_work' when 2 then 'reference_only' when 3 then 'weak_mention' else 'direct_citation' end as mention_type,
+           case doc_id % 8 when 0 then 'a drawback' when 1 then 'compared with ours' when 2 then 'its method' when 3 then 'an example' else '' end as reasoning,
+           doc_id % 23 <> 0 as keep, case when doc_id % 2 = 0 then 'fulltext_direct' else 'candidate_spans' end as scope, case when doc_id % 6 = 0 then 'self_citation' else 'unknown' end as self_citation_status
+    from (select *, case when doc_id % 9 = 4 then 'Nothing of it' else substring(text, 1, 20) end as title, substring(marked, length(text) + 13, length(marked) - length(text) - 13) as cites from fx_text) x"""
+
+
 def _promoted(s: Source):
-    k = c("evidence_id")
-    anchor = F.when(k % 13 == 0, "invalid").otherwise("valid")
-    return scored(s).select("evidence_id", E.promotion(k % 17 != 0, anchor).alias("p")).select("evidence_id", "p.*")
+    f = s.spark.sql(FINDINGS.replace("fx_text", "{fx_text}").replace("chr(10)", "char(10)"), fx_text=s.fx_text)
+    name = norm_title_alnum(c("title"))
+    findings = f.withColumn("aliases", F.when(name == "", F.array().cast("array<string>")).otherwise(F.array(name)))
+    return P.promoted(findings.drop("full_text", "cites"), f.select("doc_id", c("full_text").alias("text")))
+
 
+ALNUM = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
+LIFT = "case " + " ".join(f"when regexp_matches({{0}}, '{'|'.join(words)}') then '{kind}'" for kind, words in D.UPGRADES) + " end"
+PROMOTED = rf"""
+    with f as ({FINDINGS}), f1 as (select *, regexp_replace(citation_text, '^\s+|\s+$', '', 'g') as q0, {ALNUM.format('title')} as alias from f),
+    f2 as (select *, strpos(full_text, q0) as place, cast(target_marker as int) = doc_id % 40 + 1 or cast(target_marker as int) between doc_id % 7 + 1 and doc_id % 7 + 4 as within from f1),
+    f3 as (select *, case when q0 <> '' and not contains(q0, '[') and marker is not null and not (alias <> '' and contains({ALNUM.format('q0')}, alias)) and place > 0
+        then regexp_replace(regexp_extract(substring(full_text, 1, place - 1), '[^.!?\n]*$') || q0 || regexp_extract(substring(full_text, place + length(q0)), '^[^.!?\n]*[.!?\n]?'), '^\s+|\s+$', '', 'g') else '' end as wide from f2),
+    f4 as (select *, case when contains(wide, cites) and within then wide else q0 end as q from f3),
+    f5 as (select *, contains(q, '[') as any_mark, marker is not null and contains(q, cites) and within as has_target, alias <> '' and contains({ALNUM.format('q')}, alias) as by_alias from f4),
+    f6 as (select *, case when has_target then 'citation_text_contains_target_marker' when marker is not null and any_mark then 'cited_other_reference_marker' when by_alias then 'title_alias_anchor_found' when marker is not null then 'target_anchor_missing' else 'no_target_reference_marker_available' end as anchor_reason,
+        {LIFT.format(ALNUM.format("q || ' ' || reasoning"))} as lift, {LIFT.format(ALNUM.format('q'))} as own_lift, evidence_type = 'background' and stance = 'neutral' as bg, mention_type = 'grouped_citation' as gr,
+        cast(case when q = '' then 0 when mention_type = 'grouped_citation' then 0.25 when mention_type = 'reference_only' then 0 when mention_type = 'weak_mention' then 0.35
+          else 0.5 + case when evidence_type in ('background', 'custom', 'representative_work') then 0 else 0.25 end + case when stance = 'positive' then 0.1 else 0 end + case when length(q) >= 80 then 0.05 else 0 end end as double) as raw from f5),
+    f7 as (select *, case when self_citation_status = 'self_citation' then greatest(0.0, round(raw - 0.2, 4)) else raw end as sc,
+        case anchor_reason when 'citation_text_contains_target_marker' then 'valid_grouped' when 'title_alias_anchor_found' then 'valid' when 'no_target_reference_marker_available' then 'unknown' else 'invalid' end as anchor_status,
+        regexp_matches({ALNUM.format("q || ' ' || reasoning")}, '{'|'.join(D.REPRESENTATIVE)}') as said from f6),
+    f8 as (select *, case when not keep then 'keep_false' when q = '' then 'no_citation_text' when mention_type = 'reference_only' then 'reference_only' when anchor_status in ('invalid', 'unknown') then anchor_reason
+        when gr and anchor_status = 'valid_grouped' and evidence_type in ('positive_evaluation', 'application_extension') then 'grouped_citation_not_promoted_to_strong_claim'
+        when scope = 'fulltext_direct' and doc_id % 7 = 6 then 'reference_entry' when scope = 'fulltext_direct' and bg and own_lift is null then 'background_neutral' when bg and lift is not null then 'up'
+        when bg and has_target and mention_type in ('related_work', 'grouped_citation') and said then 'rep' when bg then 'background_neutral' when gr and evidence_type not in ('background', 'custom') then 'grouped_citation_saved_for_review'
+        when sc < 0.6 then case when gr then 'grouped_citation_too_ambiguous' else 'low_strength' end else 'saved' end as r from f7)
+    select evidence_id, q as citation_text, q <> q0 as expanded, anchor_status, anchor_reason, has_target, marker is not null and any_mark as has_other,
+      case r when 'up' then 'saved_background_anchor_upgrade' when 'rep' then 'saved_representative_review' when 'grouped_citation_saved_for_review' then 'saved_review_needed' when 'saved' then 'saved' when 'grouped_citation_not_promoted_to_strong_claim' then 'filtered_grouped_anchor_requires_review'
+        when anchor_reason then 'filtered_target_anchor_validation' else 'filtered' end as decision, case when r in ('up', 'rep') then 'saved' else r end as reason,
+      case r when 'up' then lift when 'rep' then 'representative_work' else evidence_type end as evidence_type, case when r = 'up' then case lift when 'limitation_or_negative' then 'negative' else 'neutral' end else stance end as stance,
+      case when r = 'up' and lift in ('detailed_comparison', 'limitation_or_negative') then 'comparison' else mention_type end as mention_type,
+      case when r in ('up', 'rep') then greatest(sc, 0.65) when r = 'grouped_citation_saved_for_review' then greatest(sc, 0.6) when r = 'saved' then sc end as score,
+      case when r in ('up', 'rep', 'grouped_citation_saved_for_review') then 'moderate' when r = 'saved' then case when sc >= 0.8 - 1e-9 then 'strong' else 'moderate' end end as strength,
+      r in ('up', 'rep', 'grouped_citation_saved_for_review', 'grouped_citation_not_promoted_to_strong_claim') as review from f8"""
 
-PROMOTED = f"""with {SCORED} select evidence_id, case when evidence_id % 17 = 0 or citation_text = '' or mention_type = 'reference_only' or evidence_id % 13 = 0 then 'filtered'
-      when mention_type = 'grouped_citation' then case when {STRONG} then 'review' else 'filtered' end when mention_type = 'background_mention' and evidence_type in ('method_foundation', 'baseline_or_benchmark') then 'saved' when score < 0.6 then 'filtered' else 'saved' end as decision,
-      case when evidence_id % 17 = 0 then 'keep_false' when trim(citation_text) = '' then 'no_citation_text' when mention_type = 'reference_only' then 'reference_only' when evidence_id % 13 = 0 then 'anchor_invalid' when mention_type = 'grouped_citation' then 'grouped_citation'
-      when mention_type = 'background_mention' and evidence_type in ('method_foundation', 'baseline_or_benchmark') then 'background_upgrade' when score < 0.6 then 'low_strength' else 'saved' end as reason from sc"""
 
 def _inferred(s: Source):
     """Types of whole texts; an item's cited title is how its first text begins."""
@@ -133,6 +177,7 @@ INFERRED = f"""
 PLANS = {
     "r23_scored_evidence": (lambda s: scored(s).select("evidence_id", "score", "strength"), f"with {SCORED} select evidence_id, score, strength from sc"),
     "r25_promotion": (_promoted, PROMOTED),
+    "r25_promotion_counts": (lambda s: P.promotion_counts(_promoted(s)), f"with p as ({PROMOTED}) select decision, reason, count(*) as findings, count(*) filter (review) as review from p group by 1, 2"),
     "r27_inferred": (_inferred, INFERRED),
     "r29_reason_codes": (lambda s: direct(s).select("evidence_id", F.array_join("codes", "|").alias("codes"), E.template_eligible().alias("eligible")), f"with {DIRECT} select evidence_id, array_to_string(codes, '|') as codes, has_target and not list_has_any(codes, ['reference_mismatch', 'target_marker_missing', 'reference_only']) as eligible from di"),
     "r5_template_terms": (
