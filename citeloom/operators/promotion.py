@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.functions.names import norm_title_ws, unaccented
+from citeloom.functions.names import norm_title_alnum, norm_title_ws, unaccented
 
 from . import anchors as A
 from . import contexts as X
@@ -25,7 +25,6 @@ REVIEWABLE = ("limitation_or_negative", "detailed_comparison", "positive_evaluat
 # Signs of a reference entry.
 ENTRY_SIGNS = ("proc.", " pp.", " vol.", " doi", " arxiv", " conf.", " int. conf.")
 ENTRY_TITLE = 0.6
-DECISION = "struct<decision:string,reason:string,evidence_type:string,stance:string,mention_type:string,score:double,strength:string,review:boolean>"
 
 
 def plain(x: Column) -> Column:
@@ -54,40 +53,55 @@ def _like_entry() -> Column:
     return (q == "") | (signs & q.rlike(r"\b(19|20)\d{2}\b") & (q.rlike(r"\b[a-z]\.\s*[a-z\-]+") | ((F.size(title) > 0) & shared)))
 
 
-def _decision() -> Column:
-    """The first rule that applies. From the anchor's rule on, every quote has the target's marker or an alias of it."""
+# What each rule that does not filter or keep a finding as it is makes of it: decision and reason.
+OUTCOMES = {
+    "grouped_claim": ("filtered_grouped_anchor_requires_review", "grouped_citation_not_promoted_to_strong_claim"),
+    "lifted": ("saved_background_anchor_upgrade", "saved"),
+    "representative": ("saved_representative_review", "saved"),
+    "grouped_review": ("saved_review_needed", "grouped_citation_saved_for_review"),
+    "saved": ("saved", "saved"),
+}
+FOR_REVIEW = ("grouped_claim", "lifted", "representative", "grouped_review")
 
-    def row(decision: str, reason: Column | str, review: bool = False, kind: Column | str | None = None, stance: Column | None = None, mention: Column | None = None, score: Column | None = None, strength: Column | str | None = None) -> Column:
-        as_column = lambda x, old: old if x is None else F.lit(x) if isinstance(x, str) else x
-        none = F.lit(None)
-        return F.struct(F.lit(decision).alias("decision"), as_column(reason, none).alias("reason"), as_column(kind, c("evidence_type")).alias("evidence_type"), as_column(stance, c("stance")).alias("stance"), as_column(mention, c("mention_type")).alias("mention_type"), as_column(score, none).cast("double").alias("score"), as_column(strength, none).cast("string").alias("strength"), F.lit(review).alias("review")).cast(DECISION)
 
+def _rule() -> Column:
+    """The first rule that applies: a name in OUTCOMES, else the reason of a filtered finding. From the anchor's rule on, every quote has the target's marker or an alias of it."""
     grouped = c("mention_type") == "grouped_citation"
-    by_alias = c("v.reason") == "title_alias_anchor_found"
     background = (c("evidence_type") == "background") & (c("stance") == "neutral")
     direct = c("scope") == DIRECT
-    lifted = F.greatest(c("s.score"), F.lit(LIFTED))
-    kind = c("__upgrade")
     return (
-        F.when(~c("keep"), row("filtered", "keep_false"))
-        .when(c("__quote") == "", row("filtered", "no_citation_text"))
-        .when(c("mention_type") == "reference_only", row("filtered", "reference_only"))
-        .when(~c("v.status").isin("valid", "valid_grouped"), row("filtered_target_anchor_validation", c("v.reason")))
-        .when(grouped & (c("v.status") == "valid_grouped") & c("evidence_type").isin(*NOT_GROUPED) & ~by_alias, row("filtered_grouped_anchor_requires_review", "grouped_citation_not_promoted_to_strong_claim", True))
-        .when(direct & (c("in_references") | _like_entry()), row("filtered", "reference_entry"))
-        .when(direct & background & c("__own_upgrade").isNull(), row("filtered", "background_neutral"))
-        .when(
-            background & kind.isNotNull(),
-            row("saved_background_anchor_upgrade", "saved", True, kind, F.when(kind == "limitation_or_negative", "negative").otherwise("neutral"), F.when(kind.isin("detailed_comparison", "limitation_or_negative"), "comparison").otherwise(c("mention_type")), lifted, "moderate"),
-        )
-        .when(background & D.is_representative(c("evidence_type"), c("mention_type"), c("__quote"), c("reasoning"), c("v.has_target")), row("saved_representative_review", "saved", True, "representative_work", score=lifted, strength="moderate"))
-        .when(background, row("filtered", "background_neutral"))
-        .when(D.is_grouped_for_review(c("evidence_type"), c("mention_type"), c("__quote"), REVIEWABLE), row("saved_review_needed", "grouped_citation_saved_for_review", True, score=F.greatest(c("s.score"), F.lit(LEAST)), strength="moderate"))
-        .when(c("s.score") < LEAST, row("filtered", F.when(grouped, "grouped_citation_too_ambiguous").otherwise("low_strength")))
-        .otherwise(row("saved", "saved", score=c("s.score"), strength=c("s.strength")))
+        F.when(~c("keep"), "keep_false")
+        .when(c("__quote") == "", "no_citation_text")
+        .when(c("mention_type") == "reference_only", "reference_only")
+        .when(~c("v.status").isin("valid", "valid_grouped"), c("v.reason"))
+        .when(grouped & (c("v.status") == "valid_grouped") & c("evidence_type").isin(*NOT_GROUPED), "grouped_claim")
+        .when(direct & (c("in_references") | _like_entry()), "reference_entry")
+        .when(direct & background & c("__own_upgrade").isNull(), "background_neutral")
+        .when(background & c("__upgrade").isNotNull(), "lifted")
+        .when(background & D.is_representative(c("evidence_type"), c("mention_type"), c("__quote"), c("reasoning"), c("v.has_target")), "representative")
+        .when(background, "background_neutral")
+        .when(D.is_grouped_for_review(c("evidence_type"), c("mention_type"), c("__quote"), REVIEWABLE), "grouped_review")
+        .when(c("s.score") < LEAST, F.when(grouped, "grouped_citation_too_ambiguous").otherwise("low_strength"))
+        .otherwise("saved")
     )
 
 
+def _outcome() -> list[Column]:
+    """decision, reason, evidence_type, stance, mention_type, score, strength, review of a finding by its rule."""
+    rule, kind = c("rule"), c("__upgrade")
+    lifted = rule == "lifted"
+    named = lambda i: F.coalesce(*(F.when(rule == k, v[i]) for k, v in OUTCOMES.items()))
+    unanchored = ~c("v.status").isin("valid", "valid_grouped") & (rule == c("v.reason"))
+    floor = F.when(lifted | (rule == "representative"), LIFTED).when(rule == "grouped_review", LEAST)
+    return [
+        F.coalesce(named(0), F.when(unanchored, "filtered_target_anchor_validation"), F.lit("filtered")).alias("decision"), F.coalesce(named(1), rule).alias("reason"),
+        F.when(lifted, kind).when(rule == "representative", "representative_work").otherwise(c("evidence_type")).alias("evidence_type"),
+        F.when(lifted, F.when(kind == "limitation_or_negative", "negative").otherwise("neutral")).otherwise(c("stance")).alias("stance"),
+        F.when(lifted & kind.isin("detailed_comparison", "limitation_or_negative"), "comparison").otherwise(c("mention_type")).alias("mention_type"),
+        F.when(floor.isNotNull(), F.greatest(c("s.score"), floor)).when(rule == "saved", c("s.score")).alias("score"), F.when(floor.isNotNull(), "moderate").when(rule == "saved", c("s.strength")).alias("strength"), rule.isin(*FOR_REVIEW).alias("review"),
+    ]
+
+
 def promoted(findings: DataFrame, texts: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
     """What becomes of each finding: evidence_id, citation_text, expanded, anchor_status, anchor_reason, has_target, has_other, decision, reason, evidence_type, stance, mention_type, score, strength, review; with verdicts (evidence_id, more: the
     verdicts of templates) also those columns.
@@ -102,19 +116,18 @@ def promoted(findings: DataFrame, texts: DataFrame, verdicts: DataFrame | None =
         F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), F.coalesce(c("self_citation_status") == "self_citation", F.lit(False)).alias("__self"),
     )
     rows = rows.join(own, c("doc_id") == c("t_doc"), "left").drop("t_doc").withColumn("text", F.coalesce("text", empty))
-    rows = rows.withColumn("__v", A.validate_anchor(c("__first"), c("marker"), c("aliases")))
-    bare = (c("__v.reason") == "target_anchor_missing") & ~c("__first").rlike(r"\[[^\]]*\d+[^\]]*\]")
-    rows = rows.withColumn("__wide", F.when(bare, sentence_around(c("text"), c("__first"))))
     number = F.regexp_replace(F.trim(F.coalesce("marker", empty)), r"^\[\s*|\s*\]$", "")
+    norm = norm_title_alnum(c("__first"))
+    bare = (number != "") & ~c("__first").rlike(r"\[[^\]]*\d+[^\]]*\]") & ~F.exists("aliases", lambda a: F.contains(norm, a))
+    rows = rows.withColumn("__wide", F.when(bare, sentence_around(c("text"), c("__first"))))
     rows = rows.withColumn("__quote", F.when(A.has_marker(c("__wide"), number), c("__wide")).otherwise(c("__first")))
-    rows = rows.withColumn("v", F.when(c("__quote") == c("__first"), c("__v")).otherwise(A.validate_anchor(c("__quote"), c("marker"), c("aliases"))))
-    rows = X.with_attribution(rows, "__quote").drop("text", "__v", "__wide")
+    rows = X.with_attribution(rows, "__quote").drop("text", "__wide", "attributed")
     rows = rows.withColumns({
-        "__plain": plain(c("__quote")), "__upgrade": D.background_upgrade(c("__quote"), c("reasoning")), "__own_upgrade": D.background_upgrade(c("__quote"), empty),
+        "v": A.validate_anchor(c("__quote"), c("marker"), c("aliases")), "__plain": plain(c("__quote")), "__upgrade": D.background_upgrade(c("__quote"), c("reasoning")), "__own_upgrade": D.background_upgrade(c("__quote"), empty),
         "s": downranked(score_finding(c("__quote"), c("evidence_type"), c("stance"), c("mention_type")), c("__self")),
     })
-    out = rows.withColumn("d", _decision()).select(
-        "evidence_id", c("__quote").alias("citation_text"), (c("__quote") != c("__first")).alias("expanded"), c("v.status").alias("anchor_status"), c("v.reason").alias("anchor_reason"), c("v.has_target").alias("has_target"), c("v.has_other").alias("has_other"), "d.*"
+    out = rows.withColumn("rule", _rule()).select(
+        "evidence_id", c("__quote").alias("citation_text"), (c("__quote") != c("__first")).alias("expanded"), c("v.status").alias("anchor_status"), c("v.reason").alias("anchor_reason"), c("v.has_target").alias("has_target"), c("v.has_other").alias("has_other"), *_outcome()
     )
     if verdicts is None:
         return out
