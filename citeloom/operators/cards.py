@@ -231,22 +231,6 @@ def without_invalid(evidence: DataFrame) -> DataFrame:
     return evidence.withColumns({"review_status": F.when(bad, "false_positive").otherwise(F.col("review_status")), "score": F.when(bad, 0.0).otherwise(F.col("score")), "strength": F.when(bad, "none").otherwise(F.col("strength"))})
 
 
-def claims(cards_: DataFrame) -> DataFrame:
-    """Each card's claim: label, recommendation and confidence, by type and strength."""
-    c = F.col
-    row = lambda a, b, n: F.struct(F.lit(a).alias("label"), F.lit(b).alias("recommendation"), F.lit(n).alias("confidence"))
-    out = (
-        F.when(c("card_type") == "limitation_or_negative", row("reports a limitation", "review", 0.6))
-        .when((c("card_type") == "detailed_comparison") & (c("strength") == "strong"), row("compares in detail", "include", 0.9))
-        .when(c("card_type").isin("detailed_comparison", "baseline_or_benchmark"), row("uses as a comparison", "include", 0.7))
-        .when(c("card_type").isin("method_foundation", "theoretical_foundation"), row("builds on the work", "include", 0.75))
-        .when(c("strength") == "strong", row("evaluates positively", "include", 0.8))
-        .when(c("strength") == "moderate", row("mentions with approval", "review", 0.5))
-        .otherwise(row("mentions", "exclude", 0.2))
-    )
-    return cards_.withColumn("claim", out).select(*cards_.columns, "claim.*")
-
-
 def with_latest_review(rows: DataFrame, log: DataFrame, key: str, value: str) -> DataFrame:
     """rows with the newest entry of an append-only log (key, value, ts, id) in place of their value."""
     new = log.groupBy(F.col(key).alias("l_key")).agg(F.max_by(value, F.struct("ts", "id")).alias("l_value"))

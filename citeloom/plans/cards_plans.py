@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from citeloom.operators import answers as W
 from citeloom.operators import cards as C
+from citeloom.operators import claims as M
 from citeloom.operators import evidence as E
 from citeloom.operators import inference as L
 
@@ -57,6 +58,45 @@ def _responses(s: Source):
     return s.conversations.select(k.alias("item_id"), F.get(F.array(*shapes), (k % 10).cast("int")).alias("response"))
 
 
+#: Cards of all eligible evidence with what was said about them around their texts, and what templates made of them.
+SAID = f"""
+    select evidence_id, citation_text as evidence_quote, card_type, stance, mention_type, strength,
+           case evidence_id % 7 when 0 then 'RFID tag vibration sensing method' when 1 then 'Sub mm and through-wall' when 2 then 'in related work' when 3 then 'A Simple Graph model' when 4 then 'as the pioneering one' else '' end as context,
+           case evidence_id % 5 when 0 then 'RFID sub–mm' when 1 then 'a first claim' when 2 then '亚毫米' when 3 then 'own words' end as template_reason, case when evidence_id % 11 = 0 then 'Submillimeter, but limited' else '' end as template_failure,
+           case when evidence_id % 6 <> 0 then evidence_id % 4 <> 0 end as template_satisfied, case when evidence_id % 13 = 0 then 'invalid' else 'valid' end as anchor_status
+    from (select *, {{type}} as card_type from {{rows}}) x"""
+
+
+def _said(s: Source):
+    return s.spark.sql(SAID.format(type=TYPE, rows="{e}"), e=E.eligible(scored(s)))
+
+
+def _has(text: str, words) -> str:
+    return f"regexp_matches({text}, '{'|'.join(words)}')"
+
+
+def _when(of: dict, i: int) -> str:
+    return "case kind " + " ".join(f"when '{k}' then '{v[i]}'" for k, v in of.items()) + " end"
+
+
+FORM = r"trim(regexp_replace(lower(translate({0}, '–—', '--')), '\s+', ' ', 'g'))"
+CLAIMED = f"""
+    with {SCORED}, i as ({SAID.format(type=TYPE, rows="sc where trim(citation_text) <> '' and review_status not in ('rejected', 'false_positive')")}),
+    n as (select *, {FORM.format('evidence_quote')} as q, {FORM.format("coalesce(template_reason, '') || ' ' || template_failure")} as rs, {FORM.format("coalesce(template_reason, '')")} as r1, coalesce(template_satisfied, false) as ok, evidence_quote || ' ' || context as said,
+      stance in ('negative', 'mixed') or card_type = 'limitation_or_negative' as neg, mention_type = 'grouped_citation' as gr from i),
+    h as (select *, {FORM.format('said')} || ' ' || rs as al from n),
+    k as (select *, case when anchor_status = 'invalid' then 'invalid_anchor' when {_has('rs', M.PRECISION)} then case when neg or {_has('al', M.LIMITS)} then 'limitation' when not ok then case when {_has('al', M.RELATED)} then 'plain_related' else 'mismatch' end
+      {' '.join(f"when {_has('al', w)} then '{k}'" for k, w in M.ABILITIES)} else 'plain_related' end when {_has('q', M.FIRST)} then case when ok and {_has('r1', M.FIRST)} then 'first_satisfied' else 'first_scope_unclear' end when neg then 'negative' else 'typed' end as kind from h),
+    p as (select evidence_id, x, row_number() over (partition by evidence_id, lower(x) order by pi, xi) as copy, pi, xi from (select evidence_id, pi, unnest(xs) as x, generate_subscripts(xs, 1) as xi from (
+      {' union all '.join(f"select evidence_id, {i} as pi, regexp_extract_all(said, '{p.replace(chr(39), chr(39) * 2)}', 0, 'i') as xs from n" for i, p in enumerate(M.PHRASES))}))),
+    f as (select evidence_id, string_agg(x, '|' order by pi, xi) filter (place <= 8) as phrases from (select *, row_number() over (partition by evidence_id order by pi, xi) as place from p where copy = 1) group by 1)
+    select evidence_id, kind as claim_kind, coalesce({_when(M.KINDS, 0)}, case when kind = 'negative' then '{M.NEGATIVE_LABEL}' end, case card_type {' '.join(f"when '{a}' then '{b}'" for a, b in M.LABELS.items())} else replace(card_type, '_', ' ') end) as label,
+      coalesce({_when(M.KINDS, 1)}, case when kind = 'typed' and strength in ('strong', 'moderate') and not gr then '{M.INCLUDE}' else '{M.REVIEW}' end) as recommendation, coalesce({_when(M.KINDS, 2)}, case when kind = 'typed' and strength in ('strong', 'moderate') and not gr then 'high' else 'medium' end) as confidence,
+      coalesce(phrases, '') as phrases, array_to_string(list_filter([case when kind = 'invalid_anchor' then 'anchor' end, case when gr and kind not in ('invalid_anchor', 'first_satisfied', 'first_scope_unclear') then 'grouped' end,
+        case when not gr and kind in ('through_wall', 'limitation', 'plain_related', 'mismatch') then 'candidate' end, case when kind in ('first_satisfied', 'first_scope_unclear') then 'scope' end, case when kind = 'negative' then 'negative' end], lambda z: z is not null), '|') as risks
+    from k left join f using (evidence_id)"""
+
+
 PLANS = {
     "c1_card_types": (lambda s: s.fx_evidence.select("evidence_id", C.card_type(c("evidence_type"), c("stance")).alias("card_type")), f"select evidence_id, {TYPE} as card_type from fx_evidence"),
     "c2_cards": (lambda s: cards(s).select("evidence_id", "card_type", "include_in_report", "sort_order"), f"with {CARDS} select evidence_id, card_type, include_in_report, sort_order from ca"),
@@ -68,10 +108,7 @@ PLANS = {
         lambda s: C.without_invalid(scored(s).withColumn("anchor_status", F.when(c("evidence_id") % 4 == 0, "invalid").otherwise("valid"))).groupBy("review_status", "strength").agg(F.count(F.lit(1)).alias("n")),
         f"with {SCORED} select case when evidence_id % 4 = 0 then 'false_positive' else review_status end as review_status, case when evidence_id % 4 = 0 then 'none' else strength end as strength, count(*) as n from sc group by 1, 2",
     ),
-    "c6_claims": (
-        lambda s: C.claims(cards(s)).select("evidence_id", "label", "recommendation", "confidence"),
-        f"with {CARDS} select evidence_id, case when card_type = 'limitation_or_negative' then 'reports a limitation' when card_type = 'detailed_comparison' and strength = 'strong' then 'compares in detail' when card_type in ('detailed_comparison', 'baseline_or_benchmark') then 'uses as a comparison' when card_type = 'method_foundation' then 'builds on the work' when strength = 'strong' then 'evaluates positively' when strength = 'moderate' then 'mentions with approval' else 'mentions' end as label, case when card_type = 'limitation_or_negative' then 'review' when card_type in ('detailed_comparison', 'baseline_or_benchmark', 'method_foundation') or strength = 'strong' then 'include' when strength = 'moderate' then 'review' else 'exclude' end as recommendation, case when card_type = 'limitation_or_negative' then 0.6 when card_type = 'detailed_comparison' and strength = 'strong' then 0.9 when card_type in ('detailed_comparison', 'baseline_or_benchmark') then 0.7 when card_type = 'method_foundation' then 0.75 when strength = 'strong' then 0.8 when strength = 'moderate' then 0.5 else 0.2 end as confidence from ca",
-    ),
+    "c6_claims": (lambda s: M.interpreted(_said(s)).select("evidence_id", "claim_kind", "label", "recommendation", "confidence", F.array_join("key_phrases", "|").alias("phrases"), F.array_join("risks", "|").alias("risks")), CLAIMED),
     "c7_report_sections": (
         lambda s: C.report_sections(cards(s).where("include_in_report")).select("session_id", "evidence_id", "section", "number"),
         f"with {CARDS}, x as (select *, {SECTION} as section from ca where include_in_report) select session_id, evidence_id, section, row_number() over (partition by session_id order by {NUMBER}, sort_order) as number from x",
