@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.functions.identifiers import doi_key
+from citeloom.functions.identifiers import arxiv_in, doi_key
 from citeloom.functions.names import norm_title_alnum
 from citeloom.rounds import written
 
@@ -96,6 +96,43 @@ def token_overlap_join(left: DataFrame, right: DataFrame, least: float = 0.75) -
     return pairs.select("left_id", "right_id", overlap.alias("overlap")).where(F.col("overlap") >= least)
 
 
+#: Hints in paths are met by their last so many characters.
+HINT = 12
+
+
+def local_files(wanted: DataFrame, files: DataFrame, least: float = 0.75) -> DataFrame:
+    """id, path, score, reason of the best PDF file for each wanted paper (id, title, query, doi, arxiv), of files (path); none below `least`.
+
+    A file's name without its ending counts: equal to the title or the query as a file name (filename, 1), to the arXiv id without version (arxiv, 1), by shared tokens with either (title, see token_overlap_join); or its path holds the DOI with _
+    for / (doi, 0.95). The highest score wins, then the shorter path, then the first in order; of reasons with one score, in the order named here. Names, texts and DOIs meet once each, whatever number of files and papers has them:
+    of files with one name only the best can win. Nulls and empty texts match nothing."""
+    c, path = F.col, F.struct(F.length("path"), "path")
+    pdf = files.select("path").where(F.col("path").rlike(r"(?i)[^/]\.pdf$")).distinct()
+    stems = pdf.groupBy(F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "").alias("stem")).agg(F.min_by("path", path).alias("path"))
+    texts = wanted.select("id", F.explode(F.array("title", "query")).alias("text")).where("text <> ''").distinct()
+    distinct = texts.select("text").distinct()
+    name = F.substring(F.trim(F.translate("text", '/\\:*?"<>|', "_________")), 1, 180)
+    names = distinct.select("text", F.lower(F.when(name == "", "paper").otherwise(name)).alias("name"))
+    by_name = names.join(stems.withColumn("low", F.lower("stem")), c("name") == c("low")).select("text", "path", F.lit(1.0).alias("score"), F.lit(0).alias("rank"))
+    shared = token_overlap_join(distinct.select(c("text").alias("id"), c("text").alias("title")), stems.select(c("stem").alias("id"), c("stem").alias("title")), least)
+    by_tokens = shared.join(stems, c("right_id") == c("stem")).select(c("left_id").alias("text"), "path", c("overlap").alias("score"), F.lit(2).alias("rank"))
+    best = F.min_by(F.struct("path", "score", "rank"), F.struct(-c("score"), F.length("path"), "path", "rank")).alias("b")
+    of_text = by_name.unionByName(by_tokens).groupBy("text").agg(best).join(texts, "text").select("id", "b.*")
+    arxiv = wanted.select("id", norm_title_alnum(F.regexp_replace(arxiv_in(c("arxiv"), bare=True), r"(?i)v\d+$", "")).alias("number")).where("number <> ''")
+    numbered_stems = stems.groupBy(norm_title_alnum(c("stem")).alias("stem_number")).agg(F.min_by("path", path).alias("path"))
+    of_arxiv = arxiv.join(numbered_stems, c("number") == c("stem_number")).select("id", "path", F.lit(1.0).alias("score"), F.lit(1).alias("rank"))
+    hints = wanted.select("id", F.replace(F.regexp_replace(F.lower(F.trim("doi")), r"^(?:https?://doi\.org/|doi:)", ""), F.lit("/"), F.lit("_")).alias("hint")).where("hint <> ''")
+    tails = hints.select("hint").distinct().withColumn("tail", F.right("hint", F.lit(HINT)))
+    sizes = sorted(r[0] for r in tails.select(F.length("tail")).distinct().collect())  # HINT numbers at most
+    low = pdf.withColumn("low", F.lower("path"))
+    cut = lambda n: F.transform(F.when(F.length("low") >= n, F.sequence(F.lit(1), F.length("low") - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(c("low"), i, F.lit(n)))
+    parts = F.flatten(F.array(*(cut(n) for n in sizes or [HINT])))
+    met = low.select("path", "low", F.explode(F.array_distinct(parts)).alias("part")).join(tails, c("part") == c("tail")).where(F.contains("low", c("hint")))
+    of_doi = met.groupBy("hint").agg(F.min_by("path", path).alias("path")).join(hints, "hint").select("id", "path", F.lit(0.95).alias("score"), F.lit(3).alias("rank"))
+    found = of_text.unionByName(of_arxiv).unionByName(of_doi).where(c("score") >= least).groupBy("id").agg(best)
+    return found.select("id", "b.path", "b.score", F.element_at(F.array(*(F.lit(x) for x in ("filename", "arxiv", "title", "doi"))), c("b.rank") + 1).alias("reason"))
+
+
 #: The 36 letters and digits and the space of a normal form; what pads a title's ends.
 LETTERS, END = "abcdefghijklmnopqrstuvwxyz0123456789 ", 37
 CODES = np.zeros(128, np.int64)

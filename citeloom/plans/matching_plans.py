@@ -72,6 +72,28 @@ OVERLAP = f"""
     a as (select id, list_distinct(string_split({NORM.format("title || ' final'")}, ' ')) as w from t), b as (select id, list_distinct(string_split({NORM.format('title')}, ' ')) as w from t)
     select a.id as left_id, b.id as right_id, len(list_intersect(a.w, b.w)) / greatest(len(a.w), len(b.w)) as overlap from a, b where len(list_intersect(a.w, b.w)) / greatest(len(a.w), len(b.w)) >= 0.75"""
 
+#: Wanted papers, and files named after them in several ways.
+WANTED = """select publication_id as id, title, case when publication_id % 3 = 0 then title || ' final' end as query, doi, case when publication_id % 7 < 3 then 'arXiv:2101.' || lpad(cast(publication_id % 100000 as {str}), 5, '0') || 'v2' end as arxiv from fx_cited"""
+FILES = """select case publication_id % 6 when 0 then 'lib/' || replace(title, ':', '_') || '.pdf' when 1 then 'lib/sub/' || title || ' final.pdf' when 2 then 'in/' || replace(replace(lower(doi), 'https://doi.org/', ''), '/', '_') || '.PDF' when 3 then 'in/2101.' || lpad(cast(publication_id % 100000 as {str}), 5, '0') || '.pdf'
+    when 4 then 'x/' || title || '.txt' else 'lib/' || substring(title, 1, 40) || '.pdf' end as path from fx_cited"""
+
+
+def _local_files(s: Source):
+    run = lambda q: s.spark.sql(q.format(str="string").replace("fx_cited", "{fx_cited}"), fx_cited=s.fx_cited)
+    return M.local_files(run(WANTED), run(FILES))
+
+
+LOCAL_FILES = rf"""
+    with w as ({WANTED.format(str='varchar')}), f as (select distinct path, regexp_replace(string_split(path, '/')[-1], '\.[^.]*$', '') as stem from ({FILES.format(str='varchar')}) where lower(path) like '%.pdf'),
+    x as (select id, unnest([title, query]) as text from w), t as (select distinct text, list_distinct(string_split({NORM.format('text')}, ' ')) as ws, lower(substring(trim(translate(text, '/\:*?"<>|', '_________')), 1, 180)) as name from x where text is not null),
+    g as (select path, stem, list_distinct(string_split({NORM.format('stem')}, ' ')) as ws from f),
+    o as (select text, path, case when name = lower(stem) then 1.0 else len(list_intersect(t.ws, g.ws)) / greatest(len(t.ws), len(g.ws)) end as score, case when name = lower(stem) then 0 else 2 end as rank from t join g on name = lower(stem) or len(list_intersect(t.ws, g.ws)) / greatest(len(t.ws), len(g.ws)) >= 0.75),
+    p as (select id, path, score, rank from x join o using (text)
+      union all select id, path, 1.0, 1 from w join f on {NORM.format("substring(arxiv, 7, 10)")} = {NORM.format('stem')}
+      union all select id, path, 0.95, 3 from w join f on doi is not null and contains(lower(path), replace(replace(lower(doi), 'https://doi.org/', ''), '/', '_')))
+    select id, path, cast(score as double) as score, ['filename', 'arxiv', 'title', 'doi'][rank + 1] as reason from (select *, row_number() over (partition by id order by score desc, length(path), path, rank) as place from p) where place = 1"""
+
+
 
 def _scores(s: Source):
     """Honour rows against queue items of the same cited work: exact citing titles for some, others by a fixed share of agreement."""
@@ -171,6 +193,7 @@ PLANS = {
     "j12_title_similarity": (_similar, None),
     "j13_record_publications": (_records, None),
     "j16_token_overlap": (_overlap, OVERLAP),
+    "j16_local_files": (_local_files, LOCAL_FILES),
     "j17_notable_authors": (
         _notable,
         "select publication_id as item_id, coalesce(case when publication_id % 14 = 0 then publication_id % 25 end, n_nationkey) as author_id from fx_citing left join nation on n_name = author and n_nationkey % 5 = 0 where publication_id % 14 = 0 or n_nationkey is not null",
