@@ -120,7 +120,7 @@ def queue_items(s: Source):
 
 def honours(s: Source):
     rows = honour_rows(s)
-    return M.honour_decisions(M.honour_scores(rows, queue_items(s)), rows)
+    return M.honour_decisions(M.best_honours(rows, queue_items(s)), rows)
 
 
 def _annotations(s: Source):
@@ -166,7 +166,7 @@ def _linked(s: Source):
 
 PLANS = {
     "j4_reuse_candidates": (lambda s: M.reuse_candidates(_items(s), _links(s)), REUSE),
-    "j6_top_candidates": (lambda s: M.best(M.first_by_keys(_items(s), _links(s), [(M.norm_title_alnum(c("title")), M.norm_title_alnum(c("title")), 0.95, "title")], "item_id", "asset_id"), "item_id", "asset_id", 3).select("item_id", "asset_id", "rank"),
+    "j6_top_candidates": (lambda s: M.best(M.first_of_keys(_items(s), _links(s), [(M.norm_title_alnum(c("title")), M.norm_title_alnum(c("title")), 0.95, "title")], "item_id", "asset_id", 3), "item_id", "asset_id", 3).select("item_id", "asset_id", "rank"),
         f"with {ITEMS}, {LINKS} select * from (select item_id, asset_id, row_number() over (partition by item_id order by asset_id) as rank from items i join links l on {NORM.format('i.title')} = {NORM.format('l.title')} and {NORM.format('i.title')} <> '') where rank <= 3"),
     "j7_library_matches": (lambda s: M.library_matches(_published(s), _entries(s), 1.0), LIBRARY),
     "j7_fuzzy_library_matches": (lambda s: M.library_matches(_published(s), _entries(s).withColumn("title", F.concat(c("title"), F.lit(" final")))), None),
