@@ -7,6 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from citeloom.rounds import written
+
 from .evaluation import CONTRACTS
 
 c = F.col
@@ -87,13 +89,16 @@ def _terms() -> Column:
 
 
 def _by_session(templates: DataFrame) -> DataFrame:
-    """t_session, templates (their terms and bounds), sought (the distinct terms of all): one row for each session."""
-    long = c("template_type") == LONG_CONTEXT
-    t = templates.where("enabled").withColumn("terms", F.when(long, F.array().cast("array<struct<term:string,low:string>>")).otherwise(_terms()))
+    """t_session, sought (a map from each distinct term to the templates that have it, and where), longs (the bounds of templates of long context): one row for each session."""
+    t = templates.where("enabled").withColumnRenamed("session_id", "t_session")
+    long = F.coalesce(c("template_type") == LONG_CONTEXT, F.lit(False))
+    terms = t.where(~long).select("t_session", "template_id", "template_type", "name", F.posexplode(_terms()).alias("place", "term"))
+    hit = F.struct("template_id", "place", "template_type", "name", c("term.term").alias("term"))
+    sought = terms.groupBy("t_session", c("term.low").alias("low")).agg(F.collect_list(hit).alias("hits")).groupBy("t_session").agg(F.map_from_entries(F.collect_list(F.struct("low", "hits"))).alias("sought"))
     bounds = (F.coalesce("min_chars", F.lit(0)).alias("min_chars"), F.coalesce("min_words", F.lit(0)).alias("min_words"), F.coalesce("require_marker", F.lit(False)).alias("require_marker"))
-    row = F.struct("template_id", "template_type", "name", long.alias("long"), "terms", *bounds)
-    lows = F.array_distinct(F.flatten(F.collect_list(F.transform("terms", lambda x: x["low"]))))
-    return t.groupBy(c("session_id").alias("t_session")).agg(F.array_sort(F.collect_list(row)).alias("templates"), lows.alias("sought"))
+    longs = t.where(long).groupBy("t_session").agg(F.collect_list(F.struct("template_id", "template_type", "name", *bounds)).alias("longs"))
+    both = sought.join(longs, "t_session", "full")
+    return both.select("t_session", *(F.coalesce(x, none.cast(both.schema[x].dataType)).alias(x) for x, none in (("sought", F.create_map()), ("longs", F.array()))))
 
 
 def term_matches(texts: DataFrame, templates: DataFrame, key: str) -> DataFrame:
@@ -102,30 +107,32 @@ def term_matches(texts: DataFrame, templates: DataFrame, key: str) -> DataFrame:
     A template matches by its words, patterns and aspects, as parts of the text whatever their case: ten a term, thirty at most. One of long context matches by its bounds instead, all of which must hold (characters, words, a bracket where the
     marker is asked for): ten and five for each bound, thirty at most; without any bound it matches nothing. A null text is empty.
 
-    Each text is read once, for the distinct terms of all templates of its session; the templates then look up what was found. A session's templates are one row, so no text is multiplied before it matches."""
-    rows = texts.select("session_id", key, F.coalesce("text", F.lit("")).alias("text")).join(_by_session(templates), c("session_id") == c("t_session"))
-    read = lambda text: F.struct(
-        F.get(F.transform(F.array(F.lower(text)), lambda low: F.filter("sought", lambda t: F.contains(low, t))), F.lit(0)).alias("found"),
-        F.length(text).alias("chars"), F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")).alias("words"), F.contains(text, F.lit("[")).alias("bracket"),
-    )
-
-    def judged(seen: Column, t: Column) -> Column:
+    Each text is read once, for the distinct terms of all templates of its session; what is found names its templates. A session's templates are one row of a written table, whose size Spark knows: while it is small, texts are not shuffled, so
+    few sessions do not gather them in few tasks, and no text is multiplied before it matches."""
+    rows = texts.select("session_id", key, F.coalesce("text", F.lit("")).alias("text")).join(written(_by_session(templates), "templates"), c("session_id") == c("t_session"))
+    one = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  f of x, which is made once
+    match = lambda t, long, terms: F.struct(t["template_id"].alias("template_id"), t["template_type"].alias("template_type"), t["name"].alias("name"), F.lit(long).alias("long"), terms.alias("matched_terms"))
+    hits = one(F.lower("text"), lambda low: F.flatten(F.transform(F.filter(F.map_keys("sought"), lambda t: F.contains(low, t)), lambda t: c("sought")[t])))
+    own = lambda of, number: one(F.filter(of, lambda h: h["template_id"] == number), lambda o: match(o[0], False, F.transform(o, lambda h: h["term"])))
+    by_terms = one(F.sort_array(hits), lambda of: F.transform(F.array_distinct(F.transform(of, lambda h: h["template_id"])), lambda number: own(of, number)))
+    chars = F.length("text")
+    worded = F.exists("longs", lambda t: (t["min_words"] > 0) & (chars >= t["min_chars"]))
+    read = F.struct(chars.alias("chars"), F.when(worded, F.size(F.filter(F.split("text", r"(?U)\s+"), lambda w: w != ""))).otherwise(0).alias("words"), F.contains("text", F.lit("[")).alias("bracket"))
+
+    def bounds(seen: Column, t: Column) -> Column:
         holds = ((t["min_chars"] <= 0) | (seen["chars"] >= t["min_chars"])) & ((t["min_words"] <= 0) | (seen["words"] >= t["min_words"])) & (~t["require_marker"] | seen["bracket"])
-        bounds = F.array_compact(F.array(
+        named = F.array_compact(F.array(
             F.when(t["min_chars"] > 0, F.concat(F.lit("min_citation_chars>="), t["min_chars"])), F.when(t["min_words"] > 0, F.concat(F.lit("min_citation_words>="), t["min_words"])), F.when(t["require_marker"], "require_target_marker"),
         ))
-        terms = F.transform(F.filter(t["terms"], lambda x: F.array_contains(seen["found"], x["low"])), lambda x: x["term"])
-        matched = F.when(t["long"], F.when(holds, bounds).otherwise(F.array().cast("array<string>"))).otherwise(terms)
-        return F.struct(t["template_id"].alias("template_id"), t["template_type"].alias("template_type"), t["name"].alias("name"), t["long"].alias("long"), matched.alias("matched_terms"))
+        return match(t, True, F.when(holds, named).otherwise(F.array().cast("array<string>")))
 
-    # a list of one keeps what is read of a text from being read again for each template
-    seen = F.array(read(c("text")))
-    matches = F.flatten(F.transform(seen, lambda x: F.filter(F.transform("templates", lambda t: judged(x, t)), lambda m: F.size(m["matched_terms"]) > 0)))
+    by_bounds = one(read, lambda seen: F.filter(F.transform("longs", lambda t: bounds(seen, t)), lambda m: F.size(m["matched_terms"]) > 0))
+    found = rows.select(key, F.explode(F.concat(by_terms, by_bounds)).alias("m"))
     n = F.size("m.matched_terms")
     listed = F.array_join("m.matched_terms", ", ")
     reason = F.when(c("m.long"), F.concat(F.lit(f"Matched {LONG_CONTEXT} rules: "), listed)).otherwise(F.concat(F.lit("Matched template '"), "m.name", F.lit("' terms: "), listed))
     score = F.least(F.lit(30.0), F.when(c("m.long"), 10.0 + 5.0 * n).otherwise(10.0 * n))
-    return rows.select(key, F.explode(matches).alias("m")).select(key, "m.template_id", "m.template_type", "m.matched_terms", reason.alias("reason"), score.alias("match_score"))
+    return found.select(key, "m.template_id", "m.template_type", "m.matched_terms", reason.alias("reason"), score.alias("match_score"))
 
 
 def template_reasons(matches: DataFrame, key: str) -> DataFrame:

@@ -55,7 +55,9 @@ def evidence_texts(s: Source):
 
 def template_log(texts):
     """What the sessions of texts (session_id, text) did: all built-in templates on, one off again, then three of their own, with bounds and words from their texts."""
-    of = texts.groupBy("session_id").agg(F.substring(F.min("text"), 1, 6).alias("phrase"), F.floor(F.avg(F.length("text"))).cast("int").alias("chars"))
+    # how the least text begins is the least beginning; few beginnings are counted by hash, where the least of whole texts would be found by sorting them
+    begun = texts.groupBy("session_id", F.substring("text", 1, 6).alias("phrase")).agg(F.count("text").alias("n"), F.sum(F.length("text")).alias("total"))
+    of = begun.groupBy("session_id").agg(F.min("phrase").alias("phrase"), F.floor(F.sum("total") / F.sum("n")).cast("int").alias("chars"))
     row = lambda ordinal, action, number, kind=None, words=(), chars=F.lit(0), least=0, marker=False: F.struct(
         F.lit(ordinal).alias("ordinal"), F.lit(action).alias("action"), F.lit(number).alias("template_id"), F.lit(kind).cast("string").alias("template_type"), F.array(*words).cast("array<string>").alias("positive"),
         chars.cast("int").alias("min_chars"), F.lit(least).alias("min_words"), F.lit(marker).alias("require_marker"),

@@ -76,3 +76,11 @@ def test_matches(spark):
                 want[k, t["template_id"]] = (found, float(score))
     assert {(x.k, x.template_id): (list(x.matched_terms), x.match_score) for x in got} == want and len(got) == len(want) > 10
     assert all(x.reason.endswith(", ".join(x.matched_terms)) for x in got)
+
+
+def test_few_sessions_do_not_gather_texts(spark):
+    log = spark.createDataFrame([("a", 1, "enable", 3)], "session_id string, ordinal long, action string, template_id long")
+    texts = spark.createDataFrame([("a", i, f"We compare {i}" if i % 2 else None) for i in range(40)], "session_id string, k long, text string")
+    found = T.term_matches(texts, T.session_templates(T.builtin_templates(spark), log), "k")
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.k, r.template_id, tuple(r.matched_terms)) for r in found.collect()) == [(i, 3, ("compare",)) for i in range(1, 40, 2)]
