@@ -6,7 +6,6 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +16,15 @@ from citeloom.functions.names import norm_title_alnum, unaccented
 SENTENCE = r"[^.!?。！？]+[.!?。！？]?"
 #: A marker range wider than this is read by its bounds only.
 WIDEST_RANGE = 1000
+#: So many texts of an Arrow batch are Python's objects at a time; a batch has thousands.
+AT_ONCE = 64
+
+
+def in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of AT_ONCE rows, without copies, so what Python holds does not grow with the rows of a task."""
+    for b in batches:
+        for at in range(0, b.num_rows, AT_ONCE):
+            yield b.slice(at, AT_ONCE)
 
 
 def sentences(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -24,7 +32,7 @@ def sentences(texts: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     pattern = re.compile(SENTENCE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_pieces(batches):
             keys, rows = [], []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = [(i, x, m.start(), m.end()) for i, m in enumerate(pattern.finditer(t)) if (x := m.group().strip(" "))]
@@ -282,8 +290,10 @@ def biblio_form(value: str) -> str:
 def normal_forms(texts: DataFrame, key: str, text: str) -> DataFrame:
     """key, ascii_form, biblio_form: normal forms that no built-in expression has, in Arrow batches."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({key: b[key], "ascii_form": b["t"].map(ascii_form), "biblio_form": b["t"].map(biblio_form)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_pieces(batches):
+            values = b.column(1).to_pylist()
+            forms = [pa.array([form(x) for x in values], pa.string()) for form in (ascii_form, biblio_form)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *forms], [key, "ascii_form", "biblio_form"])
 
-    return texts.select(key, F.coalesce(text, F.lit("")).alias("t")).mapInPandas(run, f"{key} long, ascii_form string, biblio_form string")
+    return texts.select(F.col(key).cast("long").alias(key), F.coalesce(text, F.lit("")).alias("t")).mapInArrow(run, f"{key} long, ascii_form string, biblio_form string")
