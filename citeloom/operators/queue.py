@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions.names import norm_title_ws, venue_tier
@@ -42,10 +42,18 @@ def analysis_readiness(asset_id: Column, extracted: Column) -> Column:
     return F.when(asset_id.isNull(), "need_pdf").when(~F.coalesce(extracted, F.lit(False)), "need_extracted_text").otherwise("ready")
 
 
+def normal_names(authors: Column) -> Column:
+    """A list of names in normal form; a null list is empty."""
+    return F.filter(F.transform(F.coalesce(authors, F.array().cast("array<string>")), lambda x: norm_title_ws(x)), lambda x: x.isNotNull())
+
+
 def citation_status(cited_authors: Column, citing_authors: Column) -> Column:
     """struct(self_citation_status, third_party_status) from two lists of names, compared in normal form."""
-    names = lambda a: F.filter(F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda x: norm_title_ws(x)), lambda x: x.isNotNull())
-    a, b = names(cited_authors), names(citing_authors)
+    return status_of_names(normal_names(cited_authors), normal_names(citing_authors))
+
+
+def status_of_names(a: Column, b: Column) -> Column:
+    """citation_status of two lists of names in normal form."""
     row = lambda s, t: F.struct(F.lit(s).alias("self_citation_status"), F.lit(t).alias("third_party_status"))
     return F.when((F.size(a) == 0) | (F.size(b) == 0), row("unknown", "ambiguous")).when(F.arrays_overlap(a, b), row("self_citation", "not_third_party")).otherwise(row("not_self_citation", "third_party"))
 
@@ -79,12 +87,12 @@ def priority(reasons: Column) -> Column:
 def build_queue(edges: DataFrame, cited_authors: DataFrame, as_of_year: int, extra: DataFrame | None = None) -> DataFrame:
     """Joined edges as scored queue items.
 
-    cited_authors: cited_id, author. extra: cited_id, citing_id, extra (array of reasons). Authors are grouped per publication before the join, so an edge
-    never multiplies.
+    cited_authors: cited_id, author. extra: cited_id, citing_id, extra (array of reasons). Authors are grouped and brought to their normal form per publication before the join, so an edge
+    never multiplies, nor does that work.
     """
-    names = cited_authors.groupBy(F.col("cited_id").alias("n_cited")).agg(F.collect_set("author").alias("cited_authors"))
+    names = cited_authors.groupBy(F.col("cited_id").alias("n_cited")).agg(normal_names(F.collect_set("author")).alias("cited_authors"))
     rows = edges.join(names, F.col("cited_id") == F.col("n_cited"), "left").drop("n_cited")
-    rows = rows.withColumn("status", citation_status(F.col("cited_authors"), F.col("citing_authors"))).select("*", "status.self_citation_status", "status.third_party_status")
+    rows = rows.withColumn("status", status_of_names(F.coalesce("cited_authors", F.array().cast("array<string>")), normal_names(F.col("citing_authors")))).select("*", "status.self_citation_status", "status.third_party_status")
     rows = rows.withColumns({"venue_tier": venue_tier(F.col("venue")), "user_review_status": F.lit("unreviewed") if "user_review_status" not in rows.columns else F.col("user_review_status")})
     if extra is not None:
         rows = rows.join(extra.select(F.col("cited_id").alias("x_cited"), F.col("citing_id").alias("x_citing"), "extra"), (F.col("cited_id") == F.col("x_cited")) & (F.col("citing_id") == F.col("x_citing")), "left").drop("x_cited", "x_citing")
@@ -109,6 +117,11 @@ def ranked(queue: DataFrame) -> DataFrame:
     return numbered(queue, "session_id", queue_order(), "position")
 
 
+def top(queue: DataFrame, n: int) -> DataFrame:
+    """The first n rows of each session, with their position. Each task keeps its own first n of a session, so few rows meet in one window."""
+    return queue.withColumn("position", F.row_number().over(Window.partitionBy("session_id").orderBy(*queue_order()))).where(F.col("position") <= n)
+
+
 def is_important(review: Column, flag: Column, annotated: Column, reasons: Column) -> Column:
     """Rejection blocks; a review, the item's own flag, an annotation or a notable author's reason makes important."""
     noted = F.exists(F.coalesce(reasons, F.array().cast("array<struct<reason:string,delta:double>>")), lambda r: F.coalesce(r["reason"].startswith("notable_author:"), F.lit(False)))

@@ -92,7 +92,7 @@ PLANS = {
         "select asset_id, case when asset_id % 7 = 0 then 'unsupported_pdf_status' when asset_id % 5 = 0 then 'invalid_pdf_binding' when extract_status <> 'extracted' then 'pdf_extract_not_ready' when asset_id % 9 = 0 or trim(text) = '' then 'missing_extracted_text' end as reason, case when asset_id % 5 = 0 then 'need_pdf' when extract_status <> 'extracted' then 'need_extracted_text' else 'ready' end as readiness from fx_asset",
     ),
     "p8_selected_ready": (lambda s: Q.selected_ready(queue(s)).select("session_id", "cited_id", "citing_id"), f"{Q0} select session_id, cited_id, citing_id from q where queue_status = 'selected' and pdf_readiness_status <> 'need_pdf'"),
-    "t1_queue_top": (lambda s: Q.ranked(queue(s)).where("position <= 20").select("session_id", "position", "cited_id", "citing_id"), f"{Q0} select session_id, position, cited_id, citing_id from (select *, {POSITION} as position from q) where position <= 20"),
+    "t1_queue_top": (lambda s: Q.top(queue(s), 20).select("session_id", "position", "cited_id", "citing_id"), f"{Q0} select session_id, position, cited_id, citing_id from (select *, {POSITION} as position from q) where position <= 20"),
     "u2_queue_rebuild": (
         lambda s: Q.rebuild(queue(s), s.fx_edge.where("citing_id % 4 = 0").select("cited_id", "citing_id", F.lit("skipped").alias("queue_status"), F.when(c("citing_id") % 8 == 0, "important").alias("user_review_status"), F.concat(F.lit("note "), "citing_id").alias("user_note"))).select("cited_id", "citing_id", "queue_status", "user_review_status", "user_note"),
         "select e.cited_id, e.citing_id, case when citing_id % 4 = 0 then 'skipped' else queue_status end as queue_status, case when citing_id % 8 = 0 then 'important' else 'unreviewed' end as user_review_status, case when citing_id % 4 = 0 then 'note ' || citing_id else '' end as user_note from fx_edge e join fx_citing on publication_id = citing_id",
