@@ -2,7 +2,8 @@
 
 Texts are cut into words at white space, block by block; a block keeps the places of its words as numbers into its own list of distinct ones. These lists are dealt out by a hash of the
 word, so that all that a word needs is its encoding, once, and one entry for each block that has it, however often it occurs there. The ids return to their blocks and are joined with
-the places. Decoding joins ids with the id-to-piece table, a batch at a time.
+the places. Places and words go through one exchange under one key, which both sides read: it is written once, and places stay where it put them. Decoding joins ids with the
+id-to-piece table, a batch at a time.
 
 Cutting at the six ASCII white space characters is safe: no merge, normal form or special token of the vocabulary reaches across them.
 """
@@ -10,7 +11,6 @@ Cutting at the six ASCII white space characters is safe: no merge, normal form o
 from __future__ import annotations
 
 import array
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,9 +19,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import partitions, small_batches, texts, written
+from .common import partitions, small_batches, texts
 
 #: Bytes of text in a block: the larger, the fewer entries a word has; a task holds one block.
 BLOCK_BYTES = 2**22
@@ -77,49 +78,52 @@ def _slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterat
 
 
 def _split(buckets: int):
-    """For each block of texts: a row of its documents and of the places of its words, numbers into the block's own list of distinct words, the frequent first; and for each bucket a row with the
-    words that belong there."""
-    kinds = pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("places", pa.binary()), ("bucket", pa.int32()), ("words", pa.binary()), ("numbers", pa.binary())])
+    """For each block of texts: a row of its documents and of the places of its words, numbers into the block's own list of distinct words, the frequent first, equally frequent ones in order; and
+    for each bucket a row with the words that belong there. The key of the first is the block, that of the others below 0: -1 - bucket. A block's number is a hash of its place and content."""
+    kinds = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("places", pa.binary()), ("words", pa.binary()), ("numbers", pa.binary())])
 
-    def block(ids: list, texts: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+    def block(place: int, ids: list, texts: list[pa.Array]) -> Iterator[pa.RecordBatch]:
         split = pc.ascii_split_whitespace(pa.concat_arrays(texts).cast(pa.large_string()))
         flat, owner = pc.list_flatten(split), pc.list_parent_indices(split).to_numpy()
         full = pc.greater(pc.binary_length(flat), 0)
         coded = pc.dictionary_encode(flat.filter(full))
         counts = np.bincount(owner[full.to_numpy(zero_copy_only=False)], minlength=len(ids)).astype(np.int32)
         at = coded.indices.to_numpy()
-        order = np.argsort(-np.bincount(at, minlength=len(coded.dictionary)), kind="stable")
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        order = order[np.argsort(-np.bincount(at, minlength=len(order))[order], kind="stable")]
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order))
-        number = uuid.uuid4().int >> 65
-        yield pa.RecordBatch.from_pylist([{"block": number, "docs": ids, "counts": counts.tolist(), "places": _packed(rank[at])}], kinds)
+        places = _packed(rank[at])
         words = coded.dictionary.take(pa.array(order)).cast(pa.large_binary()).to_pylist()
+        number = xxhash.xxh3_64_intdigest(b"\0".join([b"%d" % place, repr(ids).encode(), counts.tobytes(), places, *words])) >> 1
+        yield pa.RecordBatch.from_pylist([{"key": number, "block": number, "docs": ids, "counts": counts.tolist(), "places": places}], kinds)
         deal = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int64, len(words))
         by = np.argsort(deal, kind="stable")
         begin = np.flatnonzero(np.diff(deal[by], prepend=-1))
         for a, z in zip(begin, np.append(begin[1:], len(by)), strict=True) if len(by) else ():
             own = by[a:z]
-            yield pa.RecordBatch.from_pylist([{"block": number, "bucket": int(deal[own[0]]), "words": zstandard.ZstdCompressor(level=3).compress(b" ".join(words[i] for i in own)), "numbers": _packed(np.diff(own, prepend=0))}], kinds)
+            yield pa.RecordBatch.from_pylist([{"key": -1 - int(deal[own[0]]), "block": number, "words": zstandard.ZstdCompressor(level=3).compress(b" ".join(words[i] for i in own)), "numbers": _packed(np.diff(own, prepend=0))}], kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, size = [], [], 0
+        ids, texts, size, place = [], [], 0, TaskContext.get().partitionId() << 32
         for b in _slices(batches, "text", SLICE):
             ids += b.column("doc_id").to_pylist()
             texts.append(b.column("text"))
             size += b.column("text").nbytes
             if size >= BLOCK_BYTES:
-                yield from block(ids, texts)
-                ids, texts, size = [], [], 0
+                yield from block(place, ids, texts)
+                ids, texts, size, place = [], [], 0, place + 1
         if ids:
-            yield from block(ids, texts)
+            yield from block(place, ids, texts)
 
     return run
 
 
 def _encoded_words(path: str):
-    """A bucket's distinct words, each encoded once; for each of its blocks, the ids of the block's words."""
+    """A bucket's distinct words, each encoded once; for each of its blocks, the ids of the block's words. The places of a block give nothing."""
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.filter(pc.is_valid(table.column("words")))
         lists = [zstandard.ZstdDecompressor().decompress(x).split(b" ") for x in table.column("words").to_pylist()]
         words = list(set().union(*lists))
         known = dict(zip(words, _encoded(_tokenizer(path), words), strict=True))
@@ -131,7 +135,8 @@ def _encoded_words(path: str):
 
 
 def _joined(blocks: pa.Table, words: pa.Table) -> pa.Table:
-    """A block's documents with the ids of their words, joined by the words' numbers at each place."""
+    """A block's documents with the ids of their words, joined by the words' numbers at each place. The words of a bucket give nothing."""
+    blocks = blocks.filter(pc.is_valid(blocks.column("places")))
     none = np.zeros(0, np.int64)
     ints = lambda column: [_unpacked(x) for x in words.column(column).to_pylist()]
     numbers = np.concatenate([none, *(np.cumsum(x) for x in ints("numbers"))])
@@ -141,7 +146,10 @@ def _joined(blocks: pa.Table, words: pa.Table) -> pa.Table:
     where[numbers] = np.arange(len(numbers))
     out = []
     for docs, counts, places in zip(*(blocks.column(c).to_pylist() for c in ("docs", "counts", "places")), strict=True):
-        at = where[_unpacked(places)]
+        at = _unpacked(places)
+        if len(numbers) != at.max(initial=-1) + 1:
+            raise ValueError("a block's words are missing: the texts were not the same when they were read again")
+        at = where[at]
         n = sizes[at]
         flat = ids[np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])]
@@ -153,15 +161,14 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids, array<int>, for each row of docs, as the tokenizers library encodes the text without special tokens added.
 
     A null or empty text has no ids. Repeated rows repeat, a null doc_id stays null. An empty table gives an empty result; other columns are ignored.
-    path names the tokenizer's file, which each worker reads.
+    path names the tokenizer's file, which each worker reads. Spark reads the exchange of places and words twice where docs comes from files; from rows of the session's own it makes it twice.
     """
     spark = docs.sparkSession
     small_batches(spark)
     buckets = BUCKETS_PER_PARTITION * partitions(spark)
-    split = written(texts(docs).mapInArrow(_split(buckets), "block long, docs array<long>, counts array<int>, places binary, bucket int, words binary, numbers binary"), "words")
-    words = split.where("bucket is not null").select("bucket", "block", "words", "numbers").groupBy("bucket").applyInArrow(_encoded_words(path), "block long, numbers binary, sizes binary, ids binary")
-    blocks = split.where("bucket is null").select("block", "docs", "counts", "places")
-    return blocks.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_joined, "doc_id long, ids array<int>")
+    split = texts(docs).mapInArrow(_split(buckets), "key long, block long, docs array<long>, counts array<int>, places binary, words binary, numbers binary").groupBy("key")
+    words = split.applyInArrow(_encoded_words(path), "block long, numbers binary, sizes binary, ids binary")
+    return split.cogroup(words.groupBy("block")).applyInArrow(_joined, "doc_id long, ids array<int>")
 
 
 def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from citeloom.llm import bpe, exact_dedup, jaccard_join, line_dedup, media, packing, quality, queries, sharding, suffix_dedup, toxicity
+from citeloom.llm import bpe, common, exact_dedup, jaccard_join, line_dedup, media, packing, quality, queries, sharding, suffix_dedup, toxicity
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, rep string, drop string"
@@ -229,6 +229,16 @@ def test_bpe_matches_the_library(docs, cases, empty, monkeypatch):
     assert bpe.bpe_encode(empty, path).count() == 0
 
 
+def test_bpe_writes_places_and_words_once(docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/docs")
+    tables = []
+    with common.collected(tables):
+        encoded = bpe.bpe_encode(docs.sparkSession.read.parquet(f"{tmp_path}/docs"), queries.tokenizer_file("word_bpe_49k.json"))
+        encoded.toPandas()
+    plan = encoded._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert not tables and plan.count("ReusedExchange") == 1 and plan.count("MapInArrow") == 1
+
+
 def test_sharding(docs, empty):
     rows = sharding.shard_documents(docs, 24).collect()
     assert len(rows) == docs.count() and sharding.shard_documents(empty).count() == 0
