@@ -41,7 +41,8 @@ MARKS, PLAIN_MARKS = "’‘´`“”–— ", "''''\"\"-- "
 
 def plain_characters(x: Column) -> Column:
     """Letters without accents, typographic quotes and dashes as plain ones, lower case: character by character, so that places stay what they are."""
-    return F.lower(F.translate(F.translate(x, MARKS, PLAIN_MARKS), *_plain_letters()))
+    letters, plain = _plain_letters()
+    return F.lower(F.when(F.octet_length(x) == F.length(x), F.replace(x, F.lit("`"), F.lit("'"))).otherwise(F.translate(x, MARKS + letters, PLAIN_MARKS + plain)))
 
 
 def canonical_quote_key(x: Column) -> Column:

@@ -153,9 +153,11 @@ def is_bibliographic(entry: Column) -> Column:
 def numbered_entries(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, pos, start, marker, entry: each text cut where a line begins with a number in brackets; start counts characters before."""
     pieces = texts.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), ENTRY_BEGIN)).alias("pos", "entry"))
-    before = F.sum(F.length("entry")).over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
     marker = F.regexp_replace(F.regexp_extract("entry", ENTRY_NUMBER, 1), r"\s", "")
-    return pieces.select(key, "pos", F.coalesce(before, F.lit(0)).alias("start"), marker.alias("marker"), "entry").where("marker <> ''")
+    # of what is no entry only the length travels
+    pieces = pieces.select(key, "pos", marker.alias("marker"), F.length("entry").alias("chars"), "entry").withColumn("entry", F.when(F.col("marker") != "", F.col("entry")))
+    before = F.sum("chars").over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    return pieces.select(key, "pos", F.coalesce(before, F.lit(0)).alias("start"), "marker", "entry").where("marker <> ''")
 
 
 def _unheaded_lists(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -168,12 +170,20 @@ def _unheaded_lists(texts: DataFrame, key: str, text: str) -> DataFrame:
     return entries.withColumn("last", F.max("run").over(Window.partitionBy(key))).where("run = last").select(key, "pos", "start", "marker", "entry")
 
 
+def headed_chars(text: Column) -> Column:
+    """How many characters of a text come before the heading of its references; without one, all."""
+    return F.length(F.split(F.coalesce(text, F.lit("")), HEADING, 2)[0])
+
+
+def listed_starts(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, listed: where the reference list of a text without a heading begins. Texts without such a list have no row."""
+    return _unheaded_lists(texts, key, text).groupBy(key).agg(F.min("start").alias("listed"))
+
+
 def body_ends(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, body_end: how many characters of a text come before its references: before their heading; without one, before the last run of numbered entries that read like bibliography; without these, all."""
-    t = F.coalesce(text, F.lit(""))
-    listed = _unheaded_lists(texts, key, text).groupBy(F.col(key).alias("__key")).agg(F.min("start").alias("listed"))
-    headed = texts.select(key, F.length(F.split(t, HEADING, 2)[0]).alias("body"))
-    return headed.join(listed, F.col(key) == F.col("__key"), "left").select(key, F.least("body", "listed").cast("int").alias("body_end"))
+    headed = texts.select(key, headed_chars(F.col(text)).alias("body"))
+    return headed.join(listed_starts(texts, key, text).withColumnRenamed(key, "__key"), F.col(key) == F.col("__key"), "left").select(key, F.least("body", "listed").cast("int").alias("body_end"))
 
 
 def reference_entries(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -48,6 +48,32 @@ def test_references_are_found_without_a_heading(spark):
     assert [(r["doc_id"], r["kind"]) for r in cited if r["doc_id"] == 1] == [(1, "exact_marker")]
 
 
+def test_quotes_are_located_in_one_pass(spark):
+    far = "w " * 1000
+    texts = {
+        1: "Café\u00a0au lait 😀 is the quo-\nted one.", 2: f"heat [5]{far}[5] heat{far}[5] box heat{far}[5] box heat", 3: "[5][5]", 4: None, 5: "no marker", 6: "x" + REFERENCES + "Heat [5] and heat.", 7: "a.b [5] Heat `it`", 8: "😀😀 [5]",
+        9: "Body.\n" + "".join(f"[{i}] A. Author, B. Other. A title of some length. Journal of Tests, {1990 + i}.\n" for i in range(1, 5)),
+    }
+    quotes = [
+        (1, 1, "CAFE AU LAIT \U0001f600 IS THE QUOTED", "[5]", None), (2, 2, "heat zq", " [5] ", ["Box"]), (3, 3, None, "[5]", ["x"]), (4, 4, "heat", "[5]", None), (5, 5, "heat", "[5]", None), (6, 6, "Heat zq", "[5]", None), (7, 7, "heat 'IT'", "[5]", None), (8, 8, "zq", "[5]", None),
+        (9, 9, "A title of some length", None, None), (10, 7, " [5]\n", "", None), (11, 99, "x", "[5]", None), (12, None, "x", "[5]", None), (13, 5, "", "", None),
+    ]
+    given = _table(spark, quotes, "item_id long, doc_id long, quote string, marker string, terms array<string>")
+    found = X.located_quotes(given, _table(spark, list(texts.items()), "doc_id long, text string"))
+    third = texts[2].index("[5] box")
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 0, texts[1].index(" one"), "normalised"), (2, third, third + 3, "marker"), (3, 0, 3, "marker"), (7, 8, 17, "normalised"), (8, 3, 6, "marker"), (10, 4, 7, "exact")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 3 and plan.count("instr(body") == 1
+
+
+def test_of_texts_without_entries_only_the_length_travels(spark):
+    df = _table(spark, [(1, "text\n[1] one\ntwo\n[2] three"), (2, "text")], "doc_id long, text string")
+    entries = A.numbered_entries(df)
+    assert sorted(tuple(r) for r in entries.collect()) == [(1, 1, 5, "1", "[1] one\ntwo\n"), (1, 2, 17, "2", "[2] three")]
+    under = entries._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].split("Exchange")[1]
+    assert "CASE WHEN" in under and "AS entry" in under
+
+
 def test_headings(spark):
     text = "2 Method\nplain words here\nRESULTS\nlower\n" + "x" * 200 + "\nend"
     rows = [text, text[:20], "lower\n", "A Plain: heading\nnot a heading, as it ends so.", "", None]
