@@ -156,6 +156,15 @@ def rebuild(queue: DataFrame, previous: DataFrame) -> DataFrame:
     return out.withColumns(keep).drop("o_cited", "o_citing", *(f"o_{c}" for c in keep))
 
 
+def edge_counts(edges: DataFrame) -> DataFrame:
+    """session_id, edges, citing, ready: edges, distinct citing publications and ready edges of each session. Edges are dealt out by session and citing publication before they are grouped, into as many parts as the session's shuffles have: nearly each has a group of its
+    own, which a task would otherwise hold for all its edges beside their sort, and parts of a set number are not put together again."""
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = edges.select("session_id", "citing_id", is_ready(F.col("pdf_readiness_status")).alias("ready")).repartition(n, "session_id", "citing_id")
+    each = each.groupBy("session_id", "citing_id").agg(F.count(F.lit(1)).alias("edges"), F.count_if("ready").alias("ready"))
+    return each.groupBy("session_id").agg(F.sum("edges").alias("edges"), F.count("citing_id").alias("citing"), F.sum("ready").alias("ready"))
+
+
 def summary(queue: DataFrame) -> DataFrame:
     """Counts of each session's queue."""
     n = lambda cond, name: F.count_if(cond).alias(name)

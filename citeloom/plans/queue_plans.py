@@ -102,7 +102,7 @@ PLANS = {
         f"{Q0} select session_id, count(*) as total, count(*) filter (pdf_readiness_status <> 'need_pdf') as ready, count(*) filter (pdf_readiness_status = 'need_pdf') as need_pdf, count(*) filter (queue_status = 'selected') as selected, count(*) filter (queue_status = 'analyzed') as analyzed, count(*) filter (queue_status = 'failed') as failed, count(*) filter (third_party_status = 'third_party') as third_party, count(*) filter (self_citation_status = 'self_citation') as self_citation from q group by 1",
     ),
     "a3_workflow_stats": (
-        lambda s: s.fx_cited.groupBy("session_id").agg(F.count(F.lit(1)).alias("publications"), F.count_if(c("doi").isNotNull()).alias("with_doi")).join(s.fx_edge.groupBy("session_id").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("citing_id").alias("citing"), F.count_if(Q.is_ready(c("pdf_readiness_status"))).alias("ready")), "session_id", "left"),
+        lambda s: s.fx_cited.groupBy("session_id").agg(F.count(F.lit(1)).alias("publications"), F.count_if(c("doi").isNotNull()).alias("with_doi")).join(Q.edge_counts(s.fx_edge), "session_id", "left"),
         "select p.*, edges, citing, ready from (select session_id, count(*) as publications, count(doi) as with_doi from fx_cited group by 1) p left join (select session_id, count(*) as edges, count(distinct citing_id) as citing, count(*) filter (pdf_readiness_status <> 'need_pdf') as ready from fx_edge group by 1) e using (session_id)",
     ),
     "a6_external_edges": (

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from citeloom.operators import queue as Q
+from citeloom.plans import registry
 from citeloom.rounds import numbered
 
 
@@ -34,3 +35,14 @@ def test_names_of_publications_are_normal_once(spark):
     authors = spark.createDataFrame([(1, "Ann Lee"), (1, "BO"), (2, "Ann Lee")], "cited_id long, author string")
     got = {r.cited_id: (r.self_citation_status, r.third_party_status) for r in Q.build_queue(edges, authors, 2000).collect()}
     assert got == {1: ("self_citation", "not_third_party"), 2: ("not_self_citation", "third_party"), 3: ("unknown", "ambiguous")}
+
+
+def test_edges_are_dealt_out_before_sessions_are_counted(spark):
+    rows = [("a", 1, 10, "manual_pdf"), ("a", 2, 10, "need_pdf"), ("a", 2, None, "reused_pdf"), ("b", 3, 11, None), (None, 4, 12, "manual_pdf")]
+    edges = spark.createDataFrame(rows, "session_id string, cited_id long, citing_id long, pdf_readiness_status string")
+    got = {tuple(r) for r in Q.edge_counts(edges).collect()}
+    assert got == {("a", 3, 1, 2), ("b", 1, 1, 0), (None, 1, 1, 1)}
+    stats = registry.QUERIES["a3_workflow_stats"](spark, "/root/testdata/sf0.001")
+    plan = stats._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    sorting = plan[plan.index("REPARTITION_BY_NUM") :].split("ENSURE_REQUIREMENTS")[0]
+    assert "SortAggregate" in sorting and "HashAggregate" not in sorting
