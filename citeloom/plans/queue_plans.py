@@ -74,6 +74,13 @@ def _rescored(s: Source):
     return q.select("cited_id", "citing_id", "priority_score", Q.is_important(F.lit("unreviewed"), F.lit(False), F.lit(False), c("reasons")).alias("important"))
 
 
+def _dealt(s: Source) -> Source:
+    """The same tables, citations dealt out by cited publication before they are joined and sorted, in as many parts as shuffles have: a part of a file is larger."""
+    dealt = Source(s.spark, s.sf_dir)
+    dealt.lineitem = s.lineitem.repartition(int(s.spark.conf.get("spark.sql.shuffle.partitions")), "l_partkey")
+    return dealt
+
+
 PLANS = {
     "ranked_queue": (ranked_queue, RANKED),
     "r1_self_citation": (lambda s: queue(s).groupBy("session_id", "self_citation_status", "third_party_status").agg(F.count(F.lit(1)).alias("n")), f"{Q0} select session_id, self_citation_status, third_party_status, count(*) as n from q group by 1, 2, 3"),
@@ -102,7 +109,7 @@ PLANS = {
         f"{Q0} select session_id, count(*) as total, count(*) filter (pdf_readiness_status <> 'need_pdf') as ready, count(*) filter (pdf_readiness_status = 'need_pdf') as need_pdf, count(*) filter (queue_status = 'selected') as selected, count(*) filter (queue_status = 'analyzed') as analyzed, count(*) filter (queue_status = 'failed') as failed, count(*) filter (third_party_status = 'third_party') as third_party, count(*) filter (self_citation_status = 'self_citation') as self_citation from q group by 1",
     ),
     "a3_workflow_stats": (
-        lambda s: s.fx_cited.groupBy("session_id").agg(F.count(F.lit(1)).alias("publications"), F.count_if(c("doi").isNotNull()).alias("with_doi")).join(Q.edge_counts(s.fx_edge), "session_id", "left"),
+        lambda s: s.fx_cited.groupBy("session_id").agg(F.count(F.lit(1)).alias("publications"), F.count_if(c("doi").isNotNull()).alias("with_doi")).join(Q.edge_counts(_dealt(s).fx_edge), "session_id", "left"),
         "select p.*, edges, citing, ready from (select session_id, count(*) as publications, count(doi) as with_doi from fx_cited group by 1) p left join (select session_id, count(*) as edges, count(distinct citing_id) as citing, count(*) filter (pdf_readiness_status <> 'need_pdf') as ready from fx_edge group by 1) e using (session_id)",
     ),
     "a6_external_edges": (

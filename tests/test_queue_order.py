@@ -46,3 +46,4 @@ def test_edges_are_dealt_out_before_sessions_are_counted(spark):
     plan = stats._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     sorting = plan[plan.index("REPARTITION_BY_NUM") :].split("ENSURE_REQUIREMENTS")[0]
     assert "SortAggregate" in sorting and "HashAggregate" not in sorting
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "Sort" not in plan[plan.rindex("REPARTITION_BY_NUM") :].split("BroadcastExchange")[0]
