@@ -30,6 +30,9 @@ CHUNK_BYTES = 1 << 20
 FLUSH_ANCHORS = 1 << 20
 FLUSH_STRETCHES = 1 << 17
 BUCKETS_PER_PARTITION = 2
+#: A bucket's stretches are compared in passes of about so many bytes, and sorted about so many windows at a time, so a task's memory does not follow its bucket. The result doesn't depend on them.
+PASS_BYTES = 16 << 20
+SORT_WINDOWS = 1 << 19
 
 #: What a document is told of its shared anchors: 32 bits of each hash. A chance agreement sends a stretch too many, no more.
 _SHORT = np.uint64((1 << 32) - 1)
@@ -222,6 +225,16 @@ def _told(table: pa.Table) -> pa.Table:
     return pa.table({"a_id": pa.array(docs, pa.int64()), "sigs": pa.array(blobs, pa.binary())})
 
 
+def _runs(rows: np.ndarray) -> np.ndarray:
+    """Spans (document, hash, begin, end) in order, those that touch as one."""
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    new = np.concatenate([[True], (np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 0)])
+    text = np.cumsum(new) << 31
+    reach = np.maximum.accumulate(text + rows[:, 3]) - text
+    begin = np.flatnonzero(new | np.concatenate([[True], rows[1:, 2] > reach[:-1]]))
+    return np.column_stack([rows[begin, :3], reach[np.append(begin[1:], len(rows)) - 1]])
+
+
 def _stretches(buckets: int):
     """For each task and bucket: distinct stretches of text, and where in which documents they lie; documents that are not the smallest holder of a stretch lose it at once."""
 
@@ -237,7 +250,7 @@ def _stretches(buckets: int):
         empty = b""
         for k in by.keys() | gone.keys():
             own, lost = by.get(k, []), np.array(gone.get(k, []), np.int64).reshape(-1, 4)
-            row = {"bucket": pa.array([k], pa.int32()), "lost": [_packed(lost) if len(lost) else empty]}
+            row = {"bucket": pa.array([k], pa.int32()), "lost": [_packed(_runs(lost)) if len(lost) else empty]}
             row["sig"] = [np.array([x[0] for x in own], np.uint64).tobytes()]
             row["size"] = [_packed(np.array([len(x[1]) for x in own], np.int32))]
             row["text"] = [zlib.compress(b"".join(x[1] for x in own), 1)]
@@ -338,58 +351,87 @@ def smallest_holders(data: bytes, starts: np.ndarray, docs: np.ndarray) -> np.nd
     return out
 
 
+def _of_pass(rows: list[tuple], buckets: int, part: int, parts: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct stretches of one pass in order of their anchors, each one's anchor number, and their places. Whatever agrees in its anchor is in one pass."""
+    known: dict[tuple[int, bytes], int] = {}
+    places = []
+    for sig, sizes, text, own in rows:
+        mine = np.flatnonzero(sig // np.uint64(buckets) % np.uint64(parts) == part)
+        if not len(mine):
+            continue
+        text, ends = zlib.decompress(text), np.cumsum(sizes)
+        number = np.full(len(sig), -1)
+        keys = zip(sig[mine].tolist(), (text[z - n : z] for z, n in zip(ends[mine].tolist(), sizes[mine].tolist(), strict=True)), strict=True)
+        number[mine] = [known.setdefault(key, len(known)) for key in keys]
+        at = _unpacked(own, np.int64).reshape(-1, 4).copy()
+        at[:, 0] = number[at[:, 0]]
+        places.append(at[at[:, 0] >= 0])
+    _, anchor = np.unique(np.array([k[0] for k in known], np.uint64), return_inverse=True)
+    by = np.argsort(anchor, kind="stable")
+    whole = [k[1] for k in known]
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by))
+    at = np.concatenate(places) if places else np.zeros((0, 4), np.int64)
+    at[:, 0] = rank[at[:, 0]]
+    return [whole[i] for i in by], anchor[by], at
+
+
+def _slices(weights: np.ndarray, groups: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of whole groups of sorted rows that weigh `most` together; a group that weighs more is one of its own."""
+    begin = np.flatnonzero(np.diff(groups, prepend=-1))
+    edge, total = np.append(begin, len(groups)), np.concatenate([[0], np.cumsum(weights)])
+    a = 0
+    while a < len(begin):
+        z = max(a + 1, int(np.searchsorted(total[edge], total[edge[a]] + most, side="right")) - 1)
+        yield int(edge[a]), int(edge[z])
+        a = z
+
+
+def _lost(whole: list[bytes], anchor: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+    """The spans that the places `at` of stretches lose, a slice of anchors at a time."""
+    at = at[np.argsort(at[:, 0], kind="stable")]
+    sizes = np.array([len(x) for x in whole], np.int64)
+    # a place has its stretch's windows, and so has a stretch
+    count = np.bincount(at[:, 0], minlength=len(whole))
+    for a, z in _slices((sizes - WINDOW + 1) * (count + 1), anchor, SORT_WINDOWS):
+        own = at[np.searchsorted(at[:, 0], a) : np.searchsorted(at[:, 0], z)] - np.array([a, 0, 0, 0])
+        kinds = sizes[a:z] - WINDOW + 1
+        low = np.full(z - a, np.iinfo(np.int64).max)
+        np.minimum.at(low, own[:, 0], own[:, 1])
+        edge = np.concatenate([[0], np.cumsum(kinds)])
+        holder = np.repeat(low, kinds)
+        # a stretch that is its anchor's only one needs no sorting
+        many = np.flatnonzero(np.bincount(anchor[a:z] - anchor[a])[anchor[a:z] - anchor[a]] > 1)
+        if len(many):
+            text_at = np.concatenate([[0], np.cumsum(sizes[a:z][many])])[:-1]
+            within = np.arange(kinds[many].sum()) - np.repeat(np.cumsum(kinds[many]) - kinds[many], kinds[many])
+            into = np.repeat(edge[many], kinds[many]) + within
+            holder[into] = smallest_holders(b"".join([whole[a + i] for i in many]), np.repeat(text_at, kinds[many]) + within, holder[into])
+        # windows of each place whose holder is a smaller document, in runs
+        n = kinds[own[:, 0]]
+        row = np.repeat(np.arange(len(own)), n)
+        within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        gone = holder[edge[own[row, 0]] + within] < own[row, 1]
+        row, within = row[gone], within[gone]
+        if len(row):
+            begin = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(within, prepend=-2) != 1))
+            last = np.append(begin[1:], len(row)) - 1
+            r = row[begin]
+            yield np.column_stack([own[r, 1], own[r, 2], own[r, 3] + within[begin], own[r, 3] + within[last] + WINDOW])
+
+
 def _removed(buckets: int):
-    """The spans that documents lose, dealt by document."""
+    """The spans that documents lose, dealt by document. A bucket's stretches stay compressed; those of one pass are taken out at a time."""
 
     def run(table: pa.Table) -> pa.Table:
         lost = [_unpacked(x, np.int64).reshape(-1, 4) for x in table.column("lost").to_pylist() if x]
-        known: dict[tuple[int, bytes], int] = {}
-        sigs, whole, places = [], [], []
-        for s, sizes, text, own in zip(*(table.column(c).to_pylist() for c in ("sig", "size", "text", "places")), strict=True):
-            text, ends = zlib.decompress(text), np.cumsum(_unpacked(sizes, np.int32))
-            number = np.empty(len(ends), np.int64)
-            for i, (sig, z, n) in enumerate(zip(np.frombuffer(s, np.uint64).tolist(), ends.tolist(), _unpacked(sizes, np.int32).tolist(), strict=True)):
-                key = (sig, text[z - n : z])
-                if key not in known:
-                    known[key] = len(known)
-                    sigs.append(sig)
-                    whole.append(key[1])
-                number[i] = known[key]
-            own = _unpacked(own, np.int64).reshape(-1, 4).copy()
-            own[:, 0] = number[own[:, 0]]
-            places.append(own)
-        if whole:
-            at = np.concatenate(places)
-            sizes = np.array([len(x) for x in whole], np.int64)
-            low = np.full(len(whole), np.iinfo(np.int64).max)
-            np.minimum.at(low, at[:, 0], at[:, 1])
-            # a stretch that is its anchor's only one needs no sorting
-            _, anchor = np.unique(np.array(sigs, np.uint64), return_inverse=True)
-            several = np.bincount(anchor)[anchor] > 1
-            kinds = sizes - WINDOW + 1
-            edge = np.concatenate([[0], np.cumsum(kinds)])
-            holder = np.repeat(low, kinds)
-            many = np.flatnonzero(several)
-            if len(many):
-                text_at = np.concatenate([[0], np.cumsum(sizes[many])])[:-1]
-                within = np.arange(kinds[many].sum()) - np.repeat(np.cumsum(kinds[many]) - kinds[many], kinds[many])
-                starts = np.repeat(text_at, kinds[many]) + within
-                into = np.repeat(edge[many], kinds[many]) + within
-                holder[into] = smallest_holders(b"".join([whole[i] for i in many]), starts, holder[into])
-            # windows of each place whose holder is a smaller document, in runs
-            n = kinds[at[:, 0]]
-            row = np.repeat(np.arange(len(at)), n)
-            within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            gone = holder[edge[at[row, 0]] + within] < at[row, 1]
-            row, within = row[gone], within[gone]
-            if len(row):
-                begin = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(within, prepend=-2) != 1))
-                last = np.append(begin[1:], len(row)) - 1
-                r = row[begin]
-                lost.append(np.column_stack([at[r, 1], at[r, 2], at[r, 3] + within[begin], at[r, 3] + within[last] + WINDOW]))
+        rows = [(np.frombuffer(s, np.uint64), _unpacked(n, np.int32), text, own) for s, n, text, own in zip(*(table.column(c).to_pylist() for c in ("sig", "size", "text", "places")), strict=True)]
+        parts = -(-sum(int(n.sum()) for _, n, _, _ in rows) // PASS_BYTES)
+        for part in range(parts):
+            lost.extend(_lost(*_of_pass(rows, buckets, part, parts)))
         if not lost:
             return pa.table({"bucket": pa.array([], pa.int32()), "spans": pa.array([], pa.binary())})
-        rows = np.concatenate(lost)
+        rows = _runs(np.concatenate(lost))
         deal = ((rows[:, 0].astype(np.uint64) * np.uint64(_BASE)) >> np.uint64(33)) % np.uint64(buckets)
         out = [(k, _packed(x)) for k, x in _by_bucket(deal.astype(np.int64), rows)]
         return pa.table({"bucket": pa.array([k for k, _ in out], pa.int32()), "spans": pa.array([x for _, x in out], pa.binary())})
@@ -399,18 +441,10 @@ def _removed(buckets: int):
 
 def _merged(table: pa.Table) -> pa.Table:
     """One row for each document: its maximal removed runs."""
-    rows = np.concatenate([_unpacked(x, np.int64).reshape(-1, 4) for x in table.column("spans").to_pylist()])
-    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
-    new = np.concatenate([[True], (np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 0)])
-    begin = np.flatnonzero(new)
-    ids, hs, blobs = [], [], []
-    for a, z in zip(begin, np.append(begin[1:], len(rows)), strict=True):
-        reach = np.maximum.accumulate(rows[a:z, 3])
-        cut = np.flatnonzero(np.concatenate([[True], rows[a + 1 : z, 2] > reach[:-1]]))
-        ids.append(int(rows[a, 0]))
-        hs.append(int(rows[a, 1]))
-        blobs.append(np.column_stack([rows[a + cut, 2], reach[np.append(cut[1:], z - a) - 1]]).tobytes())
-    return pa.table({"r_id": pa.array(ids, pa.int64()), "r_h": pa.array(hs, pa.int64()), "runs": pa.array(blobs, pa.binary())})
+    rows = _runs(np.concatenate([_unpacked(x, np.int64).reshape(-1, 4) for x in table.column("spans").to_pylist()]))
+    begin = np.flatnonzero(np.concatenate([[True], (np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 0)]))
+    blobs = [rows[a:z, 2:].tobytes() for a, z in zip(begin, np.append(begin[1:], len(rows)), strict=True)]
+    return pa.table({"r_id": pa.array(rows[begin, 0], pa.int64()), "r_h": pa.array(rows[begin, 1], pa.int64()), "runs": pa.array(blobs, pa.binary())})
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
