@@ -88,12 +88,12 @@ def build_queue(edges: DataFrame, cited_authors: DataFrame, as_of_year: int, ext
     """Joined edges as scored queue items.
 
     cited_authors: cited_id, author. extra: cited_id, citing_id, extra (array of reasons). Authors are grouped and brought to their normal form per publication before the join, so an edge
-    never multiplies, nor does that work.
+    never multiplies, nor does that work. An edge's venue is its tier before that join: what is left out of the queue then goes through no exchange.
     """
     names = cited_authors.groupBy(F.col("cited_id").alias("n_cited")).agg(normal_names(F.collect_set("author")).alias("cited_authors"))
-    rows = edges.join(names, F.col("cited_id") == F.col("n_cited"), "left").drop("n_cited")
+    rows = edges.withColumn("venue_tier", venue_tier(F.col("venue"))).join(names, F.col("cited_id") == F.col("n_cited"), "left").drop("n_cited")
     rows = rows.withColumn("status", status_of_names(F.coalesce("cited_authors", F.array().cast("array<string>")), normal_names(F.col("citing_authors")))).select("*", "status.self_citation_status", "status.third_party_status")
-    rows = rows.withColumns({"venue_tier": venue_tier(F.col("venue")), "user_review_status": F.lit("unreviewed") if "user_review_status" not in rows.columns else F.col("user_review_status")})
+    rows = rows.withColumn("user_review_status", F.lit("unreviewed") if "user_review_status" not in rows.columns else F.col("user_review_status"))
     if extra is not None:
         rows = rows.join(extra.select(F.col("cited_id").alias("x_cited"), F.col("citing_id").alias("x_citing"), "extra"), (F.col("cited_id") == F.col("x_cited")) & (F.col("citing_id") == F.col("x_citing")), "left").drop("x_cited", "x_citing")
     return rows.withColumn("reasons", priority_reasons(as_of_year, F.col("extra") if extra is not None else None)).withColumn("priority_score", priority(F.col("reasons"))).drop("status", "cited_authors")
@@ -112,9 +112,15 @@ def queue_order() -> list[Column]:
     ]
 
 
-def ranked(queue: DataFrame) -> DataFrame:
-    """queue with its position in each session."""
-    return numbered(queue, "session_id", queue_order(), "position")
+#: What the order of a queue and the findings of priority_reasons are made of.
+RANKING = ("session_id", "cited_id", "citing_id", "self_citation_status", "third_party_status", "venue_tier", "year", "pdf_readiness_status", "queue_status", "user_review_status", "priority_score")
+
+
+def ranked(queue: DataFrame, as_of_year: int | None = None) -> DataFrame:
+    """queue with its position in each session. With as_of_year, that of a queue built without extra reasons: the columns of RANKING and reasons, which are made again from these: written and dealt out, they would take most of the disk."""
+    if as_of_year is None:
+        return numbered(queue, "session_id", queue_order(), "position")
+    return numbered(queue.select(*RANKING), "session_id", queue_order(), "position").withColumn("reasons", priority_reasons(as_of_year))
 
 
 def top(queue: DataFrame, n: int) -> DataFrame:

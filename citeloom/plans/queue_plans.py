@@ -35,7 +35,7 @@ POSITION = """row_number() over (partition by session_id order by priority_score
 
 
 def ranked_queue(s: Source):
-    return Q.ranked(queue(s)).select("session_id", "cited_id", "citing_id", "self_citation_status", "third_party_status", "venue_tier", "priority_score", F.array_join(F.transform("reasons", lambda r: r["reason"]), "|").alias("reasons"), "position")
+    return Q.ranked(queue(s), YEAR).select("session_id", "cited_id", "citing_id", "self_citation_status", "third_party_status", "venue_tier", "priority_score", F.array_join(F.transform("reasons", lambda r: r["reason"]), "|").alias("reasons"), "position")
 
 
 RANKED = f"""{Q0} select session_id, cited_id, citing_id, self_citation_status, third_party_status, venue_tier, priority_score,
